@@ -15,6 +15,7 @@ from __future__ import annotations
 import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -31,7 +32,8 @@ from tallyloom.llm.shared_files import Ranges, new_file
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 BLOCK_BYTES = 1 << 14
-CACHED_WORDS = 300_000
+CACHED_WORDS = 1_000_000
+GROUP_CHARS = 1 << 20
 CACHED_LENGTH = 64
 MAGIC = b"WVLTMTX1"
 _HEAD = struct.Struct("<8sQQII")
@@ -43,8 +45,9 @@ class Encoder:
     """Encodes texts with the tokenizers library, remembering the ids of words.
 
     A byte-level pre-tokenizer never joins a character with a blank after it, so a text may be cut before
-    any single blank between two other characters, and equal pieces then have equal ids.  What is
-    remembered is bounded; a long piece is encoded each time.
+    a single space, and around a single line feed, between two other characters; equal pieces then have
+    equal ids.  Texts with other runs of blanks are cut only at such single spaces.  What is remembered is
+    bounded, and long pieces are not kept.
     """
 
     def __init__(self, path: str):
@@ -53,30 +56,53 @@ class Encoder:
         self._tokenizer = Tokenizer.from_file(path)
         self._first: dict[str, bytes] = {}
         self._after: dict[str, bytes] = {}
+        size = self._tokenizer.get_vocab_size()
+        self._spaced = np.array([(self._tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self._feed = self._ids(["\n"])[0]
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self._tokenizer.encode_batch(pieces, add_special_tokens=False)]
-
-    def _known(self, words: list[str], known: dict[str, bytes], blank: str) -> list[bytes]:
-        got = list(map(known.get, words))
-        if None not in got:
-            return got
-        new = list({w: None for w, g in zip(words, got) if g is None})
-        fresh = dict(zip(new, self._ids([blank + w for w in new])))
-        got = [fresh[w] if g is None else g for w, g in zip(words, got)]
-        if len(known) + len(fresh) > CACHED_WORDS:
+        return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
+    def _ids_after_space(self, words: list[str]) -> list[bytes]:
+        """Words without a space, each after one: encoded as one text, and parted at the ids that start with a space."""
+        if not words:
+            return []
+        ids = np.array(self._tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        starts = np.flatnonzero(self._spaced[ids])
+        if len(starts) != len(words):
+            return self._ids([" " + w for w in words])
+        raw, cuts = ids.tobytes(), (4 * starts).tolist()
+        return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
+
+    def _forget(self, known: dict[str, bytes], words: set[str]) -> None:
+        if len(known) > CACHED_WORDS:
             known.clear()
-        known.update((w, x) for w, x in fresh.items() if len(w) <= CACHED_LENGTH)
-        return got
-
-    def encode(self, text: str) -> bytes:
-        """The ids as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        words = text.split(" ")
-        if any(w not in self._after and (not w or w[0].isspace() or w[-1].isspace()) for w in words):
-            words = _LONE_SPACE.split(text)
-        return b"".join(self._known(words[:1], self._first, "") + self._known(words[1:], self._after, " "))
+        for w in words:
+            if len(w) > CACHED_LENGTH:
+                known.pop(w, None)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Each text's ids as little-endian unsigned 32-bit integers."""
+        cut = [[line.split(" ") for line in text.split("\n")] for text in texts]
+        words = set().union(*(line for lines in cut for line in lines))
+        edged = {w for w in words if w not in self._after and (not w or w[0].isspace() or w[-1].isspace())}
+        whole = {}
+        if edged:
+            for k, lines in enumerate(cut):
+                if not all(map(edged.isdisjoint, lines)):
+                    whole[k], cut[k] = _LONE_SPACE.split(texts[k]), []
+        heads = [[line.pop(0) for line in lines] for lines in cut]
+        first = {w for w in set().union(*heads) if w not in self._first}
+        after = {w for w in set().union(*(line for lines in cut for line in lines)) if w not in self._after}
+        self._first.update(zip(first, self._ids(list(first))))
+        self._after.update(zip(after, self._ids_after_space(list(after))))
+        f, g = self._first.__getitem__, self._after.__getitem__
+        out = [self._feed.join([f(h) + b"".join(map(g, line)) for h, line in zip(own, lines)]) for own, lines in zip(heads, cut)]
+        for k, (head, *rest) in whole.items():
+            out[k] = b"".join(self._ids([head, *(" " + w for w in rest)]))
+        self._forget(self._first, first)
+        self._forget(self._after, after)
+        return out
 
 
 @lru_cache(maxsize=2)
@@ -228,6 +254,18 @@ class WaveletMatrix:
         return values
 
 
+def encoded(code: Encoder, texts: pa.Array) -> Iterator[bytes]:
+    """Texts' ids in order, encoded in groups of a bounded size (or one text)."""
+    group, size = [], 0
+    for text in texts:
+        group.append(text.as_py())
+        size += len(group[-1])
+        if size >= GROUP_CHARS:
+            yield from code.encode_all(group)
+            group, size = [], 0
+    yield from code.encode_all(group)
+
+
 MANIFEST = "part int, seq int, path string, n_docs long, n_tokens long"
 
 
@@ -257,8 +295,8 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
 
         kinds = pa.schema([("part", pa.int32()), ("seq", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = code.encode(text.as_py()) + end
+            for doc_id, ids in zip(batch.column(0).to_pylist(), encoded(code, batch.column(1))):
+                ids += end
                 held.append(ids)
                 own.append((doc_id, len(ids) // 4))
                 total += len(ids) // 4
