@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import license_scan, wavelet_tokens
+from tallyloom.llm import license_scan, ngram_join, wavelet_tokens
 from tallyloom.llm.common import table
 
 
@@ -26,8 +26,13 @@ def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_tokens.read_back(wavelet_tokens.write_shards(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_wavelet_tokens": op4_wavelet_tokens,
+    "op6_ngram_join": op6_ngram_join,
 }
 ORACLES: dict[str, str] = {}
