@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tallyloom.llm import license_scan, ngram_join, quality_cnn, wavelet_tokens
+from tallyloom.llm import license_scan, ngram_join, piece_transducer, quality_cnn, wavelet_tokens
 from tallyloom.llm.common import table
 
 
@@ -34,10 +34,15 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_transducer.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_cnn": op2_quality_cnn,
     "op3_license_scan": op3_license_scan,
     "op4_wavelet_tokens": op4_wavelet_tokens,
     "op6_ngram_join": op6_ngram_join,
+    "op9_piece_transducer": op9_piece_transducer,
 }
 ORACLES: dict[str, str] = {}
