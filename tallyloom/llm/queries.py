@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tallyloom.llm import license_scan, ngram_join, piece_transducer, quality_cnn, wavelet_tokens
+from tallyloom.llm import license_scan, mixing, ngram_join, piece_transducer, quality_cnn, wavelet_tokens
 from tallyloom.llm.common import table
 
 
@@ -34,6 +35,53 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+# The tree of the mix: a source's domain by its number, then language and source; weights by value.
+MIX_WEIGHTS = {"domain": {"crawl": 2, "forum": 3, "library": 5}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
+MIX_SHARE, MIX_EPOCHS, MIX_SEED = (1, 2), 2, 20
+
+
+def mix_levels() -> dict[str, Column]:
+    domain = F.when(F.col("source") == "src0", "crawl").when(F.col("source").isin([f"src{k}" for k in range(1, 13)]), "forum").otherwise("library")
+    return {"domain": domain, "lang": F.col("lang"), "source": F.col("source")}
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, share=MIX_SHARE, epochs=MIX_EPOCHS, seed=MIX_SEED)
+    return mixed.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"))
+
+
+OP8_SQL = """
+with docs as (
+  select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+    case when source = 'src0' then 'crawl'
+      when source in ('src1','src2','src3','src4','src5','src6','src7','src8','src9','src10','src11','src12') then 'forum' else 'library' end as domain,
+    case when length(coalesce(text, '')) > 0 then length(text) - length(translate(text, ' ' || chr(10), '')) + 1 else 0 end as tokens
+  from documents),
+leaves as (select domain, lang, source, cast(sum(tokens) as bigint) as tokens from docs group by all),
+d0 as (select domain, 2 * sum(tokens) as cap, (select sum(tokens) // 2 from leaves) as given,
+    case domain when 'crawl' then 2 when 'forum' then 3 when 'library' then 5 else 1 end as w from leaves group by domain),
+d1 as (select *, (given - coalesce(sum(cap) over (order by cap / w, domain rows between unbounded preceding and 1 preceding), 0))
+    / sum(w) over (order by cap / w, domain rows between current row and unbounded following) as r from d0),
+d2 as (select domain, cast(floor(greatest(0.0, least(cast(cap as double), max(r) over () * w))) as bigint) as given from d1),
+l0 as (select domain, lang, 2 * sum(tokens) as cap, any_value(given) as given,
+    case lang when 'en' then 4 when 'de' then 2 when 'fr' then 2 when 'es' then 2 else 1 end as w from leaves join d2 using (domain) group by domain, lang),
+l1 as (select *, (given - coalesce(sum(cap) over (partition by domain order by cap / w, lang rows between unbounded preceding and 1 preceding), 0))
+    / sum(w) over (partition by domain order by cap / w, lang rows between current row and unbounded following) as r from l0),
+l2 as (select domain, lang, cast(floor(greatest(0.0, least(cast(cap as double), max(r) over (partition by domain) * w))) as bigint) as given from l1),
+s0 as (select domain, lang, source, 2 * tokens as cap, given, tokens from leaves join l2 using (domain, lang)),
+s1 as (select *, (given - coalesce(sum(cap) over (partition by domain, lang order by cap, source rows between unbounded preceding and 1 preceding), 0))
+    / count(*) over (partition by domain, lang order by cap, source rows between current row and unbounded following) as r from s0),
+aims as (select domain, lang, source, tokens as total, cast(floor(greatest(0.0, least(cast(cap as double), max(r) over (partition by domain, lang)))) as bigint) as target from s1),
+split as (select *, case when total > 0 then target // total else 0 end as whole from aims),
+runs as (select doc_id, domain, lang, source, tokens, whole, target - whole * total as rest,
+    sum(tokens) over (partition by domain, lang, source order by md5('20:' || whole || ':' || coalesce(cast(doc_id as varchar), 'null'))) as run
+  from docs join split using (domain, lang, source))
+select doc_id, domain, lang, source, cast(tokens as bigint) as n_tokens, cast(whole + case when run <= rest then 1 else 0 end as bigint) as copies
+from runs where whole + case when run <= rest then 1 else 0 end > 0
+"""
+
+
 def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_transducer.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
@@ -43,6 +91,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_license_scan": op3_license_scan,
     "op4_wavelet_tokens": op4_wavelet_tokens,
     "op6_ngram_join": op6_ngram_join,
+    "op8_mixing": op8_mixing,
     "op9_piece_transducer": op9_piece_transducer,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op8_mixing": OP8_SQL,
+}
