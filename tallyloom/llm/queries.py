@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyloom.llm import license_scan, mixing, ngram_join, piece_transducer, quality_cnn, wavelet_tokens
+from tallyloom.llm import hamming_topk, license_scan, media_store, mixing, ngram_join, piece_transducer, quality_cnn, wavelet_tokens
 from tallyloom.llm.common import table
 
 
@@ -18,6 +18,21 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hamming_topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP1_SQL = """
+with codes as (select distinct vec_id, list_transform(embedding, lambda x: case when x > 0 then 1 else 0 end) as bits from embeddings
+    where vec_id is not null and len(embedding) > 0),
+pairs as (select q.vec_id as query_id, v.vec_id,
+    min(list_sum(list_transform(list_zip(q.bits, v.bits), lambda z: case when z[1] <> z[2] then 1 else 0 end))) as distance
+  from codes q join codes v on q.vec_id % 20 = 0 and q.vec_id <> v.vec_id and len(q.bits) = len(v.bits) group by all),
+ranked as (select query_id, row_number() over (partition by query_id order by distance, vec_id) as rank, vec_id, distance from pairs)
+select query_id, cast(rank as bigint) as rank, vec_id, cast(distance as bigint) as distance from ranked where rank <= 10
+"""
+
+
 def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_cnn.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +46,10 @@ def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet_tokens.read_back(wavelet_tokens.write_shards(docs, vocabulary("byte_bpe_50k.json")))
 
 
+def op5_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_store.describe(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
@@ -87,13 +106,16 @@ def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hamming_topk": op1_hamming_topk,
     "op2_quality_cnn": op2_quality_cnn,
     "op3_license_scan": op3_license_scan,
     "op4_wavelet_tokens": op4_wavelet_tokens,
+    "op5_media_store": op5_media_store,
     "op6_ngram_join": op6_ngram_join,
     "op8_mixing": op8_mixing,
     "op9_piece_transducer": op9_piece_transducer,
 }
 ORACLES: dict[str, str] = {
+    "op1_hamming_topk": OP1_SQL,
     "op8_mixing": OP8_SQL,
 }
