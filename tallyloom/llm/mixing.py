@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import stored
 
 DIGITS = 3
+OWN = "__mix_"  # before the names of added columns
 BROADCAST_LEAVES = 100_000
 
 
@@ -91,12 +92,17 @@ def mix(
     docs: DataFrame, levels: Mapping[str, Column], weights: Mapping[str, Mapping[str, int]], *,
     tokens: Column | None = None, share: tuple[int, int] = (1, 2), epochs: int = 2, seed: int = 1,
 ) -> DataFrame:
-    """The chosen documents with all their columns, and _tokens, _copies (how often each comes) and _<level>."""
-    named = {f"_{k}": F.coalesce(c.cast("string"), F.lit("")) for k, c in levels.items()}
+    """The chosen documents with all their columns, and, with OWN before, tokens, copies (how often each comes) and the levels."""
+    named = {f"{OWN}{k}": F.coalesce(c.cast("string"), F.lit("")) for k, c in levels.items()}
     count = words(F.coalesce(F.col("text"), F.lit(""))) if tokens is None else tokens
-    own = docs.withColumns(named | {"_tokens": F.coalesce(count, F.lit(0)).cast("long")})
-    slim = own.select(F.col("doc_id"), *named, F.col("_tokens").alias("tokens"))
-    leaves = stored(plan(slim, list(named), {f"_{k}": v for k, v in weights.items()}, share, epochs, seed), "plan")
-    aims = leaves.select(*named, F.col("whole").alias("_whole"), F.col("cut").alias("_cut"))
-    once_more = (_order_key(seed, F.col("_whole")) <= F.col("_cut")).cast("long")
-    return joined(own, aims, list(named)).withColumn("_copies", F.col("_whole") + once_more).filter("_copies > 0").drop("_whole", "_cut")
+    own = docs.withColumns(named | {f"{OWN}tokens": F.coalesce(count, F.lit(0)).cast("long")})
+    slim = own.select(F.col("doc_id"), *named, F.col(OWN + "tokens").alias("tokens"))
+    leaves = stored(plan(slim, list(named), {f"{OWN}{k}": v for k, v in weights.items()}, share, epochs, seed), "plan")
+    aims = leaves.select(*named, F.col("whole").alias(OWN + "whole"), F.col("cut").alias(OWN + "cut"))
+    once_more = (_order_key(seed, F.col(OWN + "whole")) <= F.col(OWN + "cut")).cast("long")
+    return joined(own, aims, list(named)).withColumn(OWN + "copies", F.col(OWN + "whole") + once_more).filter(F.col(OWN + "copies") > 0).drop(OWN + "whole", OWN + "cut")
+
+
+def repeated(mixed: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """A row for each copy."""
+    return mixed.withColumn(OWN + "copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col(OWN + "copies")))).select(*columns)

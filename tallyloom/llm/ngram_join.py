@@ -189,14 +189,23 @@ def _possible(a: str, b: str, percent: int) -> str:
     )
 
 
-def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The texts of documents in ``ids(id)``, and of a few others that a bitmap of fixed size lets through."""
+def _mark(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """Adds _in: whether a row's doc_id may be in ``ids(id)``.
+
+    False is certain; the ids are a bitmap of fixed size, so some others are let through.
+    """
     place = lambda c: F.pmod(F.xxhash64(c), F.lit(MEMBER_BITS))
-    maps = ids.select(place("id").alias("p")).groupBy(F.expr("p div 32768").alias("bucket")).agg(F.expr("bitmap_construct_agg(p % 32768)").alias("bits"))
-    at = F.expr("cast(p % 32768 as int)")
-    byte = F.conv(F.hex(F.substring("bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = _texts(docs).withColumn("p", place("doc_id")).withColumn("bucket", F.expr("p div 32768")).join(F.broadcast(maps), "bucket")
-    return held.filter(F.getbit(byte, F.expr("cast(p % 8 as int)")) == 1).select("doc_id", "text")
+    maps = ids.select(place("id").alias("_p")).groupBy(F.expr("_p div 32768").alias("_bucket")).agg(F.expr("bitmap_construct_agg(_p % 32768)").alias("_bits"))
+    at = F.expr("cast(_p % 32768 as int)")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("_p", place(F.col("doc_id").cast("long"))).withColumn("_bucket", F.expr("_p div 32768")).join(F.broadcast(maps), "_bucket", "left")
+    found = F.coalesce(F.getbit(byte, F.expr("cast(_p % 8 as int)")) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
+    return held.withColumn("_in", found).select(*rows.columns, "_in")
+
+
+def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The texts of documents in ``ids(id)``, and of a few others."""
+    return _mark(_texts(docs), ids).filter("_in").select("doc_id", "text")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -258,3 +267,20 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     ids = sets.join(stored(groups, "groups"), "node", "left")
     own = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return ids.select("doc_id", "n_shingles", own.alias("component_id"))
+
+
+def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
+    """The documents, with all their columns, without those that link with a smaller doc_id, and without repeats of an id.
+
+    Rows without a doc_id or without shingles stay.  Only rows that a bitmap can't clear are shuffled.
+    """
+    found = stored(join(docs, width, percent).filter("doc_id is not null and n_shingles > 0"), "joined")
+    state = found.groupBy("doc_id").agg(F.min("component_id").alias("_group"), F.count("*").alias("_rows"))
+    doubtful = stored(state.filter("_group <> doc_id or _rows > 1"), "doubtful")
+    marked = _mark(docs, doubtful.select(F.col("doc_id").alias("id")))
+    clear, rest = marked.filter("not _in").select(*docs.columns), marked.filter("_in")
+    gone = doubtful.select(F.col("doc_id").alias("_id"), "_group")
+    rest = rest.withColumn("_id", F.col("doc_id").cast("long")).join(gone, "_id", "left")
+    order = F.row_number().over(Window.partitionBy("_id").orderBy(F.col("text").desc_nulls_last()))
+    rest = rest.withColumn("_r", order).filter("_group is null or (_group = _id and _r = 1)")
+    return clear.unionByName(rest.select(*docs.columns))

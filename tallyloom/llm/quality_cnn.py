@@ -168,3 +168,17 @@ def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     held = F.coalesce(fold() == HELD_OUT, F.lit(False))
     scored = score(docs, train(docs, labels))
     return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))
+
+
+def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The documents, with all their columns, that the classifier doesn't reject."""
+    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels))
+    at = docs.columns.index("text")
+
+    def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            good = [model is None or score_text(model, t.as_py() or "") >= THRESHOLD for t in batch.column(at)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm import hamming_topk, license_scan, media_store, mixing, ngram_join, piece_transducer, quality_cnn, wavelet_tokens
+from tallyloom.llm import hamming_topk, license_scan, media_store, mixing, ngram_join, piece_transducer, quality_cnn, tool_calls, warc_derivatives, wavelet_tokens
 from tallyloom.llm.common import table
 
 
@@ -54,6 +54,12 @@ def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
+def op7_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc_derivatives.build(warc_derivatives.responses(table(spark, sf_dir, "pages")))
+    back = warc_derivatives.read_records(index)
+    return back.drop("file", "metadata_offset", "metadata_length", "conversion_offset", "conversion_length").withColumn("text", F.sha2("text", 256)).withColumnRenamed("text", "text_sha256")
+
+
 # The tree of the mix: a source's domain by its number, then language and source; weights by value.
 MIX_WEIGHTS = {"domain": {"crawl": 2, "forum": 3, "library": 5}, "lang": {"en": 4, "de": 2, "fr": 2, "es": 2}}
 MIX_SHARE, MIX_EPOCHS, MIX_SEED = (1, 2), 2, 20
@@ -67,7 +73,7 @@ def mix_levels() -> dict[str, Column]:
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     mixed = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, share=MIX_SHARE, epochs=MIX_EPOCHS, seed=MIX_SEED)
-    return mixed.select("doc_id", F.col("_domain").alias("domain"), F.col("_lang").alias("lang"), F.col("_source").alias("source"), F.col("_tokens").alias("n_tokens"), F.col("_copies").alias("copies"))
+    return mixed.select("doc_id", F.col("__mix_domain").alias("domain"), F.col("__mix_lang").alias("lang"), F.col("__mix_source").alias("source"), F.col("__mix_tokens").alias("n_tokens"), F.col("__mix_copies").alias("copies"))
 
 
 OP8_SQL = """
@@ -105,6 +111,48 @@ def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_transducer.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+TOOLS = {
+    "context": {"text": ("string", True), "turn": ("integer", True)},
+    "reply": {"text": ("string", True), "turn": ("integer", True), "after": ("string", False)},
+}
+
+
+def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each system or user turn is a call, which needs the conversation's first call and the one before it;
+    an assistant's turn is the result of the last call before it."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    is_call = F.col("role").isin("system", "user")
+    name = F.concat(F.lit("c"), F.col("turn").cast("string"))
+    own = F.when(is_call, name)
+    turns = turns.withColumn("call_id", own).withColumn("last", F.last(own, True).over(before)).withColumn("start", F.first(own, True).over(before))
+    arguments = F.map_filter(F.create_map(F.lit("text"), "text", F.lit("turn"), F.col("turn").cast("string"), F.lit("after"), "last"), lambda _, v: v.isNotNull())
+    tool = F.when(F.col("role") == "system", "context").otherwise("reply")
+    calls = turns.filter(is_call).select("conv_id", "call_id", "turn", tool.alias("tool"), arguments.alias("arguments"), F.array_distinct(F.array_compact(F.array("start", "last"))).alias("needs"))
+    results = turns.filter("role = 'assistant'").select("conv_id", F.col("last").alias("call_id"), "turn", "text")
+    return tool_calls.link(calls, results, TOOLS)
+
+
+OP10_SQL = """
+with turns as (select conv_id, turn, role, text, case when role in ('system', 'user') then 'c' || turn end as own from conversations),
+placed as (select *, last_value(own ignore nulls) over w as last, first_value(own ignore nulls) over w as start
+  from turns window w as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)),
+calls as (select *, row_number() over (partition by conv_id order by turn) - 1 as level from placed where own is not null),
+results as (select conv_id, last as own, arg_min(text, turn) as result from placed where role = 'assistant' and last is not null group by all),
+checked as (select c.*, r.result, r.own is not null as linked,
+    list_sort(list_filter([case when text is null then 'text: missing' when length(text) = 0 then 'text: not a string' end,
+      case when role = 'system' and last is not null then 'after: not known' end], lambda x: x is not null)) as errors
+  from calls c left join results r using (conv_id, own))
+select conv_id, own as call_id, turn, case role when 'system' then 'context' else 'reply' end as tool, cast(level as bigint) as level,
+  cast(level + 1 as bigint) as place, case when linked then 'linked' else 'pending' end as status, cast(len(errors) as bigint) as n_errors,
+  '{"arguments":{' || case when last is null then '' else '"after":"' || last || '",' end || case when text is null then '' else '"text":' || to_json(text) || ',' end
+    || '"turn":"' || turn || '"},"call_id":"' || own || '","errors":' || to_json(errors) || ',"level":' || level || ',"needs":'
+    || to_json(list_sort(list_distinct(list_filter([start, last], lambda x: x is not null)))) || ',"result":' || coalesce(to_json(result), 'null')
+    || ',"tool":"' || case role when 'system' then 'context' else 'reply' end || '"}' as json
+from checked
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_topk": op1_hamming_topk,
     "op2_quality_cnn": op2_quality_cnn,
@@ -112,10 +160,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_wavelet_tokens": op4_wavelet_tokens,
     "op5_media_store": op5_media_store,
     "op6_ngram_join": op6_ngram_join,
+    "op7_warc_derivatives": op7_warc_derivatives,
     "op8_mixing": op8_mixing,
     "op9_piece_transducer": op9_piece_transducer,
+    "op10_tool_calls": op10_tool_calls,
 }
 ORACLES: dict[str, str] = {
     "op1_hamming_topk": OP1_SQL,
     "op8_mixing": OP8_SQL,
+    "op10_tool_calls": OP10_SQL,
 }
