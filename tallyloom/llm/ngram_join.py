@@ -3,8 +3,9 @@
 Shingles are ordered from rare to frequent by a count sketch of fixed size.  Two sets with the wanted
 overlap o share their first m common shingles within the first n - o + m of either, for any m up to o.  So
 a set's prefix may be lengthened from one needed match to l, and then pairs must share correspondingly more
-prefix shingles: each set takes the l that its shingles' estimated numbers of holders make cheapest, and a
-pair has to share the smaller of its two sets' l before it is verified on the texts.
+prefix shingles: each set takes the l that its shingles' estimated numbers of holders make cheapest.  A
+pair comes up where its first shared shingle may lie, and has to share as many prefix shingles as the
+smaller of its two sets' l before it is verified on the texts.
 
 Only components are asked for, so sets that share a shingle are not all paired: equal sets are one node;
 each shingle's holders are first verified against the most central of them (the one with the most common
@@ -179,14 +180,25 @@ def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
     return _texts(docs).select("text").mapInArrow(made, PREFIX)
 
 
-def _possible(a: str, b: str, percent: int) -> str:
-    """Whether a shared shingle at these places may be among the first matches of a pair that links."""
-    need = f"(({percent} * ({a}.n + {b}.n) + {99 + percent}) div {100 + percent})"
-    m = f"least({a}.matches, {b}.matches, {need})"
-    return (
-        f"{percent} * greatest({a}.n, {b}.n) <= 100 * least({a}.n, {b}.n)"
-        f" and {a}.pos < {a}.n - {need} + {m} and {b}.pos < {b}.n - {need} + {m}"
-    )
+def _need(percent: int) -> str:
+    """The overlap that sets a and b need."""
+    return f"(({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
+
+
+def _possible(percent: int) -> str:
+    """Whether a shared shingle at these places may be the first that a and b share, if they link."""
+    need = _need(percent)
+    return f"{percent} * greatest(a.n, b.n) <= 100 * least(a.n, b.n) and a.pos <= a.n - {need} and b.pos <= b.n - {need}"
+
+
+def _enough(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(x, y)`` whose prefixes share as many shingles as the smaller of their matches asks for."""
+    need = _need(percent)
+    m = f"least(a.matches, b.matches, {need})"
+    part = lambda s: f"transform(filter({s}.held, h -> h.pos < {s}.n - {need} + {m}), h -> h.token)"
+    a, b = held.alias("a"), held.alias("b")
+    both = pairs.alias("p").join(a, F.expr("p.x = a.id")).join(b, F.expr("p.y = b.id"))
+    return both.filter(F.expr(f"size(array_intersect({part('a')}, {part('b')})) >= {m}")).select("x", "y")
 
 
 def _mark(rows: DataFrame, ids: DataFrame) -> DataFrame:
@@ -245,9 +257,12 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     shared = shared.dropDuplicates(["token", "node"]).join(nodes, "node").select("token", "id", "n", "matches", "pos", "common")
     shared = stored(shared, "shared")
 
-    central = F.first(F.struct("id", "n", "matches", "pos")).over(by_token.orderBy(F.desc("common"), "id"))
-    near = shared.withColumn("a", F.struct("id", "n", "matches", "pos")).withColumn("b", central)
-    near = near.filter("a.id <> b.id").filter(_possible("a", "b", percent)).select(F.col("b.id").alias("x"), F.col("a.id").alias("y")).distinct()
+    held = shared.groupBy("id").agg(F.collect_list(F.struct("pos", "token")).alias("held"), F.first("n").alias("n"), F.first("matches").alias("matches"))
+    held = stored(held, "held")
+
+    central = F.first(F.struct("id", "n", "pos")).over(by_token.orderBy(F.desc("common"), "id"))
+    near = shared.select(F.struct("id", "n", "pos").alias("a"), central.alias("b")).filter("a.id <> b.id").filter(_possible(percent))
+    near = _enough(near.select(F.col("b.id").alias("x"), F.col("a.id").alias("y")).distinct(), held, percent)
     # Documents with one id in several sets are one.
     same = known.join(nodes, "node").groupBy("doc_id").agg(F.min("id").alias("u"), F.max("id").alias("v")).filter("u <> v").select("u", "v")
     first = stored(components(_verified(near, docs, width, percent).unionByName(same)), "components")
@@ -256,10 +271,9 @@ def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFra
     apart = F.min("component").over(by_token) != F.max("component").over(by_token)
     placed = stored(placed.withColumn("apart", apart).filter("apart").drop("apart"), "placed")
     a, b = placed.alias("a"), placed.alias("b")
-    rest = a.join(b, F.expr(f"a.token = b.token and a.component < b.component and {_possible('a', 'b', percent)}"))
-    need = f"least(a.matches, b.matches, ({percent} * (a.n + b.n) + {99 + percent}) div {100 + percent})"
-    rest = rest.groupBy(F.col("a.id").alias("x"), F.col("b.id").alias("y")).agg(F.count("*").alias("found"), F.max(F.expr(need)).alias("need"))
-    late = _verified(rest.filter("found >= need").select("x", "y"), docs, width, percent)
+    rest = a.join(b, F.expr(f"a.token = b.token and a.component < b.component and {_possible(percent)}"))
+    rest = _enough(rest.select(F.col("a.id").alias("x"), F.col("b.id").alias("y")).distinct(), held, percent)
+    late = _verified(rest, docs, width, percent)
 
     edges = first.select(F.col("id").alias("u"), F.col("component").alias("v")).unionByName(late)
     linked = stored(components(edges), "components")
