@@ -37,3 +37,21 @@ def stored(df: DataFrame, label: str) -> DataFrame:
 def text_of(column: str = "text") -> Column:
     """Nulls count as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+MEMBER_BITS = 1 << 23  # of the filter in maybe_in, which is 1 MB when broadcast
+
+
+def maybe_in(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
+    """Adds _in: whether a row's key may be among ``keys(key)``.
+
+    False is certain: the keys are a bitmap of fixed size, in which some others' places are taken too.  So
+    it spares the rows it clears a shuffle, and the rest need an exact test.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MEMBER_BITS))
+    maps = keys.select(place(F.col("key")).alias("_p")).groupBy(F.expr("_p div 32768").alias("_bucket")).agg(F.expr("bitmap_construct_agg(_p % 32768)").alias("_bits"))
+    at = F.expr("cast(_p % 32768 as int)")
+    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    held = rows.withColumn("_key", key).withColumn("_p", place(F.col("_key"))).withColumn("_bucket", F.expr("_p div 32768")).join(F.broadcast(maps), "_bucket", "left")
+    found = F.coalesce(F.getbit(byte, F.expr("cast(_p % 8 as int)")) == 1, F.lit(False)) & F.col("_key").isNotNull()
+    return held.withColumn("_in", found).select(*rows.columns, "_in")

@@ -5,8 +5,9 @@ address is the SHA-256 of the payload; each address is stored once, in a tar sha
 Rows carry digest, shard, offset and length.  Metadata columns come from range reads of each image's first
 bytes; features from range reads of whole images.
 
-Tasks turn texts to images first and leave out those that they have just made, so that a payload with very
-many copies reaches its shard's writer once per task at most.
+Texts that a bitmap of repeated texts clears have no copies, and the task that reads them writes them.  The
+others are turned to images first, each task leaving out those that it has just made, and meet by digest,
+so that a payload with very many copies reaches its shard's writer once per task at most.
 
 Defined results: a null text counts as empty and is stored as one row of padding; null doc_ids and repeated
 rows stay, with equal values for equal texts; an empty table gives an empty result; other columns are
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import shared_dir, stored, text_of
+from tallyloom.llm.common import maybe_in, shared_dir, stored, text_of
 from tallyloom.llm.shared_files import Ranges, new_file
 
 WIDTH = 576
@@ -88,26 +89,26 @@ def from_image(image: bytes) -> bytes:
 
 
 def feature(payload: bytes) -> str:
-    """Height, mean and spread of the samples, distinct samples, and the share of each sixteenth of the range."""
+    """Rows, mean and spread of the samples, distinct samples, and the share of each eighth of the range."""
     samples = np.frombuffer(payload, np.uint8)
-    share = np.bincount(samples >> 4, minlength=16) / len(samples)
-    return f"rows={len(samples) // WIDTH};mean={samples.mean():.4f};std={samples.std():.4f};distinct={len(np.unique(samples))};" + ",".join(f"{x:.4f}" for x in share)
+    share = np.bincount(samples >> 5, minlength=8) / len(samples)
+    return f"rows={len(samples) // WIDTH};mean={samples.mean():.3f};std={samples.std():.3f};distinct={len(np.unique(samples))};" + ",".join(f"{x:.3f}" for x in share)
 
 
 def store(docs: DataFrame) -> DataFrame:
     """Writes the shards; a row (digest, shard, offset, length) per distinct payload."""
     folder = shared_dir(docs.sparkSession, "media")
-    images = pa.schema([("digest", pa.string()), ("image", pa.binary())])
-    places = pa.schema([("digest", pa.string()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
+    images = pa.schema([("digest", pa.binary()), ("image", pa.binary())])
+    places = pa.schema([("digest", pa.binary()), ("shard", pa.string()), ("offset", pa.int64()), ("length", pa.int64())])
 
     def imaged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: OrderedDict[str, None] = OrderedDict()
+        seen: OrderedDict[bytes, None] = OrderedDict()
         for batch in batches:
-            made: list[tuple[str, bytes]] = []
+            made: list[tuple[bytes, bytes]] = []
             size = 0
             for text in batch.column(0):
                 payload = payload_of(text.as_py())
-                digest = hashlib.sha256(payload).hexdigest()
+                digest = hashlib.sha256(payload).digest()
                 if digest in seen:
                     seen.move_to_end(digest)
                     continue
@@ -122,18 +123,18 @@ def store(docs: DataFrame) -> DataFrame:
             if made:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*made), images)], schema=images)
 
-    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def written(batches: Iterator[pa.RecordBatch], kind: str = "shared") -> Iterator[pa.RecordBatch]:
         rows = ((d, i.as_py()) for b in batches for d, i in zip(b.column(0).to_pylist(), b.column(1)))
         part, seq, last = TaskContext.get().partitionId(), 0, None
         row = next(rows, None)
         while row is not None:
-            shard = f"{folder}/part-{part:06d}-{seq:06d}.tar"
+            shard = f"{folder}/{kind}-{part:06d}-{seq:06d}.tar"
             found = []
             with new_file(shard) as sink, tarfile.open(fileobj=sink, mode="w|", format=tarfile.USTAR_FORMAT) as tar:
                 while row is not None and tar.offset < SHARD_BYTES:
                     digest, image = row
                     if digest != last:
-                        entry = tarfile.TarInfo(f"{digest}.png")
+                        entry = tarfile.TarInfo(f"{digest.hex()}.png")
                         entry.size = len(image)
                         found.append((digest, shard, tar.offset + tarfile.BLOCKSIZE, len(image)))
                         tar.addfile(entry, io.BytesIO(image))
@@ -143,9 +144,17 @@ def store(docs: DataFrame) -> DataFrame:
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*found), places)], schema=places)
 
-    made = docs.select(text_of().alias("text")).mapInArrow(imaged, "digest string, image binary")
-    placed = made.repartition("digest").sortWithinPartitions("digest").mapInArrow(written, "digest string, shard string, offset long, length long")
-    return stored(placed, "media-places")
+    def written_at_once(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from written(imaged(batches), "single")
+
+    schema = "digest binary, shard string, offset long, length long"
+    texts = docs.select(text_of().alias("text"))
+    repeated = texts.groupBy(F.xxhash64("text").alias("key")).count().filter("count > 1").select("key")
+    marked = maybe_in(texts, F.xxhash64("text"), stored(repeated, "media-repeated"))
+    single = marked.filter("not _in").select("text").mapInArrow(written_at_once, schema)
+    rest = marked.filter("_in").select("text").mapInArrow(imaged, "digest binary, image binary")
+    rest = rest.repartition("digest").sortWithinPartitions("digest").mapInArrow(written, schema)
+    return stored(single.unionByName(rest), "media-places")
 
 
 class _Files:
@@ -175,40 +184,39 @@ def _per_place(places: DataFrame, kinds: pa.Schema, schema: str, read) -> DataFr
     return places.select("digest", "shard", "offset", "length").repartition(n).mapInArrow(each, schema)
 
 
-def metadata(places: DataFrame) -> DataFrame:
-    """(digest, width, height, bits) from header-only range reads."""
-    kinds = pa.schema([("digest", pa.string()), ("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int64())])
+_HEAD = [("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int64())]
+_BODY = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
+
 
-    def read(files: _Files, digest: str, shard: str, offset: int, length: int) -> tuple:
-        return digest, *image_header(files.read(shard, offset, min(length, HEADER_BYTES)))
+def _header(files: _Files, shard: str, offset: int, length: int) -> tuple:
+    return image_header(files.read(shard, offset, min(length, HEADER_BYTES)))
 
-    return _per_place(places, kinds, "digest string, width long, height long, bits long", read)
+
+def metadata(places: DataFrame) -> DataFrame:
+    """(digest, width, height, bits) from header-only range reads."""
+    return _per_place(places, pa.schema([("digest", pa.binary()), *_HEAD]), "digest binary, width long, height long, bits long", lambda files, digest, *at: (digest, *_header(files, *at)))
 
 
 def contents(places: DataFrame) -> DataFrame:
-    """Digests and features of what is stored."""
-    kinds = pa.schema([
-        ("digest", pa.string()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()),
-        ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()),
-    ])
+    """Metadata from the images' headers, and digests and features from whole images."""
 
-    def read(files: _Files, digest: str, shard: str, offset: int, length: int) -> tuple:
+    def read(files: _Files, digest: bytes, shard: str, offset: int, length: int) -> tuple:
+        head = _header(files, shard, offset, length)
         image = files.read(shard, offset, length)
         payload = from_image(image)
-        return digest, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)
+        return digest, *head, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)
 
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _per_place(places, kinds, schema, read)
+    schema = "digest binary, width long, height long, bits long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return _per_place(places, pa.schema([("digest", pa.binary()), *_HEAD, *_BODY]), schema, read)
 
 
 def addressed(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes and the payload's digest."""
     text = text_of()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), payload_digest(text).alias("digest"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length(text).cast("long").alias("n_bytes"), F.unhex(payload_digest(text)).alias("digest"))
 
 
 def describe(docs: DataFrame) -> DataFrame:
     """Stores all payloads and returns each document's columns from what was stored."""
-    places = store(docs)
-    found = stored(contents(places).join(metadata(places), "digest"), "media-contents")
+    found = stored(contents(store(docs)), "media-contents")
     return addressed(docs).join(found, "digest").drop("digest")

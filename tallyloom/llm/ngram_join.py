@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import stored, text_of
+from tallyloom.llm.common import maybe_in, stored, text_of
 from tallyloom.llm.components import components
 
 WIDTH = 4
@@ -38,7 +38,6 @@ SLOTS = 1 << 20  # the count sketch, of 4 MB when broadcast
 SLICE = 1 << 10
 MOST_MATCHES = 6
 VERIFY_COST = 0.25  # of one shingle, against looking at one holder
-MEMBER_BITS = 1 << 23  # the filter of documents to verify, of 1 MB when broadcast
 CACHED_WORDS = 500_000
 SEEN_SETS = 500_000
 _ROWS = 4096
@@ -201,23 +200,9 @@ def _enough(pairs: DataFrame, held: DataFrame, percent: int) -> DataFrame:
     return both.filter(F.expr(f"size(array_intersect({part('a')}, {part('b')})) >= {m}")).select("x", "y")
 
 
-def _mark(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """Adds _in: whether a row's doc_id may be in ``ids(id)``.
-
-    False is certain; the ids are a bitmap of fixed size, so some others are let through.
-    """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(MEMBER_BITS))
-    maps = ids.select(place("id").alias("_p")).groupBy(F.expr("_p div 32768").alias("_bucket")).agg(F.expr("bitmap_construct_agg(_p % 32768)").alias("_bits"))
-    at = F.expr("cast(_p % 32768 as int)")
-    byte = F.conv(F.hex(F.substring("_bits", F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    held = rows.withColumn("_p", place(F.col("doc_id").cast("long"))).withColumn("_bucket", F.expr("_p div 32768")).join(F.broadcast(maps), "_bucket", "left")
-    found = F.coalesce(F.getbit(byte, F.expr("cast(_p % 8 as int)")) == 1, F.lit(False)) & F.col("doc_id").isNotNull()
-    return held.withColumn("_in", found).select(*rows.columns, "_in")
-
-
 def _texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The texts of documents in ``ids(id)``, and of a few others."""
-    return _mark(_texts(docs), ids).filter("_in").select("doc_id", "text")
+    return maybe_in(_texts(docs), F.col("doc_id"), ids.select(F.col("id").alias("key"))).filter("_in").select("doc_id", "text")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -291,7 +276,7 @@ def keep_one(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> Dat
     found = stored(join(docs, width, percent).filter("doc_id is not null and n_shingles > 0"), "joined")
     state = found.groupBy("doc_id").agg(F.min("component_id").alias("_group"), F.count("*").alias("_rows"))
     doubtful = stored(state.filter("_group <> doc_id or _rows > 1"), "doubtful")
-    marked = _mark(docs, doubtful.select(F.col("doc_id").alias("id")))
+    marked = maybe_in(docs, F.col("doc_id").cast("long"), doubtful.select(F.col("doc_id").alias("key")))
     clear, rest = marked.filter("not _in").select(*docs.columns), marked.filter("_in")
     gone = doubtful.select(F.col("doc_id").alias("_id"), "_group")
     rest = rest.withColumn("_id", F.col("doc_id").cast("long")).join(gone, "_id", "left")
