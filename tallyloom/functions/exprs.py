@@ -154,6 +154,6 @@ def by_map(key: Column, values: dict[str, float], default: float) -> Column:
 def money(x: Column, currency: Column) -> Column:
     """Compact money: tn, bn, m, or whole units."""
     size = F.abs(x)
-    scaled = lambda d, unit: F.concat(F.format_number(x / d, "0.00"), F.lit(unit))
-    body = F.when(size >= 1e12, scaled(1e12, "tn")).when(size >= 1e9, scaled(1e9, "bn")).when(size >= 1e6, scaled(1e6, "m")).otherwise(F.format_number(x, "0"))
+    scaled = lambda d, unit: F.concat(F.format_string("%.2f", x / d), F.lit(unit))
+    body = F.when(size >= 1e12, scaled(1e12, "tn")).when(size >= 1e9, scaled(1e9, "bn")).when(size >= 1e6, scaled(1e6, "m")).otherwise(F.format_string("%.0f", x.cast("double")))
     return F.concat_ws(" ", currency, body)

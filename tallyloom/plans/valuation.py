@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,7 +41,8 @@ def proposals(hist: DataFrame) -> DataFrame:
 def inputs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     hist = history(spark, sf_dir)
     mkt = market(hist)
-    return V.forecast_inputs(hist, V.discount_rates(hist, mkt), proposals(hist), overrides(hist)), hist, mkt
+    rows = V.forecast_inputs(hist, V.discount_rates(hist, mkt), proposals(hist), overrides(hist))
+    return rows.persist(StorageLevel.MEMORY_AND_DISK), hist, mkt  # a row per company, read by each solve
 
 
 RATIOS_SQL = HISTORY_SQL + """,
