@@ -60,7 +60,7 @@ def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A paragraph per company and latest year, made of its figures, some of them wrong."""
     last = H.with_ratios(H.latest(history(spark, sf_dir)))
-    n, money = c("n_lines"), lambda x: F.format_string("$%.2f million", x / 1e6)
+    n, money = c("n_lines"), lambda x: F.format_string("$%.6f million", x / 1e6)
     rev = F.when(n % 10 == 0, c("revenue") * 2).otherwise(c("revenue"))
     text = F.concat_ws(" ", F.lit("Revenue of"), money(rev), F.lit("was reported [1]."), F.format_string("The operating margin was %.1f%%.", F.when(n % 6 == 0, c("operating_margin") * 100 + 9).otherwise(c("operating_margin") * 100)),
         F.when(n % 4 == 0, "Margin falls from 20% to 25% in this case.").otherwise("Margin rises from 20% to 25% in this case."), F.when(n % 5 == 0, "The quarterly figure is annualised here."), F.when(n % 8 == 0, "Management expects growth in FY2000 [7]."),

@@ -215,7 +215,7 @@ def q_competition(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SCENARIO_SQL = INPUTS_SQL + f""",
-spread as (select h.ticker, coalesce(greatest(least(g.s, 0.20), 0.05), 0.125) as gs, coalesce(greatest(least(h.s, 0.12), 0.02), 0.07) as ms, lo, hi
+spread as (select h.ticker, case when g.s is null then 0.125 else greatest(least(g.s, 0.20), 0.05) end as gs, case when h.s is null then 0.07 else greatest(least(h.s, 0.12), 0.02) end as ms, lo, hi
   from (select ticker, case when count(operating_margin) >= 2 then stddev_pop(operating_margin) end as s, min(operating_margin) as lo, max(operating_margin) as hi from ratios group by ticker) h
   left join (select ticker, case when count(*) >= 2 then stddev_pop(growth) end as s from growths group by ticker) g using (ticker)),
 cases0 as (
