@@ -10,6 +10,7 @@ from tallyloom.operators import chat as C
 from tallyloom.operators import documents as D
 from tallyloom.operators import history as H
 from tallyloom.operators import qa as Q
+from tallyloom.operators import sections as S
 from tallyloom.operators import valuation as V
 from tallyloom.plans.registry import query
 from tallyloom.plans.valuation import INPUTS_SQL, fair_sql, inputs
@@ -196,3 +197,59 @@ def q_daily_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When a user's events start if two hours have to lie between them."""
     return L.spaced(_events(spark, sf_dir).select(c("user_id").alias("key"), "event_id", "at"), 7200.0).select("event_id", "starts")
+
+
+@query("q_item_sections", """with l as (select doc_id, i as ordinal, [t[i], 'Item ' || (doc_id % 12 + 1) || '. Own words', 'Notes to the financial statements', t[i]][doc_id % 4 + 1] as line, case when doc_id % 2 = 1 then ['10-K', '10-Q/A'][doc_id % 4 // 2 + 1] end as form
+  from (select doc_id, string_split(text, chr(10)) as t, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where doc_id % 4 in (1, 2)))
+ select doc_id, cast(count(*) as bigint) as n_lines, case when doc_id % 4 = 1 then ['Business','Properties','Legal Proceedings','Mine Safety Disclosures','Market for Common Equity','Selected Financial Data','Management''s Discussion and Analysis','Financial Statements','Changes in and Disagreements with Accountants','Directors and Corporate Governance','Executive Compensation','Security Ownership'][doc_id % 12 + 1] else 'Notes to Financial Statements' end as label from l group by doc_id""")
+def q_item_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose lines are item headings of a filing, or a narrative heading."""
+    docs = table(spark, sf_dir, "documents").filter("doc_id % 4 in (1, 2)")
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "_"), F.when(c("doc_id") % 4 == 1, F.concat(F.lit("Item "), (c("doc_id") % 12 + 1).cast("string"), F.lit(". Own words"))).otherwise("Notes to the financial statements").alias("line"), F.when(c("doc_id") % 4 == 1, "10-K").alias("form"))
+    rows = S.labelled(lines)
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.regexp_replace("section", "^Item [0-9A-C]+ -", "")).alias("label"))
+
+
+@query("q_table_figures", """select o_orderkey, round((1 + (o_orderkey % 2)) / 5.0::double, 6) as ratio, false as looks from orders""")
+def q_table_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as small tables: how many of the cells are figures."""
+    o = table(spark, sf_dir, "orders")
+    second = F.when(c("o_orderkey") % 2 == 1, F.lit("(12)%")).otherwise("n/a")
+    text = F.concat(F.lit("| Item | total | note |\n| --- | --- | --- |\n| "), F.lit("$"), c("o_totalprice").cast("long").cast("string"), F.lit(" | "), second, F.lit(" | |"))
+    return o.select("o_orderkey", F.round(S.numeric_ratio(text), 6).alias("ratio"), S.looks_numeric(text).alias("looks"))
+
+
+@query("q_qa_shares", "with " + _LAST_SQL + " select ticker, n_lines % 3 = 0 as flagged from last where n_lines % 3 = 0")
+def q_qa_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two shares of one named line, apart for every third company."""
+    p = prose(spark, sf_dir)
+    text = F.concat(F.lit("The Data Center line was 60% of revenue. Data Center made "), F.when(c("n_lines") % 3 == 0, "90").otherwise("70"), F.lit("% of total revenue."))
+    found = Q.segment_shares(p.select("ticker", text.alias("text")))
+    return found.select("ticker", (c("check") == "segment shares").alias("flagged"))
+
+
+@query("q_qa_implied", "with " + _LAST_SQL + " select ticker, n_lines % 4 = 0 as flagged from last where n_lines % 4 = 0")
+def q_qa_implied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of what the market implies, right but for every fourth company."""
+    p = prose(spark, sf_dir)
+    levers = p.select("ticker", c("operating_margin").alias("implied_value"), F.lit(True).alias("reachable"))
+    said = c("operating_margin") * 100 + F.when(c("n_lines") % 4 == 0, 8).otherwise(1)
+    claims = p.select("ticker", F.format_string("The market implies a %.2f%% margin here.", said).alias("text"))
+    return Q.market_implied(claims, levers).select("ticker", (c("severity") == "HIGH").alias("flagged"))
+
+
+@query("q_qa_drivers", "with " + _LAST_SQL + " select ticker, n_lines % 5 = 0 as flagged from last where n_lines % 5 = 0")
+def q_qa_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stated margins against the model's, and quarters against claimed growth."""
+    p = prose(spark, sf_dir)
+    said = c("operating_margin") * 100 + F.when(c("n_lines") % 5 == 0, 3).otherwise(0.2)
+    text = p.select("ticker", F.format_string("The operating margin reaches %.2f%% then.", said).alias("text"))
+    drivers = p.select("ticker", F.lit("operating margin").alias("words"), (c("operating_margin") * 100).alias("value"), F.lit(0.8).alias("within"))
+    return Q.driver_numbers(text, drivers).select("ticker", (c("severity") == "CRITICAL").alias("flagged"))
+
+
+@query("q_qa_quarters", "with " + _LAST_SQL + " select ticker, n_lines % 6 = 0 as flagged from last where n_lines % 6 = 0")
+def q_qa_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = prose(spark, sf_dir)
+    rows = p.select("ticker", (c("revenue") * 0.3).alias("quarter"), F.when(c("n_lines") % 6 == 0, 0.5).otherwise(0.2).alias("claimed_growth"), "revenue")
+    return Q.annualisation_arithmetic(rows).select("ticker", (c("check") == "annualisation").alias("flagged"))
