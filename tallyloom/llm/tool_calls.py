@@ -1,7 +1,7 @@
 """Linking of tool calls and results, in DataFrame functions only.
 
 Calls and results are joined by conversation and call id.  Calls are put in a topological order of the calls
-that they depend on: level by level, a call gets its level once all its dependencies have theirs.
+that they depend on: a call's level is the length of the longest chain of needs below it.
 Arguments are checked against the tool's schema, and each linked call is serialised as canonical JSON (keys
 in order, no blanks).
 
@@ -30,27 +30,66 @@ def _first(rows: DataFrame, *order: str) -> DataFrame:
     return rows.withColumn("_r", rank).filter("_r = 1").drop("_r")
 
 
+def _chains(singles: DataFrame) -> DataFrame:
+    """Follows single needs to where they end, by doubling. ``singles``: conv_id, call_id, needs (one a call).
+
+    Gives conv_id, call_id, anchor (a call that isn't in ``singles``) and dist; calls on or behind a cycle of
+    single needs are left out.
+    """
+    key = ["conv_id", "call_id"]
+    inside = singles.select("conv_id", F.col("call_id").alias("anchor"), F.lit(False).alias("ends"))
+    rows = singles.select(*key, F.col("needs").alias("anchor"), F.lit(1).cast("long").alias("dist")).join(inside, ["conv_id", "anchor"], "left")
+    rows = stored(rows.withColumn("ends", F.col("ends").isNull()), "chains")
+    for _ in range(max(1, rows.count()).bit_length() + 1):
+        if rows.filter("not ends").isEmpty():
+            break
+        onward = rows.select("conv_id", F.col("call_id").alias("anchor"), F.col("anchor").alias("next"), F.col("dist").alias("more"), F.col("ends").alias("done"))
+        open_ = rows.filter("not ends").join(onward, ["conv_id", "anchor"])
+        rows = stored(rows.filter("ends").unionByName(open_.select(*key, F.col("next").alias("anchor"), (F.col("dist") + F.col("more")).alias("dist"), F.col("done").alias("ends"))), "chains")
+    return rows.filter("ends").drop("ends")
+
+
 def levels(edges: DataFrame, calls: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level) of calls that are on or behind no cycle; ``edges``: (conv_id, call_id, needs)."""
-    waiting = stored(edges.distinct(), "needs")
+    """(conv_id, call_id, level) of calls that are on or behind no cycle; ``edges``: (conv_id, call_id, needs).
+
+    A need that needs nothing itself says no more than another need does, and is dropped beside one.  Calls
+    with one need then form chains, which are followed by doubling; calls with several are taken in rounds,
+    each once all of its needs have a level.
+    """
     key = ["conv_id", "call_id"]
-    found = stored(calls.select(*key).join(waiting, key, "left_anti").withColumn("level", F.lit(0)), "level")
-    out, level = [found], 0
-    while True:
-        # What has just got its level is struck from the needs; calls that lose their last need come next.
-        done = found.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("met"))
-        marked = stored(waiting.join(done, ["conv_id", "needs"], "left"), "marked")
-        waiting = marked.filter("met is null").drop("met")
-        level += 1
-        freed = marked.groupBy(*key).agg(F.every(F.coalesce("met", F.lit(False))).alias("free")).filter("free")
-        found = stored(freed.select(*key, F.lit(level).alias("level")), "level")
+    edges = edges.distinct()
+    needing = edges.select(*key).distinct()
+    roots = stored(calls.select(*key).join(needing, key, "left_anti"), "roots")
+    at_root = roots.select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("rooted"))
+    inner = F.count(F.when(F.col("rooted").isNull(), 1)).over(Window.partitionBy(*key))
+    marked = edges.join(at_root, ["conv_id", "needs"], "left").withColumn("inner", inner)
+    # Beside an inner need all needs at roots go; of needs at roots alone the least stays.
+    least = F.min("needs").over(Window.partitionBy(*key))
+    kept = marked.withColumn("least", least).filter("(inner > 0 and rooted is null) or (inner = 0 and needs = least)")
+    kept = stored(kept.select(*key, "needs", F.count("*").over(Window.partitionBy(*key)).alias("n")), "needs")
+    chains = stored(_chains(kept.filter("n = 1").select(*key, "needs")), "chained")
+    hop = chains.select("conv_id", F.col("call_id").alias("needs"), "anchor", "dist")
+    single = kept.filter("n = 1").select("conv_id", F.col("call_id").alias("needs"), F.lit(True).alias("single"))
+    joins = kept.filter("n > 1").join(hop, ["conv_id", "needs"], "left").join(single, ["conv_id", "needs"], "left")
+    # A need in a chain without an end is never met: its anchor is null.
+    anchor = F.when(F.col("single").isNull(), F.col("needs")).otherwise(F.col("anchor"))
+    waiting = stored(joins.select(*key, anchor.alias("anchor"), F.coalesce("dist", F.lit(0)).cast("long").alias("dist"), F.lit(None).cast("long").alias("level")), "waiting")
+    found = stored(roots.withColumn("level", F.lit(0).cast("long")), "level")
+    known = [found]
+    while not waiting.isEmpty():
+        met = found.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("now"))
+        waiting = stored(waiting.join(met, ["conv_id", "anchor"], "left").withColumn("level", F.coalesce("level", "now")).drop("now"), "waiting")
+        ready = waiting.groupBy(*key).agg(F.max(F.col("level") + F.col("dist") + 1).alias("level"), F.every(F.col("level").isNotNull()).alias("all")).filter("all")
+        found = stored(ready.select(*key, "level"), "level")
         if found.isEmpty():
             break
-        out.append(found)
-    whole = out[0]
-    for part in out[1:]:
+        known.append(found)
+        waiting = stored(waiting.join(found.select(*key), key, "left_anti"), "waiting")
+    whole = known[0]
+    for part in known[1:]:
         whole = whole.unionByName(part)
-    return whole
+    ends = whole.select("conv_id", F.col("call_id").alias("anchor"), F.col("level").alias("base"))
+    return whole.unionByName(chains.join(ends, ["conv_id", "anchor"]).select(*key, (F.col("base") + F.col("dist")).alias("level")))
 
 
 def argument_errors(schemas: Mapping[str, Schema]) -> Column:

@@ -190,6 +190,29 @@ def test_tool_call_edges(spark):
     assert tool_calls.link(c.limit(0), r, {"t": {}}).count() == 0
 
 
+def test_levels_match_brute_force(spark):
+    rng = random.Random(6)
+    calls, edges = [], []
+    for conv in range(12):
+        n = 25
+        calls += [(conv, f"c{k}") for k in range(n)]
+        for k in range(1, n):
+            edges += [(conv, f"c{k}", f"c{rng.randrange(k)}") for _ in range(rng.choice([0, 1, 1, 1, 2, 3]))]
+        if conv % 3 == 0:
+            edges.append((conv, "c3", "c20"))
+    needs = {}
+    for conv, a, b in edges:
+        needs.setdefault((conv, a), set()).add((conv, b))
+
+    want, changed = {x: 0 for x in calls if x not in needs}, True
+    while changed:
+        fresh = {x: 1 + max(want[y] for y in ys) for x, ys in needs.items() if x not in want and all(y in want for y in ys)}
+        want.update(fresh)
+        changed = bool(fresh)
+    got = tool_calls.levels(spark.createDataFrame(edges, "conv_id long, call_id string, needs string"), spark.createDataFrame(calls, "conv_id long, call_id string"))
+    assert {(r.conv_id, r.call_id): r.level for r in got.collect()} == want
+
+
 def test_pipeline_matches_its_stages(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = corpus_pipeline.quality(spark, docs, sf_dir)
