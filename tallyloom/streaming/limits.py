@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -29,14 +29,21 @@ def accept(times: list[float], kept: list[float], limit: int, window: float) ->
 
 
 def session_limit(events: DataFrame, limit: int, window: float = HOUR) -> DataFrame:
-    """Adds accepted. ``events``: event_id, user_id, action, at (seconds). A key's events are one group."""
+    """Adds accepted. ``events``: event_id, user_id, action, at (seconds).
+
+    After a pause of ``window`` nothing that was accepted counts any more, so a key's events are cut there and
+    decided in groups from pause to pause.
+    """
 
     def decide(f: pd.DataFrame) -> pd.DataFrame:
         f = f.sort_values(["at", "event_id"])
-        return f.assign(accepted=accept(f["at"].tolist(), [], limit, window))
+        return f.assign(accepted=accept(f["at"].tolist(), [], limit, window)).drop(columns="stretch")
 
-    rows = events.select("event_id", "user_id", "action", "at")
-    return rows.groupBy("user_id", "action").applyInPandas(decide, "event_id long, user_id long, action string, at double, accepted boolean")
+    order = Window.partitionBy("user_id", "action").orderBy("at", "event_id")
+    pause = F.coalesce(F.col("at") - F.lag("at").over(order) >= window, F.lit(True)).cast("int")
+    rows = events.select("event_id", "user_id", "action", "at").withColumn("pause", pause)
+    rows = rows.withColumn("stretch", F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("pause")
+    return rows.groupBy("user_id", "action", "stretch").applyInPandas(decide, "event_id long, user_id long, action string, at double, accepted boolean")
 
 
 def daily_limit(events: DataFrame, limit: int, start: float) -> DataFrame:
@@ -44,8 +51,6 @@ def daily_limit(events: DataFrame, limit: int, start: float) -> DataFrame:
 
     Days are cut evenly from the start, by which many days of one action are decided at once.
     """
-    from pyspark.sql import Window
-
     day = F.floor((F.col("at") - start) / DAY)
     place = F.row_number().over(Window.partitionBy("action", "day").orderBy("at", "event_id"))
     return events.withColumn("day", day).withColumn("accepted", place <= limit)
@@ -66,8 +71,6 @@ def session_stream(events: DataFrame, limit: int, window: float = HOUR) -> DataF
 
 def spaced(arrivals: DataFrame, gap: float) -> DataFrame:
     """When calls start that must lie ``gap`` seconds apart, by one running maximum: t_i = max(a_i, t_{i-1} + gap). ``arrivals``: key, event_id, at."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("key").orderBy("at", "event_id")
     place = F.row_number().over(order) - 1
     rows = arrivals.withColumn("k", place).withColumn("slack", F.col("at") - F.col("k") * gap)
