@@ -31,7 +31,7 @@ def q_latest_filed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.yearly(filed_orders(spark, sf_dir), "cik").select("cik", "fiscal_year", "val")
 
 
-_CONCEPT_SQL = """conc as (select c_custkey as cik, l_returnflag as concept, cast(year(o_orderdate) as int) as fiscal_year, sum(cast(l_quantity as bigint)) as val
+_CONCEPT_SQL = """conc as (select c_custkey as cik, l_returnflag as concept, cast(year(o_orderdate) as int) as fiscal_year, cast(sum(cast(l_quantity as bigint)) as bigint) as val
   from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where year(o_orderdate) <= 2000 group by all)"""
 
 
@@ -165,17 +165,17 @@ def q_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_collapse_dates", """with recursive d as (select o_custkey, cast(o_orderdate as date) as d, row_number() over (partition by o_custkey order by cast(o_orderdate as date)) as k from (select distinct o_custkey, cast(o_orderdate as date) as o_orderdate from orders)),
  w as (select o_custkey, d, k, d as kept, true as keep from d where k = 1 union all select d.o_custkey, d.d, d.k, case when d.d - w.kept > 7 then d.d else w.kept end, d.d - w.kept > 7 from w join d on d.o_custkey = w.o_custkey and d.k = w.k + 1)
- select o_custkey, count(*) filter (keep) as n_kept, max(kept) as last_kept from w group by o_custkey""")
+ select o_custkey, count(*) filter (keep) as n_kept, strftime(max(kept), '%Y-%m-%d') as last_kept from w group by o_custkey""")
 def q_collapse_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A customer's order dates, those within a week of the last kept one left out."""
     dates = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set(c("o_orderdate").cast("date")).alias("d"))  # days at most
     kept = I.collapse_dates(c("d"))
-    return dates.select("o_custkey", F.size(kept).cast("long").alias("n_kept"), F.array_max(kept).alias("last_kept"))
+    return dates.select("o_custkey", F.size(kept).cast("long").alias("n_kept"), F.date_format(F.array_max(kept), "yyyy-MM-dd").alias("last_kept"))
 
 
-@query("q_company_tokens", """select s_suppkey, list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(lower(s_name), '([a-z]{3,})', 1), lambda w: w not in ('inc','corp','corporation','ltd','limited','plc','company','the','group','holdings','and')), ['s' || s_suppkey]))) as tokens from supplier""")
+@query("q_company_tokens", """select s_suppkey, array_to_string(list_sort(list_distinct(list_concat(list_filter(regexp_extract_all(lower(s_name), '([a-z]{3,})', 1), lambda w: w not in ('inc','corp','corporation','ltd','limited','plc','company','the','group','holdings','and')), ['s' || s_suppkey]))), ',') as tokens from supplier""")
 def q_company_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select("s_suppkey", I.company_tokens(c("s_name"), F.concat(F.lit("S"), c("s_suppkey").cast("string"), F.lit(".N"))).alias("tokens"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", I.company_tokens(c("s_name"), F.concat(F.lit("S"), c("s_suppkey").cast("string"), F.lit(".N"))).alias("t")).select("s_suppkey", F.concat_ws(",", "t").alias("tokens"))
 
 
 @query("q_match_company")

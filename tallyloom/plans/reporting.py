@@ -57,14 +57,14 @@ def q_segment_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("q_anchored", """with k as (select o_custkey as ticker, o_orderkey as seq, o_orderpriority = '1-URGENT' as e, cast(o_orderdate as date) as d from orders), n as (select *, sum(e::int) over (partition by ticker order by seq) as k from k),
  s as (select o_custkey as ticker, cast(o_orderdate as date) as d, row_number() over (partition by o_custkey order by cast(o_orderdate as date)) as k from (select distinct o_custkey, cast(o_orderdate as date) as o_orderdate from orders where o_orderstatus = 'F'))
- select n.ticker, n.seq, case when n.e then coalesce(s.d, n.d) else n.d end as date from n left join s on n.ticker = s.ticker and n.k = s.k and n.e""")
+ select n.ticker, n.seq, strftime(case when n.e then coalesce(s.d, n.d) else n.d end, '%Y-%m-%d') as date from n left join s on n.ticker = s.ticker and n.k = s.k and n.e""")
 def q_anchored(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Urgent orders as earnings dates, put on the days of the finished ones in order."""
     o = table(spark, sf_dir, "orders")
     title = F.when(c("o_orderpriority") == "1-URGENT", "Earnings call").otherwise("Event")
     catalysts = o.select(c("o_custkey").alias("ticker"), c("o_orderkey").alias("seq"), title.alias("title"), c("o_orderdate").cast("date").alias("date"))
     dates = o.filter("o_orderstatus = 'F'").select(c("o_custkey").alias("ticker"), c("o_orderdate").cast("date").alias("date")).distinct()
-    return R.anchored(catalysts, dates).select("ticker", "seq", "date")
+    return R.anchored(catalysts, dates).select("ticker", "seq", F.date_format("date", "yyyy-MM-dd").alias("date"))
 
 
 @query("q_fiscal_timing", """with t as (select o_orderkey, year(o_orderdate) * 12 + month(o_orderdate) - 1 as m, year(o_orderdate) as fy, o_orderkey % 4 + 1 as q, o_orderkey % 12 + 1 as e from orders), x as (select *, fy * 12 + (e - 1) - 3 * (4 - q) + 1 as expected from t)

@@ -120,11 +120,12 @@ def q_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("q_query_plan", """with q as (select conv_id * 100 + turn as query_id, text || ' in ' || (2018 + turn) || case when turn % 2 = 0 then ' and last year' else ' latest quarter revenue' end as text from conversations where role = 'user')
- select query_id, list_sort(list_distinct(list_concat(list_filter([cast(regexp_extract(text, ' in (\\d{4})', 1) as int)], lambda y: y in (2018, 2019, 2020, 2021)), case when text like '%latest%' then [2021] when text like '%last year%' then [2020, 2021] else [] end))) as years,
- case when text like '%quarter%' then ['quarterly_report'] else cast([] as varchar[]) end as doc_types, text like '% revenue%' as prefer_tables from q""")
+ select query_id, array_to_string(list_sort(list_distinct(list_concat(list_filter([cast(regexp_extract(text, ' in (\\d{4})', 1) as int)], lambda y: y in (2018, 2019, 2020, 2021)), case when text like '%latest%' then [2021] when text like '%last year%' then [2020, 2021] else [] end))), ',') as years,
+ case when text like '%quarter%' then 'quarterly_report' else '' end as doc_types, text like '% revenue%' as prefer_tables from q""")
 def q_query_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions made of chat turns with a year and a hint at their end."""
     turns = table(spark, sf_dir, "conversations").filter("role = 'user'")
     tail = F.when(c("turn") % 2 == 0, " and last year").otherwise(" latest quarter revenue")
     asked = turns.select((c("conv_id") * 100 + c("turn")).alias("query_id"), F.concat("text", F.lit(" in "), (c("turn") + 2018).cast("string"), tail).alias("text"))
-    return S.plan_queries(asked, [2018, 2019, 2020, 2021])
+    plans = S.plan_queries(asked, [2018, 2019, 2020, 2021])
+    return plans.withColumns({"years": F.concat_ws(",", c("years").cast("array<string>")), "doc_types": F.concat_ws(",", "doc_types")})
