@@ -34,8 +34,8 @@ def exact(x, scale: int):
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row per company and fiscal year with the statement lines; some are missing, as in filings.
 
-    The few rows are kept (in memory, else on disk), as most valuations read them several times; lost ones are
-    computed again from the lines.
+    The few rows are dealt by company and kept (in memory, else on disk), as valuations read them several times:
+    what groups, orders or joins them by company then needs no shuffle.  Lost ones are computed again.
     """
     price, net = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount"))
     sums = order_lines(spark, sf_dir).groupBy("ticker", "fiscal_year").agg(
@@ -51,7 +51,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         (qty * 100.0).alias("cash"), F.when(n % 2 != 0, qty * 10.0).alias("short_term_investments"), F.when(n % 3 != 0, gross * 0.1).alias("total_debt"),
         (gross * 0.4).alias("current_assets"), F.when(n % 5 != 0, rev * 0.3).alias("current_liabilities"),
         (qty / 10.0).alias("diluted_shares"), n.alias("n_lines"),
-    ).persist(StorageLevel.MEMORY_AND_DISK)
+    ).repartition("ticker").persist(StorageLevel.MEMORY_AND_DISK)
 
 
 # The same rows in SQL, as common table expressions.
