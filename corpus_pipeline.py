@@ -9,6 +9,7 @@ from tallyloom.llm.common import stored, table
 from tallyloom.llm.queries import MIX_EPOCHS, MIX_SEED, MIX_WEIGHTS, mix_levels, vocabulary
 
 SHARE = (4, 5)
+WORDS, PERCENT = 5, 80  # near duplicates: runs of so many words, and their least Jaccard similarity
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -18,7 +19,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group stays, that of the smallest doc_id."""
-    return ngram_join.keep_one(docs)
+    return ngram_join.keep_one(docs, width=WORDS, percent=PERCENT)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -228,6 +228,27 @@ def test_pipeline_matches_its_stages(spark, sf_dir):
     assert {r.doc_id for r in last.collect()} <= {r.doc_id for r in one.collect()}
 
 
+def test_pipeline_drops_near_copies_of_five_words_and_080(spark):
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(5000)]
+    rows = []
+    for at in range(0, 60, 3):
+        base = rng.sample(words, rng.randint(49, 60))
+        edited = list(base)
+        edited[rng.randrange(10, 40)] = "edited"
+        rows += [(at, " ".join(base)), (at + 1, " ".join(base + rng.sample(words, rng.randint(6, 20)))), (at + 2, " ".join(edited))]
+    sets = {d: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for d, t in rows for w in [t.split()]}
+    top = {d: d for d in sets}
+    for _ in sets:  # until the smallest id has come through any chain
+        for a in sets:
+            for b in sets:
+                if 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    top[a] = top[b] = min(top[a], top[b])
+    want = {d for d in top if top[d] == d}
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert {r.doc_id for r in got.collect()} == want and 20 < len(want) < 60
+
+
 def test_pipeline_edges(spark, sf_dir, edge_docs, empty_docs):
     for docs in (edge_docs, empty_docs):
         for name, stage in corpus_pipeline.STAGES:
