@@ -77,10 +77,22 @@ def compiled(notices: tuple) -> tuple:
     return automaton, patterns
 
 
+def all_matches(pattern, norm: str, a: int, b: int) -> Iterator:
+    """The best match of norm[a:b], then those of the parts before and after it, until no part has one."""
+    parts = [(a, b)]
+    while parts:
+        a, b = parts.pop()
+        m = pattern.search(norm, a, b)
+        if m and m.end() > m.start():
+            yield m
+            parts += [(m.end(), b), (a, m.start())]
+
+
 def fuzzy_spans(norm: str, notices: tuple = NOTICES) -> list[tuple[str, int, int, int, str]]:
     """(label, start, end, edits, found) of verified notices in a normalised text, by place.
 
-    Candidate windows of one notice that overlap are verified as one; matches within a window do not overlap.
+    Candidate windows of one notice that overlap are verified as one; matches within a window do not overlap, and no
+    match is left in the parts between them.
     """
     automaton, patterns = compiled(notices)
     windows: dict[int, list[list[int]]] = {}
@@ -97,7 +109,7 @@ def fuzzy_spans(norm: str, notices: tuple = NOTICES) -> list[tuple[str, int, int
     found = set()
     for k, own in windows.items():
         for a, b in own:
-            for m in patterns[k].finditer(norm, a, b):
+            for m in all_matches(patterns[k], norm, a, b):
                 found.add((notices[k][0], m.start(), m.end(), sum(m.fuzzy_counts), m.group()))
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 

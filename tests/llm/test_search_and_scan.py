@@ -75,6 +75,37 @@ def test_license_spans_match_whole_text_search():
     assert L.fuzzy_spans(" nothing of that kind ") == []
 
 
+def least_edits(notice, text):
+    """Of any part of the text."""
+    row = list(range(len(notice) + 1))
+    best = row[-1]
+    for ch in text:
+        last, row[0] = row[0], 0
+        for i, x in enumerate(notice, 1):
+            last, row[i] = row[i], min(row[i] + 1, row[i - 1] + 1, last + (x != ch))
+        best = min(best, row[-1])
+    return best
+
+
+def test_license_weaker_notices_beside_an_exact_one():
+    text = " gnu generel public license gnu general public license gnu genral public licence "
+    assert [(s[3], s[4].strip()) for s in L.fuzzy_spans(text) if s[0] == "gpl"] == [(1, "gnu generel public license"), (0, "gnu general public license"), (2, "gnu genral public licence")]
+    random.seed(9)
+    for _ in range(60):
+        label, notice, edits = one = random.choice(L.NOTICES)
+        copies = []
+        for _ in range(random.randint(2, 4)):
+            chars = list(notice)
+            for _ in range(random.choice([0, 1, edits])):
+                chars[random.randrange(len(chars))] = "q"
+            copies.append("".join(chars))
+        text = f" a {' '.join(copies)} z "
+        found = L.fuzzy_spans(text, (one,))
+        edges = [0, *(x for s in found for x in s[1:3]), len(text)]
+        assert found and all(x <= y for x, y in zip(edges, edges[1:]))
+        assert all(least_edits(notice, text[x:y]) > edits for x, y in zip(edges[::2], edges[1::2]))
+
+
 def test_license_edges(spark, edge_docs, empty_docs):
     rows = L.scan(edge_docs).collect()
     assert len(rows) == edge_docs.count()
