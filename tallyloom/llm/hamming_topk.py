@@ -110,6 +110,19 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
     left = index.withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
     right = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
 
+    def nearest(tables: MultiIndex, ids: np.ndarray, query_id: int, code: bytes) -> list[tuple[int, int]]:
+        """(distance, id) of the k nearest other ids of a block; ids with several codes widen the search."""
+        asked = k + 1
+        while True:
+            found, dists = tables.search(np.frombuffer(code, np.uint8), asked)
+            best: dict[int, int] = {}
+            for r, d in zip(ids[found].tolist(), dists.tolist()):
+                if r != query_id:
+                    best[r] = min(d, best.get(r, d))
+            if len(best) >= k or len(found) < asked:
+                return sorted((d, v) for v, d in best.items())[:k]
+            asked = max(2 * asked, len(found) + 1)
+
     def searched(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
         out: list[tuple] = []
         if len(own) and len(asked):
@@ -117,9 +130,7 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
             n_bits = int(own["n_bits"].iloc[0])
             tables = MultiIndex(np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1), n_bits)
             for query_id, code in zip(asked["vec_id"], asked["code"]):
-                found, dists = tables.search(np.frombuffer(code, np.uint8), k + 1)
-                near = sorted((int(d), int(ids[r])) for r, d in zip(found, dists) if ids[r] != query_id)[:k]
-                out += [(query_id, v, d) for d, v in near]
+                out += [(query_id, v, d) for d, v in nearest(tables, ids, query_id, code)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "distance"]).astype("int64")
 
     keys = ["n_bits", "queries", "block"]

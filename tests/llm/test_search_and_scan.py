@@ -42,6 +42,25 @@ def test_common_code_keeps_smallest_ids(spark):
     assert [r.vec_id for r in got.filter("query_id = 0").orderBy("rank").collect()] == [1, 2, 3]
 
 
+def test_ids_with_several_codes_leave_room_for_others(spark):
+    rng = np.random.default_rng(3)
+    base = rng.choice([-1.0, 1.0], 24)
+    rows = []
+    for vec_id, copies, flips in ((0, 12, 1), (1, 30, 2), (2, 1, 8), (3, 5, 3), (4, 1, 10), (5, 1, 12), (20, 3, 4)):
+        for _ in range(copies):
+            v = base.copy()
+            v[rng.choice(24, flips, replace=False)] *= -1
+            rows.append((vec_id, v.tolist()))
+    best = {}
+    for q, x in rows:
+        for v, y in rows:
+            if q % 20 == 0 and q != v:
+                best.setdefault(q, {}).setdefault(v, []).append(sum(a != b for a, b in zip(x, y)))
+    want = {(q, r, v, d) for q, found in best.items() for r, (d, v) in enumerate(sorted((min(d), v) for v, d in found.items())[:4], 1)}
+    got = H.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=4)
+    assert {(r.query_id, r.rank, r.vec_id, r.distance) for r in got.collect()} == want
+
+
 def brute_base(text):
     words = regex.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
     at, labels = [], set()
