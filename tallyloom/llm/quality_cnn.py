@@ -11,7 +11,7 @@ covers every document and every byte of it.
 Defined results: a null or empty text is one chunk of padding and gets its own score; null doc_ids are
 scored and count as not held out; repeated rows are scored alike; labels that are null, not 0 or 1, or
 without a document are ignored; where the sample lacks one of the two labels, every score is 1 (nothing is
-rejected for want of evidence).  Other columns of either table are ignored.
+rejected for want of evidence); a sampled doc_id of several texts is fitted on the smallest of them.  Other columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -141,8 +141,9 @@ def sample_of(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     rows = rows.filter("doc_id is not null and quality in (0, 1)").filter(fold() != HELD_OUT)
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).filter(F.octet_length("text") <= SAMPLE_BYTES)
-    got = texts.join(F.broadcast(rows), "doc_id").select("doc_id", "text", "quality").collect()
-    return [(r.text, r.quality) for r in sorted(got, key=lambda r: (r.doc_id, r.text, r.quality))][: 2 * SAMPLE]
+    # A doc_id may be many rows of the documents: one text of each comes to the driver.
+    got = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
+    return [(r.text, r.quality) for r in sorted(got, key=lambda r: (r.doc_id, r.text, r.quality))]
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model | None:

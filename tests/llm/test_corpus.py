@@ -1,4 +1,5 @@
 import random
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -92,6 +93,15 @@ def test_quality_edges(spark, edge_docs, empty_docs, labels):
     assert Q.classify(empty_docs, labels).count() == 0 and Q.keep(edge_docs, labels.limit(0)).count() == 12
 
 
+def test_sample_has_one_text_of_each_label_row(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SAMPLE", 3)
+    ids = [i for i in range(1, 60) if zlib.crc32(str(i).encode()) % Q.FOLD != Q.HELD_OUT][:3]
+    labels = spark.createDataFrame([(i, k % 2) for k, i in enumerate(ids)], "doc_id long, quality int")
+    rows = [(ids[0], f"text {k:02d}") for k in range(40)] + [(ids[1], "second"), (ids[2], "third"), (ids[2], None)]
+    got = Q.sample_of(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert got == [("text 00", 0), ("second", 1), ("", 0)]
+
+
 def test_chunks_cover_the_text():
     for n in (0, 1, 255, 256, 257, 447, 448, 449, 5000):
         text = "".join(chr(97 + k % 26) for k in range(n))
