@@ -32,9 +32,9 @@ from tallyloom.llm.shared_files import Ranges, new_file
 FILE_BYTES = 64 << 20
 DATE = "2026-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|head|noscript|template|nav)\b.*?</\1\s*>")
-_BREAK = re.compile(r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|blockquote|pre)\b|br|hr)[^>]*>")
-_TAG = re.compile(r"<[^<>]*>")
+_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|head|noscript|template)\b.*?</\1\s*>")
+_BREAK = re.compile(r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|blockquote|pre)\b|br|hr)[^>]*>")
+_TAG = re.compile(r"<(?=[A-Za-z/!?])[^<>]*>")
 _TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title>")
 _LANG = re.compile(r"(?i)<html[^>]*\blang=[\"']?([a-z-]+)")
 _LINK = re.compile(r"(?i)<a\b[^>]*\bhref=[\"']?([^\"'\s>]+)")
@@ -69,13 +69,28 @@ def one_line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
 
-def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
+class Headers:
+    """Header lines in their order, repeats included; by name in any case, the first one counts."""
+
+    def __init__(self, lines: list[bytes]):
+        self.pairs = [split_header(x) for x in lines]
+
+    def get(self, name: str, default: str | None = None) -> str | None:
+        return next((v for k, v in self.pairs if k.lower() == name.lower()), default)
+
+    def __getitem__(self, name: str) -> str:
+        if (value := self.get(name)) is None:
+            raise KeyError(name)
+        return value
+
+
+def parse(raw: bytes) -> tuple[Headers, bytes]:
     """(headers, block) of one record; ValueError if it is damaged."""
     head, mark, rest = raw.partition(_END)
     lines = head.split(b"\r\n")
     if not mark or not lines[0].startswith(b"WARC/"):
         raise ValueError("no WARC header")
-    headers = dict(split_header(x) for x in lines[1:])
+    headers = Headers(lines[1:])
     length = headers.get("Content-Length", "")
     if not length.isdigit() or len(rest) < int(length):
         raise ValueError("short block")
@@ -99,7 +114,7 @@ def derivatives(raw: bytes) -> tuple[bytes, bytes | None, dict] | None:
     try:
         headers, block = parse(raw)
     except ValueError as e:
-        headers, block, error = {}, b"", str(e)
+        headers, block, error = Headers([]), b"", str(e)
     else:
         error = None
         if headers.get("WARC-Type") != "response":
@@ -108,7 +123,7 @@ def derivatives(raw: bytes) -> tuple[bytes, bytes | None, dict] | None:
     url = headers.get("WARC-Target-URI", "")
     head, mark, body = block.partition(_END)
     lines = head.split(b"\r\n")
-    http = dict(split_header(x) for x in lines[1:]) if mark else {}
+    http = Headers(lines[1:] if mark else [])
     payload = body if mark else b""
     charset = _CHARSET.search(head)
     page = payload.decode(charset[1].decode() if charset and charset[1].lower() in (b"utf-8", b"latin-1", b"iso-8859-1", b"us-ascii") else "utf-8", "replace")
@@ -118,7 +133,7 @@ def derivatives(raw: bytes) -> tuple[bytes, bytes | None, dict] | None:
     links = _LINK.findall(page)
     kept = headers.get("WARC-Payload-Digest")
     facts = {
-        "envelope": headers, "http": {"status": lines[0].decode("utf-8", "replace") if mark else "", "headers": http},
+        "envelope": headers.pairs, "http": {"status": lines[0].decode("utf-8", "replace") if mark else "", "headers": http.pairs},
         "title": html.unescape(title[1]).strip() if title else "", "lang": lang[1].lower() if lang else "", "links": links,
         "payload-digest": digest(payload), "digest-holds": kept == digest(payload) if kept else None, "error": error,
     }

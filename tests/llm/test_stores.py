@@ -1,5 +1,7 @@
 import hashlib
+import json
 import zlib
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -108,3 +110,42 @@ def test_warc_records(spark):
     assert [r.text for r in got if r.page_id == 2] == [None]
     pages = spark.createDataFrame([(1, None, None, "a"), (1, "u", "", "b")], "page_id long, url string, html string, text string")
     assert W.build(W.responses(pages)).count() == 2 and W.build(W.responses(pages.limit(0))).count() == 0
+
+
+class Visible(HTMLParser):
+    """Visible text by the standard library's parser."""
+
+    HIDDEN, BREAKS = {"script", "style", "head", "noscript", "template"}, set("p div h1 h2 h3 h4 h5 h6 li ul ol tr table article section header footer nav blockquote pre br hr".split())
+
+    def __init__(self, page):
+        super().__init__()
+        self.depth, self.text = 0, ""
+        self.feed(page)
+        self.close()
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag in self.HIDDEN
+        self.text += "\n" if tag in self.BREAKS else ""
+
+    def handle_endtag(self, tag):
+        self.depth -= tag in self.HIDDEN
+        self.text += "\n" if tag in self.BREAKS else ""
+
+    def handle_data(self, data):
+        self.text += "" if self.depth else data
+
+
+def test_warc_text_matches_the_standard_parser(spark, sf_dir):
+    pages = [r.html for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    for page in [*pages, "<body><nav><a href=/>Home</a></nav><p>1 < 2 and 3 > 2</p></body>"]:
+        assert W.plain_text(page).split() == Visible(page).text.split()
+    assert W.plain_text("<nav>Home</nav><p>1 < 2 and 3 > 2</p>") == "Home\n1 < 2 and 3 > 2"
+
+
+def test_warc_headers_repeat_in_any_case():
+    http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n<p>x</p>"
+    raw = W.record([("warc-type", "response"), ("warc-record-id", "<urn:x>"), ("Via", "1"), ("Via", "2")], http).replace(b"Content-Length", b"content-length")
+    meta, conversion, columns = W.derivatives(raw)
+    facts = json.loads(W.parse(meta)[1])
+    assert facts["http"]["headers"] == [["Set-Cookie", "a=1"], ["Set-Cookie", "b=2"]] and columns["refers_to"] == "<urn:x>"
+    assert [v for k, v in facts["envelope"] if k == "Via"] == ["1", "2"] and W.parse(conversion)[1] == b"x"
