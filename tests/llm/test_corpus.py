@@ -177,6 +177,79 @@ def test_unigram_shortest_path_matches_brute_force():
         assert abs(sum(-pieces[i][1] for i in ids) - best("▁" + text.replace(" ", "▁"))) < 1e-9 and own.decode(ids) == text
 
 
+def model_file(tmp_path, name, pieces=None, kind=2, rule=None, **normal):
+    """A model on disk: the public pieces or given ones, with a normalisation of the library's own."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    model = sentencepiece_model_pb2.ModelProto()
+    with open(queries.vocabulary("piece_bpe_32k.model"), "rb") as f:
+        model.ParseFromString(f.read())
+    if pieces:
+        del model.pieces[:]
+        for text, score, k in pieces:
+            model.pieces.add(piece=text, score=score, type=k)
+        model.trainer_spec.vocab_size, model.trainer_spec.model_type = len(pieces), kind
+        model.trainer_spec.byte_fallback = any(k == P.BYTE for *_, k in pieces)
+    if rule:
+        made = sentencepiece_model_pb2.ModelProto()
+        made.ParseFromString(sentencepiece.SentencePieceNormalizer(rule_name=rule).serialized_model_proto())
+        model.normalizer_spec.precompiled_charsmap = made.normalizer_spec.precompiled_charsmap
+    for k, v in normal.items():
+        setattr(model.normalizer_spec, k, v)
+    path = tmp_path / name
+    path.write_bytes(model.SerializeToString())
+    return str(path)
+
+
+PARTS = ["a", "b", "ab", "the", "  ", " ", "▁", "\n", "\t", "é", "e\u0301", "你好", "😀", "ﬁ", "①", "Å", "ｱ", "ＡＢ", "\u00a0", "\u3000", "½", "...", "ing"]
+
+
+def same_as_library(path, texts):
+    import sentencepiece
+
+    library, own = sentencepiece.SentencePieceProcessor(model_file=path), P.transducer(path)
+    together = own.encode_all(texts)
+    for text, ids in zip(texts, together):
+        assert ids.tolist() == library.encode(text), text
+        assert own.decode(ids) == library.decode(ids.tolist())
+
+
+def random_texts(seed, n):
+    rng = random.Random(seed)
+    return ["".join(rng.choices(PARTS, k=rng.randint(0, 14))) for _ in range(n)]
+
+
+@pytest.mark.parametrize("rule", ["nmt_nfkc", "nfkc_cf"])
+def test_character_maps_match_the_library(tmp_path, rule):
+    same_as_library(model_file(tmp_path, "map.model", rule=rule), random_texts(4, 800))
+    same_as_library(model_file(tmp_path, "fold.model", rule=rule, remove_extra_whitespaces=True, add_dummy_prefix=False), random_texts(5, 800))
+
+
+def test_unigram_models_match_the_library(tmp_path):
+    rng = random.Random(3)
+    words = {"▁", "a", "b", "t", "h", "e", "i", "n", "g", "▁a", "▁ab", "ab", "ba", "the", "▁the", "ing", "▁th", "in", "你", "你好", "é", "..."}
+    pieces = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((w, -rng.uniform(1, 9), P.NORMAL) for w in sorted(words))]
+    same_as_library(model_file(tmp_path, "unigram.model", pieces, P.UNIGRAM), random_texts(6, 800))
+    spelled = pieces[:3] + [(f"<0x{b:02X}>", 0.0, P.BYTE) for b in range(256)] + pieces[3:]
+    same_as_library(model_file(tmp_path, "spelled.model", spelled, P.UNIGRAM), random_texts(7, 800))
+
+
+def test_borders_match_merging():
+    own = P.transducer(queries.vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(2)
+    ids = sorted(own.ids.values())
+    pairs = [(rng.choice(ids), rng.choice(ids)) for _ in range(4000)] + [(own.ids["▁" * a], own.ids["▁" * b]) for a in range(1, 9) for b in range(1, 9)]
+    want = [own.merged(own._names[a] + own._names[b]) == [own._names[a], own._names[b]] for a, b in pairs]
+    assert own.apart(*np.array(pairs).T).tolist() == want and 100 < sum(want) < 4000
+
+
+def test_long_and_short_cuts_agree():
+    own = P.transducer(queries.vocabulary("piece_bpe_32k.model"))
+    texts = ["▁" + "".join(random.Random(k).choices("abctheingé你", k=k)) for k in range(1, 120)]
+    assert [np.frombuffer(x, "<u4").tolist() for x in own.shortest_paths(texts)] == [own.shortest_path(t) for t in texts]
+
+
 def test_tool_calls_match_sql(spark, sf_dir, duck):
     names = ["conv_id", "call_id", "turn", "tool", "level", "place", "status", "n_errors", "json"]
     cur = duck.execute(queries.OP10_SQL)
