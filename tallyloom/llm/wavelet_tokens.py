@@ -7,7 +7,8 @@ ends.  From that file alone a reader gets any id (access), the number of an id b
 place of its k-th occurrence (select), and whole ranges.
 
 Defined results: a null text counts as empty and gives only the end id; null doc_ids come first, equal
-doc_ids are ordered by text; an empty table gives an empty result; other columns are ignored.
+doc_ids are ordered by the hash of their text; an empty table gives an empty result; other columns are
+ignored.  Rows of one doc_id, or without one, may be dealt over several partitions.
 """
 
 from __future__ import annotations
@@ -32,76 +33,104 @@ from tallyloom.llm.shared_files import Ranges, new_file
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 BLOCK_BYTES = 1 << 14
-CACHED_WORDS = 1_000_000
+CACHED_WORDS = 1_200_000
 GROUP_CHARS = 1 << 20
 CACHED_LENGTH = 64
 MAGIC = b"WVLTMTX1"
 _HEAD = struct.Struct("<8sQQII")
 _BLOCK = np.dtype([("offset", "<u8"), ("length", "<u4"), ("ones", "<u8")])
 _LONE_SPACE = re.compile(r"(?<=\S) (?=\S)")
+_LETTERS = "".join(c for c in map(chr, range(256)) if c.isalpha() and c not in "ªµº")
+_WORD = re.compile(f"[{_LETTERS}]+")
+_MARKS = ".,;:!?"
+_ODD_BLANK = re.compile(r"[^\S \n]|[\x1c-\x1f]")
 
 
 class Encoder:
     """Encodes texts with the tokenizers library, remembering the ids of words.
 
     A byte-level pre-tokenizer never joins a character with a blank after it, so a text may be cut before
-    a single space, and around a single line feed, between two other characters; equal pieces then have
-    equal ids.  Texts with other runs of blanks are cut only at such single spaces.  What is remembered is
-    bounded, and long pieces are not kept.
+    a single space, and around one or two line feeds, between two other characters; equal pieces then have
+    equal ids.  Texts with other runs of blanks are cut only at such single spaces.  Words of letters alone
+    are given to the library as the bytes' signs that its pre-tokenizer would make of them, with marks after
+    them apart.  What is remembered is bounded: words that come when it is full are encoded again.
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._first: dict[str, bytes] = {}
-        self._after: dict[str, bytes] = {}
+        self._bare = Tokenizer.from_file(path)  # takes signs of bytes, parted by blanks
+        self._bare.pre_tokenizer = pre_tokenizers.CharDelimiterSplit(" ")
+        signs = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self._signs = {ord(c): signs(c)[0][0] for c in _LETTERS}
+        self._space = signs(" ")[0][0]
         size = self._tokenizer.get_vocab_size()
-        self._spaced = np.array([(self._tokenizer.id_to_token(i) or "").startswith("\u0120") for i in range(size)])
+        self._spaced = np.array([(self._tokenizer.id_to_token(i) or "").startswith(self._space) for i in range(size)])
         self._feed = self._ids(["\n"])[0]
+        self._known: dict[str, bytes] = {}  # by word after a space; one that begins with a line feed stands after it instead
 
     def _ids(self, pieces: list[str]) -> list[bytes]:
         return [array("I", e.ids).tobytes() for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _ids_after_space(self, words: list[str]) -> list[bytes]:
-        """Words without a space, each after one: encoded as one text, and parted at the ids that start with a space."""
+    def _parted(self, words: list[str], joined: str, tokenizer) -> list[bytes]:
+        """Ids of words that were joined to one text, parted at the ids that start with a space."""
         if not words:
             return []
-        ids = np.array(self._tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids, "<u4")
+        ids = np.array(tokenizer.encode_batch_fast([joined], add_special_tokens=False)[0].ids, "<u4")
         starts = np.flatnonzero(self._spaced[ids])
         if len(starts) != len(words):
             return self._ids([" " + w for w in words])
         raw, cuts = ids.tobytes(), (4 * starts).tolist()
         return [raw[a:b] for a, b in zip(cuts, [*cuts[1:], len(raw)])]
 
-    def _forget(self, known: dict[str, bytes], words: set[str]) -> None:
-        if len(known) > CACHED_WORDS:
-            known.clear()
+    def _learn(self, words: set[str]) -> None:
+        """Adds the ids of new words."""
+        known, marked, bare, other, fed = self._known, {}, set(), [], []
         for w in words:
-            if len(w) > CACHED_LENGTH:
-                known.pop(w, None)
+            if w.isalpha():
+                (bare.add if w.isascii() or _WORD.fullmatch(w) else other.append)(w)
+            elif w[0] == "\n":
+                fed.append(w)
+            elif w[-1] in _MARKS and _WORD.fullmatch(stem := w.rstrip(_MARKS)):
+                marked[w] = stem
+            else:
+                other.append(w)
+        bare.update(stem for stem in marked.values() if stem not in known)
+        stems = list(bare)
+        signs = [w if w.isascii() else w.translate(self._signs) for w in stems]
+        found = dict(zip(stems, self._parted(stems, self._space + f" {self._space}".join(signs), self._bare)))
+        tails = {w[len(stem) :] for w, stem in marked.items()}
+        ends = dict(zip(tails, self._ids(list(tails))))
+        for w, stem in marked.items():
+            known[w] = (known.get(stem) or found[stem]) + ends[w[len(stem) :]]
+        known.update((w, found[w]) for w in bare & words)
+        known.update(zip(other, self._parted(other, " " + " ".join(other), self._tokenizer)))
+        known.update((w, self._feed + ids) for w, ids in zip(fed, self._ids([w[1:] for w in fed])))
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        cut = [[line.split(" ") for line in text.split("\n")] for text in texts]
-        words = set().union(*(line for lines in cut for line in lines))
-        edged = {w for w in words if w not in self._after and (not w or w[0].isspace() or w[-1].isspace())}
-        whole = {}
-        if edged:
-            for k, lines in enumerate(cut):
-                if not all(map(edged.isdisjoint, lines)):
-                    whole[k], cut[k] = _LONE_SPACE.split(texts[k]), []
-        heads = [[line.pop(0) for line in lines] for lines in cut]
-        first = {w for w in set().union(*heads) if w not in self._first}
-        after = {w for w in set().union(*(line for lines in cut for line in lines)) if w not in self._after}
-        self._first.update(zip(first, self._ids(list(first))))
-        self._after.update(zip(after, self._ids_after_space(list(after))))
-        f, g = self._first.__getitem__, self._after.__getitem__
-        out = [self._feed.join([f(h) + b"".join(map(g, line)) for h, line in zip(own, lines)]) for own, lines in zip(heads, cut)]
-        for k, (head, *rest) in whole.items():
+        cut = [text.replace("\n", " \n").split(" ") for text in texts]
+        for line in cut:
+            line[0] = "\n" + line[0]  # so nothing stands before it; its feed's id is taken off again
+        new = set().union(*cut).difference(self._known)
+        blank = {""} & new
+        if _ODD_BLANK.search("".join(new)):
+            blank |= {w for w in new if w != "\n" and (w[-1:].isspace() or w[:1] != "\n" and w[:1].isspace() or w[1:2].isspace())}
+        apart = {}
+        for k, text in enumerate(texts):
+            if "\n\n" in text and ("\n\n\n" in text or "\n\n " in text or text.endswith("\n\n")) or text[:1].isspace() or blank and not blank.isdisjoint(cut[k]):
+                apart[k], cut[k] = _LONE_SPACE.split(text), []
+        new -= blank
+        self._learn(new)
+        get, step = self._known.__getitem__, len(self._feed)
+        out = [b"".join(map(get, line))[step:] for line in cut]
+        for k, (head, *rest) in apart.items():
             out[k] = b"".join(self._ids([head, *(" " + w for w in rest)]))
-        self._forget(self._first, first)
-        self._forget(self._after, after)
+        full = len(self._known) > CACHED_WORDS
+        for w in new:
+            if full or len(w) > CACHED_LENGTH:
+                del self._known[w]
         return out
 
 
@@ -121,7 +150,7 @@ def to_file(ids: np.ndarray, docs: list[tuple[int | None, int]]) -> Iterator[byt
     squeeze = zstandard.ZstdCompressor(level=1)
     zeros, blocks, data, offset = np.zeros(bits, "<u8"), [], [], 0
     for level in range(bits):
-        ones = (values >> (bits - 1 - level) & 1).astype(bool)
+        ones = (values & values.dtype.type(1 << (bits - 1 - level))).astype(bool)
         plane = np.packbits(ones)
         before = 0
         for at in range(0, len(plane), BLOCK_BYTES):
@@ -132,7 +161,7 @@ def to_file(ids: np.ndarray, docs: list[tuple[int | None, int]]) -> Iterator[byt
             data.append(packed)
             offset += len(packed)
         zeros[level] = len(values) - before
-        values = np.concatenate([values[~ones], values[ones]])
+        values = np.concatenate([values.take(np.flatnonzero(~ones)), values.take(np.flatnonzero(ones))])
     names = np.array([-1 if d is None else d for d, _ in docs], "<i8")
     known = np.array([d is not None for d, _ in docs], "u1")
     ends = np.cumsum([n for _, n in docs], dtype="<i8")
@@ -277,17 +306,20 @@ def write_shards(docs: DataFrame, tokenizer: str, shard_tokens: int = SHARD_TOKE
     spark = docs.sparkSession
     folder = shared_dir(spark, "wavelet")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    order = ["doc_id", "_hash", "_from"]  # the last parts equal rows
+    rows = rows.withColumn("_hash", F.xxhash64("text")).withColumn("_from", F.spark_partition_id())
+    ordered = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).select("doc_id", "text")
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, attempt = TaskContext.get().partitionId(), 0, TaskContext.get().taskAttemptId()
         code, end = encoder(tokenizer), np.array([END_ID], "<u4").tobytes()
         own: list[tuple[int | None, int]] = []
         held: list[bytes] = []
         total = 0
 
         def close() -> pa.RecordBatch:
-            path = f"{folder}/part-{part:06d}-{seq:06d}.wm"
+            path = f"{folder}/part-{part:06d}-{seq:06d}-{attempt}.wm"  # only files of the attempt that counts get into the manifest
             with new_file(path) as sink:
                 for piece in to_file(np.frombuffer(b"".join(held), "<u4"), own):
                     sink.write(piece)
