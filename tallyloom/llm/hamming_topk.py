@@ -1,14 +1,17 @@
 """Exact top-k search over binary codes by incremental multi-index hashing.
 
-A vector's code has a bit per dimension: 1 where it is above 0.  Codes are cut into segments; an index has a
-table from each segment's value to the codes with it.  For a query, all values within a segment radius are
-looked up, one segment and one radius after the other.  Once segments 0..a were searched to radius s and the
-others to s - 1, every code within distance m * s + a (m segments) has been found and verified, so the
-search ends when the k-th smallest verified distance is no larger.
-
-Rows are dealt to index blocks and queries to query blocks, of fixed sizes; each pair of blocks is searched
-as one group, and the blocks' results are merged by a window that keeps k.  Codes with many rows keep the
-k + 1 smallest ids, which is all that a result can show.
+A vector's code has a bit per dimension: 1 where it is above 0.  Codes are cut into m segments of about
+log2(rows) bits, and one index over all rows leads from (segment, its value) to the codes with it.  A query
+looks up all values at a radius from its own, in every segment; then the radius grows by one.  Once radius r
+is done, every code within distance m * (r + 1) - 1 has been found and verified, so a query is finished when
+its k-th smallest verified distance is no larger.  Each radius is one Spark job over the queries that are
+still open, and none of their later candidates beyond the k-th distance so far is kept.
+
+The index is dealt to cells by segment and the value's high bits, some CELL_ROWS rows each; a query goes to
+the cells whose high bits lie within the radius, and looks up low bits there.  A cell with more rows or
+queries (a common segment value) is split by hashes of both.  Rows stream through a cell after its index,
+so no task holds more than one split of a cell and a batch of queries.  Codes with many rows keep the k + 1
+smallest ids, which is all that a result can show.
 
 Defined results: neighbours are other rows, by distance and then id; rows with a null or empty vector, a
 null element, or a null id are neither queries nor neighbours; NaN gives bit 0; rows that repeat an id count
@@ -18,123 +21,221 @@ rows give fewer neighbours.  Other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import stored
 
 K = 10
-SEGMENT_BITS = 16
-INDEX_BLOCK = 1 << 12
-QUERY_BLOCK = 1 << 10
 QUERY_EVERY = 20
-
+LEAST_BITS, MOST_BITS = 6, 30  # of a segment
+CELL_ROWS = 1 << 13
+CELL_QUERIES = 1 << 16
+CHUNK = 1 << 20  # look-ups or candidates at once
 
 def codes(vectors: DataFrame) -> DataFrame:
-    """(vec_id, n_bits, code): the bits, packed from the first dimension on."""
+    """(vec_id, n_bits, code): the bits, packed from the first dimension on, to whole 64-bit words."""
 
     def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             bits = [np.packbits(np.asarray(v, np.float32) > 0).tobytes() for v in frame["embedding"]]
-            yield pd.DataFrame({"vec_id": frame["vec_id"], "n_bits": frame["embedding"].map(len), "code": bits})
+            yield pd.DataFrame({"vec_id": frame["vec_id"], "n_bits": frame["embedding"].map(len), "code": [b + bytes(-len(b) % 8) for b in bits]})
 
     whole = "vec_id is not null and size(embedding) > 0 and not exists(embedding, x -> x is null)"
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<float>").alias("embedding")).filter(whole)
     return rows.mapInPandas(coded, "vec_id long, n_bits int, code binary")
 
 
-class MultiIndex:
-    """Tables over one block of codes (rows of equal length, as bytes)."""
-
-    def __init__(self, packed: np.ndarray, n_bits: int):
-        self.packed, self.n_bits = packed, n_bits
-        self.bounds = [(a, min(a + SEGMENT_BITS, n_bits)) for a in range(0, n_bits, SEGMENT_BITS)]
-        self.tables = []
-        for values, (a, b) in zip(self._segments(packed), self.bounds):
-            starts = np.zeros((1 << (b - a)) + 1, np.int64)
-            np.cumsum(np.bincount(values, minlength=1 << (b - a)), out=starts[1:])
-            self.tables.append((np.argsort(values, kind="stable"), starts))
-        self._masks: dict[tuple[int, int], np.ndarray] = {}
-
-    def _segments(self, packed: np.ndarray) -> list[np.ndarray]:
-        bits = np.unpackbits(packed, axis=1)[:, : self.n_bits].astype(np.int64)
-        return [bits[:, a:b] @ (1 << np.arange(b - a)) for a, b in self.bounds]
-
-    def _at(self, width: int, radius: int) -> np.ndarray:
-        """All differences of a segment's values at a distance."""
-        if (width, radius) not in self._masks:
-            self._masks[width, radius] = np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
-        return self._masks[width, radius]
-
-    def search(self, query: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, distances) of all codes found up to the distance of the k-th, ties included."""
-        values = [int(v[0]) for v in self._segments(query[None, :])]
-        seen = np.zeros(len(self.packed), bool)
-        rows, dists = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for radius in range(SEGMENT_BITS + 1):
-            for part, ((a, b), (order, starts)) in enumerate(zip(self.bounds, self.tables)):
-                if radius <= b - a:
-                    probes = values[part] ^ self._at(b - a, radius)
-                    probes = probes[starts[probes] < starts[probes + 1]]
-                    hits = np.concatenate([np.zeros(0, np.int64), *(order[starts[p] : starts[p + 1]] for p in probes)])
-                    hits = hits[~seen[hits]]
-                    seen[hits] = True
-                    rows = np.concatenate([rows, hits])
-                    dists = np.concatenate([dists, np.bitwise_count(self.packed[hits] ^ query).sum(axis=1, dtype=np.int64)])
-                covered = len(self.bounds) * radius + part
-                if len(dists) >= k and np.partition(dists, k - 1)[k - 1] <= covered:
-                    near = dists <= np.partition(dists, k - 1)[k - 1]
-                    return rows[near], dists[near]
-        return rows, dists
-
-
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Deals rows to blocks of about ``size`` by a hash of their id."""
-    n = max(1, -(-rows.count() // size))
-    return rows.withColumn(name, F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int"))
+def bounds(n_bits: int, width: int) -> list[tuple[int, int]]:
+    """The segments' first bits and ends."""
+    m = math.ceil(n_bits / width)
+    return [(k * n_bits // m, (k + 1) * n_bits // m) for k in range(m)]
+
+
+def _values(packed: np.ndarray, n_bits: int, width: int) -> np.ndarray:
+    """A column of values for each segment."""
+    bits = np.unpackbits(packed, axis=1)[:, :n_bits].astype(np.int64)
+    return np.stack([bits[:, a:b] @ (1 << np.arange(b - a - 1, -1, -1)) for a, b in bounds(n_bits, width)], axis=1)
+
+
+@lru_cache(maxsize=1024)
+def _masks(width: int, radius: int) -> np.ndarray:
+    """All differences of a value's bits at a distance."""
+    return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
+
+
+def _segments(rows: DataFrame, width: int) -> DataFrame:
+    """Adds a row for each segment: its number, its width and its value."""
+    names = rows.columns
+    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", segment int, width int, value long"
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = batch.column(names.index("n_bits")).to_numpy()
+            for n_bits in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == n_bits)
+                own = batch.take(pa.array(at))
+                packed = np.frombuffer(b"".join(own.column(names.index("code")).to_pylist()), np.uint8).reshape(len(at), -1)
+                values = _values(packed, n_bits, width)
+                for k, (a, b) in enumerate(bounds(n_bits, width)):
+                    more = [pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), b - a, np.int32)), pa.array(values[:, k])]
+                    yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*names, "segment", "width", "value"])
+
+    return rows.mapInArrow(cut, kinds)
+
+
+class Cell:
+    """One split of an index cell: codes by the low bits of their segment."""
+
+    def __init__(self, ids: np.ndarray, values: np.ndarray, words: np.ndarray, low: int):
+        order = np.argsort(values & (1 << low) - 1, kind="stable")
+        self.ids, self.words, self.low = ids[order], words[order], low
+        self.keys = (values & (1 << low) - 1)[order]
+
+    def _ranges(self, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(self.keys, probes, "left"), np.searchsorted(self.keys, probes, "right")
+
+    def search(self, own: np.ndarray, values: np.ndarray, words: np.ndarray, limit: np.ndarray, radius: int, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(query, row id, distance): each query's k nearest other ids among the codes at a radius of its low bits,
+        or of all where the radius is negative."""
+        out = [(np.zeros(0, np.int64),) * 3]
+        masks = _masks(self.low, radius) if radius >= 0 else np.zeros(1, np.int64)
+        step = max(1, CHUNK // max(1, len(masks)))
+        for at in range(0, len(own), step):
+            probes = (values[at : at + step, None] & (1 << self.low) - 1) ^ masks[None, :]
+            begin, end = self._ranges(probes) if radius >= 0 else (np.zeros_like(probes), np.full_like(probes, len(self.ids)))
+            many = (end - begin).sum(axis=1)
+            parts = np.flatnonzero(np.diff(np.cumsum(many) // CHUNK, prepend=-1, append=-1))  # not many more than CHUNK candidates at once
+            for a, b in zip(parts, [*parts[1:], len(many)]):
+                out.append(self._nearest(at + a, begin[a:b], end[a:b], own, words, limit, k))
+        return tuple(np.concatenate(x) for x in zip(*out))
+
+    def _nearest(self, first: int, begin: np.ndarray, end: np.ndarray, own: np.ndarray, words: np.ndarray, limit: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        some = begin < end
+        counts = (end - begin)[some]
+        query = np.repeat(np.nonzero(some)[0] + first, counts)
+        row = np.arange(len(query)) + np.repeat(begin[some] - (np.cumsum(counts) - counts), counts)
+        dist = sum(np.bitwise_count(self.words[row, w] ^ words[query, w]).astype(np.int64) for w in range(words.shape[1]))
+        ids = self.ids[row]
+        good = np.flatnonzero((dist <= limit[query]) & (ids != own[query]))
+        query, ids, dist = query[good], ids[good], dist[good]
+        order = np.lexsort((dist, ids, query))  # an id's nearest code counts
+        query, ids, dist = query[order], ids[order], dist[order]
+        fresh = np.ones(len(query), bool)
+        fresh[1:] = (query[1:] != query[:-1]) | (ids[1:] != ids[:-1])
+        query, ids, dist = query[fresh], ids[fresh], dist[fresh]
+        order = np.lexsort((ids, dist, query))
+        query, ids, dist = query[order], ids[order], dist[order]
+        starts = np.flatnonzero(np.diff(query, prepend=-1))
+        rank = np.arange(len(query)) - np.repeat(starts, np.diff(starts, append=len(query)))
+        return query[rank < k], ids[rank < k], dist[rank < k]
+
+
+CELL = ["n_bits", "segment", "high", "part", "turn"]
+_LINE = [*CELL, "is_query", "id", "width", "value", "code", "limit", "radius", "own_id"]
+
+
+def _look_up(lines: DataFrame, high: int, k: int) -> DataFrame:
+    """``lines``: index rows and, after them, queries of each cell; candidates (query, vec_id, distance)."""
+    kinds = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.int64())])
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, cell = None, [], None
+        for batch in batches:
+            col = {n: batch.column(i) for i, n in enumerate(_LINE)}
+            num = {n: col[n].to_numpy() for n in _LINE if n != "code"}
+            marks = np.stack([num[n].astype(np.int64) for n in [*CELL, "is_query"]], axis=1)
+            starts = np.flatnonzero(np.any(np.diff(marks, axis=0, prepend=-9), axis=1))
+            for a, b in zip(starts, [*starts[1:], len(marks)]):
+                now = tuple(marks[a, :5].tolist())
+                if now != key:
+                    key, held, cell = now, [], None
+                words = np.frombuffer(b"".join(col["code"][a:b].to_pylist()), np.uint64).reshape(b - a, -1)
+                if not marks[a, 5]:
+                    held.append((num["id"][a:b], num["value"][a:b], words))
+                    continue
+                if not held and cell is None:
+                    continue
+                if cell is None:
+                    ids, values, rows = (np.concatenate(x) for x in zip(*held))
+                    cell, held = Cell(ids, values, rows, max(0, int(num["width"][a]) - high)), []
+                names, radius = num["id"][a:b], num["radius"][a:b]
+                for r in np.unique(radius).tolist():
+                    if r <= cell.low:
+                        at = np.flatnonzero(radius == r)
+                        query, ids, dist = cell.search(num["own_id"][a:b][at], num["value"][a:b][at], words[at], num["limit"][a:b][at].astype(np.int64), r, k)
+                        yield pa.RecordBatch.from_arrays([pa.array(names[at][query]), pa.array(ids), pa.array(dist)], schema=kinds)
+
+    return lines.mapInArrow(searched, "query long, vec_id long, distance long")
+
+
+def _spread(name: str, cells: str) -> Column:
+    """Which of so many splits a row belongs to."""
+    return F.pmod(F.xxhash64(name, F.lit(7)), F.col(cells)).cast("int")
 
 
 def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame:
     """(query_id, rank, vec_id, distance) for every row whose id is divisible by ``every``."""
+    spark = vectors.sparkSession
     rows = stored(codes(vectors).distinct(), "codes")
     by_code = Window.partitionBy("n_bits", "code").orderBy("vec_id")
-    index = _blocks(rows.withColumn("r", F.row_number().over(by_code)).filter(F.col("r") <= k + 1).drop("r"), INDEX_BLOCK, "block")
-    queries = _blocks(rows.filter(F.col("vec_id") % every == 0), QUERY_BLOCK, "queries")
-    n_blocks = max(1, (index.agg(F.max("block")).first()[0] or 0) + 1)
-    n_queries = max(1, (queries.agg(F.max("queries")).first()[0] or 0) + 1)
-    left = index.withColumn("queries", F.explode(F.sequence(F.lit(0), F.lit(n_queries - 1))))
-    right = queries.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(n_blocks - 1))))
-
-    def nearest(tables: MultiIndex, ids: np.ndarray, query_id: int, code: bytes) -> list[tuple[int, int]]:
-        """(distance, id) of the k nearest other ids of a block; ids with several codes widen the search."""
-        asked = k + 1
-        while True:
-            found, dists = tables.search(np.frombuffer(code, np.uint8), asked)
-            best: dict[int, int] = {}
-            for r, d in zip(ids[found].tolist(), dists.tolist()):
-                if r != query_id:
-                    best[r] = min(d, best.get(r, d))
-            if len(best) >= k or len(found) < asked:
-                return sorted((d, v) for v, d in best.items())[:k]
-            asked = max(2 * asked, len(found) + 1)
-
-    def searched(own: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple] = []
-        if len(own) and len(asked):
-            ids = own["vec_id"].to_numpy()
-            n_bits = int(own["n_bits"].iloc[0])
-            tables = MultiIndex(np.frombuffer(b"".join(own["code"]), np.uint8).reshape(len(own), -1), n_bits)
-            for query_id, code in zip(asked["vec_id"], asked["code"]):
-                out += [(query_id, v, d) for d, v in nearest(tables, ids, query_id, code)]
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "distance"]).astype("int64")
-
-    keys = ["n_bits", "queries", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(searched, "query_id long, vec_id long, distance long")
+    rare = rows.withColumn("r", F.row_number().over(by_code)).filter(F.col("r") <= k + 1).drop("r")
+    sizes = rows.groupBy("n_bits").agg(F.count("*").alias("n"), F.approx_count_distinct("vec_id").alias("ids"))  # a row for each length of vectors
+    n = rows.count()
+    width = min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(2, n)))))
+    high = min(width, max(0, math.ceil(math.log2(max(1, n / CELL_ROWS)))))
+    top = F.expr(f"shiftright(value, width - least({high}, width))")  # short segments have fewer high bits
+
+    index = stored(_segments(rare, width).withColumn("high", top), "index")
+    few = sizes.filter(F.col("ids") <= 2 * k).select("n_bits").withColumn("few", F.lit(True))  # too few to wait for k of them
+    queries = rows.filter(F.col("vec_id") % every == 0).join(F.broadcast(few), "n_bits", "left")
+    queries = queries.select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "n_bits", "code", F.coalesce("few", F.lit(False)).alias("few"))
+    queries = stored(queries, "queries")
+    parts = _segments(queries.select("query", "n_bits", "code"), width).withColumn("high", top)
+    where = ["n_bits", "segment", "high"]
+    cells = index.groupBy(where).agg(F.count("*").alias("rows")).join(parts.groupBy(where).agg(F.count("*").alias("asked")), where, "left")
+    cells = cells.select(*where, F.ceil(F.col("rows") / (2 * CELL_ROWS)).cast("int").alias("parts"), F.ceil(F.coalesce("asked", F.lit(1)) / CELL_QUERIES).cast("int").alias("turns"))
+    cells = stored(cells, "cells")
+    part = F.when(F.col("parts") > 1, _spread("vec_id", "parts")).otherwise(0)
+    held = index.join(cells, where).withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
+    held = held.select(*CELL, F.lit(0).alias("is_query"), F.col("vec_id").alias("id"), "width", "value", "code", F.lit(0).alias("limit"), F.lit(0).alias("radius"), F.lit(0).cast("long").alias("own_id"))
+    held = stored(held, "held")
+
+    state = queries.withColumn("best", F.lit(None).cast("array<struct<distance:bigint,vec_id:bigint>>"))
+    done: list[DataFrame] = []
+    parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for radius in range(width + 1 if n else 0):
+        now = state.select("query", "query_id", "n_bits", "code", "few", F.when(F.size("best") == k, F.col("best")[k - 1]["distance"]).otherwise(1 << 30).alias("limit"))
+        near = F.expr(f"filter(sequence(0L, {(1 << high) - 1}L), x -> few or bit_count(x) <= {radius})")
+        asked = _segments(now, width).withColumn("away", F.explode(near)).filter(f"away < shiftleft(1L, least({high}, width))")
+        asked = asked.withColumn("high", top.bitwiseXOR(F.col("away"))).withColumn("rest", F.when(F.col("few"), -1).otherwise(radius - F.bit_count("away")).cast("int"))
+        asked = asked.join(cells, where).withColumn("turn", F.when(F.col("turns") > 1, _spread("query", "turns")).otherwise(0)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        asked = asked.select(*CELL, F.lit(1).alias("is_query"), F.col("query").alias("id"), "width", "value", "code", F.col("limit").cast("int").alias("limit"), F.col("rest").alias("radius"), F.col("query_id").alias("own_id"))
+        lines = held.unionByName(asked).repartition(parts_n, *CELL).sortWithinPartitions(*CELL, "is_query").select(*_LINE)
+        found = _look_up(lines, high, k).unionByName(state.select("query", F.explode("best").alias("b")).select("query", "b.vec_id", "b.distance"))
+        found = found.groupBy("query", "vec_id").agg(F.min("distance").alias("distance"))
+        rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))
+        found = found.withColumn("r", rank).filter(F.col("r") <= k).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))).alias("best"))
+        m = F.ceil(F.col("n_bits") / width)
+        over = F.col("few") | (F.lit(radius) >= F.ceil(F.col("n_bits") / m)) | ((F.size("best") == k) & (F.col("best")[k - 1]["distance"] <= m * (radius + 1) - 1))
+        state = stored(state.drop("best").join(found, "query", "left").withColumn("over", F.coalesce(over, F.lit(False))), f"radius{radius}")
+        done.append(state.filter("over").select("query_id", F.explode("best").alias("b")).select("query_id", "b.vec_id", "b.distance"))
+        state = state.filter("not over").drop("over")
+        if state.isEmpty():
+            break
+    if not done:
+        return spark.createDataFrame([], "query_id long, rank long, vec_id long, distance long")
+    found = done[0]
+    for more in done[1:]:
+        found = found.unionByName(more)
     found = found.groupBy("query_id", "vec_id").agg(F.min("distance").alias("distance"))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "vec_id"))
     return found.withColumn("rank", rank.cast("long")).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "distance")

@@ -16,16 +16,43 @@ def test_top_k_matches_sql(spark, sf_dir, duck):
     assert got == want
 
 
-def test_multi_index_matches_brute_force():
+def test_cell_matches_brute_force():
     rng = np.random.default_rng(1)
-    for bits in (8, 20, 40, 64):
-        packed = np.packbits(rng.integers(0, 2, (300, bits), dtype=np.uint8), axis=1)
-        index = H.MultiIndex(packed, bits)
-        for q in packed[:5]:
-            d = np.bitwise_count(packed ^ q).sum(axis=1)
-            rows, dists = index.search(q, 7)
-            kth = np.sort(d)[6]
-            assert sorted(zip(dists.tolist(), rows.tolist())) == sorted((int(x), i) for i, x in enumerate(d) if x <= kth)
+    for bits, low in ((8, 8), (20, 5), (64, 11)):
+        ids = rng.integers(0, 200, 300)
+        words = rng.integers(0, 1 << bits, (300, 1), dtype=np.uint64)
+        values = rng.integers(0, 1 << low, 300)
+        cell = H.Cell(ids, values, words, low)
+        own, asked, at = rng.integers(0, 200, 40), words[:40], values[:40]
+        limit = np.full(40, 1 << 30)
+        for radius in (-1, 0, 1, 3, low):
+            want = []
+            for q in range(40):
+                best = {}
+                for i, v, w in zip(ids.tolist(), values.tolist(), words[:, 0].tolist()):
+                    if i != own[q] and (radius < 0 or (v ^ int(at[q])).bit_count() == radius):
+                        best[i] = min(best.get(i, 99), (w ^ int(asked[q, 0])).bit_count())
+                want += [(q, i, d) for d, i in sorted((d, i) for i, d in best.items())[:7]]
+            assert list(zip(*(x.tolist() for x in cell.search(own, at, asked, limit, radius, 7)))) == want
+
+
+def test_top_k_matches_brute_force_where_cells_are_split(spark, monkeypatch):
+    monkeypatch.setattr(H, "CELL_ROWS", 16)
+    monkeypatch.setattr(H, "CELL_QUERIES", 3)
+    rng = np.random.default_rng(4)
+    base = rng.choice([-1.0, 1.0], 40)
+    rows = []
+    for i in range(300):  # a third lies around one vector, and some lengths are rare
+        v = base * np.where(rng.random(40) < 0.04, -1, 1) if i % 3 == 0 else rng.choice([-1.0, 1.0], 40 if i % 7 else 13)
+        rows.append((i, v.tolist()))
+    rows += [(1000 + i, [1.0, -1.0]) for i in range(0, 60, 20)]
+    want = set()
+    for q, x in rows:
+        if q % 20 == 0:
+            near = sorted((sum(a != b for a, b in zip(x, y)), v) for v, y in rows if v != q and len(x) == len(y))[:5]
+            want |= {(q, r, v, d) for r, (d, v) in enumerate(near, 1)}
+    got = H.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=5).collect()
+    assert {(r.query_id, r.rank, r.vec_id, r.distance) for r in got} == want
 
 
 def test_top_k_edges(spark):
