@@ -38,24 +38,12 @@ SLOTS = 1 << 20  # the count sketch, of 4 MB when broadcast
 SLICE = 1 << 10
 MOST_MATCHES = 6
 VERIFY_COST = 0.25  # of one shingle, against looking at one holder
-CACHED_WORDS = 500_000
 SEEN_SETS = 500_000
 _ROWS = 4096
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)  # odd multipliers
 
 
-class _Hashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) > CACHED_WORDS:
-            self.clear()
-        self[word] = h = xxhash.xxh3_64_intdigest(word)
-        return h
-
-
-_HASHES = _Hashes()
-
-
 def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
     """The sorted distinct 64-bit hashes of a text's shingles."""
     words = text.encode("utf-8", "surrogatepass").lower().split()
@@ -63,45 +51,59 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
         return np.zeros(0, np.uint64)
     if len(words) < width:
         return np.array([xxhash.xxh3_64_intdigest(b" ".join(words), seed=len(words))], np.uint64)
-    hashes = np.array(list(map(_HASHES.__getitem__, words)), np.uint64)
+    hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
     total = np.zeros(len(words) - width + 1, np.uint64)
     for k in range(width):
         total = total * _ODD[k % 4] + hashes[k : k + len(total)]
         total ^= total >> np.uint64(29)
-    return np.unique(total)
+    total.sort()
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
 
 
-def shingle_counts(docs: DataFrame, width: int = WIDTH, slots: int = SLOTS) -> np.ndarray:
-    """How many documents hold the shingles of each slot (a hash's low bits); the size is fixed."""
+def _counted_sets(docs: DataFrame, width: int, slots: int) -> DataFrame:
+    """In one pass: a row for each document (doc_id, n_shingles, the set's digest as node), and each task's
+    counts of documents by slot (a hash's low bits), of a fixed size, as rows of (slice, counts)."""
+    kinds = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary()), ("slice", pa.int32()), ("counts", pa.binary())])
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(slots, np.int64)
         for batch in batches:
-            for text in batch.column(0):
-                own = (shingle_set(text.as_py(), width) & np.uint64(slots - 1)).astype(np.int64)
+            sizes, nodes = [], []
+            for text in batch.column(1):
+                own = shingle_set(text.as_py(), width)
+                sizes.append(len(own))
+                nodes.append(set_digest(own))
+                places = (own & np.uint64(slots - 1)).astype(np.int64)
                 if len(own) > slots // 8:
-                    counts += np.bincount(own, minlength=slots)
+                    counts += np.bincount(places, minlength=slots)
                 else:
-                    np.add.at(counts, own, 1)
-        yield from slices({k: counts[k * SLICE : (k + 1) * SLICE] for k in range(slots // SLICE)})
+                    np.add.at(counts, places, 1)
+            n = len(sizes)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(nodes, pa.binary()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary())], schema=kinds)
+        if counts.any():
+            raw = [counts[k : k + SLICE].tobytes() for k in range(0, slots, SLICE)]
+            none = [pa.nulls(len(raw), t) for t in kinds.types[:3]]
+            yield pa.RecordBatch.from_arrays([*none, pa.array(range(len(raw)), pa.int32()), pa.array(raw, pa.binary())], schema=kinds)
+
+    return _texts(docs).mapInArrow(made, "doc_id long, n_shingles long, node binary, slice int, counts binary")
+
+
+def shingle_counts(counted: DataFrame, slots: int) -> np.ndarray:
+    """How many documents hold the shingles of each slot; the size is fixed."""
+    kinds = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: dict[int, np.ndarray] = {}
         for batch in batches:
             for k, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found[k] = found.get(k, 0) + np.frombuffer(raw.as_py(), np.int64)
-        yield from slices(found)
-
-    def slices(found: dict[int, np.ndarray]) -> Iterator[pa.RecordBatch]:
-        kinds = pa.schema([("slice", pa.int32()), ("counts", pa.binary())])
         yield pa.RecordBatch.from_pydict({"slice": list(found), "counts": [x.tobytes() for x in found.values()]}, schema=kinds)
 
-    schema = "slice int, counts binary"
-    parts = _texts(docs).select("text").mapInArrow(counted, schema).repartition("slice").mapInArrow(summed, schema)
+    parts = counted.filter("slice is not null").select("slice", "counts").repartition("slice").mapInArrow(summed, "slice int, counts binary")
     out = np.zeros(slots, np.int64)
     for k, raw in parts.collect():  # slots / SLICE rows, whatever the input
         out[k * SLICE : (k + 1) * SLICE] = np.frombuffer(bytes(raw), np.int64)
@@ -125,25 +127,12 @@ def set_digest(own: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(own.tobytes())
 
 
-def _sets(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, n_shingles and the set's digest."""
-    kinds = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("node", pa.binary())])
-
-    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingle_set(t.as_py(), width) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([set_digest(s) for s in sets], pa.binary())], schema=kinds)
-
-    return _texts(docs).mapInArrow(made, "doc_id long, n_shingles long, node binary")
-
-
 PREFIX = "token long, node binary, n int, matches int, pos int, common float"
 
 
-def _prefixes(docs: DataFrame, width: int, percent: int) -> DataFrame:
+def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) -> DataFrame:
     """A row for each prefix shingle of each set; a task leaves out sets that it has just given."""
     spark = docs.sparkSession
-    counts = shingle_counts(docs, width)
     shared = spark.sparkContext.broadcast((counts, float(np.median(counts))))
     kinds = pa.schema([("token", pa.int64()), ("node", pa.binary()), ("n", pa.int32()), ("matches", pa.int32()), ("pos", pa.int32()), ("common", pa.float32())])
 
@@ -233,12 +222,13 @@ def _verified(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Da
 
 def join(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT) -> DataFrame:
     """A row per document: doc_id, n_shingles, and component_id, the smallest doc_id that links reach."""
-    sets = stored(_sets(docs, width), "sets")
+    counted = stored(_counted_sets(docs, width, SLOTS), "sets")
+    sets = counted.filter("slice is null").select("doc_id", "n_shingles", "node")
     known = sets.filter("doc_id is not null and n_shingles > 0")
     nodes = stored(known.groupBy("node").agg(F.min("doc_id").alias("id")), "nodes")
 
     by_token = Window.partitionBy("token")
-    shared = _prefixes(docs, width, percent).repartition("token").withColumn("holders", F.count("*").over(by_token)).filter("holders > 1")
+    shared = _prefixes(docs, shingle_counts(counted, SLOTS), width, percent).repartition("token").withColumn("holders", F.count("*").over(by_token)).filter("holders > 1")
     shared = shared.dropDuplicates(["token", "node"]).join(nodes, "node").select("token", "id", "n", "matches", "pos", "common")
     shared = stored(shared, "shared")
 
