@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ def q_latest_filed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CONCEPT_SQL = """conc as (select c_custkey as cik, l_returnflag as concept, cast(year(o_orderdate) as int) as fiscal_year, cast(sum(cast(l_quantity as bigint)) as bigint) as val
-  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where year(o_orderdate) <= 2000 group by all)"""
+  from lineitem join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey group by all)"""
 
 
 def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -104,17 +106,25 @@ def urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.concat("url", F.element_at(F.array(*map(F.lit, tails)), (c("page_id") % 6 + 1).cast("int"))).alias("url"))
 
 
-@query("q_url_rules", "with " + _URL_SQL + """ select page_id, case when regexp_matches(tail, '(?i)annual[-_ ]?report|10-?k\\b|\\bar\\d{2,4}\\b|integrated[-_ ]?report') then 'annual_report' when regexp_matches(tail, '(?i)presentation|investor[-_ ]?day|slide|deck|keynote') then 'presentation'
-   when regexp_matches(tail, '(?i)quarter|10-?q\\b|\\bq[1-4][-_ ]?(fy)?\\d{2,4}\\b') then 'quarterly_report' when regexp_matches(tail, '(?i)earnings|press[-_ ]?release|financial[-_ ]?results|\\bresults\\b') then 'earnings_release' end as kind,
+def _any_word(terms: Sequence[str], words: str = "words") -> str:
+    """SQL for whether some term stands in the words, together or as one."""
+    return "(" + " or ".join(f"contains({words}, '{t}') or contains({words}, '{t[0]}{t[1:-1].replace(' ', '')}{t[-1]}')" for t in terms) + ")"
+
+
+@query("q_url_rules", "with " + _URL_SQL + """, w as (select *, ' ' || trim(regexp_replace(lower(tail), '[^a-z0-9]+', ' ', 'g')) || ' ' as words from t),
+ e as (select *, list_filter(string_split(trim(words), ' '), lambda x: not contains(x, 'cdn')) as each from w)
+ select page_id, case when """ + _any_word(I.URL_WORDS["annual_report"]) + """ or regexp_matches(words, ' ar[0-9]{2,4} ') then 'annual_report' when """ + _any_word(I.URL_WORDS["presentation"]) + """ then 'presentation'
+   when """ + _any_word(I.URL_WORDS["quarterly_report"]) + """ or regexp_matches(words, ' q[1-4] ?(fy)?[0-9]{2,4} ') then 'quarterly_report' when """ + _any_word(I.URL_WORDS["earnings_release"]) + """ then 'earnings_release' end as kind,
   list_max(list_filter(list_transform(regexp_extract_all(' ' || regexp_replace(tail, '(\\d+)', '  \\1  ', 'g') || ' ', ' (\\d{4}) ', 1), lambda y: cast(y as int)), lambda y: y between 1990 and 2027)) as year,
-  'Q' || coalesce(nullif(regexp_extract(tail, '(?i)(?:^|[^a-z0-9])q([1-4])(?:[^0-9a-z]|$)', 1), ''), nullif(regexp_extract(tail, '(?i)(?:^|[^a-z0-9])([1-4])q', 1), ''), nullif(regexp_extract(tail, '(?i)quarter[-_ ]?([1-4])', 1), '')) as quarter from t""")
+  'Q' || coalesce(list_filter(each, lambda x: regexp_matches(x, '^q[1-4]') and not regexp_matches(x, '^q[1-4][0-9]{3}'))[1][2], list_filter(each, lambda x: regexp_matches(x, '^[1-4]q'))[1][1],
+    nullif(regexp_extract(words, '^.*quarter *([1-4])', 1), '')) as quarter from e""")
 def q_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     u = c("url")
     return urls(spark, sf_dir).select("page_id", I.url_kind(u).alias("kind"), I.url_year(u, 2026).alias("year"), I.url_quarter(u).alias("quarter"))
 
 
-@query("q_url_score", "with " + _URL_SQL + """ select page_id, cast(case when regexp_matches(lower(url), 'annual|quarter|earnings|financial|investor|report|results|presentation|10-?k|10-?q') then 20 else 0 end
-  + case when contains(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), 'thther') then 60 else 0 end - case when contains(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), 'example.net') then 120 else 0 end as double) as score from t""")
+@query("q_url_score", "with " + _URL_SQL + """, w as (select *, ' ' || trim(regexp_replace(lower(url), '[^a-z0-9]+', ' ', 'g')) || ' ' as words from t) select page_id, cast(case when """ + _any_word(I.URL_HINTS) + """ then 20 else 0 end
+  + case when contains(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), 'thther') then 60 else 0 end - case when contains(regexp_extract(lower(url), '^[a-z][a-z0-9+.-]*://([^/?#]*)', 1), 'example.net') then 120 else 0 end as double) as score from w""")
 def q_url_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls(spark, sf_dir).select("page_id", I.url_score(c("url"), F.lit("Thther Industries"), F.lit(None).cast("int"), 2026, ["example.net"]).alias("score"))
 
@@ -138,12 +148,12 @@ def q_admit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return I.admit(docs.select("doc_id", "text", F.when(c("n_chars") < 300, "short").alias("reason"), c("doc_id").alias("seq")))
 
 
-@query("q_merge_sources", """with d as (select doc_id, lang as doc_type, source, case when doc_id % 4 <> 0 then 2000 + doc_id % 25 end as fiscal_year, 'Q' || (doc_id % 4 + 1) as fiscal_period, case source when 'src0' then 3 when 'src1' then 2 else 1 end as trust from documents where doc_id % 7 <> 0 or lang <> 'de'),
+@query("q_merge_sources", """with d as (select doc_id, lang as doc_type, source, case when doc_id % 4 <> 0 and lang <> 'de' then 2000 + doc_id % 25 end as fiscal_year, 'Q' || (doc_id % 4 + 1) as fiscal_period, case source when 'src0' then 3 when 'src1' then 2 else 1 end as trust from documents),
  k as (select * from d qualify row_number() over (partition by doc_type, fiscal_year, fiscal_period order by trust desc, doc_id) = 1)
  select doc_id, doc_type, fiscal_year, fiscal_period, trust from (select *, max(fiscal_year is not null) over (partition by doc_type) as dated from k) where fiscal_year is not null or not dated""")
 def q_merge_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter((c("doc_id") % 7 != 0) | (c("lang") != "de"))
-    rows = docs.select("doc_id", c("lang").alias("doc_type"), "source", F.when(c("doc_id") % 4 != 0, c("doc_id") % 25 + 2000).alias("fiscal_year"), F.concat(F.lit("Q"), (c("doc_id") % 4 + 1).cast("string")).alias("fiscal_period"), c("doc_id").alias("seq"))
+    docs = table(spark, sf_dir, "documents")
+    rows = docs.select("doc_id", c("lang").alias("doc_type"), "source", F.when((c("doc_id") % 4 != 0) & (c("lang") != "de"), c("doc_id") % 25 + 2000).alias("fiscal_year"), F.concat(F.lit("Q"), (c("doc_id") % 4 + 1).cast("string")).alias("fiscal_period"), c("doc_id").alias("seq"))
     trust = F.when(c("source") == "src0", 3).when(c("source") == "src1", 2).otherwise(1)
     return I.merge_sources(rows, trust).select("doc_id", "doc_type", "fiscal_year", "fiscal_period", "trust")
 

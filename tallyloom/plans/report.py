@@ -199,24 +199,49 @@ def q_spaced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return L.spaced(_events(spark, sf_dir).select(c("user_id").alias("key"), "event_id", "at"), 7200.0).select("event_id", "starts")
 
 
-@query("q_item_sections", """with l as (select doc_id, i as ordinal, [t[i], 'Item ' || (doc_id % 12 + 1) || '. Own words', 'Notes to the financial statements', t[i]][doc_id % 4 + 1] as line, case when doc_id % 2 = 1 then ['10-K', '10-Q/A'][doc_id % 4 // 2 + 1] end as form
-  from (select doc_id, string_split(text, chr(10)) as t, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents where doc_id % 4 in (1, 2)))
- select doc_id, cast(count(*) as bigint) as n_lines, case when doc_id % 4 = 1 then ['Business','Properties','Legal Proceedings','Mine Safety Disclosures','Market for Common Equity','Selected Financial Data','Management''s Discussion and Analysis','Financial Statements','Changes in and Disagreements with Accountants','Directors and Corporate Governance','Executive Compensation','Security Ownership'][doc_id % 12 + 1] else 'Notes to Financial Statements' end as label from l group by doc_id""")
+HEADS = ["Risk factors", "Management's discussion", "Consolidated balance sheets", "Notes to the consolidated financial statements", "Our business", "Chairman's letter"]
+
+
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''") + "'"
+
+
+def _narrative_sql(words: str) -> str:
+    """SQL for the first label whose words stand in a line."""
+    holds = lambda p: " and ".join([f"contains({words}, ' {p.split(' … ')[0]} ')", *(f"contains(' ' || string_split({words}, ' {p.split(' … ')[0]} ')[-1], ' {x} ')" for x in p.split(" … ")[1:])])
+    return "case " + " ".join(f"when {' or '.join('(' + holds(p) + ')' for p in ps)} then {_quoted(n)}" for n, ps in S.NARRATIVE.items()) + " end"
+
+
+def _items_sql(items: dict[str, str], number: str) -> str:
+    return f"case {number} " + " ".join(f"when '{k}' then {_quoted(v)}" for k, v in items.items()) + " else 'Own words' end"
+
+
+@query("q_item_sections", f"""with l as (select doc_id, i - 1 as ordinal, t[i] as own from (select doc_id, string_split(text, chr(10)) as t, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)),
+ h as (select doc_id, ordinal, case doc_id % 4 when 1 then '10-K' when 3 then '10-Q/A' end as form, case when ordinal % 7 <> 3 then own when doc_id % 2 = 1 then 'Item ' || (ordinal // 7 % 17 + 1) || '. Own words' else [{', '.join(map(_quoted, HEADS))}][ordinal // 7 % 6 + 1] end as line from l),
+ n as (select *, nullif(upper(regexp_extract(line, '(?i)^\\s*item\\s+([0-9]{{1,2}}[A-C]?)([.:)–—\\s-]|$)', 1)), '') as number, ' ' || trim(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' as words from h),
+ s as (select *, last_value(case when number is not null then 'Item ' || number || ' -' || case when form like '10-Q%' then {_items_sql(S.QUARTERLY_ITEMS, 'number')} else {_items_sql(S.ANNUAL_ITEMS, 'number')} end
+   when form is null and length(trim(line)) between 3 and 90 then {_narrative_sql('words')} end ignore nulls) over (partition by doc_id order by ordinal rows between unbounded preceding and current row) as section from n)
+ select doc_id, count(*) as n_lines, count(section) as n_labelled, count(distinct section) as n_sections, arg_max(section, ordinal) filter (section is not null) as last_section from s group by doc_id""")
 def q_item_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents whose lines are item headings of a filing, or a narrative heading."""
-    docs = table(spark, sf_dir, "documents").filter("doc_id % 4 in (1, 2)")
-    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "_"), F.when(c("doc_id") % 4 == 1, F.concat(F.lit("Item "), (c("doc_id") % 12 + 1).cast("string"), F.lit(". Own words"))).otherwise("Notes to the financial statements").alias("line"), F.when(c("doc_id") % 4 == 1, "10-K").alias("form"))
-    rows = S.labelled(lines)
-    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.max(F.regexp_replace("section", "^Item [0-9A-C]+ -", "")).alias("label"))
+    """The documents' lines with a heading put in for every seventh: items in odd documents, words in even ones."""
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ordinal", "own"))
+    at = F.floor(c("ordinal") / 7)
+    head = F.when(c("doc_id") % 2 == 1, F.concat(F.lit("Item "), (at % 17 + 1).cast("string"), F.lit(". Own words"))).otherwise(F.element_at(F.array(*map(F.lit, HEADS)), (at % len(HEADS) + 1).cast("int")))
+    form = F.when(c("doc_id") % 4 == 1, "10-K").when(c("doc_id") % 4 == 3, "10-Q/A")
+    rows = S.labelled(lines.select("doc_id", "ordinal", F.when(c("ordinal") % 7 == 3, head).otherwise(c("own")).alias("line"), form.alias("form")))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("n_lines"), F.count("section").alias("n_labelled"), F.countDistinct("section").alias("n_sections"), F.max_by("section", "ordinal").alias("last_section"))
 
 
-@query("q_table_figures", """select o_orderkey, round((1 + (o_orderkey % 2)) / 5.0::double, 6) as ratio, false as looks from orders""")
+@query("q_table_figures", """with x as (select l_orderkey, count(*) as n, count(*) filter (l_linenumber % 2 = 1) as odd, count(*) filter (l_linenumber >= 10) as wide from lineitem group by l_orderkey)
+ select l_orderkey, round((2 * n + odd) / (3.0::double + 3 * n), 6) as ratio, n + wide >= 4 as looks from x""")
 def q_table_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as small tables: how many of the cells are figures."""
-    o = table(spark, sf_dir, "orders")
-    second = F.when(c("o_orderkey") % 2 == 1, F.lit("(12)%")).otherwise("n/a")
-    text = F.concat(F.lit("| Item | total | note |\n| --- | --- | --- |\n| "), F.lit("$"), c("o_totalprice").cast("long").cast("string"), F.lit(" | "), second, F.lit(" | |"))
-    return o.select("o_orderkey", F.round(S.numeric_ratio(text), 6).alias("ratio"), S.looks_numeric(text).alias("looks"))
+    """Orders as pipe tables of their lines: the share of figures among the cells, and whether they make a table of figures."""
+    l = table(spark, sf_dir, "lineitem")
+    note = F.when(c("l_linenumber") % 2 == 1, F.lit("(3)%")).otherwise("n/a")
+    row = F.concat(F.lit("| "), c("l_linenumber").cast("string"), F.lit(" | $"), F.format_number(c("l_extendedprice"), 2), F.lit(" | "), note, F.lit(" |"))
+    lines = l.groupBy("l_orderkey").agg(F.concat_ws("\n", F.array_sort(F.collect_list(row))).alias("rows"))  # an order has seven lines at most
+    text = F.concat(F.lit("| Line | Total | Note |\n| --- | --- | --- |\n"), c("rows"))
+    return lines.select("l_orderkey", F.round(S.numeric_ratio(text), 6).alias("ratio"), S.looks_numeric(text).alias("looks"))
 
 
 @query("q_qa_shares", "with " + _LAST_SQL + " select ticker, n_lines % 3 = 0 as flagged from last where n_lines % 3 = 0")

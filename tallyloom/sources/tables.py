@@ -7,38 +7,42 @@ not depend on the order of rows.
 from __future__ import annotations
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-LAST_FULL_YEAR = 2000
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines with their order's date and company, full years only."""
+    """Lines with their order's date and company."""
     lines = table(spark, sf_dir, "lineitem")
-    orders = table(spark, sf_dir, "orders").filter(F.year("o_orderdate") <= LAST_FULL_YEAR).select("o_orderkey", "o_custkey", "o_orderdate")
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     customers = table(spark, sf_dir, "customer").select("c_custkey", "c_mktsegment", "c_nationkey")
     ticker = F.concat_ws("-", "c_mktsegment", F.lpad(F.col("c_nationkey").cast("string"), 2, "0"))
     joined = lines.join(orders, lines.l_orderkey == orders.o_orderkey).join(customers, F.col("o_custkey") == F.col("c_custkey"))
     return joined.withColumns({"ticker": ticker, "fiscal_year": F.year("o_orderdate")})
 
 
+def last_full_year(spark: SparkSession, sf_dir: str) -> Column:
+    """The last year that the orders reach the end of; an annual statement is of a full year."""
+    return table(spark, sf_dir, "orders").agg(F.year(F.date_add(F.max("o_orderdate").cast("date"), 1)) - 1).scalar()
+
+
 def exact(x, scale: int):
     return F.sum(F.round(x * scale).cast("long")) / scale
 
 
 def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per company and fiscal year with the statement lines; some are missing, as in filings.
+    """A row per company and full fiscal year with the statement lines; some are missing, as in filings.
 
     The few rows are dealt by company and kept (in memory, else on disk), as valuations read them several times:
     what groups, orders or joins them by company then needs no shuffle.  Lost ones are computed again.
     """
     price, net = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    sums = order_lines(spark, sf_dir).groupBy("ticker", "fiscal_year").agg(
+    lines = order_lines(spark, sf_dir).filter(F.col("fiscal_year") <= last_full_year(spark, sf_dir))
+    sums = lines.groupBy("ticker", "fiscal_year").agg(
         F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("qty"), exact(net, 10000).alias("revenue"),
         exact(price, 100).alias("gross"), exact(net * F.col("l_tax"), 1000000).alias("duty"),
     )
@@ -57,7 +61,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The same rows in SQL, as common table expressions.
 HISTORY_SQL = """
 lines as (select c_mktsegment || '-' || lpad(cast(c_nationkey as varchar), 2, '0') as ticker, cast(year(o_orderdate) as int) as fiscal_year, l.*, o_orderdate, o_orderkey
-  from lineitem l join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where year(o_orderdate) <= 2000),
+  from lineitem l join orders on l_orderkey = o_orderkey join customer on o_custkey = c_custkey where year(o_orderdate) < (select year(cast(max(o_orderdate) as date) + 1) from orders)),
 sums as (select ticker, fiscal_year, count(*) as n, cast(sum(cast(l_quantity as bigint)) as bigint) as qty,
     sum(cast(round(l_extendedprice * (1 - l_discount) * 10000) as bigint)) / 10000 as revenue,
     sum(cast(round(l_extendedprice * 100) as bigint)) / 100 as gross,

@@ -6,9 +6,11 @@ times of each key as its state.
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -16,12 +18,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 HOUR, DAY = 3600.0, 86400.0
 
 
-def accept(times: list[float], kept: list[float], limit: int, window: float) -> list[bool]:
+def accept(times: list[float], kept: deque[float], limit: int, window: float) -> list[bool]:
     """Decides events in order; ``kept`` holds the accepted times that still count, and is changed."""
     out = []
     for t in times:
         while kept and t - kept[0] >= window:
-            kept.pop(0)
+            kept.popleft()
         out.append(len(kept) < limit)
         if out[-1]:
             kept.append(t)
@@ -31,19 +33,32 @@ def accept(times: list[float], kept: list[float], limit: int, window: float) ->
 def session_limit(events: DataFrame, limit: int, window: float = HOUR) -> DataFrame:
     """Adds accepted. ``events``: event_id, user_id, action, at (seconds).
 
-    After a pause of ``window`` nothing that was accepted counts any more, so a key's events are cut there and
-    decided in groups from pause to pause.
+    After a pause of ``window`` nothing that was accepted counts any more, so a key's events are cut there, and
+    the stretches are dealt to tasks.  A stretch of no more than ``limit`` events is accepted as it is; the
+    others stream through their task in order, which holds the accepted times of one stretch that still count,
+    ``limit`` at most.  A key that never pauses is one stream.
     """
-
-    def decide(f: pd.DataFrame) -> pd.DataFrame:
-        f = f.sort_values(["at", "event_id"])
-        return f.assign(accepted=accept(f["at"].tolist(), [], limit, window)).drop(columns="stretch")
-
-    order = Window.partitionBy("user_id", "action").orderBy("at", "event_id")
+    kinds = pa.schema([("event_id", pa.int64()), ("user_id", pa.int64()), ("action", pa.string()), ("at", pa.float64()), ("accepted", pa.bool_())])
+
+    def decide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, kept = None, deque()
+        for batch in batches:
+            out = []
+            for *key, at in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), batch.column(3).to_pylist()):
+                if key != now:
+                    now, kept = key, deque()
+                out += accept([at], kept, limit, window)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(out, pa.bool_())], schema=kinds)
+
+    key = ["user_id", "action"]
+    order = Window.partitionBy(*key).orderBy("at", "event_id")
     pause = F.coalesce(F.col("at") - F.lag("at").over(order) >= window, F.lit(True)).cast("int")
-    rows = events.select("event_id", "user_id", "action", "at").withColumn("pause", pause)
+    rows = events.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"), "action", F.col("at").cast("double").alias("at")).withColumn("pause", pause)
     rows = rows.withColumn("stretch", F.sum("pause").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("pause")
-    return rows.groupBy("user_id", "action", "stretch").applyInPandas(decide, "event_id long, user_id long, action string, at double, accepted boolean")
+    rows = rows.withColumn("n", F.count("*").over(Window.partitionBy(*key, "stretch")))
+    few = rows.filter(F.col("n") <= limit).select("event_id", *key, "at", F.lit(True).alias("accepted"))
+    many = rows.filter(F.col("n") > limit).drop("n").repartition(*key, "stretch").sortWithinPartitions(*key, "stretch", "at", "event_id")
+    return few.unionByName(many.mapInArrow(decide, "event_id long, user_id long, action string, at double, accepted boolean"))
 
 
 def daily_limit(events: DataFrame, limit: int, start: float) -> DataFrame:
@@ -56,17 +71,27 @@ def daily_limit(events: DataFrame, limit: int, start: float) -> DataFrame:
     return events.withColumn("day", day).withColumn("accepted", place <= limit)
 
 
-def session_stream(events: DataFrame, limit: int, window: float = HOUR) -> DataFrame:
-    """The sliding limit over a stream of events (event_id, user_id, action, at)."""
+def session_stream(events: DataFrame, limit: int, window: float = HOUR, late: float = HOUR) -> DataFrame:
+    """The sliding limit over a stream of events (event_id, user_id, action, at).
+
+    Events may come ``late`` seconds behind the latest, and are decided in the order they come in; those behind
+    the watermark are left out, as those before 1970 are.  A key is forgotten once the watermark has passed all
+    its accepted times by ``window``.
+    """
 
     def decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept = list(state.get[0]) if state.exists else []
+        if state.hasTimedOut:
+            state.remove()
+            return
+        kept = deque(state.get[0]) if state.exists else deque()
         f = pd.concat(list(frames)).sort_values(["at", "event_id"])
         out = f.assign(accepted=accept(f["at"].tolist(), kept, limit, window))
-        state.update((kept,))
+        state.update((list(kept),))
+        state.setTimeoutTimestamp(max(int((max(kept, default=0.0) + window) * 1000), state.getCurrentWatermarkMs() + 1))
         yield out[["event_id", "user_id", "action", "at", "accepted"]]
 
-    return events.groupBy("user_id", "action").applyInPandasWithState(decide, "event_id long, user_id long, action string, at double, accepted boolean", "kept array<double>", "append", GroupStateTimeout.NoTimeout)
+    rows = events.withColumn("ts", F.timestamp_seconds("at")).withWatermark("ts", f"{late} seconds")
+    return rows.groupBy("user_id", "action").applyInPandasWithState(decide, "event_id long, user_id long, action string, at double, accepted boolean", "kept array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def spaced(arrivals: DataFrame, gap: float) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime as dt
+from collections import deque
 
 import pytest
 from hypothesis import given, settings
@@ -115,11 +116,11 @@ def test_html_and_chunks():
 
 
 def test_refused_events_do_not_count():
-    assert limits.accept([0, 1, 2, 3600, 3601], [], 2, 3600.0) == [True, True, False, True, True]
+    assert limits.accept([0, 1, 2, 3600, 3601], deque(), 2, 3600.0) == [True, True, False, True, True]
 
 
 def test_session_stream_equals_batch(spark, tmp_path):
-    rows = [(k, k % 3, "a", float(k * 200)) for k in range(60)]
+    rows = [(k, k % 3, "a", float(1000 + k * 200)) for k in range(60)]
     events = spark.createDataFrame(rows, "event_id long, user_id long, action string, at double")
     events.coalesce(1).write.parquet(str(tmp_path / "in"))
     stream = limits.session_stream(spark.readStream.schema(events.schema).parquet(str(tmp_path / "in")), 2)
