@@ -3,7 +3,7 @@
 Documents hang on a tree of levels (domain, language, source).  A token budget goes down the tree: brothers
 share their parent's budget by weight, none gets more than its capacity (its tokens times ``epochs``), and
 what one cannot take goes to its brothers by weight before anything is left for the parent's brothers, as
-a parent's own share is bounded by its children's capacity.  A leaf's budget buys whole epochs of its
+a parent's own share is bounded by its children's capacity (that of weight 0 doesn't count).  A leaf's budget buys whole epochs of its
 documents, and of the next epoch, in an order seeded by the epoch, the longest prefix that fits.
 
 The order is by a digest of (seed, epoch, doc_id).  Tokens are summed by the digest's first digits, so only
@@ -48,11 +48,13 @@ def _weight(level: str, weights: Mapping[str, int]) -> Column:
 
 def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], share: tuple[int, int], epochs: int) -> DataFrame:
     """Each leaf's ``target`` tokens. ``leaves``: levels and tokens; ``share``: the budget as a fraction of all tokens."""
-    plan = leaves.withColumn("target", F.expr(f"sum(tokens) over () * {int(share[0])} div {int(share[1])}"))
+    total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
+    plan = leaves.withColumn("_all", total.cast("long")).withColumn("target", F.expr(f"_all * {int(share[0])} div {int(share[1])}")).drop("_all")
+    for level in levels:  # what can't be bought is no capacity of any parent
+        plan = plan.filter(_weight(level, weights.get(level, {})) > 0)
     for depth, level in enumerate(levels):
         path, above = list(levels[: depth + 1]), list(levels[:depth])
         kids = plan.groupBy(*path).agg((F.sum("tokens") * epochs).alias("cap"), F.first("target").alias("given")).withColumn("w", _weight(level, weights.get(level, {})))
-        kids = kids.filter("w > 0")
         order = Window.partitionBy(*above).orderBy(F.col("cap") / F.col("w"), level)
         before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
         rate = (F.col("given") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(after)
@@ -96,7 +98,7 @@ def mix(
     named = {f"{OWN}{k}": F.coalesce(c.cast("string"), F.lit("")) for k, c in levels.items()}
     count = words(F.coalesce(F.col("text"), F.lit(""))) if tokens is None else tokens
     own = docs.withColumns(named | {f"{OWN}tokens": F.coalesce(count, F.lit(0)).cast("long")})
-    slim = own.select(F.col("doc_id"), *named, F.col(OWN + "tokens").alias("tokens"))
+    slim = stored(own.select(F.col("doc_id"), *named, F.col(OWN + "tokens").alias("tokens")), "slim")
     leaves = stored(plan(slim, list(named), {f"{OWN}{k}": v for k, v in weights.items()}, share, epochs, seed), "plan")
     aims = leaves.select(*named, F.col("whole").alias(OWN + "whole"), F.col("cut").alias(OWN + "cut"))
     once_more = (_order_key(seed, F.col(OWN + "whole")) <= F.col(OWN + "cut")).cast("long")
