@@ -11,6 +11,7 @@ as rows of their own; texts are scanned whole, however long; other columns of th
 
 from __future__ import annotations
 
+from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -77,24 +78,8 @@ def compiled(notices: tuple) -> tuple:
     return automaton, patterns
 
 
-def all_matches(pattern, norm: str, a: int, b: int) -> Iterator:
-    """The best match of norm[a:b], then those of the parts before and after it, until no part has one."""
-    parts = [(a, b)]
-    while parts:
-        a, b = parts.pop()
-        m = pattern.search(norm, a, b)
-        if m and m.end() > m.start():
-            yield m
-            parts += [(m.end(), b), (a, m.start())]
-
-
-def fuzzy_spans(norm: str, notices: tuple = NOTICES) -> list[tuple[str, int, int, int, str]]:
-    """(label, start, end, edits, found) of verified notices in a normalised text, by place.
-
-    Candidate windows of one notice that overlap are verified as one; matches within a window do not overlap, and no
-    match is left in the parts between them.
-    """
-    automaton, patterns = compiled(notices)
+def candidates(norm: str, automaton, notices: tuple) -> dict[int, list[list[int]]]:
+    """Windows of each notice in which it may stand; those of seeds that may be of one place are one."""
     windows: dict[int, list[list[int]]] = {}
     for end, (length, places) in automaton.iter(norm):
         start = end + 1 - length
@@ -102,15 +87,52 @@ def fuzzy_spans(norm: str, notices: tuple = NOTICES) -> list[tuple[str, int, int
             _, words, edits = notices[k]
             a, b = max(0, start - offset - edits), min(len(norm), start - offset + len(words) + edits)
             own = windows.setdefault(k, [])
-            if own and a <= own[-1][1]:
-                own[-1] = [min(a, own[-1][0]), max(b, own[-1][1])]
+            if own and abs(a - own[-1][2]) <= 2 * edits:
+                own[-1][0], own[-1][1] = min(a, own[-1][0]), max(b, own[-1][1])
             else:
-                own.append([a, b])
+                own.append([a, b, a])
+    return windows
+
+
+def verified(pattern, norm: str, windows: list[list[int]]) -> list[tuple[int, int, int, str]]:
+    """(start, end, edits, found) of one notice's matches that do not overlap: the best of each window, those of
+    fewest edits first; then again in what is left of the windows beside them, until nothing is found."""
+    starts: list[int] = []
+    taken: list[tuple[int, int, int, str]] = []
+    parts = {(a, b) for a, b, _ in windows}
+    while parts:
+        best = {}
+        for a, b in parts:
+            m = pattern.search(norm, a, b)
+            if m and m.end() > m.start():
+                best.setdefault((sum(m.fuzzy_counts), m.start(), m.end(), m.group()), []).append((a, b))
+        again = set()
+        for (edits, start, end, found), own in sorted(best.items()):
+            at = bisect(starts, start)
+            if (not at or taken[at - 1][1] <= start) and (at == len(taken) or end <= taken[at][0]):
+                starts.insert(at, start)
+                taken.insert(at, (start, end, edits, found))
+            again.update(own)
+        parts = {x for a, b in again for x in _free(a, b, starts, taken)}
+    return taken
+
+
+def _free(a: int, b: int, starts: list[int], taken: list[tuple]) -> Iterator[tuple[int, int]]:
+    """The parts of a window that no taken span covers."""
+    at = max(0, bisect(starts, a) - 1)
+    while a < b:
+        start, end = (taken[at][0], taken[at][1]) if at < len(taken) else (b, b)
+        if a < min(start, b):
+            yield a, min(start, b)
+        a, at = max(a, end), at + 1
+
+
+def fuzzy_spans(norm: str, notices: tuple = NOTICES) -> list[tuple[str, int, int, int, str]]:
+    """(label, start, end, edits, found) of verified notices in a normalised text, by place."""
+    automaton, patterns = compiled(notices)
     found = set()
-    for k, own in windows.items():
-        for a, b in own:
-            for m in all_matches(patterns[k], norm, a, b):
-                found.add((notices[k][0], m.start(), m.end(), sum(m.fuzzy_counts), m.group()))
+    for k, windows in candidates(norm, automaton, notices).items():
+        found.update((notices[k][0], *span) for span in verified(patterns[k], norm, windows))
     return sorted(found, key=lambda x: (x[1], x[2], x[0]))
 
 
@@ -118,9 +140,11 @@ def base_places(padded: str) -> tuple[list[int], set[str]]:
     """Word numbers at which phrases start, and the labels found. ``padded``: words with a space around each."""
     starts, labels = [], set()
     for phrase, label in BASE_PHRASES:
-        sought, at = f" {phrase} ", -1
+        sought, at, seen, word = f" {phrase} ", -1, 0, 0
         while (at := padded.find(sought, at + 1)) >= 0:
-            starts.append(padded.count(" ", 0, at + 1) - 1)
+            word += padded.count(" ", seen, at)
+            seen = at
+            starts.append(word)
             labels.add(label)
     return starts, labels
 
