@@ -1,10 +1,12 @@
 """WARC derivatives: linked metadata and plain-text conversion records of responses.
 
 Each response record gives a metadata record (its source headers, its HTTP headers, digests and page facts as
-canonical JSON) and a conversion record (the page's text), both with WARC-Refers-To of the response.  The
-records are written as one gzip member each to WARC files in the shared folder; rows carry file, offset,
-length and digests.  Other record types give no derivatives, and a damaged record gives a metadata record
-with its error and no conversion.
+canonical JSON) and a conversion record (the page's text), both with WARC-Refers-To of the response.  A page
+is taken out of chunked and gzip or deflate coding and read in the charset of its header, its byte order mark
+or its meta tag, else as UTF-8.  The records are written as one gzip member each to WARC files in the shared
+folder, after a warcinfo record; rows carry file, offset, length and digests.  Other record types give no
+derivatives, and a damaged record, or a page in an unknown or broken coding, gives a metadata record with its
+error and no conversion.  Source digests by SHA-1, SHA-256 or MD5 are compared; by others they hold as null.
 
 Defined results: a null record, url or page counts as empty; null page ids stay; equal pages give equal
 texts; an empty table gives an empty result; other columns are ignored.
@@ -13,12 +15,14 @@ texts; an empty table gives an empty result; other columns are ignored.
 from __future__ import annotations
 
 import base64
+import codecs
 import gzip
 import hashlib
 import html
 import json
 import re
 import uuid
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,14 +36,18 @@ from tallyloom.llm.shared_files import Ranges, new_file
 FILE_BYTES = 64 << 20
 DATE = "2026-01-01T00:00:00Z"
 _END = b"\r\n\r\n"
-_HIDDEN = re.compile(r"(?is)<!--.*?-->|<(script|style|head|noscript|template)\b.*?</\1\s*>")
-_BREAK = re.compile(r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|blockquote|pre)\b|br|hr)[^>]*>")
+_HIDDEN = re.compile(r"(?i)<!--|<(script|style|head|noscript|template)\b")
+_CLOSED = {"": re.compile("-->")} | {n: re.compile(rf"(?i)</{n}\s*>") for n in ("script", "style", "head", "noscript", "template")}
+_BREAK = re.compile(r"(?i)<(?:/?(?:p|div|h[1-6]|li|ul|ol|tr|table|article|section|header|footer|nav|blockquote|pre)\b|br|hr)[^<>]*>")
 _TAG = re.compile(r"<(?=[A-Za-z/!?])[^<>]*>")
-_TITLE = re.compile(r"(?is)<title[^>]*>(.*?)</title>")
-_LANG = re.compile(r"(?i)<html[^>]*\blang=[\"']?([a-z-]+)")
-_LINK = re.compile(r"(?i)<a\b[^>]*\bhref=[\"']?([^\"'\s>]+)")
+_TITLE = re.compile(r"(?i)<title\b[^<>]*>([^<]*)</title")
+_LANG = re.compile(r"(?i)<html\b[^<>]*\blang=[\"']?([a-z-]+)")
+_LINK = re.compile(r"(?i)<a\b[^<>]*\bhref=[\"']?([^\"'\s>]+)")
 _BLANKS = re.compile(r"[ \t\r\f\v]+")
-_CHARSET = re.compile(rb"(?i)charset=([\w-]+)")
+_CHARSET = re.compile(r"(?i)charset\s*=\s*[\"']?([\w.:-]+)")
+_META = re.compile(r"(?i)<meta\b[^<>]*>")
+_MARKS = ((codecs.BOM_UTF8, "utf-8-sig"), (codecs.BOM_UTF16_LE, "utf-16"), (codecs.BOM_UTF16_BE, "utf-16"))
+_META_BYTES = 4096
 
 
 def record_id(kind: str, name: str) -> str:
@@ -65,6 +73,13 @@ def response(page_id: int | None, url: str, page: str) -> bytes:
     ], http + body)
 
 
+def warcinfo(file: str) -> bytes:
+    """The first record of a file."""
+    name = file.rsplit("/", 1)[-1]
+    fields = b"format: WARC File Format 1.0\r\ndescription: metadata and plain text of responses\r\n"
+    return record([("WARC-Type", "warcinfo"), ("WARC-Record-ID", record_id("warcinfo", file)), ("WARC-Date", DATE), ("WARC-Filename", name), ("WARC-Block-Digest", digest(fields)), ("Content-Type", "application/warc-fields")], fields)
+
+
 def one_line(value: str) -> str:
     return re.sub(r"[\r\n]+", " ", value)
 
@@ -102,9 +117,79 @@ def split_header(line: bytes) -> tuple[str, str]:
     return name.strip(), value.strip()
 
 
+def holds(kept: str | None, payload: bytes) -> bool | None:
+    """Whether a labelled digest, in base 32 or hexadecimal, is that of the payload; null if there is none of a known kind."""
+    kind, _, value = (kept or "").partition(":")
+    if kind.lower() not in ("sha1", "sha256", "md5"):
+        return None
+    own = hashlib.new(kind.lower(), payload).digest()
+    return value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=") or value.lower() == own.hex()
+
+
+def unchunked(data: bytes) -> bytes:
+    out, at = [], 0
+    while True:
+        end = data.find(b"\r\n", at)
+        size = int(data[at:end].split(b";")[0], 16) if end >= 0 else -1
+        if size < 0 or end + 2 + size > len(data):
+            raise ValueError("broken chunks")
+        if not size:
+            return b"".join(out)
+        out.append(data[end + 2 : end + 2 + size])
+        at = end + 4 + size
+
+
+def body_of(http: Headers, payload: bytes) -> bytes:
+    """The page out of its transfer and content codings; ValueError if one is unknown or broken."""
+    if "chunked" in (http.get("Transfer-Encoding") or "").lower():
+        payload = unchunked(payload)
+    for coding in reversed([x.strip().lower() for x in (http.get("Content-Encoding") or "").split(",")]):
+        if coding in ("", "identity"):
+            continue
+        if coding not in ("gzip", "x-gzip", "deflate"):
+            raise ValueError(f"unknown coding {coding}")
+        try:
+            if coding == "deflate":
+                payload = zlib.decompress(payload, zlib.MAX_WBITS if payload[:1] == b"\x78" else -zlib.MAX_WBITS)
+            else:
+                payload = gzip.decompress(payload)
+        except (OSError, EOFError, zlib.error) as e:
+            raise ValueError(f"broken {coding}") from e
+    return payload
+
+
+def charset_of(http: Headers, body: bytes) -> str:
+    """The first known charset of header, byte order mark and meta tag."""
+    named = [m[1] for m in [_CHARSET.search(http.get("Content-Type") or "")] if m]
+    named += [name for mark, name in _MARKS if body.startswith(mark)]
+    named += [m[1] for tag in _META.findall(body[:_META_BYTES].decode("latin-1")) for m in [_CHARSET.search(tag)] if m]
+    for name in named:
+        try:
+            if codecs.lookup(name)._is_text_encoding:
+                return name
+        except LookupError:
+            continue
+    return "utf-8"
+
+
+def shown(page: str) -> str:
+    """The page without comments and parts that are not seen; a part that is never closed stays."""
+    out, at, seek, open_ended = [], 0, 0, set()
+    while found := _HIDDEN.search(page, seek):
+        name = (found[1] or "").lower()
+        end = None if name in open_ended else _CLOSED[name].search(page, found.end())
+        if end:
+            out += [page[at : found.start()], " "]
+            at = seek = end.end()
+        else:
+            open_ended.add(name)  # no later one is closed either
+            seek = found.end()
+    return "".join(out) + page[at:]
+
+
 def plain_text(page: str) -> str:
     """Lines of visible text."""
-    text = _TAG.sub("", _BREAK.sub("\n", _HIDDEN.sub(" ", page)))
+    text = _TAG.sub("", _BREAK.sub("\n", shown(page)))
     lines = (_BLANKS.sub(" ", x).strip() for x in html.unescape(text).split("\n"))
     return "\n".join(x for x in lines if x)
 
@@ -125,8 +210,12 @@ def derivatives(raw: bytes) -> tuple[bytes, bytes | None, dict] | None:
     lines = head.split(b"\r\n")
     http = Headers(lines[1:] if mark else [])
     payload = body if mark else b""
-    charset = _CHARSET.search(head)
-    page = payload.decode(charset[1].decode() if charset and charset[1].lower() in (b"utf-8", b"latin-1", b"iso-8859-1", b"us-ascii") else "utf-8", "replace")
+    try:
+        body = body_of(http, payload)
+    except ValueError as e:
+        body, error = b"", error or str(e)
+    charset = charset_of(http, body)
+    page = body.decode(charset, "replace")
     text = plain_text(page)
     title = _TITLE.search(page)
     lang = _LANG.search(page)
@@ -135,7 +224,7 @@ def derivatives(raw: bytes) -> tuple[bytes, bytes | None, dict] | None:
     facts = {
         "envelope": headers.pairs, "http": {"status": lines[0].decode("utf-8", "replace") if mark else "", "headers": http.pairs},
         "title": html.unescape(title[1]).strip() if title else "", "lang": lang[1].lower() if lang else "", "links": links,
-        "payload-digest": digest(payload), "digest-holds": kept == digest(payload) if kept else None, "error": error,
+        "payload-digest": digest(payload), "digest-holds": holds(kept, payload), "charset": charset, "error": error,
     }
     about = json.dumps(facts, ensure_ascii=False, sort_keys=True, separators=(",", ":")).encode("utf-8", "surrogatepass")
     words = text.encode("utf-8", "surrogatepass")
@@ -182,12 +271,15 @@ def build(records: DataFrame) -> DataFrame:
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = ((i, raw.as_py() or b"") for b in batches for i, raw in zip(b.column(0).to_pylist(), b.column(1)))
-        part, seq = TaskContext.get().partitionId(), 0
+        part, seq, attempt = TaskContext.get().partitionId(), 0, TaskContext.get().taskAttemptId()
         row = next(rows, None)
         while row is not None:
-            file = f"{folder}/part-{part:06d}-{seq:06d}.warc.gz"
-            found, at = [], 0
+            file = f"{folder}/part-{part:06d}-{seq:06d}-{attempt}.warc.gz"  # only files of the attempt that counts get into the index
+            found = []
             with new_file(file) as sink:
+                about = gzip.compress(warcinfo(file), 6, mtime=0)
+                sink.write(about)
+                at = len(about)
                 while row is not None and at < FILE_BYTES:
                     made = derivatives(row[1])
                     if made is not None:
