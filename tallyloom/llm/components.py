@@ -1,12 +1,13 @@
 """Connected components of an edge table by alternating large and small stars.
 
-Each round is one shuffle on a node; a hub's edges shrink to one per neighbour, and the number of rounds
-grows with the logarithm of the components' size.  Only counts reach the driver.
+Each round joins a node's neighbours with the least of them, which partial minima give, so a hub's edges may
+be split among tasks; they shrink to one per neighbour, and the number of rounds grows with the logarithm of
+the components' size.  Only counts reach the driver.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyloom.llm.common import stored
@@ -18,8 +19,8 @@ def _both(edges: DataFrame) -> DataFrame:
 
 def _star(directed: DataFrame, large: bool) -> DataFrame:
     """Links each node's neighbours to the smallest of them and itself: those above the node, or those below and the node."""
-    least = F.least(F.min("v").over(Window.partitionBy("u")), F.col("u"))
-    seen = directed.withColumn("m", least)
+    least = directed.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))  # a hub is summed up before the shuffle
+    seen = directed.join(least, "u")
     if large:
         out = seen.filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
