@@ -38,7 +38,9 @@ def op2_quality_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.scan(table(spark, sf_dir, "documents")).drop("spans")
+    """With the spans as text: label, first character, end, edits."""
+    rows = license_scan.scan(table(spark, sf_dir, "documents"))
+    return rows.withColumn("spans", F.array_join(F.transform("spans", lambda s: F.format_string("%s:%d-%d:%d", s["label"], s["start"], s["end"], s["edits"])), ";"))
 
 
 def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,7 +123,7 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each system or user turn is a call, which needs the conversation's first call and the one before it;
     an assistant's turn is the result of the last call before it."""
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    before = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, -1)
     is_call = F.col("role").isin("system", "user")
     name = F.concat(F.lit("c"), F.col("turn").cast("string"))
     own = F.when(is_call, name)
@@ -136,7 +138,7 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
 OP10_SQL = """
 with turns as (select conv_id, turn, role, text, case when role in ('system', 'user') then 'c' || turn end as own from conversations),
 placed as (select *, last_value(own ignore nulls) over w as last, first_value(own ignore nulls) over w as start
-  from turns window w as (partition by conv_id order by turn rows between unbounded preceding and 1 preceding)),
+  from turns window w as (partition by conv_id order by turn, role nulls first, text nulls first rows between unbounded preceding and 1 preceding)),
 calls as (select *, row_number() over (partition by conv_id order by turn) - 1 as level from placed where own is not null),
 results as (select conv_id, last as own, arg_min(text, turn) as result from placed where role = 'assistant' and last is not null group by all),
 checked as (select c.*, r.result, r.own is not null as linked,
