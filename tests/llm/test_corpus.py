@@ -125,6 +125,52 @@ def test_budgets_go_to_brothers_first(spark):
     assert got["x"] == 10 and got["y"] == 1005 // 2 - 10 and got["z"] == 1005 // 2 and got["w"] == 0
 
 
+def brute_budgets(tree, weights, budget, epochs=1):
+    """Leaves' targets by sharing each budget among open brothers until it is spent or none has room. ``tree``: nested, tokens at the leaves."""
+
+    def room(node, w):
+        if w <= 0:
+            return 0
+        return epochs * node if isinstance(node, int) else sum(room(x, weights.get(k, 1)) for k, x in node.items())
+
+    out = {}
+
+    def share(node, given):
+        left, got = given, {k: 0.0 for k in node}
+        while left > 1e-9:
+            still = {k: weights.get(k, 1) for k, x in node.items() if weights.get(k, 1) > 0 and room(x, weights.get(k, 1)) - got[k] > 1e-9}
+            if not still:
+                break
+            part, spent = left / sum(still.values()), 0.0
+            for k, w in still.items():
+                more = min(part * w, room(node[k], w) - got[k])
+                got[k] += more
+                spent += more
+            left -= spent
+        for k, x in node.items():
+            if isinstance(x, int):
+                out[k] = got[k]
+            else:
+                share(x, int(got[k] + 1e-9))
+
+    share(tree, budget)
+    return {k: int(v + 1e-9) for k, v in out.items()}
+
+
+def test_weight_zero_is_no_capacity(spark):
+    cases = [
+        ({"a": {"x": 100, "y": 100}, "b": {"z": 1000}}, {"x": 0}, (1, 3)),
+        ({"a": {"x": 50, "y": 70}, "b": {"z": 10, "u": 400}, "c": {"v": 300}}, {"c": 0, "u": 3, "a": 2}, (1, 2)),
+        ({"a": {"x": 0, "y": 7}, "b": {"z": 0}}, {}, (1, 1)),
+    ]
+    for tree, weights, (num, den) in cases:
+        rows = [(d, s, n) for d, kids in tree.items() for s, n in kids.items()]
+        leaves = spark.createDataFrame(rows, "d string, s string, tokens long")
+        got = {r.s: r.target for r in mixing.leaf_budgets(leaves, ["d", "s"], {"d": weights, "s": weights}, (num, den), 1).collect()}
+        want = brute_budgets(tree, weights, sum(n for *_, n in rows) * num // den)
+        assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+
+
 def test_mixing_edges(spark, edge_docs, empty_docs):
     out = mixing.mix(edge_docs, queries.mix_levels(), {}, share=(2, 1), epochs=2, seed=1)
     copies = {(r["__mix_tokens"] > 0, r["__mix_copies"]) for r in out.collect()}

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 import regex
@@ -121,6 +122,39 @@ def test_license_spans_match_whole_text_search():
     assert L.fuzzy_spans(" nothing of that kind ") == []
 
 
+def test_repeated_notices_give_a_span_each():
+    gpl = " gnu genral public license gnu general public license gnu public licence "
+    assert [(s[1], s[3]) for s in L.fuzzy_spans(gpl) if s[0] == "gpl"][:2] == [(1, 1), (27, 0)]
+    mpl = " mozilla publc license mozilla public license mozila public license "
+    assert [(s[0], s[3]) for s in L.fuzzy_spans(mpl)] == [("mpl", 1), ("mpl", 0), ("mpl", 1)]
+
+
+def test_spans_leave_no_match_beside_them():
+    random.seed(9)
+    own = [n for n in L.NOTICES if n[0] in ("gpl", "mpl", "lgpl")]
+    for _ in range(25):
+        words = []
+        for _ in range(random.randint(1, 7)):
+            chars = list(random.choice(own)[1])
+            for _ in range(random.randint(0, 3)):
+                chars[random.randrange(len(chars))] = random.choice("qx ")
+            words.append("".join(chars))
+        text = f" {' '.join(words)} "
+        spans = L.fuzzy_spans(text)
+        for label, notice, edits in own:
+            at = 0
+            for start, end in [*sorted((s[1], s[2]) for s in spans if s[0] == label), (len(text), len(text))]:
+                assert start >= at and least_edits(notice, text[at:start]) > edits
+                at = end
+
+
+def test_very_long_texts_take_linear_time():
+    began = time.process_time()
+    for text, n in (("mit license " * 40_000, 40_000), ("all rights reservd " * 4_000, 0), ("gnu general public " * 4_000, 0)):
+        assert L.scan_text(text)[1] == n
+    assert time.process_time() - began < 60
+
+
 def least_edits(notice, text):
     """Of any part of the text."""
     row = list(range(len(notice) + 1))

@@ -1,5 +1,7 @@
+import gzip
 import hashlib
 import json
+import time
 import zlib
 from html.parser import HTMLParser
 
@@ -142,6 +144,37 @@ def test_warc_text_matches_the_standard_parser(spark, sf_dir):
     assert W.plain_text("<nav>Home</nav><p>1 < 2 and 3 > 2</p>") == "Home\n1 < 2 and 3 > 2"
 
 
+def coded(page, headers, body=None):
+    body = page if body is None else body
+    http = b"HTTP/1.1 200 OK\r\n" + b"".join(h + b"\r\n" for h in headers) + b"\r\n" + body
+    return W.derivatives(W.record([("WARC-Type", "response"), ("WARC-Record-ID", "<urn:x>"), ("WARC-Payload-Digest", "sha256:" + hashlib.sha256(body).hexdigest())], http))
+
+
+def test_warc_codings_and_charsets():
+    text = "<p>Привет мир</p>"
+    plain = text.encode()
+    chunks = b"5;x=y\r\n" + plain[:5] + b"\r\n" + b"%x\r\n" % len(plain[5:]) + plain[5:] + b"\r\n0\r\n\r\n"
+    cases = [
+        ([], plain), ([b"Content-Encoding: gzip"], gzip.compress(plain)), ([b"content-encoding: deflate"], zlib.compress(plain)), ([b"Content-Encoding: deflate"], zlib.compress(plain)[2:-4]),
+        ([b"Transfer-Encoding: chunked"], chunks), ([b"Content-Type: text/html; charset=windows-1251"], text.encode("windows-1251")), ([], b"<meta charset='windows-1251'>" + text.encode("windows-1251")),
+        ([b"Content-Type: text/html; charset=none-such"], plain), ([], "\ufeff".encode("utf-16-le") + text.encode("utf-16-le")),
+    ]
+    for headers, body in cases:
+        meta, conversion, columns = coded(None, headers, body)
+        assert W.parse(conversion)[1].decode() == "Привет мир" and columns["digest_holds"] is True and columns["error"] is None, headers
+    for headers, body, error in (([b"Content-Encoding: br"], plain, "unknown coding br"), ([b"Content-Encoding: gzip"], plain, "broken gzip"), ([b"Transfer-Encoding: chunked"], plain, None)):
+        meta, conversion, columns = coded(None, headers, body)
+        assert conversion is None and columns["error"] and (error is None or columns["error"] == error)
+        assert json.loads(W.parse(meta)[1])["error"] == columns["error"]
+
+
+def test_warc_unclosed_tags_take_linear_time():
+    began = time.process_time()
+    assert W.plain_text("<script " * 200_000 + "<p>x<!--" + "<style>" * 100_000) is not None
+    assert time.process_time() - began < 10
+    assert W.plain_text("a<script>b</script>c<style>d") == "a cd"
+
+
 def test_warc_headers_repeat_in_any_case():
     http = b"HTTP/1.1 200 OK\r\nSet-Cookie: a=1\r\nSet-Cookie: b=2\r\n\r\n<p>x</p>"
     raw = W.record([("warc-type", "response"), ("warc-record-id", "<urn:x>"), ("Via", "1"), ("Via", "2")], http).replace(b"Content-Length", b"content-length")
