@@ -34,6 +34,27 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def with_small_batches(df: DataFrame) -> DataFrame:
+    """Rows go to Python workers in Arrow batches of BATCH_BYTES, or of the session's own bound if that is smaller.
+
+    A batch is held several times over, in the JVM, in transit and in Python; Spark's own bound is 64 MB.
+    """
+    spark = df.sparkSession
+    if not 0 < _bytes(spark.conf.get(_BATCH, "64m")) <= BATCH_BYTES:
+        spark.conf.set(_BATCH, str(BATCH_BYTES))
+    return df
+
+
+def _bytes(setting: str) -> int:
+    text = setting.lower().rstrip("b")
+    scale = {"k": 10, "m": 20, "g": 30}.get(text[-1:], 0)
+    return int(text[:-1] if scale else text) << scale
+
+
 def text_of(column: str = "text") -> Column:
     """Nulls count as the empty text."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import maybe_in, stored, text_of
+from tallyloom.llm.common import maybe_in, stored, text_of, with_small_batches
 from tallyloom.llm.components import components
 
 WIDTH = 4
@@ -38,8 +38,8 @@ SLOTS = 1 << 20  # the count sketch, of 4 MB when broadcast
 SLICE = 1 << 10
 MOST_MATCHES = 6
 VERIFY_COST = 0.25  # of one shingle, against looking at one holder
-SEEN_SETS = 500_000
-_ROWS = 4096
+SEEN_SETS = 100_000
+_TOKENS = 1 << 16  # of an output batch, or one set's
 
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)  # odd multipliers
 
@@ -61,7 +61,7 @@ def shingle_set(text: str, width: int = WIDTH) -> np.ndarray:
 
 
 def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return with_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
 
 
 def _counted_sets(docs: DataFrame, width: int, slots: int) -> DataFrame:
@@ -140,7 +140,7 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
         counts, usual = shared.value
         seen: set[bytes] = set()
         for batch in batches:
-            tokens, rows = [], []
+            tokens, rows, size = [], [], 0
             for text in batch.column(0):
                 own = shingle_set(text.as_py(), width)
                 node = set_digest(own)
@@ -152,9 +152,10 @@ def _prefixes(docs: DataFrame, counts: np.ndarray, width: int, percent: int) ->
                 first, matches, common = prefix(own, counts, usual, percent)
                 tokens.append(first.view(np.int64))
                 rows.append((node, len(own), matches, common))
-                if len(rows) == _ROWS:
+                size += len(first)
+                if size >= _TOKENS:
                     yield batch_of(tokens, rows)
-                    tokens, rows = [], []
+                    tokens, rows, size = [], [], 0
             if rows:
                 yield batch_of(tokens, rows)
 

@@ -35,13 +35,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import text_of
+from tallyloom.llm.common import text_of, with_small_batches
 
 SPACE = "▁"
-CACHE_BYTES = 96 << 20
+CACHE_BYTES = 64 << 20
 ENTRY_BYTES = 250  # of a remembered cut besides its ids
 GROUP_CHARS = 1 << 20
 LONG_CUT = 48
+TOGETHER = 1 << 13  # cuts
 NORMAL, USER_DEFINED, BYTE = 1, 4, 6  # kinds of pieces in a model's file
 UNIGRAM, BPE = 1, 2  # kinds of models
 UNKNOWN_PENALTY = np.float32(10)
@@ -55,7 +56,7 @@ class Table:
     """A fixed map of whole numbers, looked up as arrays: levels of slots, each for keys whose slot was taken before."""
 
     def __init__(self, keys: np.ndarray, values: np.ndarray, level: int = 0):
-        bits = max(6, (4 * len(keys)).bit_length())
+        bits = max(6, (2 * len(keys)).bit_length())
         self._odd, self._shift = np.uint64(0x9E3779B97F4A7C15 + 2 * 0x632BE59BD9B4E019 * level & (1 << 64) - 1), np.uint64(64 - bits)
         self._keys, self._values, self._next = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int64), None
         slots, first = np.unique(self._slots(keys), return_index=True)
@@ -299,9 +300,17 @@ class Transducer:
         return [k for ids in reversed(out) for k in ids]
 
     def shortest_paths(self, cuts: list[str]) -> list[bytes]:
-        """The same for many texts at once: place by place, all texts' arcs from it together."""
+        """The same for many texts, some of about one length at once."""
         order = sorted(range(len(cuts)), key=lambda k: -len(cuts[k]))
-        texts = [cuts[k] for k in order]
+        out = [b""] * len(cuts)
+        for at in range(0, len(order), TOGETHER):
+            own = order[at : at + TOGETHER]
+            for k, ids in zip(own, self._solved([cuts[k] for k in own])):
+                out[k] = ids
+        return out
+
+    def _solved(self, texts: list[str]) -> list[bytes]:
+        """Shortest paths of texts, the longest first: place by place, all texts' arcs from it together."""
         sizes = np.array([len(t) for t in texts], np.int64)
         n, most = len(texts), int(sizes.max(initial=0))
         flat = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
@@ -330,7 +339,7 @@ class Transducer:
                 piece = self._ends[node]
                 ends = np.flatnonzero(piece >= 0)
                 self._relax(i, j + 1, rows[ends], piece[ends], chars, best, last, arc, back)
-        return self._traced(order, sizes, arc, back)
+        return self._traced(sizes, arc, back)
 
     def _relax(self, i: int, j: int, rows: np.ndarray, piece: np.ndarray | None, chars: np.ndarray, best: np.ndarray, last: np.ndarray, arc: np.ndarray, back: np.ndarray) -> None:
         """Takes arcs from place i to j where they make lighter paths; ``piece`` None: the fallback of the character."""
@@ -349,14 +358,14 @@ class Transducer:
         best[j, rows], last[j, rows], back[j, rows] = total[new], piece[new], i
         arc[j, rows] = piece[new] if codes is None else -2 - codes[better][new]
 
-    def _traced(self, order: list[int], sizes: np.ndarray, arc: np.ndarray, back: np.ndarray) -> list[bytes]:
+    def _traced(self, sizes: np.ndarray, arc: np.ndarray, back: np.ndarray) -> list[bytes]:
         at, rows, steps = sizes.copy(), np.flatnonzero(sizes), []
         while len(rows):
             steps.append((rows, arc[at[rows], rows]))
             at[rows] = back[at[rows], rows]
             rows = rows[at[rows] > 0]
         if not steps:
-            return [b""] * len(order)
+            return [b""] * len(sizes)
         rows, ids = (np.concatenate(x) for x in zip(*reversed(steps)))
         sort = np.argsort(rows, kind="stable")
         rows, ids = rows[sort], ids[sort]
@@ -373,11 +382,8 @@ class Transducer:
                     wide[first + k] = i
             ids = wide
         raw = ids.astype("<u4").tobytes()
-        ends = (4 * np.cumsum(np.bincount(rows, minlength=len(order)))).tolist()
-        out = [b""] * len(order)
-        for k, a, b in zip(order, [0, *ends[:-1]], ends):
-            out[k] = raw[a:b]
-        return out
+        ends = (4 * np.cumsum(np.bincount(rows, minlength=len(sizes)))).tolist()
+        return [raw[a:b] for a, b in zip([0, *ends[:-1]], ends)]
 
     # Texts
 
@@ -451,7 +457,7 @@ def transducer(path: str) -> Transducer:
 
 
 def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    return with_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[int | None], list[str]]]:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import text_of
+from tallyloom.llm.common import text_of, with_small_batches
 
 SAMPLE = 2000
 SAMPLE_CHARS, PARTS = 1 << 16, 16
@@ -174,7 +174,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             found = [1.0 if model is None else score_text(model, t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.float64())], schema=kinds)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")).mapInArrow(scored, "doc_id long, score double")
+    return with_small_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))).mapInArrow(scored, "doc_id long, score double")
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -195,4 +195,4 @@ def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
             good = [model is None or score_text(model, t.as_py() or "") >= THRESHOLD for t in batch.column(at)]
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(kept, docs.schema)
+    return with_small_batches(docs).mapInArrow(kept, docs.schema)

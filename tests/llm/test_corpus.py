@@ -102,6 +102,25 @@ def test_sample_has_one_text_of_each_label_row(spark, monkeypatch):
     assert got == [("text 00", 0), ("second", 1), ("", 0)]
 
 
+def test_very_long_texts_train_by_pieces_from_all_over(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SAMPLE_CHARS", 64)
+    rows = [(i, "".join(chr(97 + k % 26) for k in range(n))) for i, n in enumerate((0, 63, 64, 65, 1000))]
+    got = {r.doc_id: r.text for r in spark.createDataFrame(rows, "doc_id long, text string").select("doc_id", Q._bounded(F.col("text")).alias("text")).collect()}
+    for i, text in rows:
+        if len(text) <= 64:
+            assert got[i] == text
+        else:
+            assert len(got[i]) == 64 and got[i][:4] == text[:4] and got[i][-4:] == text[-4:]
+
+
+def test_sample_passes_over_labels_without_a_document(spark, monkeypatch):
+    monkeypatch.setattr(Q, "SAMPLE", 40)
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(3000)], "doc_id long, quality int")
+    own = [i for i in range(60) if zlib.crc32(str(i).encode()) % Q.FOLD != Q.HELD_OUT]
+    assert len(Q.sample_of(docs, labels)) == min(40, len(own))
+
+
 def test_chunks_cover_the_text():
     for n in (0, 1, 255, 256, 257, 447, 448, 449, 5000):
         text = "".join(chr(97 + k % 26) for k in range(n))
