@@ -115,7 +115,3 @@ def thesis(rows: DataFrame) -> DataFrame:
 def eval_line(rows: DataFrame) -> DataFrame:
     """Measures as markdown rows. ``rows``: configuration, hit_rate, mrr."""
     return rows.select(F.format_string("| %s | %.0f%% | %.3f |", "configuration", c("hit_rate") * 100, "mrr").alias("line"))
-
-
-def upside_of(value: Column, price: Column) -> Column:
-    return X.upside(value, price)

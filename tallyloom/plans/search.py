@@ -107,6 +107,68 @@ def q_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hit_and_mrr(rows.withColumn("hit", F.coalesce(plain(c("body")).contains(plain(c("wanted"))), F.lit(False)))).select("questions", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
 
+# Configurations of retrieval, each with one more stage: lists, then filter and boosts, then outside scores.
+LISTS = {1: ["dense"], 2: ["dense", "sparse"], 3: ["dense", "sparse", "variant"], 4: ["dense", "sparse", "variant"], 5: ["dense", "sparse", "variant"]}
+NAMES = {1: "dense only", 2: "+ sparse", 3: "+ query expansion", 4: "+ metadata filters", 5: "+ reranking"}
+FILTERED, RERANKED, SHORTLIST = 4, 5, 20
+
+_STAGES_SQL = _FUSED_SQL + """,
+dense_ as (select b.item_id as query_id, v.vec_id as chunk_id, round(list_cosine_similarity(e.embedding::double[], v.embedding::double[]), 12) as s from benchmark b join embeddings e on e.vec_id = b.item_id join embeddings v on v.vec_id in (select doc_id from documents)),
+dense_top as (select *, row_number() over (partition by query_id order by s desc, chunk_id) as rank from dense_ qualify rank <= 25),
+lists as (select 'dense' as l, 1.0::double as w, query_id, chunk_id, rank from dense_top union all select 'sparse', 1.0::double, query_id, chunk_id, rank from bm_top union all select 'variant', 0.5::double, query_id, chunk_id, rank from long_top),
+conf as (select unnest([1, 2, 2, 3, 3, 3, 4, 4, 4, 5, 5, 5]) as k, unnest(['dense', 'dense', 'sparse', 'dense', 'sparse', 'variant', 'dense', 'sparse', 'variant', 'dense', 'sparse', 'variant']) as l),
+all_fused as (select k, query_id, chunk_id, sum(w / (60 + rank)) as s from conf join lists using (l) group by all),
+all_boosted as (select k, query_id, chunk_id, lang, round(case when k < 4 then s else s * case when kind = 'table' then 1.25::double else 1 end * case fiscal_year when 2024 then 1.35::double when 2023 then 1.10::double else 1 end end, 12) as score from all_fused join docs using (chunk_id)),
+all_soft as (select * from (select *, count(*) filter (k < 4 or lang = 'en') over (partition by k, query_id) as n from all_boosted) where n < 5 or k < 4 or lang = 'en'),
+short as (select *, row_number() over (partition by k, query_id order by score desc, chunk_id) as rank from all_soft qualify rank <= 20),
+outside as (select *, case when k = 5 and chunk_id % 3 <> 0 then 1.0 + chunk_id % 9 end as o from short),
+scored as (select *, case when max(o is not null) over (partition by k, query_id) then coalesce(o, 2.0) else 0 end as rr from outside),
+placed as (select *, row_number() over (partition by k, query_id order by rr desc, rank) as place from scored qualify place <= 8)
+"""
+
+
+def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every question under every configuration: query_id (a struct of configuration and question), chunk_id, score, place.
+
+    Each list is made once.  Vectors of one number stand for a question and a chunk; an outside model's scores are made up of numbers.
+    """
+    asked, chunks = questions(spark, sf_dir), chunks_of(spark, sf_dir)
+    vectors = lambda key, ids: table(spark, sf_dir, "embeddings").select(c("vec_id").alias(key), c("embedding").alias("embedding")).join(ids.select(key), key, "left_semi")
+    near = S.dense(vectors("query_id", asked), vectors("chunk_id", chunks), 25)
+    long_words = asked.select("query_id", F.concat_ws(" ", F.filter(T.tokens(c("text")), lambda t: F.length(t) >= 6)).alias("text"))
+    other = S.top(S.bm25(long_words, chunks).withColumn("score", F.round("score", 9)), 25)
+    parts = [x.select(F.lit(n).alias("list"), F.lit(w).alias("weight"), "query_id", "chunk_id", "rank") for n, w, x in (("dense", 1.0, near), ("sparse", 1.0, bm25_list(spark, sf_dir)), ("variant", 0.5, other))]
+    used = F.create_map(*[x for n in ("dense", "sparse", "variant") for x in (F.lit(n), F.array(*(F.lit(k) for k, names in LISTS.items() if n in names)))])
+    lists = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("k", F.explode(used[c("list")]))
+    fused = S.fuse(lists.withColumn("query_id", F.struct("k", "query_id"))).join(chunks.drop("body"), "chunk_id")
+    late = c("query_id.k") >= FILTERED
+    boosted = S.boost(fused, F.lit(True), F.array().cast("array<int>"), F.lit(2024)).withColumnRenamed("score", "boosted")
+    rows = fused.select("query_id", "chunk_id", "score").join(boosted, ["query_id", "chunk_id"]).withColumn("score", F.round(F.when(late, c("boosted")).otherwise(c("score")), 12)).drop("boosted")
+    short = S.top(S.soft_filter(rows, ~late | (c("lang") == "en")), SHORTLIST)
+    outside = short.filter((c("query_id.k") == RERANKED) & (c("chunk_id") % 3 != 0)).select("query_id", "chunk_id", (c("chunk_id") % 9 + 1.0).alias("score"))
+    return S.rerank(short, outside)
+
+
+@query("q_retrieve_full", "with " + _STAGES_SQL + " select query_id, chunk_id, cast(place as int) as place, round(score, 8) as score from placed where k = 5")
+def q_retrieve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = staged(spark, sf_dir).filter(c("query_id.k") == RERANKED)
+    return rows.select(c("query_id.query_id").alias("query_id"), "chunk_id", "place", F.round("score", 8).alias("score"))
+
+
+@query("q_ablations", "with " + _STAGES_SQL + """, conf_ as (select unnest([1, 2, 3, 4, 5]) as k, unnest(['dense only', '+ sparse', '+ query expansion', '+ metadata filters', '+ reranking']) as configuration),
+ m as (select configuration, b.item_id, p.place, d.body is not null and contains(replace(lower(d.body), ',', ''), replace(lower(b.text), ',', '')) as hit from conf_ join benchmark b on true left join placed p on p.query_id = b.item_id and p.k = conf_.k left join docs d using (chunk_id)),
+ g as (select configuration, item_id, min(place) filter (hit) as first from m group by all) select configuration, count(*) as questions, round(avg(case when first is not null then 1 else 0 end), 6) as hit_rate, round(sum(coalesce(1.0 / first, 0)) / count(*), 6) as mrr from g group by configuration""")
+def q_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hit rate and MRR of each configuration, which shows what each stage adds."""
+    names = F.create_map(*[x for k, n in NAMES.items() for x in (F.lit(k), F.lit(n))])
+    asked = questions(spark, sf_dir).withColumnRenamed("text", "wanted").withColumn("k", F.explode(F.array(*map(F.lit, NAMES))))
+    found = staged(spark, sf_dir).select(c("query_id.k").alias("k"), c("query_id.query_id").alias("query_id"), "chunk_id", c("place").alias("rank"))
+    plain = lambda x: F.replace(F.lower(x), F.lit(","), F.lit(""))
+    rows = asked.join(found, ["k", "query_id"], "left").join(chunks_of(spark, sf_dir).select("chunk_id", "body"), "chunk_id", "left")
+    rows = rows.withColumn("configuration", names[c("k")]).withColumn("hit", F.coalesce(plain(c("body")).contains(plain(c("wanted"))), F.lit(False)))
+    return S.hit_and_mrr(rows, "configuration").select("configuration", "questions", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
+
+
 _LINES_SQL = "lines as (select doc_id, i - 1 as chunk_index, l[i] as body from (select doc_id, string_split(text, chr(10)) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents))"
 
 

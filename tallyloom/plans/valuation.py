@@ -11,7 +11,7 @@ from tallyloom.operators import history as H
 from tallyloom.operators import valuation as V
 from tallyloom.plans.registry import query
 from tallyloom.settings import DEFAULTS
-from tallyloom.sources.tables import HISTORY_SQL, history, order_lines, table
+from tallyloom.sources.tables import HISTORY_SQL, full_year_lines, history, table
 
 c = F.col
 
@@ -322,7 +322,7 @@ select ticker, round(bottom_up, 2) as bottom_up, round(top_down, 2) as top_down,
 @query("q_segments", "with " + SEGMENTS_SQL)
 def q_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     net = c("l_extendedprice") * (1 - c("l_discount"))
-    seg = order_lines(spark, sf_dir).groupBy("ticker", c("l_returnflag").alias("segment"), "fiscal_year").agg((F.sum(F.round(net * 10000).cast("long")) / 10000).alias("revenue"))
+    seg = full_year_lines(spark, sf_dir).groupBy("ticker", c("l_returnflag").alias("segment"), "fiscal_year").agg((F.sum(F.round(net * 10000).cast("long")) / 10000).alias("revenue"))
     return rounded(rounded(V.segment_forecast(seg, inputs(spark, sf_dir)[0]), "bottom_up", "top_down", digits=2), "gap")
 
 

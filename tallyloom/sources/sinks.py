@@ -2,12 +2,21 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MAX_BYTES = 120 << 20
 
 
+def work_dir(spark: SparkSession) -> str:
+    """A fresh folder under spark.checkpoint.dir, which all executors see; where that is unset, as in local tests, a new one of this machine."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="spark-work-", dir="/tmp")
+    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
+
+
 def write_manifest(decisions: DataFrame, path: str, stamp: Column) -> None:
     """Accepted and rejected documents with their reasons, a folder per status."""
     decisions.withColumn("generated_at", stamp).write.mode("overwrite").partitionBy("status").parquet(path)

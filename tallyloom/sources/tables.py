@@ -30,6 +30,10 @@ def last_full_year(spark: SparkSession, sf_dir: str) -> Column:
     return table(spark, sf_dir, "orders").agg(F.year(F.date_add(F.max("o_orderdate").cast("date"), 1)) - 1).scalar()
 
 
+def full_year_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return order_lines(spark, sf_dir).filter(F.col("fiscal_year") <= last_full_year(spark, sf_dir))
+
+
 def exact(x, scale: int):
     return F.sum(F.round(x * scale).cast("long")) / scale
 
@@ -41,8 +45,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
     what groups, orders or joins them by company then needs no shuffle.  Lost ones are computed again.
     """
     price, net = F.col("l_extendedprice"), F.col("l_extendedprice") * (1 - F.col("l_discount"))
-    lines = order_lines(spark, sf_dir).filter(F.col("fiscal_year") <= last_full_year(spark, sf_dir))
-    sums = lines.groupBy("ticker", "fiscal_year").agg(
+    sums = full_year_lines(spark, sf_dir).groupBy("ticker", "fiscal_year").agg(
         F.count("*").alias("n"), F.sum(F.col("l_quantity").cast("long")).alias("qty"), exact(net, 10000).alias("revenue"),
         exact(price, 100).alias("gross"), exact(net * F.col("l_tax"), 1000000).alias("duty"),
     )
