@@ -50,11 +50,11 @@ def q_snapshot_price(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", price.alias("price"))
 
 
-@query("q_qa_segments", "with s as (select l_suppkey as ticker, sum(case when l_returnflag = 'R' then cast(l_quantity as bigint) else 0 end) / sum(cast(l_quantity as bigint)) - 0.25::double as gap from lineitem group by l_suppkey) select ticker, 'CRITICAL' as severity from s where abs(gap) > 0.15::double")
+@query("q_qa_segments", "with s as (select l_orderkey as ticker, sum(case when l_returnflag = 'R' then cast(l_quantity as bigint) else 0 end) / sum(cast(l_quantity as bigint)) - 0.25::double as gap from lineitem group by l_orderkey) select ticker, 'CRITICAL' as severity from s where abs(gap) > 0.15::double")
 def q_qa_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers whose returned share is far from a quarter, as segments that do not reconcile."""
+    """Orders whose returned share is far from a quarter, as segments that do not reconcile."""
     qty = c("l_quantity").cast("long")
-    rows = table(spark, sf_dir, "lineitem").groupBy(c("l_suppkey").alias("ticker")).agg((F.sum(F.when(c("l_returnflag") == "R", qty).otherwise(0)) / F.sum(qty) - 0.25).alias("gap"))
+    rows = table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("ticker")).agg((F.sum(F.when(c("l_returnflag") == "R", qty).otherwise(0)) / F.sum(qty) - 0.25).alias("gap"))
     return Q.segment_gap(rows).select("ticker", "severity")
 
 
