@@ -113,9 +113,11 @@ def op9_piece_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return piece_transducer.round_trip(table(spark, sf_dir, "documents"), vocabulary("piece_bpe_32k.model"))
 
 
+# Schemas of the two tools that the turns are taken as.
+_TEXT, _TURN = {"type": "string", "minLength": 1}, {"type": "integer", "minimum": 0}
 TOOLS = {
-    "context": {"text": ("string", True), "turn": ("integer", True)},
-    "reply": {"text": ("string", True), "turn": ("integer", True), "after": ("string", False)},
+    "context": {"type": "object", "properties": {"text": _TEXT, "turn": _TURN}, "required": ["text", "turn"], "additionalProperties": False},
+    "reply": {"type": "object", "properties": {"text": _TEXT, "turn": _TURN, "after": {"type": "string", "pattern": "^c[0-9]+$"}}, "required": ["text", "turn"], "additionalProperties": False},
 }
 
 
@@ -128,7 +130,7 @@ def op10_tool_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("c"), F.col("turn").cast("string"))
     own = F.when(is_call, name)
     turns = turns.withColumn("call_id", own).withColumn("last", F.last(own, True).over(before)).withColumn("start", F.first(own, True).over(before))
-    arguments = F.map_filter(F.create_map(F.lit("text"), "text", F.lit("turn"), F.col("turn").cast("string"), F.lit("after"), "last"), lambda _, v: v.isNotNull())
+    arguments = F.to_json(F.struct("text", "turn", F.col("last").alias("after")))  # without nulls
     tool = F.when(F.col("role") == "system", "context").otherwise("reply")
     calls = turns.filter(is_call).select("conv_id", "call_id", "turn", tool.alias("tool"), arguments.alias("arguments"), F.array_distinct(F.array_compact(F.array("start", "last"))).alias("needs"))
     results = turns.filter("role = 'assistant'").select("conv_id", F.col("last").alias("call_id"), "turn", "text")
@@ -142,13 +144,13 @@ placed as (select *, last_value(own ignore nulls) over w as last, first_value(ow
 calls as (select *, row_number() over (partition by conv_id order by turn) - 1 as level from placed where own is not null),
 results as (select conv_id, last as own, arg_min(text, turn) as result from placed where role = 'assistant' and last is not null group by all),
 checked as (select c.*, r.result, r.own is not null as linked,
-    list_sort(list_filter([case when text is null then 'text: missing' when length(text) = 0 then 'text: not a string' end,
+    list_sort(list_filter([case when text is null then 'text: missing' when length(text) = 0 then 'text: too short' end,
       case when role = 'system' and last is not null then 'after: not known' end], lambda x: x is not null)) as errors
   from calls c left join results r using (conv_id, own))
 select conv_id, own as call_id, turn, case role when 'system' then 'context' else 'reply' end as tool, cast(level as bigint) as level,
   cast(level + 1 as bigint) as place, case when linked then 'linked' else 'pending' end as status, cast(len(errors) as bigint) as n_errors,
   '{"arguments":{' || case when last is null then '' else '"after":"' || last || '",' end || case when text is null then '' else '"text":' || to_json(text) || ',' end
-    || '"turn":"' || turn || '"},"call_id":"' || own || '","errors":' || to_json(errors) || ',"level":' || level || ',"needs":'
+    || '"turn":' || turn || '},"call_id":"' || own || '","errors":' || to_json(errors) || ',"level":' || level || ',"needs":'
     || to_json(list_sort(list_distinct(list_filter([start, last], lambda x: x is not null)))) || ',"result":' || coalesce(to_json(result), 'null')
     || ',"tool":"' || case role when 'system' then 'context' else 'reply' end || '"}' as json
 from checked

@@ -1,4 +1,6 @@
+import json
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -323,21 +325,69 @@ def test_tool_calls_match_sql(spark, sf_dir, duck):
 
 
 def test_tool_call_edges(spark):
+    schema = {"type": "object", "properties": {"q": {"type": "string", "minLength": 1}, "n": {"type": "integer", "minimum": 0}}, "required": ["q"], "additionalProperties": False}
     calls = [
-        (1, "a", 0, "t", {"q": "x"}, []), (1, "b", 1, "t", {"q": ""}, ["a"]), (1, "c", 2, "t", {}, ["b", "a", None]), (1, "d", 3, "u", {"q": "1"}, ["e"]), (1, "e", 4, "t", {"q": "1", "z": "2", "n": "-1"}, ["d"]),
-        (1, "f", 5, None, None, ["gone"]), (1, "a", 9, "t", {"q": "second"}, []), (None, "a", 0, "t", {"q": "x"}, []), (2, None, 0, "t", {"q": "x"}, []), (3, "g", None, "t", {"q": "x"}, None),
+        (1, "a", 0, "t", '{"q": "x"}', []), (1, "b", 1, "t", '{"q": ""}', ["a"]), (1, "c", 2, "t", "{}", ["b", "a", None]), (1, "d", 3, "u", '{"q":"1"}', ["e"]), (1, "e", 4, "t", '{"q": "1", "z": 2, "n": -1}', ["d"]),
+        (1, "f", 5, None, None, ["gone"]), (1, "a", 9, "t", '{"q": "second"}', []), (1, "a", 0, "t", '{"q": "y"}', []), (None, "a", 0, "t", "{}", []), (2, None, 0, "t", "{}", []), (3, "g", None, "t", '{"n": 1.0, "q": "x"}', None),
+        (4, "h", 0, "t", '{"q": "x"', []), (4, "i", 1, "t", "", []), (4, "j", 2, "t", '{"q":"x","q":"y"}', []), (4, "k", 3, "t", None, []), (4, "l", 4, "t", "[1]", []), (4, "m", 5, "t", '{"q":"' + "long " * 60000 + '"}', []),
     ]
-    c = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, tool string, arguments map<string,string>, needs array<string>")
+    c = spark.createDataFrame(calls, "conv_id long, call_id string, turn long, tool string, arguments string, needs array<string>").withColumn("errors", F.lit(1))
     r = spark.createDataFrame([(1, "a", 5, "late"), (1, "a", 2, "first"), (1, "zz", 1, "orphan"), (1, None, 1, "x")], "conv_id long, call_id string, turn long, text string")
-    got = {x.call_id: x for x in tool_calls.link(c, r, {"t": {"q": ("string", True), "n": ("integer", False)}}).collect()}
-    assert set(got) == set("abcdefg")
+    got = {x.call_id: x for x in tool_calls.link(c, r, {"t": schema}).collect()}
+    assert set(got) == set("abcdefghijklm")
     assert [got[k].level for k in "abcdefg"] == [0, 1, 2, None, None, 0, 0] and got["a"].status == "linked" and '"result":"first"' in got["a"].json
     assert got["a"].json == '{"arguments":{"q":"x"},"call_id":"a","errors":[],"level":0,"needs":[],"result":"first","tool":"t"}'
-    assert got["b"].n_errors == 1 and got["c"].n_errors == 1 and got["d"].n_errors == 1 and got["e"].n_errors == 2 and got["f"].n_errors == 2
+    assert [got[k].n_errors for k in "bcdefghijklm"] == [1, 1, 1, 2, 2, 0, 1, 1, 1, 1, 1, 0]
+    assert [json.loads(got[k].json)["errors"] for k in "ehkl"] == [["n: too small", "z: not known"], ["arguments: not JSON"], ["q: missing"], ["arguments: not a object"]]
+    assert [json.loads(got[k].json)["arguments"] for k in "gjk"] == [{"n": 1, "q": "x"}, '{"q":"x","q":"y"}', {}] and '"n":1,' in got["g"].json
     assert [k for _, k in sorted((x.place, k) for k, x in got.items() if x.conv_id == 1)] == ["a", "f", "b", "c", "d", "e"]
     assert tool_calls.link(c.limit(0), r, {"t": {}}).count() == 0
 
 
+def _plain_errors(value, schema, path=""):
+    """The keywords' rules once more, over parsed JSON."""
+    name, out = path or "arguments", []
+    number = isinstance(value, (int, float)) and not isinstance(value, bool)
+    fits = {"string": isinstance(value, str), "number": number, "integer": number and value == int(value), "boolean": isinstance(value, bool), "null": value is None, "array": isinstance(value, list), "object": isinstance(value, dict)}
+    kinds = schema.get("type", list(fits))
+    kinds = [kinds] if isinstance(kinds, str) else kinds
+    if not any(fits[k] for k in kinds):
+        out.append(f"{name}: not a {' or '.join(kinds)}")
+    if "enum" in schema and not any(type(v) is type(value) and v == value for v in schema["enum"]):
+        out.append(f"{name}: not one of the values")
+    if number:
+        out += [f"{name}: too small"] * (value < schema.get("minimum", value)) + [f"{name}: too large"] * (value > schema.get("maximum", value))
+    if isinstance(value, str):
+        out += [f"{name}: too short"] * (len(value) < schema.get("minLength", 0)) + [f"{name}: too long"] * (len(value) > schema.get("maxLength", len(value)))
+        out += [f"{name}: not of the pattern"] * ("pattern" in schema and not re.search(schema["pattern"], value))
+    if isinstance(value, dict):
+        at = lambda k: f"{path}.{k}" if path else k
+        out += [f"{at(k)}: missing" for k in schema.get("required", ()) if k not in value]
+        if schema.get("additionalProperties") is False:
+            out += [f"{at(k)}: not known" for k in value if k not in schema.get("properties", {})]
+        out += [e for k, inner in schema.get("properties", {}).items() if k in value for e in _plain_errors(value[k], inner, at(k))]
+    if isinstance(value, list) and "items" in schema:
+        out += [e for v in value for e in _plain_errors(v, schema["items"], f"{path}[]")]
+    return sorted(set(out))
+
+
+def test_schemas_match_plain_rules(spark):
+    item = {"type": "object", "properties": {"id": {"type": "integer", "minimum": -5, "maximum": 9}, "tag": {"enum": ["a", "b", 1, None]}, "a.b": {"type": ["number", "null"]}}, "required": ["id"], "additionalProperties": False}
+    schema = {"type": "object", "properties": {"items": {"type": "array", "items": item}, "on": {"type": "boolean"}, "name": {"type": "string", "minLength": 2, "maxLength": 4, "pattern": "^[a-z]"}, "in": {"type": "object", "properties": {"x": item}}}, "required": ["items", "on"]}
+    rng = random.Random(11)
+    leaf = lambda: rng.choice([None, True, False, -7, -5, 0, 3, 9, 10, 2.5, 4.0, "", "a", "b", "ab", "Abc", "abcde", "é\"n", [], {}, [1, "x"]])
+    some = lambda keys, make: {k: make() for k in keys if rng.random() < 0.7}
+    thing = lambda: some(["id", "tag", "a.b", "more"], leaf) if rng.random() < 0.8 else leaf()
+    values = [{**some(["on", "name", "free"], leaf), **some(["items"], lambda: [thing() for _ in range(rng.randrange(4))] if rng.random() < 0.9 else leaf()), **some(["in"], lambda: some(["x", "y"], thing))} for _ in range(400)] + [leaf() for _ in range(30)]
+    rows = spark.createDataFrame([(i, "t", json.dumps(v)) for i, v in enumerate(values)], "i int, tool string, arguments string")
+    got = {x.i: x for x in rows.select("i", tool_calls.argument_errors({"t": schema}).alias("errors"), F.to_json(tool_calls.canonical_arguments(F.col("arguments"))).alias("json")).collect()}
+    assert {i: x.errors for i, x in got.items()} == {i: _plain_errors(v, schema) for i, v in enumerate(values)}
+    whole = lambda v: json.loads(json.dumps(v), parse_float=lambda x: int(float(x)) if float(x).is_integer() else float(x))
+    assert all(got[i].json == json.dumps(whole(v), sort_keys=True, separators=(",", ":"), ensure_ascii=False) for i, v in enumerate(values))
+    with pytest.raises(ValueError):
+        tool_calls.argument_errors({"t": {"oneOf": []}})
+
+
 def test_levels_match_brute_force(spark):
     rng = random.Random(6)
     calls, edges = [], []
