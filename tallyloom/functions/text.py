@@ -50,18 +50,57 @@ def percents(text: Column) -> Column:
     return F.transform(F.regexp_extract_all(text, F.lit(r"(-?\d+(?:\.\d+)?)\s?%"), 1), lambda x: x.cast("double"))
 
 
-# What a magnitude word multiplies by.
-MAGNITUDES = {"trillion": 1e12, "tn": 1e12, "billion": 1e9, "bn": 1e9, "million": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3}
-_AMOUNT = r"\$\s?(\d[\d,]*(?:\.\d+)?)\s?(trillion|billion|million|thousand|tn|bn|m|k)?"
+# Marks of money, what a magnitude multiplies by, and the magnitudes that make a bare number money.
+MARKS = ["us$", "usd", "$", "₹", "€", "£"]
+MAGNITUDES = {
+    "trillion": 1e12, "tn": 1e12, "t": 1e12, "billion": 1e9, "bn": 1e9, "b": 1e9,
+    "million": 1e6, "mn": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3,
+}
+BARE = ["trillion", "billion", "million", "thousand"]
+# Any number with what may stand around it: 1 a mark, 2 the digits, 3 a magnitude, 4 a percent sign.
+_FIGURE = rf"(?i)({'|'.join(m.replace('$', '[$]') for m in MARKS)})?\s?(\d[\d,]*(?:\.\d+)?)(?:\s?(?:({'|'.join(MAGNITUDES)})\b|(%)))?"
+
+
+def _figures(text: Column) -> Column:
+    """Every number of a text in order: kind ('money', 'percent' or null), figure (as it stands) and value."""
+    part = lambda k: F.regexp_extract_all(text, F.lit(_FIGURE), k)
+    scale = F.create_map(*[x for k, v in MAGNITUDES.items() for x in (F.lit(k), F.lit(v))])
+
+    def figure(x: Column) -> Column:
+        unit = F.lower(x["unit"])
+        kind = F.when(x["sign"] == "%", "percent").when((x["mark"] != "") | unit.isin(BARE), "money")
+        value = F.regexp_replace(x["digits"], ",", "").cast("double") * F.coalesce(F.try_element_at(scale, unit), F.lit(1.0))
+        return F.struct(kind.alias("kind"), x["whole"].alias("figure"), value.alias("value"))
+
+    names = ("whole", "mark", "digits", "unit", "sign")
+    return F.transform(F.arrays_zip(*(part(k).alias(n) for k, n in enumerate(names))), figure)
 
 
 def amounts(text: Column) -> Column:
-    """Dollar amounts with their magnitudes multiplied out."""
-    low = F.lower(text)
-    numbers = F.regexp_extract_all(low, F.lit(_AMOUNT), 1)
-    units = F.regexp_extract_all(low, F.lit(_AMOUNT), 2)
-    scale = F.create_map(*[x for k, v in MAGNITUDES.items() for x in (F.lit(k), F.lit(v))])
-    return F.zip_with(numbers, units, lambda n, u: F.regexp_replace(n, ",", "").cast("double") * F.coalesce(F.try_element_at(scale, u), F.lit(1.0)))
+    """Amounts of money with their magnitudes multiplied out: marked numbers, and bare ones before a magnitude's word."""
+    return F.transform(F.filter(_figures(text), lambda x: x["kind"] == "money"), lambda x: x["value"])
+
+
+def located(text: Column, width: int = 70) -> Column:
+    """Money and percentages of a text in order: kind, figure, value, start (from 0) and the characters around it."""
+    found = _figures(text)
+    sizes = F.zip_with(F.split(text, _FIGURE, -1), found, lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x["figure"]).alias("own")))
+    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+
+    def pass_by(acc: Column, x: Column) -> Column:
+        start = acc["at"] + x["gap"]
+        return F.struct((start + F.coalesce(x["own"], F.lit(0))).alias("at"), F.array_append(acc["starts"], start).alias("starts"))
+
+    starts = F.aggregate(sizes, begin, pass_by, lambda acc: acc["starts"])
+
+    def around(x: Column, start: Column) -> Column:
+        first, last = F.greatest(start - width, F.lit(0)), F.least(start + F.length(x["figure"]) + width, F.length(text))
+        words = F.trim(F.substring(text, first + 1, last - first))
+        context = F.concat(F.when(first > 0, "…").otherwise(""), words, F.when(last < F.length(text), "…").otherwise(""))
+        return F.struct(x["kind"].alias("kind"), F.trim(x["figure"]).alias("figure"), x["value"].alias("value"), start.alias("start"), context.alias("context"))
+
+    placed = F.zip_with(found, F.slice(starts, F.lit(1), F.size(found)), around)
+    return F.filter(placed, lambda x: x["kind"].isNotNull())
 
 
 def year_month(text: Column) -> Column:

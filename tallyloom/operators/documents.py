@@ -156,8 +156,26 @@ def split_long(text: str, budget: int, count: Callable[[str], int]) -> list[str]
     return [*out, held] if held else out
 
 
+def split_table(text: str, budget: int, count: Callable[[str], int]) -> list[str]:
+    """A pipe table as parts of whole rows within the budget, each under the head's two lines; a row alone may exceed it."""
+    if count(text) <= budget:
+        return [text]
+    lines = text.split("\n")
+    head, out, held = lines[:2], [], list[str]()
+    room = budget - count("\n".join(head))
+    used = 0
+    for row in lines[2:]:
+        n = count(row)
+        if held and used + n > room:
+            out.append("\n".join(head + held))
+            held, used = [], 0
+        held.append(row)
+        used += n
+    return [*out, "\n".join(head + held)]
+
+
 def chunk_blocks(blocks: list[tuple[str, str, int, str | None]], s: Settings = DEFAULTS, count: Callable[[str], int] = word_count) -> list[tuple[str, str, int, str | None, int]]:
-    """(kind, body, page, section, tokens): tables whole, prose in windows that overlap by trailing blocks."""
+    """(kind, body, page, section, tokens): tables by rows under their head, prose in windows that overlap by trailing blocks."""
     out: list[tuple[str, str, int, str | None, int]] = []
     held: list[tuple[str, int, str | None, int]] = []
 
@@ -177,7 +195,7 @@ def chunk_blocks(blocks: list[tuple[str, str, int, str | None]], s: Settings = D
         if kind == "table":
             flush()
             held = []
-            out.append(("table", text, page, section, count(text)))
+            out += [("table", part, page, section, count(part)) for part in split_table(text, s.chunk_tokens, count)]
             continue
         for piece in split_long(text, s.chunk_tokens, count):
             if held and section != held[-1][2]:
@@ -191,13 +209,25 @@ def chunk_blocks(blocks: list[tuple[str, str, int, str | None]], s: Settings = D
     return out
 
 
-def chunks(docs: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """(doc_id, chunk_index, kind, body, page, section, tokens) of ``docs``: doc_id, html; chunk numbers are dense."""
+def bpe_counter(path: str) -> Callable[[str], int]:
+    """Counts the tokens of a public tokenizer's file."""
+    from tokenizers import Tokenizer
+
+    made = Tokenizer.from_file(path)
+    return lambda text: len(made.encode(text, add_special_tokens=False).ids)
+
+
+def chunks(docs: DataFrame, s: Settings = DEFAULTS, tokenizer: str | None = None) -> DataFrame:
+    """(doc_id, chunk_index, kind, body, page, section, tokens) of ``docs``: doc_id, html; chunk numbers are dense.
+
+    Tokens are counted by the tokenizer whose file is at ``tokenizer`` (on each executor), else by words.
+    """
 
     def cut(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["doc_id", "chunk_index", "kind", "body", "page", "section", "tokens"]
+        count = bpe_counter(tokenizer) if tokenizer else word_count
         for f in frames:
-            rows = [(d, k, *x) for d, h in zip(f["doc_id"], f["html"]) for k, x in enumerate(chunk_blocks(blocks_of(h), s))]
+            rows = [(d, k, *x) for d, h in zip(f["doc_id"], f["html"]) for k, x in enumerate(chunk_blocks(blocks_of(h), s, count))]
             yield pd.DataFrame(rows, columns=names)
 
     return docs.select("doc_id", "html").mapInPandas(cut, "doc_id long, chunk_index int, kind string, body string, page int, section string, tokens int")

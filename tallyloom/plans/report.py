@@ -278,3 +278,27 @@ def q_qa_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = prose(spark, sf_dir)
     rows = p.select("ticker", (c("revenue") * 0.3).alias("quarter"), F.when(c("n_lines") % 6 == 0, 0.5).otherwise(0.2).alias("claimed_growth"), "revenue")
     return Q.annualisation_arithmetic(rows).select("ticker", (c("check") == "annualisation").alias("flagged"))
+
+
+@query("q_qa_annualised", "with " + _LAST_SQL + " select ticker, 'CRITICAL' as severity, 'annualisation' as \"check\" from last where abs(4 * (0.2 + 0.02 * (n_lines % 7)) - 1 - 0.2) > 0.10")
+def q_qa_annualised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A fifth of the year's revenue and more as a quarter, which the prose annualises to 20 % growth."""
+    p = prose(spark, sf_dir)
+    quarter = c("revenue") * (0.2 + 0.02 * (c("n_lines") % 7)) / 1e9
+    text = F.format_string("Margins were stable. The quarter's $%.9f billion, once annualized, means 20.0%% growth over the prior year.", quarter)
+    claims = Q.annualised_claims(p.select("ticker", text.alias("text"))).join(p.select("ticker", "revenue"), "ticker")
+    return Q.annualisation_arithmetic(claims).select("ticker", "severity", "check")
+
+
+@query("q_figures", """with x as (select l_orderkey, l_linenumber, cast(l_extendedprice as double) as price, cast(l_quantity as bigint) as qty, cast(round(l_discount * 100) as bigint) as off,
+  'Line ' || l_linenumber || ' cost US$' || printf('%.2f', l_extendedprice) || ' against ' || cast(l_quantity as bigint) || ' million last year, a discount of ' || cast(round(l_discount * 100) as bigint) || '% and £' || cast(l_quantity as bigint) || 'bn of sales in all the markets that the company named in its last report.' as text from lineitem),
+ f as (select *, unnest([{'kind': 'money', 'value': price, 'own': 'US$' || printf('%.2f', price)}, {'kind': 'money', 'value': qty * 1e6, 'own': qty || ' million'}, {'kind': 'percent', 'value': off::double, 'own': off || '%'}, {'kind': 'money', 'value': qty * 1e9, 'own': '£' || qty || 'bn'}]) as y from x),
+ p as (select l_orderkey, l_linenumber, y.kind as kind, y.value as value, y.own as own, text, strpos(text, case when y.kind = 'money' and y.value = qty * 1e6 then 'against ' || y.own when y.kind = 'percent' then 'of ' || y.own else y.own end) - 1 + case when y.kind = 'money' and y.value = qty * 1e6 then 8 when y.kind = 'percent' then 3 else 0 end as at_ from f)
+ select l_orderkey, l_linenumber, kind, own as figure, value, case when at_ > 70 then '…' else '' end || trim(substring(text, greatest(at_ - 70, 0) + 1, at_ + length(own) + 70 - greatest(at_ - 70, 0))) || case when at_ + length(own) + 70 < length(text) then '…' else '' end as context from p""")
+def q_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The figures in a sentence on each order line, with what stands around them."""
+    qty = c("l_quantity").cast("long").cast("string")
+    text = F.concat(F.lit("Line "), c("l_linenumber").cast("string"), F.lit(" cost US$"), F.format_string("%.2f", c("l_extendedprice").cast("double")), F.lit(" against "), qty, F.lit(" million last year, a discount of "),
+        F.round(c("l_discount") * 100).cast("long").cast("string"), F.lit("% and £"), qty, F.lit("bn of sales in all the markets that the company named in its last report."))
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(T.located(text)).alias("x"))
+    return rows.select("l_orderkey", "l_linenumber", "x.kind", "x.figure", "x.value", "x.context")

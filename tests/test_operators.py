@@ -68,6 +68,29 @@ def test_text(spark):
     assert value(spark, chat.normal_markers(F.lit("x [SOURCE 1, 4] y [2; 3]"))) == "x [1][4] y [2][3]"
 
 
+def test_figures_in_text(spark):
+    text = "Sales of US$216 billion, ₹1,200.5 mn and €3 were up 12.5%; 5 Billion units, 40 people, £7k in 2024 (5 m tall)."
+    assert value(spark, T.amounts(F.lit(text))) == [216e9, 1200.5e6, 3.0, 5e9, 7000.0]
+    got = value(spark, T.located(F.lit(text), 10))
+    assert [(x.kind, x.figure) for x in got][:4] == [("money", "US$216 billion"), ("money", "₹1,200.5 mn"), ("money", "€3"), ("percent", "12.5%")]
+    assert [x.context for x in got][:2] == ["Sales of US$216 billion, ₹1,200.5…", "…billion, ₹1,200.5 mn and €3 we…"]
+    assert value(spark, T.located(F.lit(""))) == [] == value(spark, T.amounts(F.lit("no figures"))) and value(spark, T.located(F.lit(None).cast("string"))) is None
+    assert len(value(spark, T.located(F.lit("$1 of 2% " * 2000)))) == 4000
+
+
+def test_risk_direction_by_stems(spark):
+    wrong = ["It could reduce growth from our 13.3% base toward market-implied 25.3%.", "Costs lift the margin from 20% to 15%.", "Delays may raise our fair value.", "Prices slow sales from 4% to 4.2%."]
+    right = ["It could reduce growth from 13% to 9%.", "Costs lift the margin from 15% to 20%.", "Delays raise richer valuation multiples.", "Moves from 5% to 9%.", "It falls from 5% to 5.04%.", ""]
+    p = spark.createDataFrame([(x, x) for x in wrong + right] + [("none", None)], "ticker string, text string")
+    assert {r.ticker for r in qa.risk_direction(p).collect()} == set(wrong)
+
+
+def test_annualised_claims(spark):
+    rows = [("a", "Flat year. The $81.6 billion quarter annualizes to a 151% increase over FY2026."), ("b", "$10 bn annualised is 5% growth."), ("c", "Annualized, 5% growth over 2024."), ("d", "We took $2bn and $3bn, annualised 12% above last-year sales."), ("e", None)]
+    got = {r.ticker: (r.quarter, r.claimed_growth) for r in qa.annualised_claims(spark.createDataFrame(rows, "ticker string, text string")).collect()}
+    assert got == {"a": (pytest.approx(81.6e9), pytest.approx(1.51)), "d": (3e9, pytest.approx(0.12))}
+
+
 def test_collapse_is_anchored(spark):
     days = [dt.date(2024, 1, d) for d in (1, 6, 9, 16)]
     assert value(spark, ingest.collapse_dates(F.array(*map(F.lit, days)))) == [days[0], days[2]]
@@ -115,6 +138,30 @@ def test_html_and_chunks():
     assert all(c[4] <= 600 for c in made) and len(made) > 2 and documents.chunk_blocks([("text", "few words", 1, None)]) == []
 
 
+def test_long_tables_are_split_by_rows():
+    head, rows = ["| a | b |", "| --- | --- |"], [f"| row {k} | {k * 7} |" for k in range(400)]
+    made = documents.chunk_blocks([("table", "\n".join(head + rows), 3, "s"), ("table", "\n".join(head + rows[:2]), 4, None)])
+    parts = [body.split("\n") for _, body, *_ in made]
+    assert all(p[:2] == head for p in parts) and [r for p in parts for r in p[2:]] == rows + rows[:2] and all(n <= 600 for *_, n in made)
+    assert [m[2:4] for m in made][-2:] == [(3, "s"), (4, None)] and len(made) > 3
+    assert documents.split_table("\n".join(head + ["| " + "x " * 900 + "|"]), 600, documents.word_count) == ["\n".join(head + ["| " + "x " * 900 + "|"])]
+
+
+def test_chunks_by_a_tokenizer(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    made = Tokenizer(models.BPE(vocab={x: k for k, x in enumerate("abcdefghij")}, merges=[]))
+    made.pre_tokenizer = pre_tokenizers.Whitespace()
+    import tempfile
+
+    path = tempfile.mkdtemp() + "/t.json"
+    made.save(path)
+    docs = spark.createDataFrame([(1, "<p>" + "abc def. " * 400 + "</p>"), (2, None), (3, "")], "doc_id long, html string")
+    got = documents.chunks(docs, tokenizer=path).collect()
+    assert {r.doc_id for r in got} == {1} and all(80 <= r.tokens <= 600 for r in got) and sum(r.tokens for r in got) >= 2400
+    assert len(documents.chunks(docs).collect()) < len(got)
+
+
 def test_refused_events_do_not_count():
     assert limits.accept([0, 1, 2, 3600, 3601], deque(), 2, 3600.0) == [True, True, False, True, True]
 
