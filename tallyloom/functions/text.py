@@ -83,24 +83,26 @@ def amounts(text: Column) -> Column:
 
 def located(text: Column, width: int = 70) -> Column:
     """Money and percentages of a text in order: kind, figure, value, start (from 0) and the characters around it."""
-    found = _figures(text)
-    sizes = F.zip_with(F.split(text, _FIGURE, -1), found, lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x["figure"]).alias("own")))
     begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
 
     def pass_by(acc: Column, x: Column) -> Column:
         start = acc["at"] + x["gap"]
         return F.struct((start + F.coalesce(x["own"], F.lit(0))).alias("at"), F.array_append(acc["starts"], start).alias("starts"))
 
-    starts = F.aggregate(sizes, begin, pass_by, lambda acc: acc["starts"])
-
     def around(x: Column, start: Column) -> Column:
         first, last = F.greatest(start - width, F.lit(0)), F.least(start + F.length(x["figure"]) + width, F.length(text))
         words = F.trim(F.substring(text, first + 1, last - first))
         context = F.concat(F.when(first > 0, "…").otherwise(""), words, F.when(last < F.length(text), "…").otherwise(""))
         return F.struct(x["kind"].alias("kind"), F.trim(x["figure"]).alias("figure"), x["value"].alias("value"), start.alias("start"), context.alias("context"))
 
-    placed = F.zip_with(found, F.slice(starts, F.lit(1), F.size(found)), around)
-    return F.filter(placed, lambda x: x["kind"].isNotNull())
+    def placed(found: Column) -> Column:
+        sizes = F.zip_with(F.split(text, _FIGURE, -1), found, lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x["figure"]).alias("own")))
+        starts = F.aggregate(sizes, begin, pass_by, lambda acc: acc["starts"])
+        return F.zip_with(found, F.slice(starts, F.lit(1), F.size(found)), around)
+
+    # In an array of one, the figures are found once and not for each use.
+    once = F.get(F.transform(F.array(_figures(text)), placed), F.lit(0))
+    return F.filter(once, lambda x: x["kind"].isNotNull())
 
 
 def year_month(text: Column) -> Column:
