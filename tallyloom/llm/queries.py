@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm import hamming_topk, license_scan, media_store, mixing, ngram_join, piece_transducer, quality_cnn, tool_calls, warc_derivatives, wavelet_tokens
+from tallyloom.llm import benchmark_join, hamming_topk, license_scan, media_store, mixing, ngram_join, piece_transducer, quality_cnn, tool_calls, warc_derivatives, wavelet_tokens
 from tallyloom.llm.common import table
 
 
@@ -157,6 +157,32 @@ from checked
 """
 
 
+def op11_benchmark_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = benchmark_join.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return rows.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+OP11_SQL = r"""
+with worded as (select 'd' as kind, row_number() over () as k, doc_id as id, text from documents union all select 'i', row_number() over (), item_id, text from benchmark),
+split as (select kind, k, id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+') as w from worded),
+items as (select id, w, least(10, len(w)) as n, unnest(range(0, len(w) - least(10, len(w)) + 1)) as p from split where kind = 'i' and len(w) > 0),
+windows as (select distinct id, n, array_to_string(list_slice(w, p + 1, p + n), ' ') as words from items),
+lengths as (select distinct n from windows),
+docs as (select k, id, w from split where kind = 'd'),
+placed as (select k, n, w, unnest(range(0, len(w) - n + 1)) as p from docs cross join lengths where len(w) >= n),
+slices as (select k, n, p, array_to_string(list_slice(w, p + 1, p + n), ' ') as words from placed),
+found as (select s.k, s.p, s.n, x.id from slices s join windows x using (n, words)),
+hits as (select k, count(distinct p) as n_hit from (select k, unnest(range(p, p + n)) as p from (select distinct k, p, n from found)) group by k),
+named as (select k, count(*) as n_items, string_agg(id, ',' order by id) as ids from (select distinct k, cast(id as varchar) as id from found where id is not null) group by k)
+select d.id as doc_id, cast(len(d.w) as bigint) as n_words, cast(coalesce(n_hit, 0) as bigint) as n_hit, cast(coalesce(n_items, 0) as bigint) as n_items,
+  sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs d left join hits using (k) left join named using (k)
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_topk": op1_hamming_topk,
     "op2_quality_cnn": op2_quality_cnn,
@@ -168,9 +194,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_mixing": op8_mixing,
     "op9_piece_transducer": op9_piece_transducer,
     "op10_tool_calls": op10_tool_calls,
+    "op11_benchmark_join": op11_benchmark_join,
 }
 ORACLES: dict[str, str] = {
     "op1_hamming_topk": OP1_SQL,
     "op8_mixing": OP8_SQL,
     "op10_tool_calls": OP10_SQL,
+    "op11_benchmark_join": OP11_SQL,
 }
