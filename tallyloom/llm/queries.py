@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm import benchmark_join, hamming_topk, license_scan, media_store, mixing, ngram_join, piece_transducer, quality_cnn, tool_calls, warc_derivatives, wavelet_tokens
+from tallyloom.llm import benchmark_join, hamming_topk, license_scan, media_store, mixing, ngram_join, piece_transducer, quality_cnn, tool_calls, warc_derivatives, wavelet_tokens, whitening
 from tallyloom.llm.common import table
 
 
@@ -183,6 +183,11 @@ from docs d left join hits using (k) left join named using (k)
 """
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A deviation beyond a long is null here; the operator has it as a decimal."""
+    return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_topk": op1_hamming_topk,
     "op2_quality_cnn": op2_quality_cnn,
@@ -195,6 +200,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_piece_transducer": op9_piece_transducer,
     "op10_tool_calls": op10_tool_calls,
     "op11_benchmark_join": op11_benchmark_join,
+    "op12_whitening": op12_whitening,
 }
 ORACLES: dict[str, str] = {
     "op1_hamming_topk": OP1_SQL,
