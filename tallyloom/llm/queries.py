@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm import benchmark_join, hamming_topk, license_scan, media_store, mixing, ngram_join, piece_transducer, quality_cnn, tool_calls, warc_derivatives, wavelet_tokens, whitening
+from tallyloom.llm import benchmark_join, hamming_topk, license_scan, media_store, mixing, ngram_join, piece_transducer, prefix_trie, quality_cnn, tool_calls, warc_derivatives, wavelet_tokens, whitening
 from tallyloom.llm.common import table
 
 
@@ -188,6 +188,36 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(table(spark, sf_dir, "embeddings")).withColumn("deviation", F.col("deviation").try_cast("long"))
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
+OP13_SQL = """
+with recursive turns as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), sha256(coalesce(text, ''))) as pos from conversations where conv_id is not null),
+own as (select conv_id, max(pos) as n_own, cast(conv_id as varchar) as name from turns group by conv_id),
+bits as (select conv_id, name, 0 as i, cast(4294967295 as bigint) as c from own
+  union all
+  select conv_id, name, i + 1, xor(x >> 1, 3988292384 * (x & 1)) from (select conv_id, name, i, case when i % 8 = 0 then xor(c, ascii(substr(name, i // 8 + 1, 1))) else c end as x from bits where i < 8 * length(name))),
+convs as (select conv_id, n_own, conv_id - conv_id % 5 as base, xor(c, 4294967295) % 9 as h from bits join own using (conv_id) where i = 8 * length(bits.name)),
+sized as (select c.*, least(c.h, coalesce(b.n_own, 0)) as lead from convs c left join own b on b.conv_id = c.base),
+rebuilt as (select c.conv_id, t.pos, role, text from sized c join turns t on t.conv_id = c.base and t.pos <= lead
+  union all select c.conv_id, t.pos - h + lead, role, text from sized c join turns t on t.conv_id = c.conv_id and t.pos > h),
+members as (select conv_id, 0 as depth, '' as key, 0 as bytes from own
+  union all select conv_id, pos, string_agg(length(role) || ':' || role || length(text) || ':' || text, '') over (partition by conv_id order by pos rows between unbounded preceding and current row), strlen(text) from rebuilt),
+nodes as (select depth, key, min(conv_id) as conv_id, count(*) as n_convs, max(bytes) as bytes from members group by depth, key),
+born as (select n.*, m.key as parent from nodes n left join members m on m.conv_id = n.conv_id and m.depth = n.depth - 1),
+kids as (select depth - 1 as depth, parent as key, count(*) as n_children from born where depth > 0 group by all),
+family as (select b.*, coalesce(n_children, 0) as n_children, (b.n_convs - 1) * b.bytes as own, p.conv_id as parent_conv_id
+  from born b left join kids k on k.depth = b.depth and k.key = b.key left join nodes p on p.depth = b.depth - 1 and p.key = b.parent),
+below as (select m.depth, m.key, sum(own) as saved, count(*) filter (n_children = 0) as leaves from family u join members m on m.conv_id = u.conv_id and m.depth <= u.depth group by all),
+ends as (select depth, key, string_agg(cast(conv_id as varchar), ',' order by conv_id) as ids from (select conv_id, max(depth) as depth from members group by conv_id) join members using (conv_id, depth) group by all)
+select conv_id, cast(f.depth as bigint) as depth, parent_conv_id, cast(n_convs as bigint) as n_convs, cast(n_children as bigint) as n_children, cast(leaves as bigint) as n_leaves,
+  cast(saved as bigint) as saved_tokens, sha256(coalesce(ids, '')) as ends_sha256
+from family f join below b on b.depth = f.depth and b.key = f.key left join ends e on e.depth = f.depth and e.key = f.key
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hamming_topk": op1_hamming_topk,
     "op2_quality_cnn": op2_quality_cnn,
@@ -201,10 +231,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_tool_calls": op10_tool_calls,
     "op11_benchmark_join": op11_benchmark_join,
     "op12_whitening": op12_whitening,
+    "op13_prefix_trie": op13_prefix_trie,
 }
 ORACLES: dict[str, str] = {
     "op1_hamming_topk": OP1_SQL,
     "op8_mixing": OP8_SQL,
     "op10_tool_calls": OP10_SQL,
     "op11_benchmark_join": OP11_SQL,
+    "op13_prefix_trie": OP13_SQL,
 }
