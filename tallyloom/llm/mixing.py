@@ -3,7 +3,8 @@
 Documents hang on a tree of levels (domain, language, source).  A token budget goes down the tree: brothers
 share their parent's budget by weight, none gets more than its capacity (its tokens times ``epochs``), and
 what one cannot take goes to its brothers by weight before anything is left for the parent's brothers, as
-a parent's own share is bounded by its children's capacity (that of weight 0 doesn't count).  A leaf's budget buys whole epochs of its
+a parent's own share is bounded by its children's capacity (that of weight 0 doesn't count).  Budgets are whole
+numbers and none of a budget is lost in dividing it.  A leaf's budget buys whole epochs of its
 documents, and of the next epoch, in an order seeded by the epoch, the longest prefix that fits.
 
 The order is by a digest of (seed, epoch, doc_id).  Tokens are summed by the digest's first digits, so only
@@ -18,6 +19,7 @@ repeat a doc_id are in or out together; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from math import lcm
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,6 +48,28 @@ def _weight(level: str, weights: Mapping[str, int]) -> Column:
     return out.cast("long")
 
 
+def _shares(kids: DataFrame, above: Sequence[str], level: str, weights: Mapping[str, int]) -> DataFrame:
+    """Adds ``target``: brothers share what their parent has ``given`` by weight ``w``, none above its ``cap``.
+
+    All in whole numbers.  In order of cap / w a brother is full if its share of what those before leave reaches
+    its cap; the others share the rest, and what division leaves over goes, one token each, to the largest
+    remainders (ties: by name).  So all that is given is spent, up to the caps.
+    """
+    scale = lcm(1, *(int(w) for w in weights.values() if w > 0))  # cap / w in order, as whole numbers
+    wide = kids.withColumns({c: F.col(c).cast("decimal(38,0)") for c in ("cap", "given", "w")})
+    order = Window.partitionBy(*above).orderBy(F.expr(f"cap * ({scale} div w)"), level)
+    before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
+    left = F.col("given") - F.coalesce(F.sum("cap").over(before), F.lit(0))
+    wide = wide.withColumn("full", F.col("cap") * F.sum("w").over(after).cast("decimal(38,0)") <= left.cast("decimal(38,0)") * F.col("w"))
+    brothers = Window.partitionBy(*above)
+    open_ = lambda c: F.sum(F.when(~F.col("full"), F.col(c))).over(brothers).cast("decimal(38,0)")
+    wide = wide.withColumn("rest", (F.col("given") - F.coalesce(F.sum(F.when(F.col("full"), F.col("cap"))).over(brothers), F.lit(0))).cast("decimal(38,0)")).withColumn("ws", open_("w"))
+    wide = wide.withColumn("base", F.when(F.col("full"), F.col("cap").cast("long")).otherwise(F.expr("rest * w div ws"))).withColumn("part", F.when(~F.col("full"), F.expr("rest * w % ws")))
+    spare = F.col("rest") - open_("base")
+    place = F.row_number().over(Window.partitionBy(*above, "full").orderBy(F.desc("part"), level))
+    return wide.withColumn("spare", spare).withColumn("place", place).withColumn("target", F.col("base") + F.when(~F.col("full") & (F.col("place") <= F.col("spare")), 1).otherwise(0))
+
+
 def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[str, int]], share: tuple[int, int], epochs: int) -> DataFrame:
     """Each leaf's ``target`` tokens. ``leaves``: levels and tokens; ``share``: the budget as a fraction of all tokens."""
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0))).scalar()
@@ -55,12 +79,7 @@ def leaf_budgets(leaves: DataFrame, levels: Sequence[str], weights: Mapping[str,
     for depth, level in enumerate(levels):
         path, above = list(levels[: depth + 1]), list(levels[:depth])
         kids = plan.groupBy(*path).agg((F.sum("tokens") * epochs).alias("cap"), F.first("target").alias("given")).withColumn("w", _weight(level, weights.get(level, {})))
-        order = Window.partitionBy(*above).orderBy(F.col("cap") / F.col("w"), level)
-        before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(0, Window.unboundedFollowing)
-        rate = (F.col("given") - F.coalesce(F.sum("cap").over(before), F.lit(0))) / F.sum("w").over(after)
-        kids = kids.withColumn("rate", rate).withColumn("rate", F.max("rate").over(Window.partitionBy(*above)))
-        kids = kids.select(*path, F.floor(F.greatest(F.lit(0.0), F.least(F.col("cap").cast("double"), F.col("rate") * F.col("w")))).cast("long").alias("target"))
-        plan = plan.drop("target").join(kids, path)
+        plan = plan.drop("target").join(_shares(kids, above, level, weights.get(level, {})).select(*path, "target"), path)
     return plan
 
 
@@ -78,6 +97,7 @@ def plan(docs: DataFrame, levels: Sequence[str], weights: Mapping[str, Mapping[s
     ends = groups.withColumn("upto", upto).filter("upto > rest").groupBy(*levels).agg(F.min("digits").alias("end"), F.min("upto").alias("past"))
     ends = stored(ends.join(groups.withColumnRenamed("digits", "end").select(*levels, "end", "here"), [*levels, "end"]), "ends")
     last = joined(keyed, ends, levels).filter("digits = end")
+    last = last.groupBy(*levels, "key").agg(F.sum("tokens").alias("tokens"), *(F.first(c).alias(c) for c in ("past", "here", "rest")))  # rows of one doc_id are one
     run = F.col("past") - F.col("here") + F.sum("tokens").over(Window.partitionBy(*levels).orderBy("key"))
     cuts = last.withColumn("run", run).filter("run <= rest").groupBy(*levels).agg(F.max("key").alias("cut"))
     out = aims.join(ends.select(*levels, "end"), list(levels), "left").join(cuts, list(levels), "left")

@@ -78,28 +78,37 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", F.col("__mix_domain").alias("domain"), F.col("__mix_lang").alias("lang"), F.col("__mix_source").alias("source"), F.col("__mix_tokens").alias("n_tokens"), F.col("__mix_copies").alias("copies"))
 
 
-OP8_SQL = """
+def _shares_sql(name: str, rows: str, parents: str, level: str) -> str:
+    """Brothers' whole-number shares: one is full if a filling of all to its own level (cap / w) is within what is given."""
+    same = " and ".join(f"a.{p} = b.{p}" for p in parents.split(", ") if p) or "true"
+    over = f"partition by {parents}" if parents else ""
+    both = f"partition by {parents}, full_" if parents else "partition by full_"
+    path = f"{parents}, {level}" if parents else level
+    return f"""
+{name}_a as (select a.*, (select sum(least(b.cap * a.w, a.cap * b.w)) from {rows} b where {same}) <= a.given * a.w as full_ from {rows} a),
+{name}_b as (select *, given - coalesce(sum(cap) filter (full_) over p, 0) as rest, sum(w) filter (not full_) over p as ws from {name}_a window p as ({over})),
+{name}_c as (select *, case when full_ then cap else rest * w // ws end as base, case when full_ then 0 else rest * w % ws end as part from {name}_b),
+{name}_d as (select *, rest - sum(base) filter (not full_) over ({over}) as spare, row_number() over ({both} order by part desc, {level}) as place from {name}_c),
+{name} as (select {path}, cast(base + case when not full_ and place <= spare then 1 else 0 end as hugeint) as given from {name}_d),"""
+
+
+OP8_SQL = f"""
 with docs as (
   select doc_id, coalesce(lang, '') as lang, coalesce(source, '') as source,
     case when source = 'src0' then 'crawl'
       when source in ('src1','src2','src3','src4','src5','src6','src7','src8','src9','src10','src11','src12') then 'forum' else 'library' end as domain,
     case when length(coalesce(text, '')) > 0 then length(text) - length(translate(text, ' ' || chr(10), '')) + 1 else 0 end as tokens
   from documents),
-leaves as (select domain, lang, source, cast(sum(tokens) as bigint) as tokens from docs group by all),
-d0 as (select domain, 2 * sum(tokens) as cap, (select sum(tokens) // 2 from leaves) as given,
-    case domain when 'crawl' then 2 when 'forum' then 3 when 'library' then 5 else 1 end as w from leaves group by domain),
-d1 as (select *, (given - coalesce(sum(cap) over (order by cap / w, domain rows between unbounded preceding and 1 preceding), 0))
-    / sum(w) over (order by cap / w, domain rows between current row and unbounded following) as r from d0),
-d2 as (select domain, cast(floor(greatest(0.0, least(cast(cap as double), max(r) over () * w))) as bigint) as given from d1),
-l0 as (select domain, lang, 2 * sum(tokens) as cap, any_value(given) as given,
-    case lang when 'en' then 4 when 'de' then 2 when 'fr' then 2 when 'es' then 2 else 1 end as w from leaves join d2 using (domain) group by domain, lang),
-l1 as (select *, (given - coalesce(sum(cap) over (partition by domain order by cap / w, lang rows between unbounded preceding and 1 preceding), 0))
-    / sum(w) over (partition by domain order by cap / w, lang rows between current row and unbounded following) as r from l0),
-l2 as (select domain, lang, cast(floor(greatest(0.0, least(cast(cap as double), max(r) over (partition by domain) * w))) as bigint) as given from l1),
-s0 as (select domain, lang, source, 2 * tokens as cap, given, tokens from leaves join l2 using (domain, lang)),
-s1 as (select *, (given - coalesce(sum(cap) over (partition by domain, lang order by cap, source rows between unbounded preceding and 1 preceding), 0))
-    / count(*) over (partition by domain, lang order by cap, source rows between current row and unbounded following) as r from s0),
-aims as (select domain, lang, source, tokens as total, cast(floor(greatest(0.0, least(cast(cap as double), max(r) over (partition by domain, lang)))) as bigint) as target from s1),
+leaves as (select domain, lang, source, cast(sum(tokens) as hugeint) as tokens from docs group by all),
+d0 as (select domain, cast(2 * sum(tokens) as hugeint) as cap, (select cast(sum(tokens) as hugeint) // 2 from leaves) as given,
+    cast(case domain when 'crawl' then 2 when 'forum' then 3 when 'library' then 5 else 1 end as hugeint) as w from leaves group by domain),
+{_shares_sql("d2", "d0", "", "domain")}
+l0 as (select domain, lang, cast(2 * sum(tokens) as hugeint) as cap, any_value(given) as given,
+    cast(case lang when 'en' then 4 when 'de' then 2 when 'fr' then 2 when 'es' then 2 else 1 end as hugeint) as w from leaves join d2 using (domain) group by domain, lang),
+{_shares_sql("l2", "l0", "domain", "lang")}
+s0 as (select domain, lang, source, 2 * tokens as cap, given, cast(1 as hugeint) as w from leaves join l2 using (domain, lang)),
+{_shares_sql("s2", "s0", "domain, lang", "source")}
+aims as (select domain, lang, source, tokens as total, given as target from s2 join leaves using (domain, lang, source)),
 split as (select *, case when total > 0 then target // total else 0 end as whole from aims),
 runs as (select doc_id, domain, lang, source, tokens, whole, target - whole * total as rest,
     sum(tokens) over (partition by domain, lang, source order by md5('20:' || whole || ':' || coalesce(cast(doc_id as varchar), 'null'))) as run

@@ -160,8 +160,15 @@ def schema_errors(value: Column, schema: Schema, path: str = "") -> Column:
 
 
 def parsed(arguments: Column) -> Column:
-    """Arguments as a variant, null where they are no JSON."""
-    return F.try_parse_json(F.coalesce(arguments, F.lit("{}")))
+    """Arguments as a variant, null where they are no JSON.
+
+    Spark's parser stops after the first value.  In brackets a second value or other text after it is an error
+    or a second element, but for text that closes the bracket itself; that is an error as a key's value.
+    """
+    text = F.coalesce(arguments, F.lit("{}"))
+    listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))), "$", "array<variant>")
+    keyed = F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}")))
+    return F.when((F.size(listed) == 1) & keyed.isNotNull(), F.try_parse_json(text))
 
 
 def argument_errors(schemas: Mapping[str, Schema]) -> Column:

@@ -158,18 +158,18 @@ def body_of(http: Headers, payload: bytes) -> bytes:
     return payload
 
 
-def charset_of(http: Headers, body: bytes) -> str:
-    """The first known charset of header, byte order mark and meta tag."""
+def decoded(http: Headers, body: bytes) -> tuple[str, str]:
+    """The page, and the charset that reads it: the first of header, byte order mark and meta tag that names a text
+    encoding which decodes the body, or UTF-8."""
     named = [m[1] for m in [_CHARSET.search(http.get("Content-Type") or "")] if m]
     named += [name for mark, name in _MARKS if body.startswith(mark)]
     named += [m[1] for tag in _META.findall(body[:_META_BYTES].decode("latin-1")) for m in [_CHARSET.search(tag)] if m]
     for name in named:
         try:
-            if codecs.lookup(name)._is_text_encoding:
-                return name
-        except LookupError:
+            return body.decode(name, "replace"), name
+        except (LookupError, UnicodeError, ValueError):  # unknown, of no text, or one that doesn't replace what it can't read
             continue
-    return "utf-8"
+    return body.decode("utf-8", "replace"), "utf-8"
 
 
 def shown(page: str) -> str:
@@ -214,8 +214,7 @@ def derivatives(raw: bytes) -> tuple[bytes, bytes | None, dict] | None:
         body = body_of(http, payload)
     except ValueError as e:
         body, error = b"", error or str(e)
-    charset = charset_of(http, body)
-    page = body.decode(charset, "replace")
+    page, charset = decoded(http, body)
     text = plain_text(page)
     title = _TITLE.search(page)
     lang = _LANG.search(page)

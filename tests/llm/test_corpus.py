@@ -3,6 +3,7 @@ import random
 import re
 import zlib
 from collections import Counter
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -157,25 +158,29 @@ def brute_budgets(tree, weights, budget, epochs=1):
     out = {}
 
     def share(node, given):
-        left, got = given, {k: 0.0 for k in node}
-        while left > 1e-9:
-            still = {k: weights.get(k, 1) for k, x in node.items() if weights.get(k, 1) > 0 and room(x, weights.get(k, 1)) - got[k] > 1e-9}
+        got = {k: Fraction(0) for k in node}
+        left = Fraction(given)
+        while left:
+            still = {k: weights.get(k, 1) for k, x in node.items() if weights.get(k, 1) > 0 and room(x, weights.get(k, 1)) > got[k]}
             if not still:
                 break
-            part, spent = left / sum(still.values()), 0.0
+            part, spent = left / sum(still.values()), Fraction(0)
             for k, w in still.items():
                 more = min(part * w, room(node[k], w) - got[k])
                 got[k] += more
                 spent += more
             left -= spent
+        whole = {k: int(v) for k, v in got.items()}
+        for k in sorted(got, key=lambda k: (whole[k] - got[k], k))[: int(sum(got.values())) - sum(whole.values())]:
+            whole[k] += 1
         for k, x in node.items():
             if isinstance(x, int):
-                out[k] = got[k]
+                out[k] = whole[k]
             else:
-                share(x, int(got[k] + 1e-9))
+                share(x, whole[k])
 
     share(tree, budget)
-    return {k: int(v + 1e-9) for k, v in out.items()}
+    return out
 
 
 def test_weight_zero_is_no_capacity(spark):
@@ -183,6 +188,9 @@ def test_weight_zero_is_no_capacity(spark):
         ({"a": {"x": 100, "y": 100}, "b": {"z": 1000}}, {"x": 0}, (1, 3)),
         ({"a": {"x": 50, "y": 70}, "b": {"z": 10, "u": 400}, "c": {"v": 300}}, {"c": 0, "u": 3, "a": 2}, (1, 2)),
         ({"a": {"x": 0, "y": 7}, "b": {"z": 0}}, {}, (1, 1)),
+        ({"a": {"x": 122}}, {"a": 7, "x": 7}, (1, 2)),
+        ({"a": {"x": 100, "y": 100, "z": 100}, "b": {"u": 55, "v": 200, "w": 31}}, {"a": 7, "b": 3, "u": 2, "v": 3}, (1, 3)),
+        ({"a": {f"x{k}": 10 + k for k in range(9)}, "b": {f"y{k}": 3**k for k in range(9)}}, {"a": 11, "b": 13, "y3": 5, "x4": 6}, (2, 7)),
     ]
     for tree, weights, (num, den) in cases:
         rows = [(d, s, n) for d, kids in tree.items() for s, n in kids.items()]
@@ -190,6 +198,20 @@ def test_weight_zero_is_no_capacity(spark):
         got = {r.s: r.target for r in mixing.leaf_budgets(leaves, ["d", "s"], {"d": weights, "s": weights}, (num, den), 1).collect()}
         want = brute_budgets(tree, weights, sum(n for *_, n in rows) * num // den)
         assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+        assert sum(got.values()) == sum(want.values())
+
+
+def test_many_rows_of_one_document_are_in_or_out_together(spark):
+    rows = spark.createDataFrame([(k if k < 20 else None if k < 40 else 77, "a b c", "en", "src0") for k in range(60)], "doc_id long, text string, lang string, source string")
+    out = mixing.mix(rows, {"source": F.col("source")}, {}, share=(2, 3), epochs=1, seed=4).groupBy("doc_id").count().collect()
+    assert {r["count"] for r in out if r.doc_id is None or r.doc_id == 77} <= {20} and sum(r["count"] for r in out) <= 40
+
+
+def test_arguments_end_with_their_value(spark):
+    good = ['{"q":"x"}', ' {"q" : "x"}\n', "[1, 2]", "null", '"a, b"', "1"]
+    bad = ['{"q":"x"} junk', '{"q":"x"}{"q":"y"}', '{"q":"x"}}', '{"q":"x"},{"q":"y"}', '{"q":"x"}] [', '{"q":"x"}} {', '{"q":"x"}, "w": 1', "1 2", "", " ", "1]", "1,", ", 1", "x"]
+    rows = spark.createDataFrame([(k, a) for k, a in enumerate(good + bad)], "i int, arguments string").withColumn("fine", tool_calls.parsed(F.col("arguments")).isNotNull())
+    assert [r.fine for r in rows.orderBy("i").collect()] == [True] * len(good) + [False] * len(bad)
 
 
 def test_mixing_edges(spark, edge_docs, empty_docs):

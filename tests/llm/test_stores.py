@@ -44,6 +44,14 @@ def test_token_edges(spark, edge_docs, empty_docs, tokenizer):
     assert T.read_back(T.write_shards(empty_docs, queries.vocabulary("byte_bpe_50k.json"))).count() == 0
 
 
+def test_texts_of_added_tokens_match_the_library(tokenizer):
+    added = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+    ends = [c * n for c in ("\n", " ", "\t") for n in range(4)]
+    texts = [f"word{a}{t}{b}{c}" for t in added for a in ends for b in ends for c in ("", "b")] + ["a\n\n<|endoftext|>b"]
+    own = T.encoder(queries.vocabulary("byte_bpe_50k.json")).encode_all(texts)
+    assert [np.frombuffer(x, "<u4").tolist() for x in own] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_wavelet_access_rank_select():
     ids = np.random.default_rng(2).integers(0, 50, 3 * 8 * T.BLOCK_BYTES // 2).astype("<u4")
     raw = b"".join(T.to_file(ids, [(7, len(ids))]))
@@ -168,6 +176,17 @@ def test_warc_codings_and_charsets():
         assert json.loads(W.parse(meta)[1])["error"] == columns["error"]
 
 
+def test_any_charset_name_gives_a_page():
+    import encodings.aliases
+
+    names = {*encodings.aliases.aliases, *encodings.aliases.aliases.values(), "undefined", "idna", "punycode", "unicode_escape", "none-such", "a" * 300}
+    for name in names:
+        for http, body in ((W.Headers([f"Content-Type: text/html; charset={name}".encode()]), b"plain"), (W.Headers([]), f"<meta charset='{name}'>plain".encode())):
+            page, charset = W.decoded(http, body)
+            assert isinstance(page, str) and charset
+    assert W.decoded(W.Headers([b"Content-Type: text/html; charset=undefined"]), b"<meta charset='latin-1'>\xe9") == ("<meta charset='latin-1'>\xe9", "latin-1")
+
+
 def test_warc_unclosed_tags_take_linear_time():
     began = time.process_time()
     assert W.plain_text("<script " * 200_000 + "<p>x<!--" + "<style>" * 100_000) is not None
