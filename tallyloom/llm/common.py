@@ -76,3 +76,18 @@ def maybe_in(rows: DataFrame, key: Column, keys: DataFrame) -> DataFrame:
     held = rows.withColumn("_key", key).withColumn("_p", place(F.col("_key"))).withColumn("_bucket", F.expr("_p div 32768")).join(F.broadcast(maps), "_bucket", "left")
     found = F.coalesce(F.getbit(byte, F.expr("cast(_p % 8 as int)")) == 1, F.lit(False)) & F.col("_key").isNotNull()
     return held.withColumn("_in", found).select(*rows.columns, "_in")
+
+
+HOT_SHARE = 1000
+
+
+def joined_by(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """``many`` (stored, as it is read twice) joined with ``few``, which has one row a key.
+
+    A key with over a thousandth of ``many``'s rows is hot; there are fewer than HOT_SHARE such keys, so their rows
+    of ``few`` are broadcast and ``many``'s stay where they are.  The rest are joined by a shuffle.
+    """
+    most = many.count() // HOT_SHARE
+    hot = stored(many.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > most + 1).select(key), "hot")
+    rest = many.join(F.broadcast(hot), key, "left_anti").join(few, key)
+    return many.join(F.broadcast(few.join(F.broadcast(hot), key)), key).unionByName(rest)

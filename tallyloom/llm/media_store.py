@@ -2,8 +2,8 @@
 
 A payload (a text's bytes, padded to whole rows of samples) is stored losslessly as an 8-bit grey PNG.  Its
 address is the SHA-256 of the payload; each address is stored once, in a tar shard in the shared folder.
-Rows carry digest, shard, offset and length.  Metadata columns come from range reads of each image's first
-bytes; features from range reads of whole images.
+Rows carry digest, shard, offset and length.  Metadata columns are filled by range reads of each image's first
+bytes alone; digests of what is stored and features by range reads of whole images.
 
 Texts that a bitmap of repeated texts clears have no copies, and the task that reads them writes them.  The
 others are turned to images first, each task leaving out those that it has just made, and meet by digest,
@@ -22,7 +22,7 @@ import struct
 import tarfile
 import zlib
 from collections import OrderedDict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import maybe_in, shared_dir, stored, text_of
+from tallyloom.llm.common import joined_by, maybe_in, shared_dir, stored, text_of
 from tallyloom.llm.shared_files import Ranges, new_file
 
 WIDTH = 576
@@ -125,10 +125,11 @@ def store(docs: DataFrame) -> DataFrame:
 
     def written(batches: Iterator[pa.RecordBatch], kind: str = "shared") -> Iterator[pa.RecordBatch]:
         rows = ((d, i.as_py()) for b in batches for d, i in zip(b.column(0).to_pylist(), b.column(1)))
-        part, seq, last = TaskContext.get().partitionId(), 0, None
+        task, seq, last = TaskContext.get(), 0, None
+        part, attempt = task.partitionId(), task.taskAttemptId()  # each attempt has files of its own
         row = next(rows, None)
         while row is not None:
-            shard = f"{folder}/{kind}-{part:06d}-{seq:06d}.tar"
+            shard = f"{folder}/{kind}-{part:06d}-{attempt:08d}-{seq:06d}.tar"
             found = []
             with new_file(shard) as sink, tarfile.open(fileobj=sink, mode="w|", format=tarfile.USTAR_FORMAT) as tar:
                 while row is not None and tar.offset < SHARD_BYTES:
@@ -172,42 +173,36 @@ class _Files:
         return self._open[shard].read(offset, length)
 
 
-def _per_place(places: DataFrame, kinds: pa.Schema, schema: str, read) -> DataFrame:
+def _read_more(places: DataFrame, more: str, read: Callable[[_Files, str, int, int], tuple]) -> DataFrame:
+    """Adds columns that ``read`` gets from a place's shard, offset and length."""
+    schema = ", ".join(f"{c} {t}" for c, t in places.dtypes) + f", {more}"
+    names = [c.split()[0] for c in more.split(", ")]
+    types = [pa.string() if c.endswith("string") else pa.int64() for c in more.split(", ")]
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Files()
         for batch in batches:
-            rows = [read(files, *r) for r in zip(*(c.to_pylist() for c in batch.columns))]
+            rows = [read(files, *at) for at in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")))]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, k.type) for c, k in zip(zip(*rows), kinds)], schema=kinds)
-
-    n = int(places.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return places.select("digest", "shard", "offset", "length").repartition(n).mapInArrow(each, schema)
-
-
-_HEAD = [("width", pa.int64()), ("height", pa.int64()), ("bits", pa.int64())]
-_BODY = [("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string())]
-
+                yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(c, t) for c, t in zip(zip(*rows), types))], names=[*batch.schema.names, *names])
 
-def _header(files: _Files, shard: str, offset: int, length: int) -> tuple:
-    return image_header(files.read(shard, offset, min(length, HEADER_BYTES)))
+    return places.mapInArrow(each, schema)
 
 
 def metadata(places: DataFrame) -> DataFrame:
-    """(digest, width, height, bits) from header-only range reads."""
-    return _per_place(places, pa.schema([("digest", pa.binary()), *_HEAD]), "digest binary, width long, height long, bits long", lambda files, digest, *at: (digest, *_header(files, *at)))
+    """Adds width, height and bits a sample, from header-only range reads."""
+    return _read_more(places, "width long, height long, bits long", lambda files, shard, offset, length: image_header(files.read(shard, offset, min(length, HEADER_BYTES))))
 
 
 def contents(places: DataFrame) -> DataFrame:
-    """Metadata from the images' headers, and digests and features from whole images."""
+    """Adds what the whole images show: the payload's size and digests, the stored form's, and the feature."""
 
-    def read(files: _Files, digest: bytes, shard: str, offset: int, length: int) -> tuple:
-        head = _header(files, shard, offset, length)
+    def read(files: _Files, shard: str, offset: int, length: int) -> tuple:
         image = files.read(shard, offset, length)
         payload = from_image(image)
-        return digest, *head, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(image), hashlib.sha256(image).hexdigest(), feature(payload)
 
-    schema = "digest binary, width long, height long, bits long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _per_place(places, pa.schema([("digest", pa.binary()), *_HEAD, *_BODY]), schema, read)
+    return _read_more(places, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string", read)
 
 
 def addressed(docs: DataFrame) -> DataFrame:
@@ -217,6 +212,8 @@ def addressed(docs: DataFrame) -> DataFrame:
 
 
 def describe(docs: DataFrame) -> DataFrame:
-    """Stores all payloads and returns each document's columns from what was stored."""
-    found = stored(contents(store(docs)), "media-contents")
-    return addressed(docs).join(found, "digest").drop("digest")
+    """Stores all payloads; each document's digest, shard, offset and length, the metadata columns and what was read back."""
+    places = store(docs)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    found = stored(contents(metadata(places.repartition(n))), "media-contents")
+    return joined_by(stored(addressed(docs), "media-documents"), found, "digest").withColumn("digest", F.lower(F.hex("digest")))

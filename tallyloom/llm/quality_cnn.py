@@ -5,13 +5,14 @@ every offset of a short window, slide over all chunks; each filter's largest res
 and a document's mean and maximum over its chunks go through a logistic unit to one probability.
 
 The model is fitted by Adam on a bounded sample of labelled documents: those SAMPLE label rows with a document,
-outside the held-out quarter, that come first by a hash of doc_id; of a text of over SAMPLE_CHARS characters,
-PARTS pieces from all over it make up as many.  Scoring covers every document and every byte of it.
+outside the held-out quarter, that come first by a hash of doc_id.  Fitting takes each sampled text whole, long
+ones a few chunks at a time.  Scoring covers every document and every byte of it.
 
 Defined results: a null or empty text is one chunk of padding and gets its own score; null doc_ids are
 scored and count as not held out; repeated rows are scored alike; labels that are null, not 0 or 1, or
 without a document are ignored; where the sample lacks one of the two labels, every score is 1 (nothing is
-rejected for want of evidence); a sampled doc_id of several texts is fitted on the smallest of them.  Other columns of either table are ignored.
+rejected for want of evidence); a sampled doc_id of several texts is fitted on the smallest of them, and one that
+is labelled both 0 and 1 once with each label.  Other columns of either table are ignored.
 """
 
 from __future__ import annotations
@@ -27,7 +28,6 @@ from pyspark.sql import functions as F
 from tallyloom.llm.common import text_of, with_small_batches
 
 SAMPLE = 2000
-SAMPLE_CHARS, PARTS = 1 << 16, 16
 CHUNK, STEP, WIDTH, FILTERS = 256, 192, 6, 24
 EPOCHS, GROUP, RATE, DECAY = 8, 32, 0.01, 1e-4
 THRESHOLD = 0.7
@@ -135,18 +135,10 @@ def fold() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLD
 
 
-def _bounded(text: F.Column) -> F.Column:
-    """The text, or PARTS pieces spread evenly over it where it has more than SAMPLE_CHARS characters."""
-    size = SAMPLE_CHARS // PARTS
-    stride = (F.length(text) - size) / (PARTS - 1)
-    spread = F.concat(*(F.substring(text, F.floor(stride * k).cast("int") + 1, F.lit(size)) for k in range(PARTS)))
-    return F.when(F.length(text) > SAMPLE_CHARS, spread).otherwise(text)
-
-
 def sample_of(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     """The bounded training sample: SAMPLE label rows that have a document, and one text of each.
 
-    Label rows that repeat count once; a very long text gives pieces from all over it.
+    Label rows that repeat count once.
     """
     rows = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality"))
     rows = rows.filter("doc_id is not null and quality in (0, 1)").filter(fold() != HELD_OUT).distinct()
@@ -154,7 +146,6 @@ def sample_of(docs: DataFrame, labels: DataFrame) -> list[tuple[str, int]]:
     rows = rows.join(texts.select("doc_id").distinct(), "doc_id", "left_semi")
     rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "quality").limit(SAMPLE)
     # A doc_id may be many rows of the documents: one text of each comes to the driver.
-    texts = texts.withColumn("text", _bounded(F.col("text")))
     got = texts.join(F.broadcast(rows), "doc_id").groupBy("doc_id", "quality").agg(F.min("text").alias("text")).collect()
     return [(r.text, r.quality) for r in sorted(got, key=lambda r: (r.doc_id, r.text, r.quality))]
 

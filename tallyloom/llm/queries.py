@@ -49,7 +49,8 @@ def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_media_store(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media_store.describe(table(spark, sf_dir, "documents"))
+    """With the shards' names in the run's folder."""
+    return media_store.describe(table(spark, sf_dir, "documents")).withColumn("shard", F.substring_index("shard", "/", -1))
 
 
 def op6_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

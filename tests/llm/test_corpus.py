@@ -183,6 +183,44 @@ def brute_budgets(tree, weights, budget, epochs=1):
     return out
 
 
+def plain_score(model, text):
+    rows = Q.chunks(text)
+    pooled = [[max(0.0, max(model.bias[f] + sum(model.filters[k][row[at + k]][f] for k in range(Q.WIDTH)) for at in range(Q.CHUNK))) for f in range(Q.FILTERS)] for row in rows]
+    means = [sum(p[f] for p in pooled) / len(pooled) for f in range(Q.FILTERS)]
+    tops = [max(p[f] for p in pooled) for f in range(Q.FILTERS)]
+    z = sum(w * x for w, x in zip(model.weights, means + tops)) + model.offset
+    return 1 / (1 + np.exp(-z))
+
+
+def random_model(seed):
+    rng = np.random.default_rng(seed)
+    return Q.Model(0.3 * rng.standard_normal((Q.WIDTH, 256, Q.FILTERS)), 0.1 * rng.standard_normal(Q.FILTERS), 0.1 * rng.standard_normal(2 * Q.FILTERS), 0.2)
+
+
+def test_scores_equal_plain_loops():
+    model = random_model(1)
+    for text in ("", "short", "wörds and more of them, " * 14):
+        assert abs(Q.score_text(model, text) - plain_score(model, text)) < 1e-9
+
+
+def test_gradients_equal_differences():
+    model, rows, label = random_model(2), Q.chunks("some words of text, and others too. " * 12), 1.0
+    grads = [np.zeros_like(model.filters), np.zeros_like(model.bias), np.zeros_like(model.weights), np.float64(0)]
+    Q._add_gradient(model, rows, label, grads, 1)
+    loss = lambda: -np.log(Q._sigmoid(Q._summary(Q._pooled(model, rows)) @ model.weights + model.offset))
+    rng, step = np.random.default_rng(3), 1e-6
+    for array, grad in zip((model.filters, model.bias, model.weights), grads):
+        places = np.argwhere(np.abs(grad) > 1e-6)
+        for at in map(tuple, places[rng.permutation(len(places))[:8]]):
+            kept = array[at]
+            array[at] = kept + step
+            up = loss()
+            array[at] = kept - step
+            down = loss()
+            array[at] = kept
+            assert abs((up - down) / (2 * step) - grad[at]) < 1e-5
+
+
 def test_weight_zero_is_no_capacity(spark):
     cases = [
         ({"a": {"x": 100, "y": 100}, "b": {"z": 1000}}, {"x": 0}, (1, 3)),

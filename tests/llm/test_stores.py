@@ -12,6 +12,7 @@ from tallyloom.llm import media_store as M
 from tallyloom.llm import queries
 from tallyloom.llm import warc_derivatives as W
 from tallyloom.llm import wavelet_tokens as T
+from tallyloom.llm.shared_files import read_all
 
 
 @pytest.fixture(scope="module")
@@ -91,11 +92,33 @@ def test_media_edges(spark, edge_docs, empty_docs):
     assert len({(r.media_sha256, r.feature, r.media_bytes) for r in same}) == 1
     places = M.store(edge_docs)
     assert places.count() == len({t or "" for t in texts.values()}) == places.select("digest").distinct().count()
+    for r in rows:  # an independent reader of tar and PNG finds the payload where the row says
+        raw = read_all(r.shard)[r.offset : r.offset + r.length]
+        assert hashlib.sha256(raw).hexdigest() == r.media_sha256 and len(raw) == r.media_bytes
+        at, lines = 8, b""
+        while at < len(raw):
+            size = int.from_bytes(raw[at : at + 4])
+            lines += raw[at + 8 : at + 8 + size] if raw[at + 4 : at + 8] == b"IDAT" else b""
+            at += size + 12
+        lines = zlib.decompress(lines)
+        payload = b"".join(lines[k + 1 : k + 577] for k in range(0, len(lines), 577))
+        assert hashlib.sha256(payload).hexdigest() == r.digest == r.payload_sha256 and (r.width, r.height, r.bits) == (576, len(payload) // 576, 8)
+        mean = sum(payload) / len(payload)
+        spread = (sum((x - mean) ** 2 for x in payload) / len(payload)) ** 0.5
+        eighths = [sum(x >> 5 == k for x in payload) / len(payload) for k in range(8)]
+        assert r.feature == f"rows={len(payload) // 576};mean={mean:.3f};std={spread:.3f};distinct={len(set(payload))};" + ",".join(f"{x:.3f}" for x in eighths)
     heads = {bytes(r.digest): (r.width, r.height, r.bits) for r in M.metadata(places).collect()}
     assert heads[hashlib.sha256(b"\xff" * 576).digest()] == (576, 1, 8)
     assert M.describe(empty_docs).count() == 0
 
 
+def test_media_of_hot_and_rare_payloads(spark):
+    docs = spark.createDataFrame([(k, None if k % 3 else f"own {k}") for k in range(3000)], "doc_id long, text string")
+    rows = M.describe(docs).collect()
+    assert len(rows) == 3000 and {(r.doc_id, r.n_bytes, r.payload_sha256) for r in rows} == {(k, *(media_row(None if k % 3 else f"own {k}")[i] for i in (0, 2))) for k in range(3000)}
+    assert len({(r.shard, r.offset) for r in rows if r.n_bytes == 0}) == 1
+
+
 def test_warc_links_and_digests(spark, sf_dir):
     rows = queries.op7_warc_derivatives(spark, sf_dir).collect()
     assert len(rows) == 50 and all(r.linked and r.digest_holds and r.error is None for r in rows)
