@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 def tokens(text: Column) -> Column:
     """Lower-case tokens; marks at the ends are stripped."""
+    # Fixed value: what a token is.
     found = F.regexp_extract_all(F.lower(text), F.lit(r"([a-z0-9][a-z0-9.,%$/-]*)"), 1)
     return F.filter(F.transform(found, lambda t: F.regexp_replace(t, r"[.,/-]+$", "")), lambda t: t != "")
 
@@ -93,7 +94,8 @@ def located(text: Column, width: int = 70) -> Column:
         first, last = F.greatest(start - width, F.lit(0)), F.least(start + F.length(x["figure"]) + width, F.length(text))
         words = F.trim(F.substring(text, first + 1, last - first))
         context = F.concat(F.when(first > 0, "…").otherwise(""), words, F.when(last < F.length(text), "…").otherwise(""))
-        return F.struct(x["kind"].alias("kind"), F.trim(x["figure"]).alias("figure"), x["value"].alias("value"), start.alias("start"), context.alias("context"))
+        blank = F.length(x["figure"]) - F.length(F.ltrim(x["figure"]))
+        return F.struct(x["kind"].alias("kind"), F.trim(x["figure"]).alias("figure"), x["value"].alias("value"), (start + blank).alias("start"), context.alias("context"))
 
     def placed(found: Column) -> Column:
         sizes = F.zip_with(F.split(text, _FIGURE, -1), found, lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x["figure"]).alias("own")))

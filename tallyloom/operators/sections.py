@@ -7,17 +7,36 @@ from pyspark.sql import functions as F
 
 c = F.col
 
-# The items of annual and quarterly filings.
-ANNUAL_ITEMS = {
-    "1": "Business", "1A": "Risk Factors", "1B": "Unresolved Staff Comments", "1C": "Cybersecurity", "2": "Properties", "3": "Legal Proceedings", "4": "Mine Safety Disclosures",
-    "5": "Market for Common Equity", "6": "Selected Financial Data", "7": "Management's Discussion and Analysis", "7A": "Market Risk Disclosures", "8": "Financial Statements",
-    "9": "Changes in and Disagreements with Accountants", "9A": "Controls and Procedures", "10": "Directors and Corporate Governance", "11": "Executive Compensation",
-    "12": "Security Ownership", "13": "Related Party Transactions", "14": "Principal Accountant Fees", "15": "Exhibits and Schedules",
-}
-QUARTERLY_ITEMS = {
-    "1": "Financial Statements", "1A": "Risk Factors", "2": "Management's Discussion and Analysis", "3": "Market Risk Disclosures", "4": "Controls and Procedures",
-    "5": "Other Information", "6": "Exhibits",
-}
+# Form, number and label of the items of annual and quarterly filings.
+ITEMS = (
+    ("10-K", "1", "Item 1 -Business"),
+    ("10-K", "1A", "Item 1A -Risk Factors"),
+    ("10-K", "1B", "Item 1B -Unresolved Staff Comments"),
+    ("10-K", "1C", "Item 1C -Cybersecurity"),
+    ("10-K", "2", "Item 2 -Properties"),
+    ("10-K", "3", "Item 3 -Legal Proceedings"),
+    ("10-K", "4", "Item 4 -Mine Safety Disclosures"),
+    ("10-K", "5", "Item 5 -Market for Common Equity"),
+    ("10-K", "6", "Item 6 -Selected Financial Data"),
+    ("10-K", "7", "Item 7 -Management's Discussion and Analysis"),
+    ("10-K", "7A", "Item 7A -Market Risk Disclosures"),
+    ("10-K", "8", "Item 8 -Financial Statements"),
+    ("10-K", "9", "Item 9 -Changes in and Disagreements with Accountants"),
+    ("10-K", "9A", "Item 9A -Controls and Procedures"),
+    ("10-K", "10", "Item 10 -Directors and Corporate Governance"),
+    ("10-K", "11", "Item 11 -Executive Compensation"),
+    ("10-K", "12", "Item 12 -Security Ownership"),
+    ("10-K", "13", "Item 13 -Related Party Transactions"),
+    ("10-K", "14", "Item 14 -Principal Accountant Fees"),
+    ("10-K", "15", "Item 15 -Exhibits and Schedules"),
+    ("10-Q", "1", "Item 1 -Financial Statements"),
+    ("10-Q", "1A", "Item 1A -Risk Factors"),
+    ("10-Q", "2", "Item 2 -Management's Discussion and Analysis"),
+    ("10-Q", "3", "Item 3 -Market Risk Disclosures"),
+    ("10-Q", "4", "Item 4 -Controls and Procedures"),
+    ("10-Q", "5", "Item 5 -Other Information"),
+    ("10-Q", "6", "Item 6 -Exhibits"),
+)
 # Words of headings in reports without items, in order; "…" stands for other words between.
 NARRATIVE = {
     "Risk Factors": ("risk factors", "risk management"),
@@ -28,7 +47,17 @@ NARRATIVE = {
     "Notes to Financial Statements": ("notes to … financial statements",),
     "Auditor's Report": ("auditor s report", "auditors report", "independent auditor", "independent auditors"),
     "Corporate Governance": ("corporate governance",),
-    "Leadership Letter": tuple(f"{who}{s} {what}" for who in ("chairman", "ceo", "chief executive") for s in ("", " s", "s") for what in ("letter", "message", "statement")),
+    "Leadership Letter": (
+        "chairman letter", "chairman message", "chairman statement",
+        "chairman s letter", "chairman s message", "chairman s statement",
+        "chairmans letter", "chairmans message", "chairmans statement",
+        "ceo letter", "ceo message", "ceo statement",
+        "ceo s letter", "ceo s message", "ceo s statement",
+        "ceos letter", "ceos message", "ceos statement",
+        "chief executive letter", "chief executive message", "chief executive statement",
+        "chief executive s letter", "chief executive s message", "chief executive s statement",
+        "chief executives letter", "chief executives message", "chief executives statement",
+    ),
     "Business Overview": ("business overview", "business responsibility", "our business"),
     "Segment Information": ("segment information", "segment results", "segment reporting"),
 }
@@ -51,9 +80,10 @@ def _item_parts(line: Column) -> tuple[Column, Column]:
 def item_heading(line: Column, form: Column) -> Column:
     """'Item n -Label' of an item's heading; unknown items keep their own words; null for other lines."""
     number, rest = _item_parts(line)
-    known = lambda items: F.try_element_at(F.create_map(*[x for k, v in items.items() for x in (F.lit(k), F.lit(v))]), number)
-    label = F.coalesce(F.when(F.upper(F.coalesce(form, F.lit(""))).startswith("10-Q"), known(QUARTERLY_ITEMS)).otherwise(known(ANNUAL_ITEMS)), F.nullif(rest, F.lit("")))
-    return F.when(number.isNotNull(), F.concat(F.lit("Item "), number, F.coalesce(F.concat(F.lit(" -"), label), F.lit(""))))
+    known = lambda form: F.try_element_at(F.create_map(*[F.lit(x) for f, k, v in ITEMS if f == form for x in (k, v)]), number)
+    label = F.when(F.upper(F.coalesce(form, F.lit(""))).startswith("10-Q"), known("10-Q")).otherwise(known("10-K"))
+    own = F.concat(F.lit("Item "), number, F.coalesce(F.concat(F.lit(" -"), F.nullif(rest, F.lit(""))), F.lit("")))
+    return F.when(number.isNotNull(), F.coalesce(label, own))
 
 
 def narrative_heading(line: Column) -> Column:

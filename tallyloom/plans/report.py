@@ -58,73 +58,6 @@ def q_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.coverage(table(spark, sf_dir, "conversations").select("conv_id", marked.alias("paragraph")), "conv_id")
 
 
-def prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A paragraph per company and latest year, made of its figures, some of them wrong."""
-    last = H.with_ratios(H.latest(history(spark, sf_dir)))
-    n, money = c("n_lines"), lambda x: F.format_string("$%.6f million", x / 1e6)
-    rev = F.when(n % 10 == 0, c("revenue") * 2).otherwise(c("revenue"))
-    text = F.concat_ws(" ", F.lit("Revenue of"), money(rev), F.lit("was reported [1]."), F.format_string("The operating margin was %.1f%%.", F.when(n % 6 == 0, c("operating_margin") * 100 + 9).otherwise(c("operating_margin") * 100)),
-        F.when(n % 4 == 0, "Margin falls from 20% to 25% in this case.").otherwise("Margin rises from 20% to 25% in this case."), F.when(n % 5 == 0, "The quarterly figure is annualised here."), F.when(n % 8 == 0, "Management expects growth in FY2000 [7]."),
-        F.when(n % 9 == 0, "Consensus implies our bull case with 12% growth."), F.when(n % 12 == 0, "Quarterly revenue for the year was flat."))
-    return last.select("ticker", "fiscal_year", "revenue", "operating_margin", "n_lines", text.alias("text"), F.lit(3).alias("n_evidence"), F.lit(2).alias("n_paragraphs"))
-
-
-_LAST_SQL = HISTORY_SQL + ", last as (select * from hist qualify row_number() over (partition by ticker order by fiscal_year desc) = 1)"
-
-
-@query("q_qa_prose", "with " + _LAST_SQL + """ select ticker, 'HIGH' as severity, 'risk direction' as "check", count(*) as n from last where n_lines % 4 = 0 group by ticker
- union all select ticker, 'HIGH', 'annualisation', 1 from last where n_lines % 5 = 0 union all select ticker, 'MEDIUM', 'staleness', 1 from last where n_lines % 8 = 0 and fiscal_year >= 2000
- union all select ticker, 'HIGH', 'citations', 1 from last where n_lines % 8 = 0 union all select ticker, 'HIGH', 'consensus', 1 from last where n_lines % 9 = 0 union all select ticker, 'HIGH', 'metric semantics', 1 from last where n_lines % 12 = 0
- union all select ticker, 'CRITICAL', 'canonical metric', 1 from last where n_lines % 10 = 0""")
-def q_qa_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return prose_findings(prose(spark, sf_dir)).groupBy("ticker", "severity", "check").agg(F.count("*").alias("n"))
-
-
-def prose_findings(p: DataFrame) -> DataFrame:
-    known = p.select("ticker", F.lit("revenue").alias("key"), c("revenue").alias("value"))
-    parts = [Q.risk_direction(p), Q.quarterly_annualised(p), Q.stale_forward(p, p), Q.dangling_citations(p), Q.consensus_scenario(p), Q.metric_semantics(p), Q.canonical_metric(Q.bound_figures(p, {"revenue": "revenue"}), known)]
-    out = parts[0]
-    for x in parts[1:]:
-        out = out.unionByName(x)
-    return out
-
-
-@query("q_traced_percents", "with " + _LAST_SQL + " select ticker, round(100 * operating_income / revenue + case when n_lines % 6 = 0 then 9 else 0 end, 1) as value, n_lines % 6 <> 0 as traced from last")
-def q_traced_percents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each margin in the prose against the model's margins."""
-    p = prose(spark, sf_dir)
-    figures = p.select("ticker", T.percents(F.regexp_extract(c("text"), r"(The operating margin was [^%]*%)", 1))[0].alias("value"))
-    return Q.traced_percents(figures, p.select("ticker", (c("operating_margin") * 100).alias("value")))
-
-
-@query("q_traced_amounts", "with " + _LAST_SQL + " select ticker, n_lines % 10 <> 0 as traced from last")
-def q_traced_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = prose(spark, sf_dir)
-    figures = p.select("ticker", F.explode(T.amounts(c("text"))).alias("value"))
-    return Q.traced_amounts(figures, p.select("ticker", c("revenue").alias("value"))).select("ticker", "traced")
-
-
-@query("q_gate", "with " + _LAST_SQL + """, f as (select ticker, case when n_lines % 10 = 0 then 1 else 0 end as critical, (n_lines % 4 = 0)::int + (n_lines % 5 = 0)::int + (n_lines % 8 = 0)::int + (n_lines % 9 = 0)::int + (n_lines % 12 = 0)::int as high, (n_lines % 8 = 0 and fiscal_year >= 2000)::int as medium from last)
- select ticker, cast(critical as bigint) as critical, cast(high as bigint) as high, cast(medium as bigint) as medium, cast(0 as bigint) as low, case when critical + high > 0 then 'FAILED' else 'PASSED' end as status from f""")
-def q_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = prose(spark, sf_dir)
-    return Q.gate(prose_findings(p), p)
-
-
-@query("q_reliability", "with " + _LAST_SQL + """, f as (select ticker, case when n_lines % 10 = 0 then 1 else 0 end as critical, (n_lines % 4 = 0)::int + (n_lines % 5 = 0)::int + (n_lines % 8 = 0)::int + (n_lines % 9 = 0)::int + (n_lines % 12 = 0)::int as high, (n_lines % 8 = 0 and fiscal_year >= 2000)::int as medium,
-  2 as figures, (n_lines % 10 = 0)::int + (n_lines % 6 = 0)::int as untraced, n_lines % 3 as k from last),
- g as (select *, round_even(untraced / 2.0::double * 100, 1) as unverified_pct from f), h as (select *, cast(greatest(least(round_even(100 - unverified_pct * 0.5::double - (100 - 80) * 0.3::double - critical * 25 - high * 15 - medium * 4 - case k when 0 then 8 when 1 then 3 else 0 end, 0), 100), 0) as int) as score from g)
- select ticker, unverified_pct, score, case when score >= 85 then 'A' when score >= 70 then 'B' when score >= 55 then 'C' else 'D' end as grade from h""")
-def q_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = prose(spark, sf_dir)
-    shares = Q.traced_amounts(p.select("ticker", F.explode(T.amounts(c("text"))).alias("value")), p.select("ticker", c("revenue").alias("value")))
-    margins = Q.traced_percents(p.select("ticker", T.percents(F.regexp_extract(c("text"), r"(The operating margin was [^%]*%)", 1))[0].alias("value")), p.select("ticker", (c("operating_margin") * 100).alias("value")))
-    traced = shares.select("ticker", "traced").unionByName(margins.select("ticker", "traced")).groupBy("ticker").agg(F.count("*").alias("figures"), F.sum((~c("traced")).cast("int")).alias("untraced"))
-    doubt = F.element_at(F.array(F.lit("Low"), F.lit("Medium"), F.lit("High")), (c("n_lines") % 3 + 1).cast("int"))
-    rows = Q.gate(prose_findings(p), p).join(traced, "ticker").join(p.select("ticker", doubt.alias("confidence")), "ticker").withColumn("coverage", F.lit(80.0))
-    return Q.reliability(rows).select("ticker", "unverified_pct", "score", "grade")
-
-
 @query("q_qa_valuation", "with " + INPUTS_SQL + f", v as (select ticker, n_lines, {fair_sql()} as fair from inputs where terminal_growth < wacc) select ticker, 'CRITICAL' as severity, 'valuation' as \"check\", cast((n_lines % 3 = 0)::int + (n_lines % 7 = 0)::int as bigint) as n from v where fair <> 0 and (n_lines % 3 = 0 or n_lines % 7 = 0)")
 def q_qa_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Targets and base cases, some of them moved, against the DCF value."""
@@ -212,14 +145,14 @@ def _narrative_sql(words: str) -> str:
     return "case " + " ".join(f"when {' or '.join('(' + holds(p) + ')' for p in ps)} then {_quoted(n)}" for n, ps in S.NARRATIVE.items()) + " end"
 
 
-def _items_sql(items: dict[str, str], number: str) -> str:
-    return f"case {number} " + " ".join(f"when '{k}' then {_quoted(v)}" for k, v in items.items()) + " else 'Own words' end"
+def _items_sql(form: str, number: str) -> str:
+    return f"case {number} " + " ".join(f"when '{k}' then {_quoted(v)}" for f, k, v in S.ITEMS if f == form) + f" else 'Item ' || {number} || ' -Own words' end"
 
 
 @query("q_item_sections", f"""with l as (select doc_id, i - 1 as ordinal, t[i] as own from (select doc_id, string_split(text, chr(10)) as t, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents)),
  h as (select doc_id, ordinal, case doc_id % 4 when 1 then '10-K' when 3 then '10-Q/A' end as form, case when ordinal % 7 <> 3 then own when doc_id % 2 = 1 then 'Item ' || (ordinal // 7 % 17 + 1) || '. Own words' else [{', '.join(map(_quoted, HEADS))}][ordinal // 7 % 6 + 1] end as line from l),
  n as (select *, nullif(upper(regexp_extract(line, '(?i)^\\s*item\\s+([0-9]{{1,2}}[A-C]?)([.:)–—\\s-]|$)', 1)), '') as number, ' ' || trim(regexp_replace(lower(line), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' ' as words from h),
- s as (select *, last_value(case when number is not null then 'Item ' || number || ' -' || case when form like '10-Q%' then {_items_sql(S.QUARTERLY_ITEMS, 'number')} else {_items_sql(S.ANNUAL_ITEMS, 'number')} end
+ s as (select *, last_value(case when number is not null then case when form like '10-Q%' then {_items_sql('10-Q', 'number')} else {_items_sql('10-K', 'number')} end
    when form is null and length(trim(line)) between 3 and 90 then {_narrative_sql('words')} end ignore nulls) over (partition by doc_id order by ordinal rows between unbounded preceding and current row) as section from n)
  select doc_id, count(*) as n_lines, count(section) as n_labelled, count(distinct section) as n_sections, arg_max(section, ordinal) filter (section is not null) as last_section from s group by doc_id""")
 def q_item_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -244,52 +177,6 @@ def q_table_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select("l_orderkey", F.round(S.numeric_ratio(text), 6).alias("ratio"), S.looks_numeric(text).alias("looks"))
 
 
-@query("q_qa_shares", "with " + _LAST_SQL + " select ticker, n_lines % 3 = 0 as flagged from last where n_lines % 3 = 0")
-def q_qa_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two shares of one named line, apart for every third company."""
-    p = prose(spark, sf_dir)
-    text = F.concat(F.lit("The Data Center line was 60% of revenue. Data Center made "), F.when(c("n_lines") % 3 == 0, "90").otherwise("70"), F.lit("% of total revenue."))
-    found = Q.segment_shares(p.select("ticker", text.alias("text")))
-    return found.select("ticker", (c("check") == "segment shares").alias("flagged"))
-
-
-@query("q_qa_implied", "with " + _LAST_SQL + " select ticker, n_lines % 4 = 0 as flagged from last where n_lines % 4 = 0")
-def q_qa_implied(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of what the market implies, right but for every fourth company."""
-    p = prose(spark, sf_dir)
-    levers = p.select("ticker", c("operating_margin").alias("implied_value"), F.lit(True).alias("reachable"))
-    said = c("operating_margin") * 100 + F.when(c("n_lines") % 4 == 0, 8).otherwise(1)
-    claims = p.select("ticker", F.format_string("The market implies a %.2f%% margin here.", said).alias("text"))
-    return Q.market_implied(claims, levers).select("ticker", (c("severity") == "HIGH").alias("flagged"))
-
-
-@query("q_qa_drivers", "with " + _LAST_SQL + " select ticker, n_lines % 5 = 0 as flagged from last where n_lines % 5 = 0")
-def q_qa_drivers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stated margins against the model's, and quarters against claimed growth."""
-    p = prose(spark, sf_dir)
-    said = c("operating_margin") * 100 + F.when(c("n_lines") % 5 == 0, 3).otherwise(0.2)
-    text = p.select("ticker", F.format_string("The operating margin reaches %.2f%% then.", said).alias("text"))
-    drivers = p.select("ticker", F.lit("operating margin").alias("words"), (c("operating_margin") * 100).alias("value"), F.lit(0.8).alias("within"))
-    return Q.driver_numbers(text, drivers).select("ticker", (c("severity") == "CRITICAL").alias("flagged"))
-
-
-@query("q_qa_quarters", "with " + _LAST_SQL + " select ticker, n_lines % 6 = 0 as flagged from last where n_lines % 6 = 0")
-def q_qa_quarters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = prose(spark, sf_dir)
-    rows = p.select("ticker", (c("revenue") * 0.3).alias("quarter"), F.when(c("n_lines") % 6 == 0, 0.5).otherwise(0.2).alias("claimed_growth"), "revenue")
-    return Q.annualisation_arithmetic(rows).select("ticker", (c("check") == "annualisation").alias("flagged"))
-
-
-@query("q_qa_annualised", "with " + _LAST_SQL + " select ticker, 'CRITICAL' as severity, 'annualisation' as \"check\" from last where abs(4 * (0.2 + 0.02 * (n_lines % 7)) - 1 - 0.2) > 0.10")
-def q_qa_annualised(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fifth of the year's revenue and more as a quarter, which the prose annualises to 20 % growth."""
-    p = prose(spark, sf_dir)
-    quarter = c("revenue") * (0.2 + 0.02 * (c("n_lines") % 7)) / 1e9
-    text = F.format_string("Margins were stable. The quarter's $%.9f billion, once annualized, means 20.0%% growth over the prior year.", quarter)
-    claims = Q.annualised_claims(p.select("ticker", text.alias("text"))).join(p.select("ticker", "revenue"), "ticker")
-    return Q.annualisation_arithmetic(claims).select("ticker", "severity", "check")
-
-
 @query("q_figures", """with x as (select l_orderkey, l_linenumber, cast(l_extendedprice as double) as price, cast(l_quantity as bigint) as qty, cast(round(l_discount * 100) as bigint) as off,
   'Line ' || l_linenumber || ' cost US$' || printf('%.2f', l_extendedprice) || ' against ' || cast(l_quantity as bigint) || ' million last year, a discount of ' || cast(round(l_discount * 100) as bigint) || '% and £' || cast(l_quantity as bigint) || 'bn of sales in all the markets that the company named in its last report.' as text from lineitem),
  f as (select *, unnest([{'kind': 'money', 'value': price, 'own': 'US$' || printf('%.2f', price)}, {'kind': 'money', 'value': qty * 1e6, 'own': qty || ' million'}, {'kind': 'percent', 'value': off::double, 'own': off || '%'}, {'kind': 'money', 'value': qty * 1e9, 'own': '£' || qty || 'bn'}]) as y from x),
