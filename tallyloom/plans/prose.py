@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.operators import correction
 from tallyloom.operators import history as H
 from tallyloom.operators import qa as Q
 from tallyloom.plans.registry import query
@@ -219,3 +220,45 @@ def q_qa_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Free cash flows and revenues in the prose that aren't the canonical ones."""
     known = facts(spark, sf_dir)
     return _by_section(findings(sections(known), known).filter("check = 'canonical metric'"))
+
+
+def _corrected(spark: SparkSession, sf_dir: str) -> correction.Corrected:
+    """Reports whose sections come in up to three further versions, some with other faults and some missing;
+    every seventh company's valuation is wrong besides."""
+    known = facts(spark, sf_dir)
+    later = known.withColumn("attempt", F.explode(F.array(*map(F.lit, (1, 2, 3))))).withColumn("n", c("n") + c("attempt"))
+    each = F.array(*(F.struct(F.lit(k).alias("section"), F.expr(e).alias("text")) for k, e in SECTIONS.items()))
+    drafts = later.filter("n % 4 <> 3").select("ticker", "attempt", F.inline(each))
+    wrong = known.filter("n % 7 = 0").select("ticker", F.lit("CRITICAL").alias("severity"), F.lit("valuation").alias("check"), F.lit("target is not the DCF value").alias("message"))
+    return correction.correct(sections(known), drafts, lambda prose: findings(prose, known), wrong)
+
+
+def _corrected_sql() -> str:
+    versions = SECTIONS_SQL.replace(", facts as (select ticker as ticker", ", facts0 as (select ticker as ticker")
+    versions = versions.replace(", sections as (", ", facts as (select * replace (ticker || '#' || k as ticker, n + k as n) from (select *, unnest([0, 1, 2, 3]) as k from facts0)), sections as (", 1)
+    sql = "with " + FINDINGS_SQL.replace(SECTIONS_SQL, versions)
+    mend = "', '".join(k for k, v in correction.COMPONENTS.items() if v)
+    sql += f""", bad as (select split_part(ticker, '#', 1) as ticker, cast(split_part(ticker, '#', 2) as int) as k, section, count(*) filter (severity in ('CRITICAL', 'HIGH')) as blocking,
+      count(*) filter (severity in ('CRITICAL', 'HIGH') and "check" in ('{mend}')) as mend from found group by all),
+    drafts as (select ticker, section, k from (select ticker, unnest([1, 2, 3]) as k, n from facts0) cross join (select unnest({list(SECTIONS)}) as section) where (n + k) % 4 <> 3),
+    r0 as (select ticker, section, 0 as k, false as taken from facts0 cross join (select unnest({list(SECTIONS)}) as section))"""
+    for r in (1, 2, 3):
+        sql += f""", r{r} as (select p.ticker, p.section, case when coalesce(b.mend, 0) > 0 and d.k is not null then {r} else p.k end as k, coalesce(b.mend, 0) > 0 and d.k is not null as taken
+      from r{r - 1} p left join bad b on b.ticker = p.ticker and b.section = p.section and b.k = p.k left join drafts d on d.ticker = p.ticker and d.section = p.section and d.k = {r})"""
+    return sql
+
+
+@query("q_corrected", _corrected_sql() + " select p.ticker, p.section, p.k as attempt, coalesce(b.blocking, 0) as blocking from r3 p left join bad b on b.ticker = p.ticker and b.section = p.section and b.k = p.k")
+def q_corrected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The version of each section that the rounds end with, and what still blocks it."""
+    done = _corrected(spark, sf_dir)
+    bad = done.findings.filter(c("severity").isin(*correction.BLOCKING)).groupBy("ticker", "section").agg(F.count("*").alias("blocking"))
+    return done.prose.select("ticker", "section", "attempt").join(bad, ["ticker", "section"], "left").fillna(0, ["blocking"])
+
+
+@query("q_correction_verdicts", _corrected_sql() + """, left_ as (select ticker, sum(blocking) as blocking from (select p.ticker, coalesce(b.blocking, 0) as blocking from r3 p left join bad b on b.ticker = p.ticker and b.section = p.section and b.k = p.k
+      union all select ticker, 1 from facts0 where n % 7 = 0) group by ticker),
+    tries as (select ticker, count(distinct r) filter (taken) as attempts from (select *, 1 as r from r1 union all select *, 2 from r2 union all select *, 3 from r3) group by ticker)
+    select ticker, attempts, cast(blocking as bigint) as blocking, case when blocking > 0 then 'FAILED' else 'PASSED' end as status from left_ join tries using (ticker)""")
+def q_correction_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return correction.verdicts(_corrected(spark, sf_dir))

@@ -17,6 +17,13 @@ def work_dir(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """Cuts lineage with a table in the shared folder, so that lost executors cost no recomputation."""
+    path = f"{work_dir(df.sparkSession)}-{label}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_manifest(decisions: DataFrame, path: str, stamp: Column) -> None:
     """Accepted and rejected documents with their reasons, a folder per status."""
     decisions.withColumn("generated_at", stamp).write.mode("overwrite").partitionBy("status").parquet(path)
