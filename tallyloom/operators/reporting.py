@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyloom.functions import exprs as X
+from tallyloom.sources.sinks import stored
 
 c = F.col
 
@@ -34,6 +35,37 @@ def model_numbers(tables: list[tuple[DataFrame, list[str], list[str]]]) -> DataF
     return reduce(DataFrame.unionByName, parts).distinct()
 
 
+# Fields that hold a ratio, and those that hold an amount.
+PERCENT_FIELDS = [
+    "revenue_growth", "operating_margin", "gross_margin", "net_margin", "implied_cagr", "year_one_growth", "bottom_up_cagr", "top_down_cagr", "cagr", "probability",
+    "fair_value_change", "revenue_change",
+]
+AMOUNT_FIELDS = [
+    "revenue", "operating_income", "net_income", "free_cash_flow", "present_value", "terminal_revenue", "latest_revenue", "fair_value", "fair_value_per_share", "value_per_share",
+    "market_cap", "implied_value_per_share", "latest_segment_sum", "latest_total_revenue", "bottom_up_terminal_revenue", "base_fair_value", "base_terminal_revenue",
+]
+
+
+def number_walk(rows: DataFrame) -> DataFrame:
+    """(ticker, kind, key, value): the numbers at any depth of ``rows(ticker, json)`` whose own field is a known one.
+
+    A round opens one level of all objects and lists at once, and what is nested goes to the next; there are as many rounds
+    as levels.  Ratios are percentages with a decimal.  Numbers that stand in a list have no field and true and
+    false are no numbers; text that is no JSON, null and repeated rows give what they hold: nothing, or twice as much.
+    """
+    kind = F.when(c("key").isin(PERCENT_FIELDS), "pct").when(c("key").isin(AMOUNT_FIELDS), "money")
+    open_ = stored(rows.select("ticker", F.try_parse_json("json").alias("v")).filter("v is not null"), "walk")
+    found = []
+    while True:
+        level = rows.sparkSession.sql("select ticker, e.key, e.value, schema_of_variant(e.value) as shape from {open_} t, lateral variant_explode(t.v) e", open_=open_)
+        level = stored(level.withColumn("kind", kind).filter(c("shape").rlike("^(OBJECT|ARRAY)") | (c("kind").isNotNull() & c("shape").rlike("^(BIGINT|DECIMAL|DOUBLE)"))), "walk")
+        number = F.try_variant_get("value", "$", "double")
+        found.append(level.filter(~c("shape").rlike("^(OBJECT|ARRAY)")).select("ticker", "kind", "key", F.when(c("kind") == "pct", F.bround(number * 100, 1)).otherwise(number).alias("value")))
+        open_ = level.filter(c("shape").rlike("^(OBJECT|ARRAY)")).select("ticker", c("value").alias("v"))
+        if open_.isEmpty():
+            return reduce(DataFrame.unionByName, found)
+
+
 def ledger(rows: DataFrame, entries: list[tuple[str, str, str, Column, Column | None, tuple[float, float] | None]]) -> DataFrame:
     """An ordered row per assumption: (ticker, seq, key, label, unit, value, raw_value, lo, hi, clamped).
 

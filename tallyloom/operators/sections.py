@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,20 +90,18 @@ def item_heading(line: Column, form: Column) -> Column:
 
 def narrative_heading(line: Column) -> Column:
     """The first label whose words stand in a short line."""
-    words = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
+    own = F.concat(F.lit(" "), F.trim(F.regexp_replace(F.lower(line), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
-    def holds(phrase: str) -> Column:
-        first, _, then = phrase.partition(" … ")
-        after = F.substring_index(words, f" {first} ", -1) if then else None
-        return words.contains(f" {first} ") & (F.concat(F.lit(" "), after).contains(f" {then} ") if then else F.lit(True))
+    def label(words: Column) -> Column:
+        def holds(phrase: str) -> Column:
+            first, _, then = phrase.partition(" … ")
+            after = F.substring_index(words, f" {first} ", -1) if then else None
+            return words.contains(f" {first} ") & (F.concat(F.lit(" "), after).contains(f" {then} ") if then else F.lit(True))
 
-    def any_of(phrases: tuple[str, ...]) -> Column:
-        out = holds(phrases[0])
-        for p in phrases[1:]:
-            out = out | holds(p)
-        return out
+        return F.coalesce(*(F.when(reduce(Column.__or__, map(holds, phrases)), F.lit(n)) for n, phrases in NARRATIVE.items()))
 
-    return F.when(F.length(F.trim(line)).between(*HEADING_LENGTH), F.coalesce(*(F.when(any_of(p), F.lit(n)) for n, p in NARRATIVE.items())))
+    # In an array of one, the words are made once and not for each phrase.
+    return F.when(F.length(F.trim(line)).between(*HEADING_LENGTH), F.get(F.transform(F.array(own), label), F.lit(0)))
 
 
 def labelled(lines: DataFrame) -> DataFrame:

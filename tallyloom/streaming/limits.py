@@ -15,7 +15,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from tallyloom.sources.sinks import stored
+
 HOUR, DAY = 3600.0, 86400.0
+SLOTS = 1440  # of a window, in which the next start is looked up
 
 
 def accept(times: list[float], kept: deque[float], limit: int, window: float) -> list[bool]:
@@ -71,6 +74,54 @@ def daily_limit(events: DataFrame, limit: int, start: float) -> DataFrame:
     return events.withColumn("day", day).withColumn("accepted", place <= limit)
 
 
+def window_starts(times: DataFrame, length: float = DAY) -> DataFrame:
+    """(start) of greedy windows over ``times(at)``: one starts at the first time, and the next at the first time that
+    lies more than ``length`` after its start.
+
+    Each time's next start is an as-of look-up: in the same slot of the time line, or else the first time of the
+    next slot that has any.  The chain from the first time is then followed by pointer doubling: with the jumps
+    doubled each round, the starts that are known double too, so rounds grow with the logarithm of their number.
+    """
+    slot = length / SLOTS
+    place = lambda t: F.floor(t / slot).cast("long")
+    known = stored(times.select(F.col("at").cast("double").alias("at")).filter("at is not null").distinct(), "times")
+    asked = known.select(place(F.col("at") + length).alias("slot"), (F.col("at") + length).alias("t"), F.lit(1).alias("asks"), F.col("at").alias("of"))
+    there = known.select(place(F.col("at")).alias("slot"), F.col("at").alias("t"), F.lit(0).alias("asks"), F.lit(None).cast("double").alias("of"))
+    later = Window.partitionBy("slot").orderBy("t", "asks").rowsBetween(1, Window.unboundedFollowing)  # a time equal to the end comes before its asking row
+    near = asked.unionByName(there).withColumn("near", F.min(F.when(F.col("asks") == 0, F.col("t"))).over(later)).filter("asks = 1")
+    firsts = there.groupBy("slot").agg(F.min("t").alias("first"))
+    slots = near.select("slot").distinct().join(firsts, "slot", "full")  # at most one row for each slot of the time line
+    slots = slots.select("slot", F.min("first").over(Window.orderBy("slot").rowsBetween(1, Window.unboundedFollowing)).alias("onward"))
+    jumps = stored(near.join(slots, "slot").select(F.col("of").alias("start"), F.coalesce("near", "onward").alias("next")).filter("next is not null"), "jumps")
+    starts = stored(known.agg(F.min("at").alias("start")).filter("start is not null"), "starts")
+    while True:
+        more = stored(starts.join(jumps, "start").select(F.col("next").alias("start")).join(starts, "start", "left_anti").distinct(), "more")
+        if more.isEmpty():
+            return starts
+        starts = stored(starts.unionByName(more), "starts")
+        jumps = stored(jumps.join(jumps.select(F.col("start").alias("next"), F.col("next").alias("then")), "next").select("start", F.col("then").alias("next")), "jumps")
+
+
+def global_limit(events: DataFrame, limit: int, window: float = DAY) -> DataFrame:
+    """Adds start and accepted: the first ``limit`` events of each action in a window, whose start all actions share.
+
+    A window begins with the first event that comes more than ``window`` after the start of the one before, not at
+    midnight.  ``events``: event_id, action, at; those that the session's limit refused are not to be among them.
+    The limit is kept by comparing with the last accepted event, so a window of very many events is no one task's.
+    """
+    rows = events.filter("at is not null")
+    day = lambda t: F.floor(t / window).cast("long")
+    marks = window_starts(rows, window).select(day(F.col("start")).alias("day"), "start")  # a window is longer than a day: one a day at most
+    days = rows.select(day(F.col("at")).alias("day")).distinct().join(marks, "day", "full")
+    earlier = F.last("start", ignorenulls=True).over(Window.orderBy("day").rowsBetween(Window.unboundedPreceding, -1))  # a row a day
+    days = days.select("day", F.col("start").alias("_own"), earlier.alias("_earlier"))
+    placed = rows.withColumn("day", day(F.col("at"))).join(days, "day").withColumn("start", F.when(F.col("at") >= F.col("_own"), F.col("_own")).otherwise(F.col("_earlier"))).drop("day", "_own", "_earlier")
+    rank = F.row_number().over(Window.partitionBy("action", "start").orderBy("at", "event_id"))
+    last = placed.select("action", "start", "at", "event_id").withColumn("rank", rank).filter(F.col("rank") <= limit)
+    last = last.groupBy("action", "start").agg(F.max(F.struct("at", "event_id")).alias("_last"))
+    return placed.join(last, ["action", "start"], "left").withColumn("accepted", F.coalesce(F.struct("at", "event_id") <= F.col("_last"), F.lit(False))).drop("_last")
+
+
 def session_stream(events: DataFrame, limit: int, window: float = HOUR, late: float = HOUR) -> DataFrame:
     """The sliding limit over a stream of events (event_id, user_id, action, at).
 
