@@ -3,7 +3,7 @@ import math
 import duckdb
 import pytest
 
-from tallyloom.plans import catalogue, ingest, intake, prose, registry, report, reporting, search, valuation  # noqa: F401
+from tallyloom.plans import catalogue, ingest, intake, prose, registry, report, reporting, retrieval, search, valuation  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
