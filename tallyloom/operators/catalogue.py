@@ -67,11 +67,20 @@ def top_unverified(figures: DataFrame, most: int = 25) -> DataFrame:
 
 
 def json_of(answer: Column) -> Column:
-    """The JSON text in an answer: the whole, else what a fence holds, else from the first brace to the last; null if none parses."""
+    """The JSON text in an answer: the whole, else what a fence holds, else from the first brace to the last; null if none parses.
+
+    Spark's parser stops after the first value; what follows one, a second value or other text, is found by parsing
+    the text as an only element of a list and as the value of a key.
+    """
     text = F.btrim(answer, F.lit(" \n\t\r"))
     fenced = F.regexp_extract(text, r"(?s)```[a-zA-Z]*\s*(.*?)```", 1)
     braced = F.regexp_extract(text, r"(?s)(\{.*\})", 1)
-    valid = lambda x: F.when((x != "") & F.try_parse_json(x).isNotNull() & x.rlike(r"^\s*[\[{]"), x)
+
+    def valid(x: Column) -> Column:
+        listed = F.try_variant_get(F.try_parse_json(F.concat(F.lit("["), x, F.lit("]"))), "$", "array<variant>")
+        keyed = F.try_parse_json(F.concat(F.lit('{"v":'), x, F.lit("}")))
+        return F.when((F.size(listed) == 1) & keyed.isNotNull() & x.rlike(r"^\s*[\[{]"), x)
+
     return F.coalesce(valid(text), valid(F.btrim(fenced, F.lit(" \n\t\r"))), valid(braced))
 
 

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
+import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tallyloom.settings import DEFAULTS, Settings
 
@@ -18,16 +23,29 @@ HIDDEN = {"script", "style", "head", "noscript", "template"}
 HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 
 
+class _Table:
+    """An open table: its rows of cells, and whether it holds another one."""
+
+    def __init__(self) -> None:
+        self.rows: list[list[str]] = []
+        self.wraps = False
+
+
 class _Blocks(HTMLParser):
-    """Collects (kind, text, page, section) in document order; tables become rows of cells."""
+    """Collects (kind, text, page, section) in document order; tables become rows of cells.
+
+    A table that holds another is layout: the inner one stands for itself, and each row of the outer one's own
+    words is text.  A head that isn't closed ends where something to show begins, and what is open at the end counts.
+    """
 
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.out: list[tuple[str, str, int, str | None]] = []
         self.page, self.section = 1, None
         self._text: list[str] = []
-        self._hidden, self._heading = 0, False
-        self._rows: list[list[str]] | None = None
+        self._hidden: list[str] = []
+        self._heading = False
+        self._tables: list[_Table] = []
 
     def _flush(self) -> None:
         text = re.sub(r"\s+", " ", "".join(self._text)).strip()
@@ -38,57 +56,79 @@ class _Blocks(HTMLParser):
             self.out.append(("heading" if self._heading else "text", text, self.page, self.section))
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if tag in HIDDEN:
-            self._hidden += 1
-        elif tag == "table" and self._rows is None:
+        if tag == "table" or tag in BREAKING or tag in HEADINGS:
+            self._hidden = [t for t in self._hidden if t not in ("head", "title")]
+        if tag in HIDDEN or tag == "title":
+            self._hidden.append(tag)
+        elif tag == "table":
             self._flush()
-            self._rows = []
-        elif self._rows is not None:
+            if self._tables:
+                self._tables[-1].wraps = True
+            self._tables.append(_Table())
+        elif self._tables:
+            rows = self._tables[-1].rows
             if tag == "tr":
-                self._rows.append([])
+                rows.append([])
             elif tag in ("td", "th"):
-                if not self._rows:
-                    self._rows.append([])
-                self._rows[-1].append("")
+                if not rows:
+                    rows.append([])
+                rows[-1].append("")
+            elif tag in BREAKING and rows and rows[-1]:
+                rows[-1][-1] += " "
         elif tag in HEADINGS:
             self._flush()
             self._heading = True
         elif tag in BREAKING or tag == "hr":
             self._flush()
-        if tag == "hr" or any(k == "style" and v and "page-break" in v for k, v in attrs):
+        if tag == "hr" or any(k == "style" and v and _breaks_page(v) for k, v in attrs):
             self.page += 1
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in HIDDEN:
-            self._hidden = max(0, self._hidden - 1)
-        elif tag == "table" and self._rows is not None:
-            rows, self._rows = self._rows, None
-            body = markdown(rows)
-            plain = " ".join(x.strip() for r in rows for x in r if x.strip())
-            if body:
-                self.out.append(("table", body, self.page, self.section))
-            elif len(plain) > 40:
-                self.out.append(("text", plain, self.page, self.section))
-        elif self._rows is None and tag in HEADINGS:
+        if tag in HIDDEN or tag == "title":
+            if tag in self._hidden:
+                self._hidden.reverse()
+                self._hidden.remove(tag)
+                self._hidden.reverse()
+        elif tag == "table" and self._tables:
+            self._close_table()
+        elif not self._tables and tag in HEADINGS:
             self._flush()
             self._heading = False
-        elif self._rows is None and tag in BREAKING:
+        elif not self._tables and tag in BREAKING:
             self._flush()
 
+    def _close_table(self) -> None:
+        table = self._tables.pop()
+        words = [" ".join(y for x in r if (y := re.sub(r"\s+", " ", x).strip())) for r in table.rows]
+        if table.wraps:
+            self.out += [("text", w, self.page, self.section) for w in words if w]
+        elif body := markdown(table.rows):
+            self.out.append(("table", body, self.page, self.section))
+        elif len(plain := " ".join(filter(None, words))) > 40:
+            self.out.append(("text", plain, self.page, self.section))
+
     def handle_data(self, data: str) -> None:
         if self._hidden:
             return
-        if self._rows is not None:
-            if self._rows and self._rows[-1]:
-                self._rows[-1][-1] += data
+        if self._tables:
+            rows = self._tables[-1].rows
+            if rows and rows[-1]:
+                rows[-1][-1] += data
         else:
             self._text.append(data)
 
     def close(self) -> None:
         super().close()
+        while self._tables:
+            self._close_table()
         self._flush()
 
 
+def _breaks_page(style: str) -> bool:
+    rules = re.sub(r"\s", "", style.lower())
+    return "page-break-before:always" in rules or "page-break-after:always" in rules
+
+
 def markdown(rows: list[list[str]]) -> str | None:
     """A pipe table, or None for what is no data table: under two rows, one column or over 24, or few cells filled."""
     cells = [[re.sub(r"\s+", " ", x).strip() for x in r] for r in rows]
@@ -137,6 +177,83 @@ def html_blocks(pages: DataFrame) -> DataFrame:
     return pages.select("doc_id", "html").mapInPandas(parsed, "doc_id long, ordinal int, kind string, text string, page int, section string")
 
 
+MAX_PAGE_BYTES = 120 << 20
+
+
+def opened(content: bytes | None, kind: str | None) -> str:
+    """A source's text: unpacked if it is gzip, as UTF-8 with what can't be read replaced; ValueError says what is wrong."""
+    if content is None:
+        raise ValueError("no content")
+    if content[:2] == b"\x1f\x8b":
+        unpacker = zlib.decompressobj(zlib.MAX_WBITS | 16)
+        try:
+            content = unpacker.decompress(content, MAX_PAGE_BYTES + 1)
+        except zlib.error as e:
+            raise ValueError("broken gzip") from e
+        if not unpacker.eof and len(content) <= MAX_PAGE_BYTES:
+            raise ValueError("broken gzip")
+    if len(content) > MAX_PAGE_BYTES:
+        raise ValueError("too large")
+    if content[:5] == b"%PDF-":
+        raise ValueError("a PDF")
+    if not content.strip():
+        raise ValueError("empty")
+    return content.decode("utf-8", "replace")
+
+
+def plain_blocks(text: str) -> list[tuple[str, str, int, str | None]]:
+    """Paragraphs between blank lines; form feeds part pages."""
+    out: list[tuple[str, str, int, str | None]] = []
+    for page, part in enumerate(text.split("\f"), 1):
+        out += [("text", words, page, None) for p in re.split(r"\n\s*\n", part) if (words := re.sub(r"\s+", " ", p).strip())]
+    return out
+
+
+PARSERS: dict[str, Callable[[str], list[tuple[str, str, int, str | None]]]] = {"html": blocks_of, "text": plain_blocks}
+
+
+def dispatch(sources: DataFrame) -> DataFrame:
+    """(source_id, doc_id, ordinal, kind, text, page, section, error): each source's blocks, or one row with its error.
+
+    ``sources``: source_id long, content binary, content_type ('html' or 'text').  doc_id is the first twelve digits of the
+    content's SHA-256.  One pass makes both; a source that can't be read or parsed, whatever the reason, becomes a row
+    whose kind is 'error' and stops nothing.  A source without any block is an error too.
+    """
+    schema = pa.schema([("source_id", pa.int64()), ("doc_id", pa.string()), ("ordinal", pa.int32()), ("kind", pa.string()), ("text", pa.string()), ("page", pa.int32()), ("section", pa.string()), ("error", pa.string())])
+
+    def parse(content: bytes | None, kind: str | None) -> tuple[list, str | None]:
+        try:
+            if kind not in PARSERS:
+                raise ValueError(f"no parser for {kind or 'no type'}")
+            found = PARSERS[kind](opened(content, kind))
+            return found, None if found else "no blocks"
+        except ValueError as e:
+            return [], str(e)
+        except Exception as e:  # a parser's own failure on one source
+            return [], type(e).__name__
+
+    def parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for source, content, kind in zip(*(batch.column(n) for n in ("source_id", "content", "content_type"))):
+                raw = content.as_py()
+                doc = hashlib.sha256(raw).hexdigest()[:12] if raw is not None else None
+                found, error = parse(raw, kind.as_py())
+                rows = [(source.as_py(), doc, k, *b, None) for k, b in enumerate(found)] if error is None else [(source.as_py(), doc, None, "error", None, None, None, error)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    return sources.select(F.col("source_id").cast("long").alias("source_id"), "content", "content_type").mapInArrow(parsed, "source_id long, doc_id string, ordinal int, kind string, text string, page int, section string, error string")
+
+
+def dead_letters(dispatched: DataFrame) -> DataFrame:
+    return dispatched.filter("kind = 'error'").select("source_id", "doc_id", "error")
+
+
+def dispatch_counts(dispatched: DataFrame) -> DataFrame:
+    """(status, n_sources, n_documents, n_blocks): a row for the parsed sources ('ok') and one for each error."""
+    rows = dispatched.groupBy("source_id", "doc_id", F.coalesce("error", F.lit("ok")).alias("status")).agg(F.count("ordinal").alias("n"))
+    return rows.groupBy("status").agg(F.count("*").alias("n_sources"), F.countDistinct("doc_id").alias("n_documents"), F.sum("n").alias("n_blocks"))
+
+
 def word_count(text: str) -> int:
     return len(text.split())
 
@@ -211,10 +328,31 @@ def chunk_blocks(blocks: list[tuple[str, str, int, str | None]], s: Settings = D
 
 def bpe_counter(path: str) -> Callable[[str], int]:
     """Counts the tokens of a public tokenizer's file."""
+    made = _tokenizer(path)
+    return lambda text: len(made.encode(text, add_special_tokens=False).ids)
+
+
+@lru_cache(maxsize=2)
+def _tokenizer(path: str):
+    """One for each worker and file."""
     from tokenizers import Tokenizer
 
-    made = Tokenizer.from_file(path)
-    return lambda text: len(made.encode(text, add_special_tokens=False).ids)
+    return Tokenizer.from_file(path)
+
+
+def bpe_counts(rows: DataFrame, tokenizer: str, text: str = "text") -> DataFrame:
+    """Adds bpe_tokens to ``rows``: the tokens of a text (null: none), a batch of texts in one call to the tokenizer."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = _tokenizer(tokenizer)
+        for batch in batches:
+            out: list[int] = []
+            for k in range(0, batch.num_rows, 64):
+                texts = [t or "" for t in batch.column(text).slice(k, 64).to_pylist()]
+                out += [len(e.ids) for e in made.encode_batch_fast(texts, add_special_tokens=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "bpe_tokens"])
+
+    return rows.mapInArrow(counted, StructType([*rows.schema.fields, StructField("bpe_tokens", LongType())]))
 
 
 def chunks(docs: DataFrame, s: Settings = DEFAULTS, tokenizer: str | None = None) -> DataFrame:

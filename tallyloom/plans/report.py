@@ -82,7 +82,41 @@ def q_moat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.moat(table(spark, sf_dir, "supplier").select(c("s_nationkey").alias("ticker"), strength.alias("strength"))).withColumn("average", F.round("average", 6))
 
 
-@query("q_html_blocks")
+# A page's blocks by replacing tags: hidden parts go, what parts blocks becomes a mark, other tags vanish.
+_PARTS = "p|div|li|ul|ol|tr|section|article|header|footer|blockquote|pre|br|nav|body|table|hr"
+_SHOWN = "html"
+for _hidden in ("<!--[\\s\\S]*?-->", "<script[\\s\\S]*?</script>", "<style[\\s\\S]*?</style>", "<head>[\\s\\S]*?</head>"):
+    _SHOWN = f"regexp_replace({_SHOWN}, '{_hidden}', '', 'g')"
+for _tag, _mark in (("<h1>", "chr(1) || chr(2)"), ("</h1>", "chr(1)"), (f"</?({_PARTS})\\b[^>]*>", "chr(1)"), ("<[^>]*>", "''")):
+    _SHOWN = f"regexp_replace({_SHOWN}, '{_tag}', {_mark}, 'g')"
+for _name, _sign in (("&copy;", "©"), ("&middot;", "·"), ("&quot;", '"'), ("&amp;", "&")):
+    _SHOWN = f"replace({_SHOWN}, '{_name}', '{_sign}')"
+HTML_BLOCKS_SQL = f"""split_ as (select page_id as doc_id, string_split({_SHOWN}, chr(1)) as parts from pages), each_ as (select doc_id, i, parts[i] as part from (select doc_id, parts, unnest(range(1, len(parts) + 1)) as i from split_)),
+ words as (select doc_id, i, starts_with(part, chr(2)) as head, trim(regexp_replace(replace(part, chr(2), ''), '\\s+', ' ', 'g')) as text from each_),
+ html_blocks as (select doc_id, cast(row_number() over (partition by doc_id order by i) - 1 as int) as ordinal, case when head then 'heading' else 'text' end as kind, text, 1 as page,
+   last_value(case when head then text end ignore nulls) over (partition by doc_id order by i rows between unbounded preceding and current row) as section from words where text <> '')"""
+
+
+@query("q_dispatch", "with " + HTML_BLOCKS_SQL + """, src as (select page_id, case page_id % 10 when 3 then 'broken gzip' when 5 then 'a PDF' when 7 then 'no content' when 8 then 'no parser for application/pdf' when 9 then 'empty' else 'ok' end as status, html from pages),
+ n as (select doc_id, count(*) as n from html_blocks group by doc_id)
+ select status, count(*) as n_sources, case status when 'no content' then 0 when 'empty' then 1 else count(distinct html) end as n_documents, cast(case status when 'ok' then sum(n) else 0 end as bigint) as n_blocks from src left join n on doc_id = page_id group by status""")
+def q_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with damaged, missing and foreign sources among them: what was parsed, and how many failed of what."""
+    k, raw = c("page_id") % 10, c("html").cast("binary")
+    content = F.when(k == 3, F.concat(F.unhex(F.lit("1F8B")), raw)).when(k == 5, F.concat(F.lit("%PDF-").cast("binary"), raw)).when(k == 9, F.lit(" \n ").cast("binary")).when(k != 7, raw)
+    kind = F.when(k == 8, "application/pdf").otherwise("html")
+    return D.dispatch_counts(D.dispatch(table(spark, sf_dir, "pages").select(c("page_id").alias("source_id"), content.alias("content"), kind.alias("content_type"))))
+
+
+@query("q_bpe_counts")
+def q_bpe_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens of each document by a public vocabulary of 50,000."""
+    import public_tokenizers
+
+    return D.bpe_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json")).select("doc_id", "bpe_tokens")
+
+
+@query("q_html_blocks", "with " + HTML_BLOCKS_SQL + " select * from html_blocks")
 def q_html_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return D.html_blocks(table(spark, sf_dir, "pages").select(c("page_id").alias("doc_id"), "html"))
 
