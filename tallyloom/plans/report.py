@@ -13,7 +13,7 @@ from tallyloom.operators import qa as Q
 from tallyloom.operators import sections as S
 from tallyloom.operators import valuation as V
 from tallyloom.plans.registry import query
-from tallyloom.plans.valuation import INPUTS_SQL, fair_sql, inputs
+from tallyloom.plans.valuation import INPUTS_SQL, SCENARIO_SQL, fair_sql, inputs
 from tallyloom.sources.tables import HISTORY_SQL, history, table
 from tallyloom.streaming import limits as L
 
@@ -67,7 +67,11 @@ def q_qa_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Q.valuation_integrity(v).groupBy("ticker", "severity", "check").agg(F.count("*").alias("n"))
 
 
-@query("q_qa_consistency")
+@query("q_qa_consistency", "with " + SCENARIO_SQL + f""", sets as (select ticker, max(fair_value) filter (scenario = 'bear') as a, max(fair_value) filter (scenario = 'base') as b, max(fair_value) filter (scenario = 'bull') as z, sum(probability) as p from cases group by ticker),
+ v as (select ticker, price, case when terminal_growth < wacc then {fair_sql()} end as fair from inputs join (select ticker, price from market) m using (ticker)),
+ f as (select ticker, 'cases are not in order' as message from sets where not (a <= b and b <= z) union all select ticker, 'probabilities do not sum to 1' from sets where abs(p - 1) > 0.01
+  union all select ticker, 'rating against upside' from v where fair > 0 and price <> 0 and ((fair / price - 1 >= 0.15 and fair / price - 1 <= 0) or (fair / price - 1 < -0.10 and fair / price - 1 >= 0)))
+ select ticker, 'CRITICAL' as severity, 'consistency' as "check", message, cast(row_number() over (partition by ticker order by message) as int) as place from f""")
 def q_qa_consistency(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, hist, mkt = inputs(spark, sf_dir)
     verdicts = V.verdicts(V.valued(rows).select("ticker", c("fair_value").alias("dcf_value"), F.lit(0.0).alias("blended")), mkt.select("ticker", "price"))

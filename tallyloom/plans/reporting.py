@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyloom.operators import assembly as A
 from tallyloom.operators import history as H
 from tallyloom.operators import reporting as R
 from tallyloom.operators import valuation as V
+from tallyloom.plans import prose
 from tallyloom.plans.registry import query
-from tallyloom.plans.valuation import INPUTS_SQL, RATIOS_SQL, fair_sql, inputs, rounded
+from tallyloom.plans.valuation import INPUTS_SQL, RATIOS_SQL, fair_sql, flows_sql, inputs, path_sql, rounded
 from tallyloom.sources import sinks
 from tallyloom.sources.tables import history, table
 
@@ -76,7 +78,12 @@ def q_fiscal_timing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.split_catalysts(o.select("o_orderkey", month.cast("long").alias("month")), F.lit(2000 * 12))
 
 
-@query("q_chart_series")
+_YEARS_SQL = "years as (select ticker, cast(base_year + i + 1 as int) as year, cast(i + 1 as bigint) as t, g as growth, current_margin + (terminal_margin - current_margin) / 9 * i as margin, " + f"{flows_sql()[0]} as revenue, {flows_sql()[1]} as free_cash_flow, {flows_sql()[1]} / pow(1 + wacc, i + 1) as present_value from (select *, cast(unnest(range(0, 10)) as bigint) as i, unnest({path_sql()}) as g from inputs))"
+
+
+@query("q_chart_series", "with " + INPUTS_SQL + f""", {_YEARS_SQL}, both_ as (select ticker, fiscal_year as year, revenue as value, 'reported' as kind from hist union all select ticker, year, revenue, 'forecast' from years),
+ s as (select *, case when max(abs(value)) over (partition by ticker) >= 1e9 then 1e9 when max(abs(value)) over (partition by ticker) >= 1e6 then 1e6 else 1.0 end as scale from both_ where value is not null)
+ select ticker, year, round(value, 4) as value, kind, scale::double as scale, round(value / scale, 4) as scaled from s""")
 def q_chart_series(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, hist, _ = inputs(spark, sf_dir)
     return rounded(R.chart_series(hist, V.forecast_years(rows)), "value", "scaled", digits=4)
@@ -107,3 +114,66 @@ def q_ranked_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     sums = sold.groupBy("p_brand", "p_type").agg(F.sum("k").alias("n"))
     rank = F.row_number().over(Window.partitionBy("p_brand").orderBy(F.desc("n"), "p_type"))
     return sums.withColumn("rank", rank.cast("long")).filter("rank <= 3")
+
+
+# Numbers with separators, rounded to so many decimals.
+def _commas(x: str, digits: int) -> str:
+    whole = f"cast(round(abs({x}) * {10**digits}) as bigint)"
+    tail = f" || '.' || lpad(cast({whole} % {10**digits} as varchar), {digits}, '0')" if digits else ""
+    return f"(case when {x} < 0 then '-' else '' end || format('{{:,}}', {whole} // {10**digits}){tail})"
+
+
+def _shown(x: str) -> str:
+    return f"'USD ' || case when abs({x}) >= 1e12 then {_commas(f'({x} / 1e12)', 1)} || 'tn' when abs({x}) >= 1e9 then {_commas(f'({x} / 1e9)', 1)} || 'bn' when abs({x}) >= 1e6 then {_commas(f'({x} / 1e6)', 1)} || 'm' else {_commas(x, 0)} end"
+
+
+_TILES_SQL = f"""fairs as (select ticker, wacc, case when terminal_growth < wacc then {fair_sql()} end as fair from inputs),
+ k as (select n.ticker, n.fiscal_year, n.revenue, g.growth, n.operating_margin, n.free_cash_flow, i.wacc, i.fair, m.price,
+   coalesce(case when m.n % 4 <> 0 then m.price * 1.15::double end, m.price * 1.1::double) as consensus from last n join fairs i using (ticker) join (select ticker, price, n from market) m using (ticker) left join granked g on g.ticker = n.ticker and g.r = 1),
+ u as (select *, case when fair > 0 and price <> 0 then fair / price - 1 end as upside from k),
+ tiles as (select ticker, 0 as seq, 'Revenue' as label, {_shown('revenue')} as value, 'FY' || fiscal_year || coalesce(', ' || printf('%+.0f', growth * 100) || '% YoY', '') as caption, case when coalesce(growth, 0) > 0 then 'positive' else 'neutral' end as tone from u where revenue <> 0
+  union all select ticker, 1, 'Operating margin', printf('%.1f', operating_margin * 100) || '%', 'FY' || fiscal_year, 'neutral' from u where operating_margin is not null
+  union all select ticker, 2, 'Free cash flow', {_shown('free_cash_flow')}, 'FY' || fiscal_year, 'neutral' from u where free_cash_flow is not null
+  union all select ticker, 3, 'WACC', printf('%.1f', wacc * 100) || '%', 'Discount rate (CAPM)', 'neutral' from u where wacc is not null
+  union all select ticker, 4, 'Our fair value (DCF)', 'USD ' || {_commas('fair', 2)}, coalesce(printf('%+.0f', upside * 100) || '% vs market', ''), case when coalesce(upside, 0) > 0 then 'positive' else 'negative' end from u where fair is not null
+  union all select ticker, 5, 'Consensus target', 'USD ' || {_commas('consensus', 2)}, 'what the market believes', 'neutral' from u)"""
+
+
+def _tiles(rows: DataFrame, hist: DataFrame, mkt: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tiles, verdicts)."""
+    values = V.valued(rows).select("ticker", "fair_value", "wacc")
+    verdicts = V.verdicts(values.select("ticker", c("fair_value").alias("dcf_value"), F.lit(0.0).alias("blended")), mkt.select("ticker", "price"))
+    last = H.with_ratios(H.latest(hist)).select("ticker", "fiscal_year", "revenue", "operating_margin", "free_cash_flow")
+    growth = H.growth(hist).groupBy("ticker").agg(F.max_by("growth", "fiscal_year").alias("growth"))
+    targets = mkt.select("ticker", F.coalesce("target_median", "target_mean").alias("consensus"))
+    facts = last.join(values, "ticker").join(targets, "ticker").join(growth, "ticker", "left").join(verdicts.select("ticker", "upside"), "ticker", "left")
+    return A.kpis(facts), verdicts
+
+
+@query("q_kpis", "with " + INPUTS_SQL + ", " + _TILES_SQL + " select ticker, seq, label, value, caption, tone from tiles")
+def q_kpis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _tiles(*inputs(spark, sf_dir))[0]
+
+
+@query("q_year_columns", f"with {RATIOS_SQL}, gr as (select ticker, fiscal_year, revenue / nullif(lag(revenue) over (partition by ticker order by fiscal_year), 0) - 1 as growth from hist), t as (select r.ticker, row_number() over (partition by r.ticker order by r.fiscal_year desc) as k, r.*, growth from ratios r left join gr using (ticker, fiscal_year)), "
+  + "l as (" + " union all ".join(f"select ticker, {n} as seq, '{k}' as field, '{u}' as unit, k, {'growth' if k == 'revenue_growth' else k} as v from t" for n, (k, u) in enumerate(A.REPORTED)) + ") select ticker, seq, field, unit, " + ", ".join(f"round(max(v) filter (k = {i}), 6) as y{i}" for i in range(1, 7)) + " from l where k <= 6 group by ticker, seq, field, unit")
+def q_year_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The latest six years of each company side by side, a row for each field."""
+    return rounded(A.as_columns(A.financial_table(history(spark, sf_dir)), A.REPORTED, 6), *(f"y{k}" for k in range(1, 7)))
+
+
+@query("q_report", "with " + INPUTS_SQL + ", " + _TILES_SQL + ", " + _YEARS_SQL + prose.FINDINGS_SQL.removeprefix(RATIOS_SQL).replace("from newest)", "from last)", 1).replace(", newest as (select * from ratios qualify row_number() over (partition by ticker order by fiscal_year desc) = 1)", "", 1) + """,
+ bad as (select * from found where severity in ('CRITICAL', 'HIGH')), b as (select ticker, count(*) as n_issues from bad group by ticker), clean as (select s.* from sections s where not exists (select 1 from bad where bad.ticker = s.ticker and bad.section = s.section))
+ select f.ticker, case when n_issues > 0 then 'FAILED' else 'PASSED' end as status, case when n_issues > 0 then null else case when upside is null then 'NOT RATED' when upside >= 0.15 then 'BUY' when upside >= -0.10 then 'HOLD' else 'SELL' end end as rating,
+  (select count(*) from tiles t where t.ticker = f.ticker) as n_kpis, (select count(*) from hist h where h.ticker = f.ticker) as n_years, (select count(*) from years y where y.ticker = f.ticker) as n_forecast, coalesce(n_issues, 0) as n_issues,
+  case when n_issues > 0 then '' else coalesce((select string_agg(section, ',' order by list_position(['thesis', 'financials', 'outlook', 'assumptions', 'valuation', 'risks', 'business'], section)) from clean s where s.ticker = f.ticker), '') end as sections
+ from facts f join u using (ticker) left join b using (ticker)""")
+def q_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every company's report as one row, withheld where a finding blocks it; here with the sizes of its parts."""
+    rows, hist, mkt = inputs(spark, sf_dir)
+    known = prose.facts(spark, sf_dir)
+    tiles, verdicts = _tiles(rows, hist, mkt)
+    sections = prose.sections(known)
+    whole = A.assemble(known, verdicts, tiles, A.financial_table(hist), A.forecast_table(V.forecast_years(rows)), sections, prose.findings(sections, known))
+    count = lambda n, name: F.size(n).cast("long").alias(name)
+    return whole.select("ticker", "status", "rating", count("kpis", "n_kpis"), count("financial_table", "n_years"), count("forecast_table", "n_forecast"), count("issues", "n_issues"), F.array_join(F.transform("sections", lambda x: x["section"]), ",").alias("sections"))

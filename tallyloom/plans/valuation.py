@@ -261,7 +261,31 @@ def q_implied_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(found.select("ticker", "implied_growth"), "implied_growth", digits=3)
 
 
-@query("q_priced_in")
+def _final(k: str, **more: str) -> str:
+    """A figure of the last year: 0 its revenue, 1 its cash flow."""
+    return f"list_sum(list_transform([9], lambda i: {flows_sql(**more)[int(k)]}))"
+
+
+def _cagr_sql(g: str) -> str:
+    return f"pow(list_product(list_transform({path_sql(g)}, lambda x: 1 + x)), 0.1::double) - 1"
+
+
+PRICED_SQL = INPUTS_SQL + """,
+priced as (select i.*, m.price from inputs i join (select ticker, price from market) m using (ticker) where terminal_growth < wacc and price > 0 and shares > 0 and base_revenue > 0)""" + _bisect_sql(
+    "s_growth", lambda x: fair_sql(g=x), "-0.5::double", "3.0::double", 13) + _bisect_sql(
+    "s_margin", lambda x: fair_sql(tm=x), "0.0::double", "1.0::double", 11) + _bisect_sql(
+    "s_capex", lambda x: fair_sql(capex=x), "0.0::double", "(capex_share + 1.0::double)", 12) + _bisect_sql(
+    "s_end", lambda x: fair_sql(tg=x), "0.0::double", "(wacc - 0.0025::double)", 11) + f""",
+solved as (select p.*, (g.lo + g.hi) / 2 as i_growth, (m.lo + m.hi) / 2 as i_margin, (k.lo + k.hi) / 2 as i_capex, (e.lo + e.hi) / 2 as i_end from priced p left join (select ticker, lo, hi from s_growth where step = 13) g using (ticker)
+  left join (select ticker, lo, hi from s_margin where step = 11) m using (ticker) left join (select ticker, lo, hi from s_capex where step = 12) k using (ticker) left join (select ticker, lo, hi from s_end where step = 11) e using (ticker)),
+levers as (select ticker, 'revenue_cagr' as lever, 0 as seq, i_growth, {_cagr_sql('year_one_growth')} as base_value, case when i_growth is not null then {_cagr_sql('i_growth')} end as implied_value from solved
+  union all select ticker, 'operating_margin', 1, i_growth, terminal_margin, i_margin from solved
+  union all select ticker, 'fcf_margin', 2, i_growth, {_final('1')} / nullif({_final('0')}, 0), case when i_capex is not null then {_final('1', capex='i_capex')} / nullif({_final('0')}, 0) end from solved
+  union all select ticker, 'terminal_growth', 3, i_growth, terminal_growth, i_end from solved)"""
+
+
+@query("q_priced_in", "with recursive " + PRICED_SQL + """, w as (select ticker, lever as widest from levers where implied_value is not null qualify row_number() over (partition by ticker order by implied_value - base_value desc, seq) = 1)
+ select ticker, lever, seq, round(i_growth, 4) as implied_growth, round(base_value, 4) as base_value, round(implied_value, 4) as implied_value, implied_value is not null as reachable, widest from levers left join w using (ticker)""")
 def q_priced_in(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, _, mkt = inputs(spark, sf_dir)
     found = V.priced_in(rows, mkt.select("ticker", "price"))
@@ -340,7 +364,22 @@ def q_ratings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(rounded(V.verdicts(values, mkt.select("ticker", "price")), "headline", digits=4), "upside")
 
 
-@query("q_valuation")
+# What DCF, cases, peers and the market say of a company.
+WHOLE_SQL = SCENARIO_SQL + PEERS_SQL[len(MARKET_SQL):].replace("comps as", "peer_values as") + f""",
+base as (select ticker, wacc, case when terminal_growth < wacc then {fair_sql()} end as fair, case when terminal_growth < wacc and {ev_sql()[0]} > 0 then {ev_sql()[1]} / {ev_sql()[0]} else 0 end as tv from inputs),
+e as (select ticker, sum(probability * fair_value) / sum(probability) as expected_value, min(nullif(fair_value, 0)) as low, max(nullif(fair_value, 0)) as high, max(fair_value) filter (scenario = 'base') as mid from cases group by ticker),
+whole as (select b.*, e.expected_value, low, high, (high - low) / nullif(mid, 0) as dispersion, p.implied_value as comps_value, m.price, coalesce(case when m.n % 4 <> 0 then m.price * 1.15::double end, m.price * 1.1::double) as consensus
+  from base b join market m using (ticker) left join e using (ticker) left join peer_values p using (ticker)),
+judged as (select *, abs(comps_value / nullif(fair, 0) - 1) as away, abs(fair / nullif(consensus, 0) - 1) > 0.35 as far_c, abs(fair / nullif(price, 0) - 1) > 0.35 as far_p, case when fair > 0 and price <> 0 then fair / price - 1 end as upside from whole),
+scored as (select *, (case when dispersion > 1.5 then 2 when dispersion > 0.8 then 1 else 0 end) + (case when tv > 0.80 then 2 when tv > 0.65 then 1 else 0 end) + (case when away > 0.5 then 2 when away > 0.25 then 1 else 0 end) as points,
+  list_filter([case when fair is null or fair <= 0 then 'degenerate DCF' end, case when far_c then 'far from consensus' end, case when price < low or price > high then 'price outside scenarios' end, case when dispersion > 1.5 then 'wide scenarios' end,
+    case when tv > 0.80 then 'mostly terminal value' end, case when far_p and far_c then 'outlier on both sides' end], lambda x: x is not null) as warned from judged)
+"""
+
+
+@query("q_valuation", "with " + WHOLE_SQL + """ select ticker, round(fair, 4) as fair_value, round(wacc, 4) as wacc, round(expected_value, 4) as expected_value, round(comps_value, 4) as comps_value, round(dispersion, 4) as dispersion, round(fair, 4) as headline, round(upside, 4) as upside,
+ case when upside is null then 'NOT RATED' when upside >= 0.15 then 'BUY' when upside >= -0.10 then 'HOLD' else 'SELL' end as rating, points, case when points >= 4 then 'Low' when points >= 2 then 'Medium' else 'High' end as confidence,
+ array_to_string(list_filter([case when dispersion > 0.8 then 'scenarios apart' end, case when tv > 0.65 then 'terminal value' end, case when away > 0.25 then 'peers disagree' end], lambda x: x is not null), ',') as drivers, array_to_string(warned, ';') as warnings, cast(len(warned) as int) as n_warnings from scored""")
 def q_valuation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole valuation: DCF, scenarios, comps, blend, verdict, confidence and warnings of every company."""
     rows, hist, mkt = inputs(spark, sf_dir)
