@@ -101,9 +101,23 @@ def statements_joined(*statements: DataFrame, most: int = 6) -> DataFrame:
     return out
 
 
+def index_rows(pages: DataFrame, base: str) -> DataFrame:
+    """(filing, kind, url): the cells of a filing index's table rows, each with its row's first link made absolute.
+
+    ``pages``: filing, html.  Rows and cells end at the next one where they aren't closed; a row without a link, and
+    a page that is null or no HTML, give nothing.
+    """
+    rows = pages.select("filing", F.explode(F.regexp_extract_all("html", F.lit(r"(?is)<tr\b.*?(?=<tr\b|</tr|</table|\z)"), 0)).alias("row"))
+    link = F.trim(F.regexp_extract("row", r"(?is)<a\b[^>]*?\bhref\s*=\s*[\"']([^\"']+)", 1))
+    url = F.when(link.rlike(r"(?i)^[a-z][a-z0-9+.-]*:"), link).when(link.startswith("//"), F.concat(F.lit(base.split("//")[0]), link)).when(link.startswith("/"), F.concat(F.lit(base), link)).otherwise(F.concat(F.lit(f"{base}/"), link))
+    cells = F.regexp_extract_all("row", F.lit(r"(?is)<td\b[^>]*>(.*?)(?=</?td\b|\z)"), 1)
+    plain = F.transform(cells, lambda x: F.btrim(F.replace(F.regexp_replace(x, "<[^>]*>", ""), F.lit("&nbsp;"), F.lit(" ")), F.lit(" \n\t\r")))
+    return rows.filter(link != "").select("filing", F.explode(plain).alias("kind"), url.alias("url"))
+
+
 def exhibit(rows: DataFrame) -> DataFrame:
     """(filing, url): the page of the lowest EX-99 exhibit of a filing's index. ``rows``: filing, kind (a cell), url."""
     name = F.upper(F.trim("kind"))
-    number = F.when(name == "EX-99", 0.0).when(name.startswith("EX-99."), F.substring(name, 7, 9).try_cast("int"))
+    number = F.when(name == "EX-99", 1).when(name.startswith("EX-99."), F.substring(name, 7, 9).try_cast("int"))
     page = F.lower("url").endswith(".htm") | F.lower("url").endswith(".html")
     return rows.withColumn("_n", number).filter(c("_n").isNotNull() & page).groupBy("filing").agg(F.min_by("url", F.struct("_n", "url")).alias("url"))

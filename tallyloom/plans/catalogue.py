@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallyloom.functions import exprs as X
+from tallyloom.functions import text as T
 from tallyloom.operators import catalogue as C
 from tallyloom.operators import facts as K
 from tallyloom.operators import ingest as I
@@ -188,3 +190,32 @@ def q_exhibit(spark: SparkSession, sf_dir: str) -> DataFrame:
     url = F.concat(F.lit("/a"), n, F.when(c("l_returnflag") == "R", ".pdf").when(c("l_returnflag") == "A", ".HTM").otherwise(".html"))
     found = C.exhibit(table(spark, sf_dir, "lineitem").select(c("l_orderkey").alias("filing"), kind.alias("kind"), url.alias("url")))
     return found.select("filing", F.regexp_extract("url", "([0-9]+)", 1).cast("int").alias("n"))
+
+
+@query("q_exhibit_pages", """select l_orderkey as filing, 'https://filings.example/a/' || min(l_linenumber) || '.htm' as url from lineitem where l_linenumber % 2 = 1 and l_returnflag <> 'R' group by l_orderkey""")
+def q_exhibit_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as the HTML indexes of filings, a table row for each line; some rows are no exhibits and some no pages."""
+    n = c("l_linenumber").cast("string")
+    kind = F.when(c("l_linenumber") % 2 == 1, F.concat(F.lit("EX-99."), n)).otherwise("EX-10")
+    link = F.concat(F.lit("/a/"), n, F.when(c("l_returnflag") == "R", ".pdf").otherwise(".htm"))
+    row = F.concat(F.lit("<tr class=x>\n<td scope='row'>"), n, F.lit("</td><td> Report </td><td><a class=y href=\""), link, F.lit("\">file</a></td><TD>&nbsp;"), kind, F.lit("</TD></tr>"))
+    pages = table(spark, sf_dir, "lineitem").groupBy(c("l_orderkey").alias("filing")).agg(F.concat(F.lit("<html><table><tr><th>Seq</th></tr>"), F.array_join(F.collect_list(row), "\n"), F.lit("</table></html>")).alias("html"))  # seven rows at most
+    return C.exhibit(C.index_rows(pages, "https://filings.example"))
+
+
+@query("q_year_months", "select o_orderkey, cast(year(o_orderdate) * 12 + month(o_orderdate) - 1 as int) as month from orders where o_orderkey % 3 < 2 union all select o_orderkey, null from orders where o_orderkey % 3 = 2")
+def q_year_months(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Months read from dates as figures and as words, and from text without one."""
+    k, day = c("o_orderkey") % 3, c("o_orderdate").cast("date")
+    text = F.when(k == 0, F.concat(F.lit("due "), F.date_format(day, "yyyy-MM"))).when(k == 1, F.concat(F.lit("in "), F.date_format(day, "MMMM yyyy"), F.lit(" or so"))).otherwise("some day")
+    return table(spark, sf_dir, "orders").select("o_orderkey", T.year_month(text).alias("month"))
+
+
+@query("q_amount_texts", """with o as (select o_orderkey, cast(o_totalprice as decimal(18, 2)) as p, case when o_orderkey % 200 / 2.0 > 1.5 then o_orderkey % 200 / 200.0::double else o_orderkey % 200 / 2.0::double end as share from orders)
+ select o_orderkey, case when p >= 1e6 then printf('%.2f', round(p * 0.000001, 2)) || 'm' else printf('%.0f', round(p, 0)) end as plain,
+  'USD ' || case when p >= 1e6 then printf('%.2f', round(p * 0.000001, 2)) || 'bn' when p >= 1000 then printf('%.2f', round(p * 0.001, 2)) || 'm' else printf('%.0f', round(p * 1000, 0)) end as thousandfold, round_even(share / 0.005, 0) * 0.005 as share, o_orderkey % 2 = 0 as numeric from o""")
+def q_amount_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices as compact text, whole percentages as fractions, and text that is a number or none."""
+    price, key = c("o_totalprice").cast("double"), c("o_orderkey")
+    text = F.when(key % 2 == 0, price.cast("string")).otherwise(F.when(key % 3 == 0, "NaN").otherwise("n/a"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", X.money(price, F.lit(None).cast("string")).alias("plain"), X.money(price * 1000, F.lit("USD")).alias("thousandfold"), X.percent(key % 200 / 2.0).alias("share"), X.number(text).isNotNull().alias("numeric"))

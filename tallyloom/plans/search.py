@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.functions import text as T
+from tallyloom.operators import reporting as R
 from tallyloom.operators import search as S
 from tallyloom.plans.registry import query
 from tallyloom.sources.tables import table
@@ -169,6 +170,15 @@ def q_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.hit_and_mrr(rows, "configuration").select("configuration", "questions", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 
 
+@query("q_eval_lines", "with " + _STAGES_SQL + """, conf_ as (select unnest([1, 2, 3, 4, 5]) as k, unnest(['dense only', '+ sparse', '+ query expansion', '+ metadata filters', '+ reranking']) as configuration),
+ m as (select configuration, b.item_id, p.place, d.body is not null and contains(replace(lower(d.body), ',', ''), replace(lower(b.text), ',', '')) as hit from conf_ join benchmark b on true left join placed p on p.query_id = b.item_id and p.k = conf_.k left join docs d using (chunk_id)),
+ g as (select configuration, item_id, min(place) filter (hit) as first from m group by all)
+ select '| ' || configuration || ' | ' || printf('%.0f', round_even(avg(case when first is not null then 1 else 0 end), 6) * 100) || '% | ' || printf('%.3f', round(sum(coalesce(1.0 / first, 0)) / count(*), 6)) || ' |' as line from g group by configuration""")
+def q_eval_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The configurations' measures as rows of a table."""
+    return R.eval_line(q_ablations(spark, sf_dir))
+
+
 _LINES_SQL = "lines as (select doc_id, i - 1 as chunk_index, l[i] as body from (select doc_id, string_split(text, chr(10)) as l, unnest(range(1, len(string_split(text, chr(10))) + 1)) as i from documents))"
 
 

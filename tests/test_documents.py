@@ -110,3 +110,42 @@ def test_json_of_answers_ends_with_its_value(spark):
     }
     rows = spark.createDataFrame(list(enumerate(cases)), "i int, a string").withColumn("j", C.json_of(F.col("a"))).collect()
     assert {r.a: r.j for r in rows} == cases
+
+
+def test_an_exhibit_is_found_in_the_index_page(spark):
+    row = lambda kind, link: f"<tr><td>1</td><td>{kind}</td><td><a href='{link}'>x</a>"
+    pages = [
+        (1, f"<table>{row('EX-99.2', '/a/two.htm')}</tr>{row(' ex-99.1 ', '/a/one.HTML')}{row('EX-99.1.5', '/a/no.htm')}</table>"), (2, f"{row('EX-99', 'b.htm')}{row('EX-99.1', 'a.htm')}"), (3, row("EX-99.1", "/a/one.pdf")),
+        (4, "<tr><td>EX-99.1</td></tr>"), (5, row("<b>EX-99.3</b>", "http://other/x.htm")), (6, None), (7, "no html"), (8, row("EX-99.1", "//host/y.htm")),
+    ]
+    found = C.exhibit(C.index_rows(spark.createDataFrame(pages, "filing int, html string"), "https://base"))
+    assert {r.filing: r.url for r in found.collect()} == {1: "https://base/a/one.HTML", 2: "https://base/a.htm", 5: "http://other/x.htm", 8: "https://host/y.htm"}
+
+
+def test_binary_documents_are_admitted_by_size_and_first_bytes(spark, tmp_path):
+    from tallyloom.sources.sinks import binary_documents
+
+    for name, raw in (("a.pdf", b"%PDF-1.4 x"), ("b.pdf", b"<html>"), ("c.html", b"<p>"), ("d.html", b"")):
+        (tmp_path / name).write_bytes(raw)
+    rows = {r.path.rsplit("/", 1)[-1]: (r.admitted, r.digest) for r in binary_documents(spark, f"file://{tmp_path}").collect()}
+    assert {k: v[0] for k, v in rows.items()} == {"a.pdf": True, "b.pdf": False, "c.html": True}  # Spark gives no row for an empty file
+    assert rows["c.html"][1] == hashlib.sha256(b"<p>").hexdigest()
+
+
+def test_namesakes_match_the_plain_ratio(spark, sf_dir):
+    from difflib import SequenceMatcher
+
+    from tallyloom.plans.ingest import q_match_company
+
+    rows = spark.read.parquet(f"{sf_dir}/supplier.parquet").collect()
+    want = {}
+    for a in rows:
+        scored = []
+        for b in rows:
+            if a.s_nationkey == b.s_nationkey:
+                x, y = a.s_name.lower(), b.s_name.lower()
+                r = SequenceMatcher(None, x, y).ratio()
+                r = max(r, 0.85) if set(x.split()) <= set(y.split()) else r
+                scored.append((b.s_suppkey % 5 + 150 * r, f"S{b.s_suppkey}.N"))
+        want[a.s_name] = max(scored)
+    assert {r["query"]: (r.score, r.ticker) for r in q_match_company(spark, sf_dir).collect()} == {k: (round(s, 6), t) for k, (s, t) in want.items()}
