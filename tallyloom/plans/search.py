@@ -53,8 +53,8 @@ def q_doc_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("token").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-def bm25_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = S.bm25(questions(spark, sf_dir), chunks_of(spark, sf_dir)).withColumn("score", F.round("score", 9))
+def bm25_list(spark: SparkSession, sf_dir: str, postings: DataFrame | None = None) -> DataFrame:
+    scores = S.bm25(questions(spark, sf_dir), chunks_of(spark, sf_dir), postings=postings).withColumn("score", F.round("score", 9))
     return S.top(scores, 25)
 
 
@@ -86,8 +86,9 @@ def retrieved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two lexical lists fused, boosted, softly filtered to English, and cut to the best eight."""
     asked, chunks = questions(spark, sf_dir), chunks_of(spark, sf_dir)
     long_words = asked.select("query_id", F.concat_ws(" ", F.filter(T.tokens(c("text")), lambda t: F.length(t) >= 6)).alias("text"))
-    other = S.top(S.bm25(long_words, chunks).withColumn("score", F.round("score", 9)), 25)
-    lists = bm25_list(spark, sf_dir).withColumn("weight", F.lit(1.0)).unionByName(other.withColumn("weight", F.lit(0.5)))
+    postings = S.asked_postings(asked, chunks)  # the long words are among them
+    other = S.top(S.bm25(long_words, chunks, postings=postings).withColumn("score", F.round("score", 9)), 25)
+    lists = bm25_list(spark, sf_dir, postings).withColumn("weight", F.lit(1.0)).unionByName(other.withColumn("weight", F.lit(0.5)))
     fused = S.fuse(lists).join(chunks.drop("body"), "chunk_id")
     boosted = S.boost(fused, F.lit(True), F.array().cast("array<int>"), F.lit(2024)).withColumn("score", F.round("score", 12))
     return S.top(S.soft_filter(boosted, S.metadata_filter() & (c("lang") == "en")), 8)
@@ -137,8 +138,9 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = lambda key, ids: table(spark, sf_dir, "embeddings").select(c("vec_id").alias(key), c("embedding").alias("embedding")).join(ids.select(key), key, "left_semi")
     near = S.dense(vectors("query_id", asked), vectors("chunk_id", chunks), 25)
     long_words = asked.select("query_id", F.concat_ws(" ", F.filter(T.tokens(c("text")), lambda t: F.length(t) >= 6)).alias("text"))
-    other = S.top(S.bm25(long_words, chunks).withColumn("score", F.round("score", 9)), 25)
-    parts = [x.select(F.lit(n).alias("list"), F.lit(w).alias("weight"), "query_id", "chunk_id", "rank") for n, w, x in (("dense", 1.0, near), ("sparse", 1.0, bm25_list(spark, sf_dir)), ("variant", 0.5, other))]
+    postings = S.asked_postings(asked, chunks)
+    other = S.top(S.bm25(long_words, chunks, postings=postings).withColumn("score", F.round("score", 9)), 25)
+    parts = [x.select(F.lit(n).alias("list"), F.lit(w).alias("weight"), "query_id", "chunk_id", "rank") for n, w, x in (("dense", 1.0, near), ("sparse", 1.0, bm25_list(spark, sf_dir, postings)), ("variant", 0.5, other))]
     used = F.create_map(*[x for n in ("dense", "sparse", "variant") for x in (F.lit(n), F.array(*(F.lit(k) for k, names in LISTS.items() if n in names)))])
     lists = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("k", F.explode(used[c("list")]))
     fused = S.fuse(lists.withColumn("query_id", F.struct("k", "query_id"))).join(chunks.drop("body"), "chunk_id")
