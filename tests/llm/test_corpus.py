@@ -1,3 +1,4 @@
+import hashlib
 import json
 import random
 import re
@@ -471,7 +472,7 @@ def test_levels_match_brute_force(spark):
     assert {(r.conv_id, r.call_id): r.level for r in got.collect()} == want
 
 
-def test_pipeline_matches_its_stages(spark, sf_dir):
+def test_pipeline_matches_its_stages(spark, sf_dir, library):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     kept = corpus_pipeline.quality(spark, docs, sf_dir)
     assert kept.columns == docs.columns
@@ -481,9 +482,14 @@ def test_pipeline_matches_its_stages(spark, sf_dir):
     one = corpus_pipeline.near_duplicates(spark, kept, sf_dir)
     assert {r.doc_id for r in one.collect()} == {d for d, _, g in brute_components([(r.doc_id, r.text) for r in good]) if d == g}
     assert one.columns == docs.columns
+    mixed = corpus_pipeline.mixture(spark, one, sf_dir)
+    assert mixed.columns == docs.columns
+    want = brute_mix([(r.doc_id, r.text, r.lang, r.source) for r in one.collect()])
+    assert Counter(r.doc_id for r in mixed.collect()) == want and sum(want.values()) > 0
     last = corpus_pipeline.run(spark, sf_dir)
-    assert set(last.columns) == {"doc_id", "ids"} and last.filter(F.size("ids") > 0).count() > 0
-    assert {r.doc_id for r in last.collect()} <= {r.doc_id for r in one.collect()}
+    assert set(last.columns) == {"doc_id", "ids"}
+    texts = {r.doc_id: r.text for r in one.collect()}
+    assert Counter((r.doc_id, tuple(r.ids)) for r in last.collect()) == Counter({(d, tuple(library.encode(texts[d] or ""))): n for d, n in want.items()})
 
 
 def test_pipeline_drops_near_copies_of_five_words_and_080(spark):
@@ -507,10 +513,47 @@ def test_pipeline_drops_near_copies_of_five_words_and_080(spark):
     assert {r.doc_id for r in got.collect()} == want and 20 < len(want) < 60
 
 
-def test_pipeline_edges(spark, sf_dir, edge_docs, empty_docs):
-    for docs in (edge_docs, empty_docs):
-        for name, stage in corpus_pipeline.STAGES:
-            out = stage(spark, docs, sf_dir)
-            assert out.count() >= 0
-            if name != corpus_pipeline.STAGES[-1][0]:
-                assert out.columns == docs.columns
+def brute_mix(rows):
+    """How often each doc_id comes in the pipeline's mixture of (doc_id, text, lang, source)."""
+    forum = {f"src{k}" for k in range(1, 13)}
+    leaves, tree = {}, {}
+    for doc, text, lang, source in rows:
+        lang, source = lang or "", source or ""
+        domain = "crawl" if source == "src0" else "forum" if source in forum else "library"
+        tokens = len(text) - len(text.replace(" ", "").replace("\n", "")) + 1 if text else 0
+        leaf = f"{domain}/{lang}/{source}"
+        leaves.setdefault(leaf, []).append((doc, tokens))
+        at = tree.setdefault(domain, {}).setdefault(lang, {})
+        at[leaf] = at.get(leaf, 0) + tokens
+    weights = {**queries.MIX_WEIGHTS["domain"], **queries.MIX_WEIGHTS["lang"]}
+    num, den = corpus_pipeline.SHARE
+    targets = brute_budgets(tree, weights, sum(n for own in leaves.values() for _, n in own) * num // den, queries.MIX_EPOCHS)
+    out = Counter()
+    for leaf, own in leaves.items():
+        total = sum(n for _, n in own)
+        whole = targets[leaf] // total if total else 0
+        rest, run = targets[leaf] - whole * total, 0
+        key = lambda doc, whole=whole: hashlib.md5(f"{queries.MIX_SEED}:{whole}:{'null' if doc is None else doc}".encode()).hexdigest()
+        for doc in sorted({d for d, _ in own}, key=key):
+            run += sum(n for d, n in own if d == doc)
+            copies = whole + (run <= rest)
+            out[doc] += copies * sum(d == doc for d, _ in own)
+    return +out
+
+
+def test_pipeline_edges(spark, sf_dir, edge_docs, empty_docs, library):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    rows = edge_docs.collect()
+    kept = corpus_pipeline.quality(spark, edge_docs, sf_dir)
+    assert kept.columns == edge_docs.columns
+    assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in Q.classify(edge_docs, labels).collect() if r.predicted)
+    one = corpus_pipeline.near_duplicates(spark, edge_docs, sf_dir)
+    assert one.columns == edge_docs.columns
+    assert sorted(r.doc_id for r in one.collect() if r.doc_id is not None) == [1, 3, 4, 5, 6, 7, 10]
+    mixed = corpus_pipeline.mixture(spark, edge_docs, sf_dir)
+    assert mixed.columns == edge_docs.columns
+    assert Counter(r.doc_id for r in mixed.collect()) == brute_mix([(r.doc_id, r.text, r.lang, r.source) for r in rows])
+    coded = corpus_pipeline.encoding(spark, edge_docs, sf_dir)
+    assert Counter((r.doc_id, tuple(r.ids)) for r in coded.collect()) == Counter((r.doc_id, tuple(library.encode(r.text or ""))) for r in rows)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, empty_docs, sf_dir).count() == 0, name
