@@ -13,23 +13,38 @@ WORDS, PERCENT = 5, 80  # near duplicates: runs of so many words, and their leas
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
+    """Documents that the classifier rejects go.
+
+    A null or empty text is scored as padding and goes or stays by its score; long texts are scored whole; equal texts
+    fare alike, so repeated rows go or stay together, as do rows without a doc_id by their text.  Without labels of
+    both kinds nothing goes.  All columns stay, whatever their names; an empty table stays empty.
+    """
     return quality_cnn.keep(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays, that of the smallest doc_id."""
+    """One document of each group stays, that of the smallest doc_id.
+
+    Texts of under five words link with equal ones; null and empty texts, and texts without words, with nothing, and
+    stay.  Of repeated rows one stays.  Texts of any length are compared whole.  All columns stay.
+    """
     return ngram_join.keep_one(docs, width=WORDS, percent=PERCENT)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in target proportions; one that comes for several epochs is as many rows."""
+    """Documents in target proportions; one that comes for several epochs is as many rows.
+
+    Null and empty texts have no tokens and come along with the prefix that reaches them; a null language or source
+    counts as one of its own; rows of one doc_id (or without one) come or go together.  Columns of the stage's own are
+    gone again, so all others stay as they were.
+    """
     mixed = mixing.mix(docs, mix_levels(), MIX_WEIGHTS, share=SHARE, epochs=MIX_EPOCHS, seed=MIX_SEED)
     return mixing.repeated(mixed, docs.columns)
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, ids) of each document."""
+    """(doc_id, ids) of each row, in no order; a null or empty text has no ids, repeated rows repeat, and long texts are
+    encoded whole.  Other columns end here."""
     return piece_transducer.encode(docs, vocabulary("piece_bpe_32k.model"))
 
 
