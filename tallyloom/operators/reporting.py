@@ -146,4 +146,4 @@ def thesis(rows: DataFrame) -> DataFrame:
 
 def eval_line(rows: DataFrame) -> DataFrame:
     """Measures as markdown rows. ``rows``: configuration, hit_rate, mrr."""
-    return rows.select(F.format_string("| %s | %.0f%% | %.3f |", "configuration", c("hit_rate") * 100, "mrr").alias("line"))
+    return rows.select(F.format_string("| %s | %.0f%% | %.3f |", "configuration", F.bround(c("hit_rate") * 100), "mrr").alias("line"))

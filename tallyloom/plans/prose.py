@@ -90,7 +90,7 @@ drivers as (select l.ticker, section, unnest([{{'k': 'tm', 'v': regexp_extract_a
 stated as (select ticker, section, d.k as k, unnest(d.v)::double as v, tm, itm, tg, yg from drivers),
 cased as (select l.ticker, section, unnest(regexp_extract_all(t, '(?:bear|bull)[- ]case (?:fair value )?of \$?[0-9.]+\d')) as m, bear, bull from lowered l join facts using (ticker)),
 shares as (select ticker, section, lower(regexp_extract(s, '(Data Center).* (\d+)% of (?:total )?revenue', 1)) as name, try_cast(regexp_extract(s, '(Data Center).* (\d+)% of (?:total )?revenue', 2) as double) as v from sent),
-grown as (select ticker, section, regexp_extract(s, '\$([0-9.]+) billion.*annualized', 1)::double * 1e9 as q, regexp_extract(s, 'annualized.* ([0-9.]+)% growth over FY', 1)::double / 100 as g, rev from sent join facts using (ticker) where s like '%annualized%growth over FY%'),
+grown as (select ticker, section, regexp_extract(s, '\$([0-9.]+) billion.*annualized', 1)::double * 1e9 as q, regexp_extract(s, 'annualized.* ([0-9.]+)% growth over FY', 1)::double / 100 as g, rev from sent join facts using (ticker) where regexp_matches(s, 'annualized.*growth over FY20')),
 found as (
   select ticker, section, 'HIGH' as severity, 'risk direction' as "check" from sent where (regexp_matches(lower(s), 'reduc') and try_cast(regexp_extract(s, 'from (\d+)% to (\d+)%', 2) as double) > try_cast(regexp_extract(s, 'from (\d+)% to (\d+)%', 1) as double) + 0.05) or regexp_matches(lower(s), '(rais|increas|lift|boost)\w* (our|the) (fair|intrinsic) value')
   union all select ticker, section, 'HIGH', 'annualisation' from sent where regexp_matches(lower(s), 'annuali[sz]') and contains(lower(s), 'quarter')
