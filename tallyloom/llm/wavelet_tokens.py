@@ -52,7 +52,8 @@ class Encoder:
     A byte-level pre-tokenizer never joins a character with a blank after it, so a text may be cut before
     a single space, and around one or two line feeds, between two other characters; equal pieces then have
     equal ids.  Texts with other runs of blanks are cut only at such single spaces, and those that hold the text
-    of an added token, which the library takes out before anything else, are not cut at all.  Words of letters alone
+    of an added token, which the library takes out before anything else, are not cut at all; nor are any where the
+    tokenizer has a normaliser.  Words of letters alone
     are given to the library as the bytes' signs that its pre-tokenizer would make of them, with marks after
     them apart.  What is remembered is bounded: words that come when it is full are encoded again.
     """
@@ -68,8 +69,8 @@ class Encoder:
         self._space = signs(" ")[0][0]
         size = self._tokenizer.get_vocab_size()
         self._spaced = np.array([(self._tokenizer.id_to_token(i) or "").startswith(self._space) for i in range(size)])
-        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
-        self._added = re.compile("|".join(map(re.escape, added)) or "(?!)", re.IGNORECASE)  # in any case: a token may be looked for in normalised text
+        self._added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
+        self._normal = self._tokenizer.normalizer is not None  # then added tokens may be looked for in other letters
         self._feed = self._ids(["\n"])[0]
         self._known: dict[str, bytes] = {}  # by word after a space; one that begins with a line feed stands after it instead
 
@@ -122,7 +123,7 @@ class Encoder:
             blank |= {w for w in new if w != "\n" and (w[-1:].isspace() or w[:1] != "\n" and w[:1].isspace() or w[1:2].isspace())}
         apart = {}
         for k, text in enumerate(texts):
-            if self._added.search(text):
+            if self._normal or any(t in text for t in self._added):
                 apart[k], cut[k] = [text], []
             elif "\n\n" in text and ("\n\n\n" in text or "\n\n " in text or text.endswith("\n\n")) or text[:1].isspace() or blank and not blank.isdisjoint(cut[k]):
                 apart[k], cut[k] = _LONE_SPACE.split(text), []
