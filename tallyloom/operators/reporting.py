@@ -54,14 +54,17 @@ def number_walk(rows: DataFrame) -> DataFrame:
     false are no numbers; text that is no JSON, null and repeated rows give what they hold: nothing, or twice as much.
     """
     kind = F.when(c("key").isin(PERCENT_FIELDS), "pct").when(c("key").isin(AMOUNT_FIELDS), "money")
+    number = F.try_variant_get("value", "$", "double")  # null for what is nested, and for some texts, in which there is nothing to open
+    shape = F.when(c("number").isNotNull() & c("kind").isNotNull(), F.schema_of_variant("value"))  # of single values only, as it reads all that is nested
     open_ = stored(rows.select("ticker", F.try_parse_json("json").alias("v")).filter("v is not null"), "walk")
     found = []
     while True:
-        level = rows.sparkSession.sql("select ticker, e.key, e.value, schema_of_variant(e.value) as shape from {open_} t, lateral variant_explode(t.v) e", open_=open_)
-        level = stored(level.withColumn("kind", kind).filter(c("shape").rlike("^(OBJECT|ARRAY)") | (c("kind").isNotNull() & c("shape").rlike("^(BIGINT|DECIMAL|DOUBLE)"))), "walk")
-        number = F.try_variant_get("value", "$", "double")
-        found.append(level.filter(~c("shape").rlike("^(OBJECT|ARRAY)")).select("ticker", "kind", "key", F.when(c("kind") == "pct", F.bround(number * 100, 1)).otherwise(number).alias("value")))
-        open_ = level.filter(c("shape").rlike("^(OBJECT|ARRAY)")).select("ticker", c("value").alias("v"))
+        level = rows.sparkSession.sql("select ticker, e.key, e.value from {open_} t, lateral variant_explode(t.v) e", open_=open_).withColumn("number", number).withColumn("kind", kind)
+        level = level.withColumn("is_number", F.coalesce(shape.rlike("^(BIGINT|DECIMAL|DOUBLE)"), F.lit(False)))
+        nested = F.when(c("number").isNull() & ~F.is_variant_null("value"), c("value"))
+        level = stored(level.select("ticker", "kind", "key", F.when(c("is_number"), c("number")).alias("number"), nested.alias("v")).filter("number is not null or v is not null"), "walk")
+        found.append(level.filter("number is not null").select("ticker", "kind", "key", F.when(c("kind") == "pct", F.bround(c("number") * 100, 1)).otherwise(c("number")).alias("value")))
+        open_ = level.filter("v is not null").select("ticker", "v")
         if open_.isEmpty():
             return reduce(DataFrame.unionByName, found)
 

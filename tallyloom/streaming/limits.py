@@ -87,11 +87,11 @@ def window_starts(times: DataFrame, length: float = DAY) -> DataFrame:
     known = stored(times.select(F.col("at").cast("double").alias("at")).filter("at is not null").distinct(), "times")
     asked = known.select(place(F.col("at") + length).alias("slot"), (F.col("at") + length).alias("t"), F.lit(1).alias("asks"), F.col("at").alias("of"))
     there = known.select(place(F.col("at")).alias("slot"), F.col("at").alias("t"), F.lit(0).alias("asks"), F.lit(None).cast("double").alias("of"))
-    later = Window.partitionBy("slot").orderBy("t", "asks").rowsBetween(1, Window.unboundedFollowing)  # a time equal to the end comes before its asking row
+    later = Window.partitionBy("slot").orderBy(F.desc("t"), F.desc("asks")).rowsBetween(Window.unboundedPreceding, -1)  # a time equal to the end is not after it
     near = asked.unionByName(there).withColumn("near", F.min(F.when(F.col("asks") == 0, F.col("t"))).over(later)).filter("asks = 1")
     firsts = there.groupBy("slot").agg(F.min("t").alias("first"))
     slots = near.select("slot").distinct().join(firsts, "slot", "full")  # at most one row for each slot of the time line
-    slots = slots.select("slot", F.min("first").over(Window.orderBy("slot").rowsBetween(1, Window.unboundedFollowing)).alias("onward"))
+    slots = slots.select("slot", F.min("first").over(Window.orderBy(F.desc("slot")).rowsBetween(Window.unboundedPreceding, -1)).alias("onward"))
     jumps = stored(near.join(slots, "slot").select(F.col("of").alias("start"), F.coalesce("near", "onward").alias("next")).filter("next is not null"), "jumps")
     starts = stored(known.agg(F.min("at").alias("start")).filter("start is not null"), "starts")
     while True:
@@ -109,7 +109,7 @@ def global_limit(events: DataFrame, limit: int, window: float = DAY) -> DataFram
     midnight.  ``events``: event_id, action, at; those that the session's limit refused are not to be among them.
     The limit is kept by comparing with the last accepted event, so a window of very many events is no one task's.
     """
-    rows = events.filter("at is not null")
+    rows = stored(events.filter("at is not null"), "events")  # read four times
     day = lambda t: F.floor(t / window).cast("long")
     marks = window_starts(rows, window).select(day(F.col("start")).alias("day"), "start")  # a window is longer than a day: one a day at most
     days = rows.select(day(F.col("at")).alias("day")).distinct().join(marks, "day", "full")
