@@ -34,6 +34,15 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The same with a checkpoint in the shared folder, which keeps how rows are partitioned and sorted."""
+    context = df.sparkSession.sparkContext
+    folder = shared_dir(df.sparkSession, "checkpoint")
+    if not context.getCheckpointDir():
+        context.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 BATCH_BYTES = 4 << 20
 _BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 

@@ -7,11 +7,13 @@ is done, every code within distance m * (r + 1) - 1 has been found and verified,
 its k-th smallest verified distance is no larger.  Each radius is one Spark job over the queries that are
 still open, and none of their later candidates beyond the k-th distance so far is kept.
 
-The index is dealt to cells by segment and the value's high bits, some CELL_ROWS rows each; a query goes to
-the cells whose high bits lie within the radius, and looks up low bits there.  A cell with more rows or
-queries (a common segment value) is split by hashes of both.  Rows stream through a cell after its index,
-so no task holds more than one split of a cell and a batch of queries.  Codes with many rows keep the k + 1
-smallest ids, which is all that a result can show.
+The index is dealt to cells by segment and the value's high bits, some CELL_ROWS rows each, and a cell is one
+packed row, sorted by its low bits.  The cells are partitioned and sorted once and checkpointed so; a round
+sends queries alone to them: to the cells whose high bits lie within the radius, where low bits are looked up.
+A cell with more rows or queries (a common segment value) is split by hashes of both, so no task holds more
+than one split of a cell and its queries.  Codes with many rows keep the k + 1 smallest ids, which is all that
+a result can show.  Vectors of a length that so few ids have that k others may not be found (2k at most) are
+compared with all codes of their length in the first round, which gives the same result as growing the radius.
 
 Defined results: neighbours are other rows, by distance and then id; rows with a null or empty vector, a
 null element, or a null id are neither queries nor neighbours; NaN gives bit 0; rows that repeat an id count
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import stored
+from tallyloom.llm.common import checkpointed, stored, with_small_batches
 
 K = 10
 QUERY_EVERY = 20
@@ -72,22 +74,32 @@ def _masks(width: int, radius: int) -> np.ndarray:
     return np.array([sum(1 << i for i in c) for c in combinations(range(width), radius)], np.int64)
 
 
-def _segments(rows: DataFrame, width: int) -> DataFrame:
-    """Adds a row for each segment: its number, its width and its value."""
+def _segments(rows: DataFrame, width: int, high: int, radius: int | None = None) -> DataFrame:
+    """Adds a row for each segment: its number, its width, its value and the value's high bits.
+
+    With a ``radius`` there is a row for all high bits up to so far away, and rest, what is left of the radius for low
+    bits; rows marked ``few`` get all high bits, and no radius (-1).
+    """
     names = rows.columns
-    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", segment int, width int, value long"
+    kinds = ", ".join(f"{n} {t}" for n, t in rows.dtypes) + ", segment int, width int, value long, high long, rest int"
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes = batch.column(names.index("n_bits")).to_numpy()
-            for n_bits in np.unique(sizes).tolist():
-                at = np.flatnonzero(sizes == n_bits)
+            few = batch.column(names.index("few")).to_numpy(zero_copy_only=False) if "few" in names else np.zeros(len(sizes), bool)
+            for n_bits, scan in sorted(set(zip(sizes.tolist(), few.tolist()))):
+                at = np.flatnonzero((sizes == n_bits) & (few == scan))
                 own = batch.take(pa.array(at))
                 packed = np.frombuffer(b"".join(own.column(names.index("code")).to_pylist()), np.uint8).reshape(len(at), -1)
                 values = _values(packed, n_bits, width)
                 for k, (a, b) in enumerate(bounds(n_bits, width)):
+                    top = min(high, b - a)  # short segments have fewer high bits
                     more = [pa.array(np.full(len(at), k, np.int32)), pa.array(np.full(len(at), b - a, np.int32)), pa.array(values[:, k])]
-                    yield pa.RecordBatch.from_arrays([*own.columns, *more], names=[*names, "segment", "width", "value"])
+                    for r in range(top + 1 if scan else min(radius or 0, top) + 1):
+                        rest = pa.array(np.full(len(at), -1 if scan else (radius or 0) - r, np.int32))
+                        for mask in _masks(top, r):
+                            away = pa.array((values[:, k] >> (b - a - top)) ^ mask)
+                            yield pa.RecordBatch.from_arrays([*own.columns, *more, away, rest], names=[*names, "segment", "width", "value", "high", "rest"])
 
     return rows.mapInArrow(cut, kinds)
 
@@ -96,9 +108,17 @@ class Cell:
     """One split of an index cell: codes by the low bits of their segment."""
 
     def __init__(self, ids: np.ndarray, values: np.ndarray, words: np.ndarray, low: int):
-        order = np.argsort(values & (1 << low) - 1, kind="stable")
-        self.ids, self.words, self.low = ids[order], words[order], low
-        self.keys = (values & (1 << low) - 1)[order]
+        keys = values & (1 << low) - 1
+        order = np.argsort(keys, kind="stable")
+        self.ids, self.keys, self.words, self.low = ids[order], keys[order], words[order], low
+
+    @classmethod
+    def unpacked(cls, ids: bytes, keys: bytes, words: bytes, low: int) -> Cell:
+        """A cell as :func:`_packed` has sorted it."""
+        cell = cls.__new__(cls)
+        cell.ids, cell.keys, cell.low = np.frombuffer(ids, np.int64), np.frombuffer(keys, np.int64), low
+        cell.words = np.frombuffer(words, np.uint64).reshape(len(cell.ids), -1)
+        return cell
 
     def _ranges(self, probes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         return np.searchsorted(self.keys, probes, "left"), np.searchsorted(self.keys, probes, "right")
@@ -140,41 +160,55 @@ class Cell:
 
 
 CELL = ["n_bits", "segment", "high", "part", "turn"]
-_LINE = [*CELL, "is_query", "id", "width", "value", "code", "limit", "radius", "own_id"]
 
 
-def _look_up(lines: DataFrame, high: int, k: int) -> DataFrame:
-    """``lines``: index rows and, after them, queries of each cell; candidates (query, vec_id, distance)."""
-    kinds = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.int64())])
+def _packed(rows: DataFrame, high: int) -> DataFrame:
+    """A row for each cell of ``rows``, which are sorted by CELL: its ids, low bits and codes, in the order of low bits."""
+    kinds = "n_bits int, segment int, high long, part int, turn int, low int, ids binary, keys binary, words binary"
 
-    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held, cell = None, [], None
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
         for batch in batches:
-            col = {n: batch.column(i) for i, n in enumerate(_LINE)}
-            num = {n: col[n].to_numpy() for n in _LINE if n != "code"}
-            marks = np.stack([num[n].astype(np.int64) for n in [*CELL, "is_query"]], axis=1)
+            marks = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in CELL], axis=1)
             starts = np.flatnonzero(np.any(np.diff(marks, axis=0, prepend=-9), axis=1))
             for a, b in zip(starts, [*starts[1:], len(marks)]):
-                now = tuple(marks[a, :5].tolist())
-                if now != key:
-                    key, held, cell = now, [], None
-                words = np.frombuffer(b"".join(col["code"][a:b].to_pylist()), np.uint64).reshape(b - a, -1)
-                if not marks[a, 5]:
-                    held.append((num["id"][a:b], num["value"][a:b], words))
-                    continue
-                if not held and cell is None:
-                    continue
-                if cell is None:
-                    ids, values, rows = (np.concatenate(x) for x in zip(*held))
-                    cell, held = Cell(ids, values, rows, max(0, int(num["width"][a]) - high)), []
-                names, radius = num["id"][a:b], num["radius"][a:b]
+                if key is not None and key != tuple(marks[a].tolist()):
+                    yield row_of(key, held)
+                    held = []
+                key = tuple(marks[a].tolist())
+                words = np.frombuffer(b"".join(batch.column("code")[a:b].to_pylist()), np.uint64).reshape(b - a, -1)
+                held.append((batch.column("vec_id").to_numpy()[a:b], batch.column("value").to_numpy()[a:b], words, int(batch.column("width")[int(a)].as_py())))
+        if key is not None:
+            yield row_of(key, held)
+
+    def row_of(key: tuple, held: list[tuple]) -> pa.RecordBatch:
+        low = max(0, held[0][3] - high)
+        cell = Cell(*(np.concatenate(x) for x in list(zip(*held))[:3]), low)
+        numbers = [pa.array([x], t) for x, t in zip((*key, low), (pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int32()))]
+        raw = [pa.array([x.tobytes()], pa.binary()) for x in (cell.ids, cell.keys, cell.words)]
+        return pa.RecordBatch.from_arrays([*numbers, *raw], names=[*CELL, "low", "ids", "keys", "words"])
+
+    return rows.mapInArrow(packed, kinds)
+
+
+def _look_up(cells: DataFrame, k: int) -> DataFrame:
+    """``cells``: packed cells, each with its queries as a list ``asked``; candidates (query, vec_id, distance)."""
+    kinds = pa.schema([("query", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.int64())])
+
+    def searched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                cell = Cell.unpacked(*(batch.column(n)[i].as_py() for n in ("ids", "keys", "words", "low")))
+                asked = batch.column("asked")[i].values
+                names, own, values, limits, radius = (asked.field(n).to_numpy() for n in ("query", "query_id", "value", "limit", "rest"))
+                words = np.frombuffer(b"".join(asked.field("code").to_pylist()), np.uint64).reshape(len(names), -1)
                 for r in np.unique(radius).tolist():
                     if r <= cell.low:
                         at = np.flatnonzero(radius == r)
-                        query, ids, dist = cell.search(num["own_id"][a:b][at], num["value"][a:b][at], words[at], num["limit"][a:b][at].astype(np.int64), r, k)
+                        query, ids, dist = cell.search(own[at], values[at], words[at], limits[at], r, k)
                         yield pa.RecordBatch.from_arrays([pa.array(names[at][query]), pa.array(ids), pa.array(dist)], schema=kinds)
 
-    return lines.mapInArrow(searched, "query long, vec_id long, distance long")
+    return with_small_batches(cells.select("low", "ids", "keys", "words", "asked")).mapInArrow(searched, "query long, vec_id long, distance long")
 
 
 def _spread(name: str, cells: str) -> Column:
@@ -192,35 +226,31 @@ def top_k(vectors: DataFrame, k: int = K, every: int = QUERY_EVERY) -> DataFrame
     n = rows.count()
     width = min(MOST_BITS, max(LEAST_BITS, round(math.log2(max(2, n)))))
     high = min(width, max(0, math.ceil(math.log2(max(1, n / CELL_ROWS)))))
-    top = F.expr(f"shiftright(value, width - least({high}, width))")  # short segments have fewer high bits
 
-    index = stored(_segments(rare, width).withColumn("high", top), "index")
+    index = stored(_segments(rare, width, high).drop("rest"), "index")
     few = sizes.filter(F.col("ids") <= 2 * k).select("n_bits").withColumn("few", F.lit(True))  # too few to wait for k of them
     queries = rows.filter(F.col("vec_id") % every == 0).join(F.broadcast(few), "n_bits", "left")
     queries = queries.select(F.monotonically_increasing_id().alias("query"), F.col("vec_id").alias("query_id"), "n_bits", "code", F.coalesce("few", F.lit(False)).alias("few"))
     queries = stored(queries, "queries")
-    parts = _segments(queries.select("query", "n_bits", "code"), width).withColumn("high", top)
+    parts = _segments(queries.select("query", "n_bits", "code"), width, high)
     where = ["n_bits", "segment", "high"]
     cells = index.groupBy(where).agg(F.count("*").alias("rows")).join(parts.groupBy(where).agg(F.count("*").alias("asked")), where, "left")
     cells = cells.select(*where, F.ceil(F.col("rows") / (2 * CELL_ROWS)).cast("int").alias("parts"), F.ceil(F.coalesce("asked", F.lit(1)) / CELL_QUERIES).cast("int").alias("turns"))
     cells = stored(cells, "cells")
     part = F.when(F.col("parts") > 1, _spread("vec_id", "parts")).otherwise(0)
     held = index.join(cells, where).withColumn("part", part).withColumn("turn", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)))
-    held = held.select(*CELL, F.lit(0).alias("is_query"), F.col("vec_id").alias("id"), "width", "value", "code", F.lit(0).alias("limit"), F.lit(0).alias("radius"), F.lit(0).cast("long").alias("own_id"))
-    held = stored(held, "held")
+    parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    held = held.select(*CELL, "vec_id", "width", "value", "code").repartition(parts_n, *CELL).sortWithinPartitions(*CELL)
+    packed = checkpointed(_packed(held, high).repartition(parts_n, *CELL).sortWithinPartitions(*CELL))  # stays partitioned and sorted
 
     state = queries.withColumn("best", F.lit(None).cast("array<struct<distance:bigint,vec_id:bigint>>"))
     done: list[DataFrame] = []
-    parts_n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     for radius in range(width + 1 if n else 0):
-        now = state.select("query", "query_id", "n_bits", "code", "few", F.when(F.size("best") == k, F.col("best")[k - 1]["distance"]).otherwise(1 << 30).alias("limit"))
-        near = F.expr(f"filter(sequence(0L, {(1 << high) - 1}L), x -> few or bit_count(x) <= {radius})")
-        asked = _segments(now, width).withColumn("away", F.explode(near)).filter(f"away < shiftleft(1L, least({high}, width))")
-        asked = asked.withColumn("high", top.bitwiseXOR(F.col("away"))).withColumn("rest", F.when(F.col("few"), -1).otherwise(radius - F.bit_count("away")).cast("int"))
-        asked = asked.join(cells, where).withColumn("turn", F.when(F.col("turns") > 1, _spread("query", "turns")).otherwise(0)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        asked = asked.select(*CELL, F.lit(1).alias("is_query"), F.col("query").alias("id"), "width", "value", "code", F.col("limit").cast("int").alias("limit"), F.col("rest").alias("radius"), F.col("query_id").alias("own_id"))
-        lines = held.unionByName(asked).repartition(parts_n, *CELL).sortWithinPartitions(*CELL, "is_query").select(*_LINE)
-        found = _look_up(lines, high, k).unionByName(state.select("query", F.explode("best").alias("b")).select("query", "b.vec_id", "b.distance"))
+        now = state.select("query", "query_id", "n_bits", "code", "few", F.when(F.size("best") == k, F.col("best")[k - 1]["distance"]).otherwise(1 << 30).cast("long").alias("limit"))
+        asked = _segments(now, width, high, radius).join(cells, where)
+        asked = asked.withColumn("turn", F.when(F.col("turns") > 1, _spread("query", "turns")).otherwise(0)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        asked = asked.groupBy(*CELL).agg(F.collect_list(F.struct("query", "query_id", "value", "code", "limit", "rest")).alias("asked"))
+        found = _look_up(packed.join(asked, CELL), k).unionByName(state.select("query", F.explode("best").alias("b")).select("query", "b.vec_id", "b.distance"))
         found = found.groupBy("query", "vec_id").agg(F.min("distance").alias("distance"))
         rank = F.row_number().over(Window.partitionBy("query").orderBy("distance", "vec_id"))
         found = found.withColumn("r", rank).filter(F.col("r") <= k).groupBy("query").agg(F.array_sort(F.collect_list(F.struct("distance", "vec_id"))).alias("best"))
