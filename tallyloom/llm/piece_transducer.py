@@ -1,15 +1,15 @@
 """SentencePiece encoding and decoding by weighted finite-state transduction.
 
-A model is compiled to three transducers.  The normaliser rewrites the longest of its rules at each place,
-folds and trims blanks where the model says so, makes a blank the visible space and puts one before the
-text.  The pieces are a trie whose finals give ids.  Byte fallback gives an arc for each character that no
+The normaliser rewrites the longest of its rules at each place, folds and trims blanks where the model says
+so, makes a blank the visible space and puts one before the text.  It is a function of the text, so what it
+gives is a chain, and it is applied before the lattice is made rather than compiled to arcs of it.  The pieces are a trie whose finals give ids.  Byte fallback gives an arc for each character that no
 piece covers.  A text is composed with them into a lattice, and the path of least weight (tropical semiring:
 weights add up along a path, the least of several counts) is its encoding.
 
 Unigram pieces weigh minus their score, in single precision as the models' own library adds them.  A BPE
 piece weighs 0, and so does its following another, but for infinity where merging the characters of both by
-the model's scores would join them across their border: states are (place, last piece), and the one path of
-finite weight is the BPE encoding.  A border is judged on the two merge trees: their edges are undone from
+the model's scores would join them across their border.  The one path of finite weight is the BPE encoding,
+and so is each of its beginnings that of its own text; so a place keeps one state, with its last piece.  A border is judged on the two merge trees: their edges are undone from
 the latest merge back, and no pair of edges that stood side by side may have a better merge than those that
 used them up.
 
