@@ -62,6 +62,65 @@ def test_join_of_a_large_group_matches_brute_force(spark):
     assert {(r.doc_id, r.n_shingles, r.component_id) for r in got.collect()} == brute_components(rows)
 
 
+def test_bitmaps_clear_no_link():
+    rng = np.random.default_rng(11)
+    cleared = 0
+    for _ in range(400):
+        n = int(rng.choice([1, 2, 3, 7, 20, 64, 65, 300, 2000]))
+        a = np.unique(rng.integers(0, 1 << 63, n, np.uint64))
+        kept = a[rng.random(len(a)) >= rng.choice([0, 0.05, 0.08, 0.12, 0.15, 0.3])]
+        b = np.unique(np.concatenate([kept, rng.integers(0, 1 << 63, int(rng.integers(0, 1 + n // 8)), np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        link = 100 * both >= 85 * (len(a) + len(b) - both)
+        args = (len(a), ngram_join.parities(a), len(b), ngram_join.parities(b))
+        assert ngram_join.may_link(*args) == ngram_join.may_link(*args[2:], *args[:2])
+        assert not link or ngram_join.may_link(*args)
+        cleared += not ngram_join.may_link(*args)
+    assert cleared > 100
+
+
+def test_only_texts_of_close_pairs_are_fetched(spark, monkeypatch):
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(300)]
+    changed = lambda at: [f"x{rng.random()}" if k in at else w for k, w in enumerate(base)]
+    rows = [(1, " ".join(base)), (2, " ".join(changed({7}))), *((d, " ".join(changed(set(range(d, 300, 50))))) for d in range(10, 14)), (20, "of other words")]
+    asked = []
+    texts_of = ngram_join._texts_of
+
+    def noted(docs, ids):
+        asked.append({r.id for r in ids.collect()})
+        return texts_of(docs, ids)
+
+    monkeypatch.setattr(ngram_join, "_texts_of", noted)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    pairs = spark.createDataFrame([(1, d) for d, _ in rows[1:]], "x long, y long")
+    got = ngram_join._verified(pairs, docs, 4, 85).collect()
+    linked = [d for d, _ in rows[1:] if (d, 1) in {(d, g) for d, _, g in brute_components([rows[0], next(r for r in rows if r[0] == d)])}]
+    assert sorted((r.u, r.v) for r in got) == [(1, d) for d in linked] and linked[0] == 2
+    assert asked[-1] < {d for d, _ in rows}  # the bitmaps of all, the texts of few
+    assert {1, *linked} <= asked[-1] and 20 not in asked[-1]
+
+
+def test_counts_take_few_bytes():
+    counts = np.zeros(ngram_join.SLICE, np.int64)
+    counts[5] = 200
+    assert len(ngram_join._narrow(counts)) == ngram_join.SLICE and (ngram_join._widened(ngram_join._narrow(counts)) == counts).all()
+    counts[5] = 70_000
+    assert len(ngram_join._narrow(counts)) == 4 * ngram_join.SLICE and (ngram_join._widened(ngram_join._narrow(counts)) == counts).all()
+
+
+def test_join_of_one_id_with_several_texts(spark):
+    """Texts under one id are one document, also where their sets share shingles, and copies stay one set."""
+    rows = near_copies(9, 60)
+    rows += [(rows[3][0], "some other words that are in no other text of this table"), (70, "some other words that are in no other text of this table"), (71, rows[0][1]), (72, rows[0][1])]
+    got = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(7)).collect()
+    apart = [(d if k < 60 or d >= 70 else 1000, t) for k, (d, t) in enumerate(rows)]
+    want = {d: g for d, _, g in brute_components(apart)}
+    top = min(want[rows[3][0]], want[70])
+    same = lambda g: top if g in (want[rows[3][0]], want[70], want[1000]) else g
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, same(g)) for d, g in want.items() if d != 1000}
+
+
 def test_join_edges(spark, edge_docs, empty_docs):
     got = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.join(edge_docs).collect()), key=str)
     by = {d: (n, g) for d, n, g in got}
