@@ -1,9 +1,8 @@
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
-import pytest
 
-from tallyloom.plans import catalogue, registry  # noqa: F401
+from tallyloom.plans import catalogue, registry, report  # noqa: F401
 
 PARTS = [(0, 15, 900.0), (0, 1, 900.0), (7, 30, 900.7), (8, 24, 900.8), (-3, 45, 1.0), (None, 15, 2.0), (5, None, 3.0)]
 
@@ -26,3 +25,9 @@ def same_as_sql(spark, folder, name, *tables):
 def test_the_last_price_stands_even_at_zero(spark, tmp_path):
     written(tmp_path, "part", [("p_partkey", pa.int64()), ("p_size", pa.int32()), ("p_retailprice", pa.float64())], PARTS)
     assert (0, 0.0) in same_as_sql(spark, tmp_path, "q_snapshot_price", "part")
+
+
+def test_references_without_a_semicolon_stand_as_they_are(spark, tmp_path):
+    pages = ["<p>a&amp</p><p>b &amp b&amp;</p>", "<h1>R&am</h1>one &copy2 &copy; two", "<p>&ampfoo; &nothing; &", "<p>&&amp;&amp", "<p>&amp;copy; &middot &middot;", "<head><title>x&amp</title></head><p>&quot &quot;"]
+    written(tmp_path, "pages", [("page_id", pa.int64()), ("html", pa.string())], list(enumerate(pages)))
+    assert len(same_as_sql(spark, tmp_path, "q_html_blocks", "pages")) == 8
