@@ -193,8 +193,7 @@ def q_match_company(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each supplier's best namesake among the suppliers of its nation."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey")
     named = s.select("s_nationkey", F.concat(F.lit("S"), c("s_suppkey").cast("string"), F.lit(".N")).alias("ticker"), c("s_name").alias("name"), F.lit("EQUITY").alias("quote_type"), (c("s_suppkey") % 5).alias("priority"))
-    pairs = s.select("s_nationkey", c("s_name").alias("query")).join(named, "s_nationkey")
-    return I.match_company(pairs).withColumn("score", F.round("score", 6))
+    return I.match_listed(s.select("s_nationkey", c("s_name").alias("query")), named, "s_nationkey").withColumn("score", F.round("score", 6))
 
 
 @query("q_json_facts", """select c_custkey as cik, cast(o_orderkey as bigint) as seq, o_totalprice as val, 'USD' as unit, 'Revenues' as concept, strftime(o_orderdate, '%Y-%m-%d') as filed from orders join customer on o_custkey = c_custkey""")

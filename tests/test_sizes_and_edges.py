@@ -1,7 +1,12 @@
+import random
+from difflib import SequenceMatcher
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
+import pytest
 
+from tallyloom.operators import ingest
 from tallyloom.plans import catalogue, registry, report  # noqa: F401
 
 PARTS = [(0, 15, 900.0), (0, 1, 900.0), (7, 30, 900.7), (8, 24, 900.8), (-3, 45, 1.0), (None, 15, 2.0), (5, None, 3.0)]
@@ -31,3 +36,27 @@ def test_references_without_a_semicolon_stand_as_they_are(spark, tmp_path):
     pages = ["<p>a&amp</p><p>b &amp b&amp;</p>", "<h1>R&am</h1>one &copy2 &copy; two", "<p>&ampfoo; &nothing; &", "<p>&&amp;&amp", "<p>&amp;copy; &middot &middot;", "<head><title>x&amp</title></head><p>&quot &quot;"]
     written(tmp_path, "pages", [("page_id", pa.int64()), ("html", pa.string())], list(enumerate(pages)))
     assert len(same_as_sql(spark, tmp_path, "q_html_blocks", "pages")) == 8
+
+
+def scored(query, name, ticker, priority):
+    a, b = (query or "").lower().strip(), (name or "").lower().strip()
+    r = SequenceMatcher(None, a, b).ratio()
+    r = max(r, 0.85) if a.split() and set(a.split()) <= set(b.split()) else r
+    return priority + (200.0 if query is not None and query.upper() == ticker.split(".")[0].upper() else 0.0) + 150.0 * r
+
+
+@pytest.mark.parametrize("block", [7, 4096])
+def test_listed_namesakes_equal_all_pairs(spark, monkeypatch, block):
+    monkeypatch.setattr(ingest, "NAMES_BLOCK", block)
+    rng = random.Random(5)
+    words = ["Apple", "apple", "Inc", "plc", "Gröup", "ab", "ba", "#0012", "#0021", "T3.N", "x" * 210 + "yz", "", " "]
+    name = lambda: rng.choice([None, " ".join(rng.choice(words) for _ in range(rng.randint(0, 4)))])
+    listed = [(g, rng.choice([f"T{k}.N", "ab.L", "APPLE"]) + ("" if rng.random() < 0.8 else str(k)), name(), rng.choice(["EQUITY"] * 5 + ["ETF"]), rng.choice([0, 1, 90])) for g in (1, 2, None) for k in range(45)] + [(1, None, "Apple", "EQUITY", 900)]
+    asked = [(g, q) for g in (1, 2, 3, None) for q in [None, "", "ab", "T3", "t7", "apple", "Apple Inc", "nothing like it", *(name() for _ in range(12))]]
+    want = {}
+    for g, q in asked:
+        for h, ticker, n, kind, p in listed:
+            if g == h and g is not None and kind == "EQUITY" and ticker is not None:
+                want[q] = max(want.get(q, (-1.0, "")), (scored(q, n, ticker, p), ticker))
+    got = ingest.match_listed(spark.createDataFrame(asked, "g int, query string"), spark.createDataFrame(listed, "g int, ticker string, name string, quote_type string, priority int"), "g").collect()
+    assert {r["query"]: (r.score, r.ticker) for r in got} == want and len(got) == len(want)
