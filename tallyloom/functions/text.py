@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,6 +15,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.transform(found, lambda t: F.regexp_replace(t, r"[.,/-]+$", "")), lambda t: t != "")
 
 
+# The same tokens of a lower-cased text, for tasks in Python; marks at the ends are left out by going back.
+find_tokens = re.compile(r"[a-z0-9](?:[a-z0-9.,%$/-]*[a-z0-9%$])?").findall
+
+
 def sentences(text: Column) -> Column:
     return F.split(text, r"(?<=[.!?])\s+")
 

@@ -9,6 +9,7 @@ from tallyloom.functions import text as T
 from tallyloom.operators import reporting as R
 from tallyloom.operators import search as S
 from tallyloom.plans.registry import query
+from tallyloom.sources.sinks import stored
 from tallyloom.sources.tables import table
 
 c = F.col
@@ -138,11 +139,11 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = lambda key, ids: table(spark, sf_dir, "embeddings").select(c("vec_id").alias(key), c("embedding").alias("embedding")).join(ids.select(key), key, "left_semi")
     near = S.dense(vectors("query_id", asked), vectors("chunk_id", chunks), 25)
     long_words = asked.select("query_id", F.concat_ws(" ", F.filter(T.tokens(c("text")), lambda t: F.length(t) >= 6)).alias("text"))
-    postings = S.asked_postings(asked, chunks)
-    other = S.top(S.bm25(long_words, chunks, postings=postings).withColumn("score", F.round("score", 9)), 25)
-    parts = [x.select(F.lit(n).alias("list"), F.lit(w).alias("weight"), "query_id", "chunk_id", "rank") for n, w, x in (("dense", 1.0, near), ("sparse", 1.0, bm25_list(spark, sf_dir, postings)), ("variant", 0.5, other))]
+    both = S.lexical(_numbered(asked, 0).unionByName(_numbered(long_words, 1)), chunks, 25)
+    sparse, other = (both.filter(F.pmod("query_id", F.lit(2)) == seq).withColumn("query_id", F.shiftright("query_id", 1)) for seq in (0, 1))
+    parts = [x.select(F.lit(n).alias("list"), F.lit(w).alias("weight"), "query_id", "chunk_id", "rank") for n, w, x in (("dense", 1.0, near), ("sparse", 1.0, sparse), ("variant", 0.5, other))]
     used = F.create_map(*[x for n in ("dense", "sparse", "variant") for x in (F.lit(n), F.array(*(F.lit(k) for k, names in LISTS.items() if n in names)))])
-    lists = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("k", F.explode(used[c("list")]))
+    lists = stored(parts[0].unionByName(parts[1]).unionByName(parts[2]), "lists").withColumn("k", F.explode(used[c("list")]))
     fused = S.fuse(lists.withColumn("query_id", F.struct("k", "query_id"))).join(chunks.drop("body"), "chunk_id")
     late = c("query_id.k") >= FILTERED
     boosted = S.boost(fused, F.lit(True), F.array().cast("array<int>"), F.lit(2024)).withColumnRenamed("score", "boosted")
@@ -152,6 +153,10 @@ def staged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.rerank(short, outside)
 
 
+def _numbered(queries: DataFrame, seq: int) -> DataFrame:
+    return queries.select((c("query_id") * 2 + seq).alias("query_id"), "text")
+
+
 @query("q_retrieve_full", "with " + _STAGES_SQL + " select query_id, chunk_id, cast(place as int) as place, round(score, 8) as score from placed where k = 5")
 def q_retrieve_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = staged(spark, sf_dir).filter(c("query_id.k") == RERANKED)
@@ -165,9 +170,11 @@ def q_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hit rate and MRR of each configuration, which shows what each stage adds."""
     names = F.create_map(*[x for k, n in NAMES.items() for x in (F.lit(k), F.lit(n))])
     asked = questions(spark, sf_dir).withColumnRenamed("text", "wanted").withColumn("k", F.explode(F.array(*map(F.lit, NAMES))))
-    found = staged(spark, sf_dir).select(c("query_id.k").alias("k"), c("query_id.query_id").alias("query_id"), "chunk_id", c("place").alias("rank"))
+    found = stored(staged(spark, sf_dir).select(c("query_id.k").alias("k"), c("query_id.query_id").alias("query_id"), "chunk_id", c("place").alias("rank")), "found")
     plain = lambda x: F.replace(F.lower(x), F.lit(","), F.lit(""))
-    rows = asked.join(found, ["k", "query_id"], "left").join(chunks_of(spark, sf_dir).select("chunk_id", "body"), "chunk_id", "left")
+    # The few passages are stored, so that their ids go to the texts and no text that wasn't found is shuffled.
+    bodies = chunks_of(spark, sf_dir).select("chunk_id", "body").join(F.broadcast(found.select("chunk_id").distinct()), "chunk_id", "left_semi")
+    rows = asked.join(found, ["k", "query_id"], "left").join(bodies, "chunk_id", "left")
     rows = rows.withColumn("configuration", names[c("k")]).withColumn("hit", F.coalesce(plain(c("body")).contains(plain(c("wanted"))), F.lit(False)))
     return S.hit_and_mrr(rows, "configuration").select("configuration", "questions", F.round("hit_rate", 6).alias("hit_rate"), F.round("mrr", 6).alias("mrr"))
 

@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 from difflib import SequenceMatcher
 
 import duckdb
@@ -6,7 +8,8 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 
-from tallyloom.operators import ingest
+from tallyloom.functions.text import find_tokens
+from tallyloom.operators import ingest, search
 from tallyloom.plans import catalogue, registry, report  # noqa: F401
 
 PARTS = [(0, 15, 900.0), (0, 1, 900.0), (7, 30, 900.7), (8, 24, 900.8), (-3, 45, 1.0), (None, 15, 2.0), (5, None, 3.0)]
@@ -60,3 +63,67 @@ def test_listed_namesakes_equal_all_pairs(spark, monkeypatch, block):
                 want[q] = max(want.get(q, (-1.0, "")), (scored(q, n, ticker, p), ticker))
     got = ingest.match_listed(spark.createDataFrame(asked, "g int, query string"), spark.createDataFrame(listed, "g int, ticker string, name string, quote_type string, priority int"), "g").collect()
     assert {r["query"]: (r.score, r.ticker) for r in got} == want and len(got) == len(want)
+
+
+def brute_bm25(asked, texts, k):
+    """{(query, chunk): rank} by plain loops."""
+    docs = {d: find_tokens((t or "").lower()) for d, t in texts}
+    mean = sum(map(len, docs.values())) / len(docs)
+    df = Counter(t for words in docs.values() for t in set(words))
+    out = {}
+    for q, text in asked:
+        scores = {}
+        for d, words in docs.items():
+            tf = Counter(words)
+            for t in set(find_tokens((text or "").lower())) & set(words):
+                idf = max(math.log((len(docs) - df[t] + 0.5) / (df[t] + 0.5)), 0.0)
+                scores[d] = scores.get(d, 0.0) + idf * tf[t] * 2.5 / (tf[t] + 1.5 * (1 - 0.75 + 0.75 * len(words) / mean))
+        ranked = sorted((-round(x, 9), d) for d, x in scores.items() if x > 0)[:k]
+        out |= {(q, d): r for r, (_, d) in enumerate(ranked, 1)}
+    return out
+
+
+@pytest.mark.parametrize("block", [3, 8192])
+def test_lexical_lists_equal_brute_force_and_leave_the_tasks_cut(spark, monkeypatch, block):
+    monkeypatch.setattr(search, "BLOCK", block)
+    rng = random.Random(block)
+    words = ["cash", "Margin.", "10-K", "5%", "a", "the", "Übung", "rev/", "q1", "debt,", "--", "x.y-"]
+    text = lambda most: " ".join(rng.choice(words) for _ in range(rng.randint(0, most)))
+    texts = [(k * 7 - 50, rng.choice([None, "", "same cash text", "debt q1", *(text(40) for _ in range(4))])) for k in range(700)]
+    asked = [(k - 4, rng.choice([None, "", "unknown", text(8), text(3)])) for k in range(10)]
+    chunks = spark.createDataFrame(texts, "chunk_id long, body string").repartition(3)
+    queries = spark.createDataFrame(asked, "query_id long, text string")
+    got = {(r.query_id, r.chunk_id): r["rank"] for r in search.lexical(queries, chunks, 6).collect()}
+    assert got == brute_bm25(asked, texts, 6) and got
+    everything = {(r.query_id, r.chunk_id) for r in search.bm25(queries, chunks).collect()}
+    assert {x for x, _ in got} == {x for x, _ in everything}
+    rows = search._lexical_block([(q, sorted(set(find_tokens((t or "").lower())))) for q, t in asked], chunks, 6, search.DEFAULTS)
+    assert rows.count() <= rows.rdd.getNumPartitions() * 10 * 6 < len(everything)
+
+
+def test_the_best_are_kept_over_many_parts():
+    rng = random.Random(2)
+    best, rows = search._Best(3, 4, 9), []
+    best.most = 5
+    for part in range(60):
+        scores = [[rng.choice([0.0, 0.5, 1.0, 1.0 + 1e-12, rng.random()]) for _ in range(3)] for _ in range(4)]
+        ids = [1000 - part * 4 - k for k in range(4)]
+        best.add(search.np.array(scores), search.np.array(ids))
+        rows += [(q, -round(x, 9), d) for line, d in zip(scores, ids) for q, x in enumerate(line) if x > 0]
+    want = [x for q in range(3) for x in sorted(r for r in rows if r[0] == q)[:4]]
+    assert [(int(q), -float(x), int(d)) for q, d, x in zip(*best.cut())] == want
+
+
+@pytest.mark.parametrize("k", [3, 50])
+def test_dense_lists_equal_brute_force_with_ties(spark, monkeypatch, k):
+    monkeypatch.setattr(search, "BLOCK", 16)
+    rng = random.Random(k)
+    vectors = [(n, rng.choice([None, [0.0, 0.0], [1.0, 0.0], [float(rng.randint(-3, 3)), float(rng.randint(-3, 3))]])) for n in range(40)]
+    asked = [(n, v) for n, v in vectors if n % 2]
+    got = {}
+    for r in search.dense(spark.createDataFrame(asked, "query_id long, embedding array<float>"), spark.createDataFrame(vectors, "chunk_id long, embedding array<float>"), k).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.chunk_id))
+    unit = lambda v: [x / (math.hypot(*v) or 1) for x in v]
+    for q, a in asked:
+        want = sorted((-round(sum(x * y for x, y in zip(unit(a), unit(b))), 12), n) for n, b in vectors if b is not None)[:k] if a is not None else []
+        assert [n for _, n in sorted(got.get(q, []))] == [n for _, n in want]
