@@ -64,23 +64,24 @@ MAGNITUDES = {
     "million": 1e6, "mn": 1e6, "m": 1e6, "thousand": 1e3, "k": 1e3,
 }
 BARE = ["trillion", "billion", "million", "thousand"]
-# Any number with what may stand around it: 1 a mark, 2 the digits, 3 a magnitude, 4 a percent sign.
-_FIGURE = rf"(?i)({'|'.join(m.replace('$', '[$]') for m in MARKS)})?\s?(\d[\d,]*(?:\.\d+)?)(?:\s?(?:({'|'.join(MAGNITUDES)})\b|(%)))?"
+_DIGITS = r"\d[\d,]*(?:\.\d+)?"
+# Any number with what may stand around it: a mark, the digits, and a magnitude or a percent sign.  The look ahead
+# passes most characters by at once.
+_FIGURE = rf"(?i)(?=\s?\d|[{''.join(sorted({m[0] for m in MARKS}))}])(?:{'|'.join(m.replace('$', '[$]') for m in MARKS)})?\s?{_DIGITS}(?:\s?(?:(?:{'|'.join(MAGNITUDES)})\b|%))?"
 
 
 def _figures(text: Column) -> Column:
     """Every number of a text in order: kind ('money', 'percent' or null), figure (as it stands) and value."""
-    part = lambda k: F.regexp_extract_all(text, F.lit(_FIGURE), k)
     scale = F.create_map(*[x for k, v in MAGNITUDES.items() for x in (F.lit(k), F.lit(v))])
 
     def figure(x: Column) -> Column:
-        unit = F.lower(x["unit"])
-        kind = F.when(x["sign"] == "%", "percent").when((x["mark"] != "") | unit.isin(BARE), "money")
-        value = F.regexp_replace(x["digits"], ",", "").cast("double") * F.coalesce(F.try_element_at(scale, unit), F.lit(1.0))
-        return F.struct(kind.alias("kind"), x["whole"].alias("figure"), value.alias("value"))
+        unit = F.lower(F.regexp_extract(x, "([A-Za-z]+|%)$", 1))  # what stands after the digits
+        marked = F.lower(F.substring(x, 1, 1)).isin(*sorted({m[0] for m in MARKS}))
+        kind = F.when(unit == "%", "percent").when(marked | unit.isin(BARE), "money")
+        value = F.replace(F.regexp_extract(x, _DIGITS, 0), F.lit(","), F.lit("")).cast("double") * F.coalesce(F.try_element_at(scale, unit), F.lit(1.0))
+        return F.struct(kind.alias("kind"), x.alias("figure"), value.alias("value"))
 
-    names = ("whole", "mark", "digits", "unit", "sign")
-    return F.transform(F.arrays_zip(*(part(k).alias(n) for k, n in enumerate(names))), figure)
+    return F.transform(F.regexp_extract_all(text, F.lit(_FIGURE), 0), figure)
 
 
 def amounts(text: Column) -> Column:
@@ -90,27 +91,23 @@ def amounts(text: Column) -> Column:
 
 def located(text: Column, width: int = 70) -> Column:
     """Money and percentages of a text in order: kind, figure, value, start (from 0) and the characters around it."""
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
-
-    def pass_by(acc: Column, x: Column) -> Column:
-        start = acc["at"] + x["gap"]
-        return F.struct((start + F.coalesce(x["own"], F.lit(0))).alias("at"), F.array_append(acc["starts"], start).alias("starts"))
-
-    def around(x: Column, start: Column) -> Column:
-        first, last = F.greatest(start - width, F.lit(0)), F.least(start + F.length(x["figure"]) + width, F.length(text))
+    def around(text: Column, n: Column, x: Column, start: Column, end: Column) -> Column:
+        first, last = F.greatest(start - width, F.lit(0)), F.least(end + width, n)
         words = F.trim(F.substring(text, first + 1, last - first))
-        context = F.concat(F.when(first > 0, "…").otherwise(""), words, F.when(last < F.length(text), "…").otherwise(""))
-        blank = F.length(x["figure"]) - F.length(F.ltrim(x["figure"]))
-        return F.struct(x["kind"].alias("kind"), F.trim(x["figure"]).alias("figure"), x["value"].alias("value"), (start + blank).alias("start"), context.alias("context"))
-
-    def placed(found: Column) -> Column:
-        sizes = F.zip_with(F.split(text, _FIGURE, -1), found, lambda gap, x: F.struct(F.length(gap).alias("gap"), F.length(x["figure"]).alias("own")))
-        starts = F.aggregate(sizes, begin, pass_by, lambda acc: acc["starts"])
-        return F.zip_with(found, F.slice(starts, F.lit(1), F.size(found)), around)
-
-    # In an array of one, the figures are found once and not for each use.
-    once = F.get(F.transform(F.array(_figures(text)), placed), F.lit(0))
-    return F.filter(once, lambda x: x["kind"].isNotNull())
+        context = F.concat(F.when(first > 0, "…").otherwise(""), words, F.when(last < n, "…").otherwise(""))
+        own = F.ltrim(x["figure"])
+        return F.struct(x["kind"].alias("kind"), F.trim(x["figure"]).alias("figure"), x["value"].alias("value"), (end - F.length(own)).alias("start"), context.alias("context"))
+
+    def placed(text: Column, n: Column, found: Column) -> Column:
+        # Between figures there are no digits, so a figure's first place after the one before is its own.
+        after = lambda at, x: F.call_function("locate", x["figure"], text, at) - 1 + F.length(x["figure"])
+        ends = F.aggregate(found, F.array().cast("array<int>"), lambda ends, x: F.array_append(ends, after(F.coalesce(F.get(ends, F.size(ends) - 1), F.lit(0)) + 1, x)))
+        told = F.filter(F.arrays_zip(found.alias("x"), ends.alias("end")), lambda y: y["x"]["kind"].isNotNull())
+        return F.transform(told, lambda y: around(text, n, y["x"], y["end"] - F.length(y["x"]["figure"]), y["end"]))
+
+    # In arrays of one, the text is made and its figures are found once and not for each use.
+    once = lambda x, use: F.get(F.transform(F.array(x), use), F.lit(0))
+    return once(text, lambda t: once(F.struct(_figures(t).alias("found"), F.length(t).alias("n")), lambda x: placed(t, x["n"], x["found"])))
 
 
 def year_month(text: Column) -> Column:

@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter
 from difflib import SequenceMatcher
 
@@ -10,7 +11,7 @@ import pytest
 
 from pyspark.sql import functions as F
 
-from tallyloom.functions.text import find_tokens, tokens
+from tallyloom.functions.text import BARE, MAGNITUDES, find_tokens, located, tokens
 from tallyloom.operators import ingest, retrieval, search
 from tallyloom.plans import catalogue, registry, report  # noqa: F401
 from tallyloom.plans import retrieval as plans  # noqa: F401
@@ -180,3 +181,29 @@ def test_planned_queries_make_no_postings_and_equal_their_sql(spark, tmp_path, m
     written(tmp_path, "benchmark", [("item_id", pa.int64()), ("text", pa.string())], [(k, text(6)) for k in range(10)])
     for name in ("q_filter_effect", "q_answer_context"):
         assert same_as_sql(spark, tmp_path, name, "documents", "benchmark")
+
+
+_OLD = r"(?i)(us[$]|usd|[$]|₹|€|£)?\s?(\d[\d,]*(?:\.\d+)?)(?:\s?(?:(trillion|tn|t|billion|bn|b|million|mn|m|thousand|k)\b|(%)))?"
+
+
+def test_figures_and_their_places_equal_a_plain_search(spark):
+    rng = random.Random(8)
+    parts = ["US$", "usd", "$", "€", "£", " ", "  ", "\n", "5", "12,5", "7.25", "7.", ",", "%", " %", "bn", "b", " million", "millions", "k", "T", "x", "–", "words of no figure ", "us", "u"]
+    texts = [(k, "".join(rng.choice(parts) for _ in range(rng.randint(0, 14)))) for k in range(3000)]
+    got = {r.k: [(x.kind, x.figure, x.value, x.start, x.context) for x in r.x] for r in spark.createDataFrame(texts, "k int, t string").select("k", located(F.col("t"), 6).alias("x")).collect()}
+    for k, t in texts:
+        want = []
+        for m in re.finditer(_OLD, t, re.ASCII):
+            mark, digits, unit, sign = m.groups()
+            kind = "percent" if sign else "money" if mark or (unit or "").lower() in BARE else None
+            first, last = max(m.start() - 6, 0), min(m.end() + 6, len(t))
+            context = ("…" if first else "") + t[first:last].strip(" ") + ("…" if last < len(t) else "")
+            if kind:
+                own = m[0].lstrip(" ")
+                want.append((kind, m[0].strip(" "), float(digits.replace(",", "")) * MAGNITUDES.get((unit or "").lower(), 1.0), m.end() - len(own), context))
+        assert got[k] == want, t
+
+
+def test_a_sentence_is_made_once_for_all_its_figures(spark, sf_dir):
+    plan = registry.QUERIES["q_figures"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("format_string") == 1
