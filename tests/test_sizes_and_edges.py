@@ -15,6 +15,7 @@ from tallyloom.functions.text import BARE, MAGNITUDES, find_tokens, located, tok
 from tallyloom.operators import ingest, retrieval, search
 from tallyloom.plans import catalogue, registry, report  # noqa: F401
 from tallyloom.plans import retrieval as plans  # noqa: F401
+from tallyloom.plans import search as ablations  # noqa: F401
 
 PARTS = [(0, 15, 900.0), (0, 1, 900.0), (7, 30, 900.7), (8, 24, 900.8), (-3, 45, 1.0), (None, 15, 2.0), (5, None, 3.0)]
 
@@ -207,3 +208,18 @@ def test_figures_and_their_places_equal_a_plain_search(spark):
 def test_a_sentence_is_made_once_for_all_its_figures(spark, sf_dir):
     plan = registry.QUERIES["q_figures"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("format_string") == 1
+
+
+def test_the_lines_of_the_evaluation_need_no_postings(spark, tmp_path, monkeypatch):
+    def never(*_):
+        raise AssertionError("postings of all texts")
+
+    monkeypatch.setattr(search, "asked_postings", never)
+    rng = random.Random(3)
+    text = lambda n: " ".join(rng.choice(["revenue", "cash", "margin", "debtors", "a-1", "growth"]) + rng.choice(["", ".", str(rng.randint(0, 9))]) for _ in range(n))
+    asked = [(k, text(5)) for k in range(8)]
+    docs = [(k, rng.choice([None, "", asked[k % 8][1] + " cash", text(rng.randint(1, 30))]), rng.choice(["en", "de"]), rng.choice(["src0", "src1"])) for k in range(200)]
+    written(tmp_path, "documents", [("doc_id", pa.int64()), ("text", pa.string()), ("lang", pa.string()), ("source", pa.string())], docs)
+    written(tmp_path, "benchmark", [("item_id", pa.int64()), ("text", pa.string())], asked)
+    written(tmp_path, "embeddings", [("vec_id", pa.int64()), ("embedding", pa.list_(pa.float32()))], [(k, [rng.uniform(-1, 1) for _ in range(8)]) for k in range(220)])
+    assert len(same_as_sql(spark, tmp_path, "q_eval_lines", "documents", "benchmark", "embeddings")) == 5
